@@ -25,3 +25,21 @@ def first_or_blank(arr: Column, field: str) -> Column:
 def lenient_json_list(raw: Column) -> Column:
     """JSON array of strings; blank, malformed or non-array text gives ``[]``."""
     return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+
+
+def dedup_last_value(params: Column) -> Column:
+    """{name, value} list -> entries keyed by name, in first-seen order with the
+    last value (what building a dict from the list gives)."""
+    idx = F.transform(params, lambda e, i: F.struct(e["name"].alias("name"), e["value"].alias("value"),
+                                                    i.alias("i")))
+    firsts = F.filter(idx, lambda e: ~F.exists(idx, lambda o: (o["name"] == e["name"]) & (o["i"] < e["i"])))
+    return F.transform(firsts, lambda e: F.struct(
+        e["name"].alias("key"),
+        F.get(F.filter(F.reverse(idx), lambda o: o["name"] == e["name"]), 0)["value"].alias("value")))
+
+
+def params_to_config_json(params: Column) -> Column:
+    """M4: model parameters as a JSON object text, ``{}`` when there are none."""
+    ent = dedup_last_value(params)
+    return (F.when(params.isNull() | (F.size(params) == 0), F.lit("{}"))
+            .otherwise(F.to_json(F.map_from_entries(ent))))

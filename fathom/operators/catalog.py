@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.nested import extra, first_or_blank, lenient_json_list
+from fathom.functions.text import strip_ws
 from fathom.schemas import PUBLISHED
 
 # Catalogue groups.
@@ -79,7 +80,8 @@ def models(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
         doip_url(extra("extras", "model_qid"), base).alias("doip_url"),
         git.alias("git_repo"),
         F.when(raw_params == "", F.array().cast(PARAMS_TYPE)).otherwise(parsed).alias("additional_properties"),
-        _reasons((raw_params.isNotNull() & (raw_params != "") & parsed.isNull(),
+        _reasons((raw_params.isNotNull() & (raw_params != "")
+                  & (parsed.isNull() | ~strip_ws(raw_params).startswith("[")),
                   "model_parameters is not a JSON list")).alias("reasons"),
     )
 

@@ -40,6 +40,9 @@ def _pivot() -> str:
 def with_catalogue(body: str) -> str:
     """Prefix ``body`` with the catalogue CTEs: pkg, pkg_extras, pkg_resources, px
     (pkg joined to its pivoted extras)."""
+    body = body.lstrip("\n")
+    if body.startswith(","):
+        body = ",\n" + body[1:].lstrip()
     return (f"WITH pkg AS (\n{_pkg()}\n),\npkg_extras AS (\n{_extras()}\n),\n"
             f"pkg_resources AS (\n{_resources()}\n),\nxp AS (\n{_pivot()}\n),\n"
             f"px AS (SELECT pkg.*, xp.* EXCLUDE (pkg_id) FROM pkg JOIN xp USING (pkg_id))\n{body}")

@@ -41,3 +41,67 @@ def page(df: DataFrame, order: list[Column], size: int = PAGE_SIZE, number: int
 def page_after(df: DataFrame, key_col: str, last_key, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
     """B11, keyset form for deep pages: rows strictly after the last key shown."""
     return df.where(F.col(key_col) < F.lit(last_key)).orderBy(*order).limit(size)
+
+
+# Type filter options that keep every row, and the default badge.
+ALL_TYPES = ("All Types", "Dataset")
+DEFAULT_BADGE = "Dataset"
+DESCRIPTION_CUT = 100
+DEFAULT_HUB_BASE = "https://hub.example/dataset/"
+
+
+def badge(additional_type: Column) -> Column:
+    """Type badge, ``Dataset`` when no type is set."""
+    return F.coalesce(F.when(additional_type != "", additional_type), F.lit(DEFAULT_BADGE))
+
+
+def type_filter(df: DataFrame, choice: str | None) -> DataFrame:
+    """``All Types`` and ``Dataset`` keep all rows; any other value filters on the badge."""
+    if not choice or choice in ALL_TYPES:
+        return df
+    return df.where(badge(F.col("additional_type")) == F.lit(choice))
+
+
+def count_label(n: Column, noun: str) -> Column:
+    """``Showing n <noun>s`` with the plural only when n != 1."""
+    return F.concat(F.lit("Showing "), n.cast("string"), F.lit(" " + noun),
+                    F.when(n != 1, F.lit("s")).otherwise(F.lit("")))
+
+
+def facets(df: DataFrame) -> DataFrame:
+    """B7 + B10: row count per badge (partial aggregation before the shuffle)."""
+    return (df.groupBy(badge(F.col("additional_type")).alias("badge"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def select_rows(df: DataFrame, selected: DataFrame, key: str = "qid") -> DataFrame:
+    """Catalogue rows whose key is selected, in catalogue order (semi join:
+    duplicates in ``selected`` never multiply rows)."""
+    return df.join(selected.select(key), key, "left_semi")
+
+
+def first_by(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """First row per ``key`` in feed order (partial min_by aggregation)."""
+    cols = [c for c in df.columns if c not in (key,)]
+    return (df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+            .select(key, "_r.*"))
+
+
+def short_description(desc: Column, n: int = DESCRIPTION_CUT) -> Column:
+    """Description cut for cards."""
+    return F.substring(F.coalesce(desc, F.lit("")), 1, n)
+
+
+def links(datasets: DataFrame, doip_base: str, hub_base: str = DEFAULT_HUB_BASE) -> DataFrame:
+    """One row per (dataset, component download) with the dataset's links.
+    Datasets without components keep one row with null component fields."""
+    base = doip_base.rstrip("/")
+    return datasets.select(
+        "ord", "qid",
+        F.concat(F.lit(hub_base), F.lower("qid")).alias("hub_url"),
+        F.when(F.col("qid") != "", F.concat(F.lit(base + "/doip/versions/"), F.col("qid"),
+                                            F.lit("?include_sizes=true"))).otherwise(F.lit("")).alias("versions_url"),
+        short_description(F.col("description")).alias("short_description"),
+        F.posexplode_outer("components").alias("component_pos", "component"),
+    ).select("ord", "qid", "hub_url", "versions_url", "short_description", "component_pos",
+             F.col("component.name").alias("component_name"), F.col("component.url").alias("download_url"))

@@ -136,3 +136,62 @@ def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"),
                     F.expr("CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_name END").alias("name"),
                     F.col("p_partkey").alias("ord")))
+
+
+# ---------------------------------------------------------------- object listing / sidecars
+_DOC = "CAST(doc_id AS STRING)"
+_FILLED = f"CASE WHEN length({_DOC}) >= 6 THEN {_DOC} ELSE lpad({_DOC}, 6, '0') END"
+_SHARD = f"substring({_FILLED}, 1, 2) || '/' || substring({_FILLED}, 3, 2) || '/' || substring({_FILLED}, 5, 2)"
+
+# One object per documents row, at <shard>/<QID>/<QID>.<ext>;
+# every third object is a sidecar. mtime is epoch seconds.
+OBJECT_COLUMNS = {
+    "path": f"{_SHARD} || '/Q' || {_DOC} || '/Q' || {_DOC} || CASE WHEN doc_id % 3 = 0 THEN '.fdo.json' ELSE '.parquet' END",
+    "mtime": "1704067200 + doc_id * 61",
+    "size_bytes": "n_chars",
+}
+# Sidecar fields per sidecar object (doc_id % 3 = 0).
+SIDECAR_COLUMNS = {
+    "id": f"CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'Q' || {_DOC} END",
+    "name": f"'doc ' || {_DOC} || ' ' || lang",
+    "description": "source",
+    "url": "'ghcr.io/org/' || lang",
+    "software_version": "'v' || CAST(doc_id % 4 AS STRING)",
+    "modified": "'2024-01-' || lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') || 'T12:00:00'",
+    "attributed_to": "CASE doc_id % 9 WHEN 0 THEN 'img' WHEN 3 THEN 'img:v1' ELSE 'img:v1:2' END",
+}
+# Sidecar components, (position, @id SQL, componentId SQL).
+COMPONENT_ARMS = [
+    (0, f"'components/input/in_' || {_DOC} || '.parquet'", f"'in_' || {_DOC} || '.parquet'"),
+    (1, f"'components/output/predictions_' || {_DOC} || '.csv'",
+     f"CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'predictions_' || {_DOC} || '.csv' END"),
+    (2, "CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'misc/readme.txt' END", "'readme.txt'"),
+]
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object listing (path, mtime, size_bytes) derived from ``documents``."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return docs.select(*[F.expr(sql).alias(n) for n, sql in OBJECT_COLUMNS.items()]) \
+        .withColumn("mtime", F.col("mtime").cast("long"))
+
+
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecar rows as ``sources.listing.read_sidecars`` returns them (schema
+    ``schemas.SIDECAR`` plus path, mtime, size_bytes), derived from ``documents``."""
+    from fathom.schemas import SIDECAR
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source").where("doc_id % 3 = 0")
+    e = {n: F.expr(sql) for n, sql in SIDECAR_COLUMNS.items()}
+    comps = F.array(*[F.struct(F.expr(at).alias("@id"), F.expr(cid).alias("componentId"))
+                      for _, at, cid in COMPONENT_ARMS])
+    out = docs.select(
+        e["id"].alias("@id"),
+        F.struct(e["name"].alias("name"), e["description"].alias("description"), e["url"].alias("url"),
+                 e["software_version"].alias("softwareVersion")).alias("profile"),
+        F.struct(e["modified"].alias("modified"), comps.alias("fdo:hasComponent")).alias("kernel"),
+        F.struct(e["attributed_to"].alias("prov:wasAttributedTo"),
+                 F.lit(None).cast(SIDECAR["provenance"].dataType["prov:used"].dataType).alias("prov:used"))
+        .alias("provenance"),
+        *[F.expr(sql).alias(n) for n, sql in OBJECT_COLUMNS.items()],
+    )
+    return out.withColumn("mtime", F.col("mtime").cast("long"))

@@ -195,3 +195,27 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(sql).alias(n) for n, sql in OBJECT_COLUMNS.items()],
     )
     return out.withColumn("mtime", F.col("mtime").cast("long"))
+
+
+# ---------------------------------------------------------------- run files (series)
+# Each event_type is one loaded run file, rows numbered by (ts, event_id).
+# Files with an x_auto_converted column (provenance inputs) and the y text with gaps.
+SERIES_FILES_WITH_X = ("click", "view")
+SERIES_LABEL_SQL = "CAST(CAST(ts AS DATE) AS STRING)"
+SERIES_Y_SQL = ("CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 = 0 THEN 'nan' "
+                "ELSE CAST(CAST(FLOOR(value) AS BIGINT) AS STRING) END")
+SERIES_X_SQL = "row_pos / 3"  # repeated and fractional positions on purpose
+
+
+def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long table of run files: file_id, row_pos (dense 1..n per file), label,
+    y_text and x_auto_converted (null for files without that column)."""
+    from fathom.operators.position import dense_position
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    numbered = dense_position(ev, ["event_type"], ["ts", "event_id"], out_col="row_pos")
+    return numbered.select(
+        F.col("event_type").alias("file_id"), "row_pos",
+        F.expr(SERIES_LABEL_SQL).alias("label"),
+        F.expr(SERIES_Y_SQL).alias("y_text"),
+        F.when(F.col("event_type").isin(*SERIES_FILES_WITH_X), F.expr(SERIES_X_SQL)).alias("x_auto_converted"),
+    )

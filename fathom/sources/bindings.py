@@ -219,3 +219,55 @@ def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(SERIES_Y_SQL).alias("y_text"),
         F.when(F.col("event_type").isin(*SERIES_FILES_WITH_X), F.expr(SERIES_X_SQL)).alias("x_auto_converted"),
     )
+
+
+# ---------------------------------------------------------------- run metadata documents
+# One run per orders row with status 'O'; its lineitem rows (in
+# RESOURCE_ORDER) give components and prov:used entries.
+RUN_STATUS = "O"
+RUN_COMPONENT_SQL = {
+    "cid": ("CASE WHEN l_linenumber = 1 THEN 'predictions_' || CAST(l_partkey AS STRING) "
+            "|| CASE WHEN l_returnflag = 'N' THEN '.csv' ELSE '.parquet' END "
+            "WHEN l_linenumber = 2 AND l_returnflag = 'N' THEN 'input_annotated.parquet' "
+            "ELSE 'part' || CAST(l_partkey AS STRING) || CASE l_returnflag WHEN 'R' THEN '.parquet' "
+            "WHEN 'A' THEN '.TSV' ELSE '.json' END END"),
+    # null = key absent (the default output/<cid> applies)
+    "at_id": ("CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linestatus = 'O' THEN 'components/output/' "
+              "ELSE 'components/input/' END"),
+    "prov_url": ("'https://files.example/src/' || CASE l_suppkey % 4 WHEN 0 THEN 'part' || CAST(l_partkey AS STRING) "
+                 "|| '.parquet' WHEN 1 THEN 'shared.parquet?x=1' WHEN 2 THEN 'notes.csv' "
+                 "ELSE 'src' || CAST(l_partkey AS STRING) || '.PARQUET/' END"),
+    "prov_is_object": "l_linenumber % 2 = 0",
+    "prov_query": "CASE WHEN l_quantity > 25 THEN 'SELECT * FROM df WHERE y > 0' ELSE '' END",
+}
+
+
+def run_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_key, qid, meta_json): run metadata documents written by Spark as
+    JSON text. A run with one component stores it as an object, not a list;
+    prov:used mixes plain strings and objects."""
+    orders = read_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == RUN_STATUS).select("o_orderkey")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_returnflag", "l_linestatus")
+    cid = F.expr(RUN_COMPONENT_SQL["cid"])
+    at = F.expr(RUN_COMPONENT_SQL["at_id"])
+    comp = F.struct(F.when(at.isNotNull(), F.concat(at, cid)).alias("@id"), cid.alias("componentId"))
+    prov = F.struct(F.expr(RUN_COMPONENT_SQL["prov_url"]).alias("url"),
+                    F.expr(RUN_COMPONENT_SQL["prov_is_object"]).alias("obj"),
+                    F.expr(RUN_COMPONENT_SQL["prov_query"]).alias("query"))
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(RESOURCE_ORDER)]
+    per_run = (li.groupBy("l_orderkey")
+               .agg(F.array_sort(F.collect_list(F.struct(*keys, comp.alias("comp"), prov.alias("prov")))).alias("_l")))
+    runs = orders.join(per_run, orders["o_orderkey"] == per_run["l_orderkey"], "left")
+    comps = F.coalesce(F.transform("_l", lambda e: e["comp"]), F.array())
+    has = F.when(F.size(comps) == 1, F.to_variant_object(F.get(comps, 0))).otherwise(F.to_variant_object(comps))
+    used = F.coalesce(F.transform("_l", lambda e: F.when(
+        e["prov"]["obj"],
+        F.to_variant_object(F.struct(e["prov"]["url"].alias("@id"), e["prov"]["query"].alias("schema:query"))))
+        .otherwise(e["prov"]["url"].cast("variant"))), F.array().cast("array<variant>"))
+    qid = F.concat(F.lit("Q"), F.col("o_orderkey").cast("string"))
+    doc = F.to_json(F.struct(qid.alias("@id"),
+                             F.struct(has.alias("fdo:hasComponent")).alias("kernel"),
+                             F.struct(used.alias("prov:used")).alias("provenance")))
+    return runs.select(F.col("o_orderkey").alias("run_key"), qid.alias("qid"), doc.alias("meta_json"))

@@ -271,3 +271,38 @@ def run_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.struct(has.alias("fdo:hasComponent")).alias("kernel"),
                              F.struct(used.alias("prov:used")).alias("provenance")))
     return runs.select(F.col("o_orderkey").alias("run_key"), qid.alias("qid"), doc.alias("meta_json"))
+
+
+# ---------------------------------------------------------------- run requests
+# One request per orders row; its lineitem rows (in RESOURCE_ORDER)
+# are the selected datasets. Bad config, no model, no dataset and repeated
+# target names occur on purpose.
+REQUEST_SQL = {
+    "request_id": "'R' || CAST(o_orderkey AS STRING)",
+    "model_image": ("CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'ghcr.io/org/m' "
+                    "ELSE 'docker.io/m' END || CAST(o_custkey % 20 AS STRING) END"),
+    "model_tag": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'v' || CAST(o_orderkey % 5 AS STRING) END",
+    "config": ("CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN '{bad' WHEN 2 THEN '{}' "
+               "WHEN 3 THEN '  {\"only\": \"yes\"}  ' ELSE '{\"horizon\": 7, \"mode\": \"fast\", \"alpha\": 0.5}' END"),
+}
+REQUEST_INPUT_SQL = {
+    "data_path": ("'https://files.example/' || CAST(l_orderkey AS STRING) || '/part' || CAST(l_partkey AS STRING) "
+                  "|| CASE WHEN l_returnflag = 'N' THEN '' ELSE '.parquet' END"),
+    "target_name": "CASE WHEN l_linenumber = 3 THEN ' input.parquet ' ELSE NULL END",
+    "sql": ("CASE l_returnflag WHEN 'R' THEN '-- comment only' "
+            "WHEN 'A' THEN '  -- note' || chr(10) || 'SELECT * FROM df WHERE y > 0' ELSE '' END"),
+}
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run requests: (request_id, model_image, model_tag, config, inputs[])."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(RESOURCE_ORDER)]
+    item = F.struct(*[F.expr(sql).alias(n) for n, sql in REQUEST_INPUT_SQL.items()])
+    per = (li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, item.alias("i")))).alias("_l"))
+           .select(F.col("l_orderkey").alias("o_orderkey"), F.transform("_l", lambda e: e["i"]).alias("inputs")))
+    req = orders.select("o_orderkey", *[F.expr(sql).alias(n) for n, sql in REQUEST_SQL.items()])
+    out = req.join(per, "o_orderkey", "left")
+    return out.withColumn("inputs", F.coalesce("inputs", F.array().cast(per.schema["inputs"].dataType)))

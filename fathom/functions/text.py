@@ -20,7 +20,7 @@ NUMBER_RE = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity
 
 def strip_ws(c: Column) -> Column:
     """str.strip(): remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{_WS}+", ""), f"{_WS}+$", "")
+    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
 
 
 def contains_ci(c: Column, needle: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.nested import extra, first_or_blank, lenient_json_list
+from fathom.functions.rows import rows_where
 from fathom.functions.text import strip_ws
 from fathom.schemas import PUBLISHED
 
@@ -152,8 +153,8 @@ def model_runs(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their reasons). valid + rejects = input."""
-    ok = rows.where(F.size("reasons") == 0).drop("reasons")
-    bad = rows.where(F.size("reasons") > 0)
+    ok = rows_where(rows, F.size("reasons") == 0).drop("reasons")
+    bad = rows_where(rows, F.size("reasons") > 0)
     return ok, bad
 
 

@@ -28,8 +28,8 @@ _LINES = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 def has_sql(sql: Column) -> Column:
     """M2: some line is non-blank and not a ``--`` comment."""
-    return F.exists(F.split(F.coalesce(sql, F.lit("")), _LINES),
-                    lambda line: (strip_ws(line) != "") & ~strip_ws(line).startswith("--"))
+    stripped = F.transform(F.split(F.coalesce(sql, F.lit("")), _LINES), strip_ws)
+    return F.exists(stripped, lambda line: (line != "") & ~line.startswith("--"))
 
 
 def effective_sql(sql: Column) -> Column:
@@ -66,23 +66,25 @@ def config_summary(config: Column) -> Column:
 
 
 def validate(requests: DataFrame) -> DataFrame:
-    """Names, SQL, counts and reasons (empty = valid)."""
-    names = target_names(F.col("inputs"))
-    sqls = F.transform("inputs", lambda e: effective_sql(e["sql"]))
+    """Names, SQL, counts and reasons (empty = valid).
+
+    Built in steps so each array expression is evaluated once per row; the
+    optimizer does not merge projections that would repeat them."""
     cfg = strip_ws(F.coalesce(F.col("config"), F.lit("")))
-    return requests.select(
+    step = (requests
+            .withColumn("target_names", target_names(F.col("inputs")))
+            .withColumn("effective_sql", F.transform("inputs", lambda e: effective_sql(e["sql"]))))
+    return step.select(
         "*",
-        names.alias("target_names"),
-        sqls.alias("effective_sql"),
         F.size("inputs").cast("long").alias("n_datasets"),
-        F.size(F.filter(sqls, lambda s: s != "")).cast("long").alias("n_transforms"),
+        F.size(F.filter("effective_sql", lambda s: s != "")).cast("long").alias("n_transforms"),
         F.coalesce(F.col("model_tag"), F.lit(DEFAULT_TAG)).alias("effective_tag"),
         config_summary(F.col("config")).alias("config_summary"),
         F.array_compact(F.array(
             F.when(F.size("inputs") == 0, F.lit(NO_DATASET)),
             F.when(F.col("model_image").isNull(), F.lit(NO_MODEL)),
             F.when(F.try_parse_json(cfg).isNull(), F.lit(BAD_JSON)),
-            F.when(F.size(F.array_distinct(names)) != F.size(names), F.lit(DUP_NAMES)),
+            F.when(F.size(F.array_distinct("target_names")) != F.size("target_names"), F.lit(DUP_NAMES)),
         )).alias("reasons"),
     )
 
@@ -104,8 +106,9 @@ def payload_json(checked: DataFrame) -> Column:
 
 def write_payloads(checked: DataFrame, path: str) -> None:
     """Valid payloads as JSON lines (one per request)."""
-    (checked.where(F.size("reasons") == 0)
-     .select("request_id", payload_json(checked).alias("payload"))
+    from fathom.functions.rows import rows_where
+    ok = rows_where(checked, F.size("reasons") == 0)
+    (ok.select("request_id", payload_json(ok).alias("payload"))
      .write.mode("overwrite").json(path))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.rows import explode_kept
 from fathom.operators.catalog import DEFAULT_DOIP_BASE
 from fathom.schemas import RUN_META
 
@@ -51,7 +52,7 @@ def discover(runs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     position, id, extension and download URL; ``qid`` is the document's @id
     or the run's own qid."""
     qid = F.coalesce(F.col("meta.`@id`"), F.col("qid"), F.lit(""))
-    ex = runs.select("run_key", qid.alias("qid"), F.posexplode(components(F.col("meta"))).alias("pos", "c"))
+    ex = explode_kept(runs.withColumn("qid", qid), ["run_key", "qid"], components(F.col("meta")), "pos", "c")
     cid = F.coalesce(F.col("c.componentId"), F.lit(""))
     at_id = F.col("c.`@id`")
     path = F.regexp_replace(F.coalesce(at_id, F.concat(F.lit("output/"), cid)), "^components/", "")
@@ -65,7 +66,7 @@ def provenance(runs: DataFrame) -> DataFrame:
     """X5 (part): prov:used entries as (run, pos, url, file name, query)."""
     used = F.coalesce(F.try_variant_get(F.col("meta.provenance.`prov:used`"), "$", "array<variant>"),
                       F.array().cast("array<variant>"))
-    ex = runs.select("run_key", F.posexplode(used).alias("pos", "e"))
+    ex = explode_kept(runs, ["run_key"], used, "pos", "e")
     is_obj = F.schema_of_variant(F.col("e")).startswith("OBJECT")
     url = F.when(is_obj, F.coalesce(F.try_variant_get("e", "$['@id']", "string"), F.lit(""))) \
         .otherwise(F.coalesce(F.try_variant_get("e", "$", "string"), F.lit("")))
@@ -83,34 +84,62 @@ def load_plan(runs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     file name, labelled `` (filtered)`` when a query is recorded; stage 2:
     every other discovered component. Runs without a ``predictions``
     component, or whose plan would load none, are dropped.
+
+    A run's components and provenance live in its one metadata document, so
+    the whole plan is computed inside the row with array functions and then
+    exploded: one narrow stage, no shuffle, no join.
     """
-    comps = discover(runs, base).where(F.col("cid") != ANNOTATED)
-    is_input = F.col("at_id").startswith(INPUT_PREFIX)
-    inputs = comps.where(is_input & (F.col("ext") == ".parquet")).select(
-        "run_key", "qid", F.lit(0).alias("stage"), "pos", F.col("cid").alias("label"), "url", "ext",
-        F.lit("").alias("query"))
-    outputs = comps.where(~is_input).select(
-        "run_key", "qid", F.lit(2).alias("stage"), "pos", F.col("cid").alias("label"), "url", "ext",
-        F.lit("").alias("query"))
-    prov = provenance(runs).where(F.lower("filename").endswith(".parquet"))
-    loaded = inputs.select("run_key", F.col("label").alias("filename"))
-    prov = prov.join(loaded, ["run_key", "filename"], "left_anti")
-    first = (prov.groupBy("run_key", "filename")
-             .agg(F.min_by(F.struct("pos", "url", "query"), F.col("pos")).alias("f"))
-             .select("run_key", "filename", "f.*"))
-    qids = runs.select("run_key", F.coalesce(F.col("meta.`@id`"), F.col("qid"), F.lit("")).alias("qid"))
-    prov_rows = first.join(qids, "run_key").select(
-        "run_key", "qid", F.lit(1).alias("stage"), "pos",
-        F.when(F.col("query") != "", F.concat("filename", F.lit(FILTERED_SUFFIX))).otherwise(F.col("filename"))
-        .alias("label"), "url", F.lit(".parquet").alias("ext"), "query")
-    plan = inputs.unionByName(prov_rows).unionByName(outputs)
-    # Gate on the discovered components, then again on what the plan loads
-    gate1 = (discover(runs, base).groupBy("run_key")
-             .agg(F.bool_or(F.contains(F.lower("cid"), F.lit(PREDICTIONS))).alias("g")).where("g"))
-    gate2 = (plan.groupBy("run_key")
-             .agg(F.bool_or(F.contains(F.lower("label"), F.lit(PREDICTIONS))).alias("g")).where("g"))
-    return (plan.join(gate1.select("run_key"), "run_key", "left_semi")
-            .join(gate2.select("run_key"), "run_key", "left_semi"))
+    link = base.rstrip("/") + "/doip/retrieve/"
+    qid = F.coalesce(F.col("meta.`@id`"), F.col("qid"), F.lit(""))
+    comps = F.transform(components(F.col("meta")), lambda c, i: F.struct(
+        i.alias("pos"), F.coalesce(c["componentId"], F.lit("")).alias("cid"), c["@id"].alias("at_raw")))
+    used = F.coalesce(F.try_variant_get(F.col("meta.provenance.`prov:used`"), "$", "array<variant>"),
+                      F.array().cast("array<variant>"))
+
+    def prov_entry(e, i):
+        is_obj = F.schema_of_variant(e).startswith("OBJECT")
+        url = F.when(is_obj, F.coalesce(F.try_variant_get(e, "$['@id']", "string"), F.lit(""))) \
+            .otherwise(F.coalesce(F.try_variant_get(e, "$", "string"), F.lit("")))
+        query = F.when(is_obj, F.coalesce(F.try_variant_get(e, "$['schema:query']", "string"), F.lit(""))) \
+            .otherwise(F.lit(""))
+        fname = F.substring_index(F.regexp_replace(F.substring_index(url, "?", 1), "/+$", ""), "/", -1)
+        return F.struct(i.alias("pos"), url.alias("url"), fname.alias("filename"), query.alias("query"))
+
+    # Each intermediate array is its own column, so nested lambdas read a
+    # column instead of re-evaluating an array expression per element.
+    staged = runs.select("run_key", qid.alias("qid"), comps.alias("_c"), F.transform(used, prov_entry).alias("_p"))
+
+    def is_input(d):
+        return F.coalesce(d["at_raw"], F.lit("")).startswith(INPUT_PREFIX)
+
+    def entry(stage, d):
+        path = F.regexp_replace(F.coalesce(d["at_raw"], F.concat(F.lit("output/"), d["cid"])), "^components/", "")
+        return F.struct(F.lit(stage).alias("stage"), d["pos"].alias("pos"), d["cid"].alias("label"),
+                        F.concat(F.lit(link), F.col("qid"), F.lit("/"), path).alias("url"),
+                        d["ext"].alias("ext"), F.lit("").alias("query"))
+
+    s1 = staged.withColumn("_d", F.filter(F.transform("_c", lambda d: d.withField("ext", _ext(d["cid"]))),
+                                          lambda d: d["ext"].isNotNull()))
+    s2 = (s1.withColumn("_in", F.filter("_d", lambda d: (d["cid"] != ANNOTATED) & is_input(d) & (d["ext"] == ".parquet")))
+          .withColumn("_out", F.filter("_d", lambda d: (d["cid"] != ANNOTATED) & ~is_input(d))))
+    s3 = s2.withColumn("_fresh", F.filter("_p", lambda p: F.lower(p["filename"]).endswith(".parquet")
+                                          & ~F.exists("_in", lambda x: x["cid"] == p["filename"])))
+    s4 = s3.withColumn("_first", F.filter("_fresh", lambda p: ~F.exists(
+        "_fresh", lambda q: (q["filename"] == p["filename"]) & (q["pos"] < p["pos"]))))
+    prov_rows = F.transform("_first", lambda p: F.struct(
+        F.lit(1).alias("stage"), p["pos"].alias("pos"),
+        F.when(p["query"] != "", F.concat(p["filename"], F.lit(FILTERED_SUFFIX))).otherwise(p["filename"]).alias("label"),
+        p["url"].alias("url"), F.lit(".parquet").alias("ext"), p["query"].alias("query")))
+    s5 = s4.withColumn("_plan", F.concat(F.transform("_in", lambda d: entry(0, d)), prov_rows,
+                                         F.transform("_out", lambda d: entry(2, d))))
+    # Gate by emptying the plan, and explode with the outer form: a row filter,
+    # or the size(...) > 0 filter Spark infers for a plain explode, would be
+    # pushed below the projections with the whole derivation copied into it.
+    gate = (F.exists("_d", lambda d: F.contains(F.lower(d["cid"]), F.lit(PREDICTIONS)))
+            & F.exists("_plan", lambda e: F.contains(F.lower(e["label"]), F.lit(PREDICTIONS))))
+    gated = s5.select("run_key", "qid", F.when(gate, F.col("_plan")).alias("_plan"))
+    return (gated.select("run_key", "qid", F.explode_outer("_plan").alias("e"))
+            .where(F.col("e").isNotNull()).select("run_key", "qid", "e.*"))
 
 
 def load_report(plan: DataFrame, loaded: DataFrame) -> DataFrame:

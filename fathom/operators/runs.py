@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.rows import explode_kept
 from fathom.operators.catalog import DEFAULT_DOIP_BASE
 
 # Status classes (case-insensitive) and the log file name.
@@ -58,7 +59,7 @@ def resolve_inputs(runs: DataFrame, names: DataFrame, key: str = "ord",
     re-nest per run in position order -> join back. Runs without inputs keep
     an empty list.
     """
-    ex = runs.select(key, F.posexplode(qids_col).alias("_pos", "_q"))
+    ex = explode_kept(runs, [key], F.col(qids_col), "_pos", "_q")
     named = (ex.join(names, ex["_q"] == names["qid"], "left")
              .select(key, "_pos",
                      F.when(F.coalesce(F.col("_name"), F.lit("")) != "", F.col("_name"))

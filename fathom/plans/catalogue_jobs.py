@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.functions.rows import explode_kept
 from fathom.operators import browse, catalog
 from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
@@ -134,7 +135,7 @@ def catalog_rejects(spark, sf_dir):
                        ("processed_datasets", catalog.processed_datasets(pk)),
                        ("model_runs", catalog.model_runs(pk))):
         _, bad = catalog.split_rejects(rows)
-        parts.append(bad.select(F.lit(kind).alias("kind"), F.explode("reasons").alias("reason")))
+        parts.append(explode_kept(bad.withColumn("kind", F.lit(kind)), ["kind"], F.col("reasons"), None, "reason"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathom.functions.rows import rows_where
 from fathom.operators import manifest
 from fathom.plans.registry import register
 from fathom.sources import bindings
@@ -49,7 +50,7 @@ FROM chk WHERE len(reasons) = 0
 """)
 def manifest_payloads(spark, sf_dir):
     chk = manifest.validate(bindings.requests(spark, sf_dir))
-    ok = chk.where(F.size("reasons") == 0)
+    ok = rows_where(chk, F.size("reasons") == 0)
     files = F.array_join(F.transform(F.arrays_zip(F.col("inputs"), F.col("target_names")),
                                      lambda z: F.concat(z["inputs"]["data_path"], F.lit("=>"), z["target_names"])), "|")
     return ok.select("request_id", "n_datasets", "n_transforms", "model_image",
@@ -62,4 +63,5 @@ SELECT request_id, array_to_string(reasons, '; ') AS reasons FROM chk WHERE len(
 """)
 def manifest_rejects(spark, sf_dir):
     chk = manifest.validate(bindings.requests(spark, sf_dir))
-    return chk.where(F.size("reasons") > 0).select("request_id", F.array_join("reasons", "; ").alias("reasons"))
+    bad = rows_where(chk.select("request_id", "reasons"), F.size("reasons") > 0)
+    return bad.select("request_id", F.array_join("reasons", "; ").alias("reasons"))

@@ -106,10 +106,10 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: ``ord`` (feed order), ``title, notes, url, metadata_created``,
     ``groups``, ``extras``, ``resources``.
     """
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = read_table(spark, sf_dir, "orders", spread=True).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    lineitem = read_table(spark, sf_dir, "lineitem").select(
+    lineitem = read_table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus")
     base = orders.join(part, F.col("p_partkey") == F.col("o_custkey"), "left")
@@ -123,7 +123,9 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.expr(PKG_COLUMNS["grp"]).alias("name"))).alias("groups"),
         _extras_array().alias("extras"),
     )
-    res = resources_by_package(lineitem)
+    # both sides grow with the data: a sort-merge join on the package key,
+    # never a broadcast of the aggregated resources
+    res = resources_by_package(lineitem).hint("merge")
     return (pk.join(res, "_pkg_id", "left")
             .withColumn("resources", F.coalesce("resources", F.array().cast(res.schema["resources"].dataType)))
             .drop("_pkg_id"))
@@ -171,7 +173,7 @@ COMPONENT_ARMS = [
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object listing (path, mtime, size_bytes) derived from ``documents``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "n_chars")
     return docs.select(*[F.expr(sql).alias(n) for n, sql in OBJECT_COLUMNS.items()]) \
         .withColumn("mtime", F.col("mtime").cast("long"))
 
@@ -180,7 +182,7 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar rows as ``sources.listing.read_sidecars`` returns them (schema
     ``schemas.SIDECAR`` plus path, mtime, size_bytes), derived from ``documents``."""
     from fathom.schemas import SIDECAR
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source").where("doc_id % 3 = 0")
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "n_chars", "lang", "source").where("doc_id % 3 = 0")
     e = {n: F.expr(sql) for n, sql in SIDECAR_COLUMNS.items()}
     comps = F.array(*[F.struct(F.expr(at).alias("@id"), F.expr(cid).alias("componentId"))
                       for _, at, cid in COMPONENT_ARMS])
@@ -211,7 +213,7 @@ def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table of run files: file_id, row_pos (dense 1..n per file), label,
     y_text and x_auto_converted (null for files without that column)."""
     from fathom.operators.position import dense_position
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    ev = read_table(spark, sf_dir, "events", spread=True).select("event_id", "ts", "event_type", "value")
     numbered = dense_position(ev, ["event_type"], ["ts", "event_id"], out_col="row_pos")
     return numbered.select(
         F.col("event_type").alias("file_id"), "row_pos",
@@ -246,8 +248,8 @@ def run_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_key, qid, meta_json): run metadata documents written by Spark as
     JSON text. A run with one component stores it as an object, not a list;
     prov:used mixes plain strings and objects."""
-    orders = read_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == RUN_STATUS).select("o_orderkey")
-    li = read_table(spark, sf_dir, "lineitem").select(
+    orders = read_table(spark, sf_dir, "orders", spread=True).where(F.col("o_orderstatus") == RUN_STATUS).select("o_orderkey")
+    li = read_table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus")
     cid = F.expr(RUN_COMPONENT_SQL["cid"])
@@ -259,7 +261,7 @@ def run_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(RESOURCE_ORDER)]
     per_run = (li.groupBy("l_orderkey")
                .agg(F.array_sort(F.collect_list(F.struct(*keys, comp.alias("comp"), prov.alias("prov")))).alias("_l")))
-    runs = orders.join(per_run, orders["o_orderkey"] == per_run["l_orderkey"], "left")
+    runs = orders.join(per_run.hint("merge"), orders["o_orderkey"] == per_run["l_orderkey"], "left")
     comps = F.coalesce(F.transform("_l", lambda e: e["comp"]), F.array())
     has = F.when(F.size(comps) == 1, F.to_variant_object(F.get(comps, 0))).otherwise(F.to_variant_object(comps))
     used = F.coalesce(F.transform("_l", lambda e: F.when(
@@ -296,13 +298,13 @@ REQUEST_INPUT_SQL = {
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run requests: (request_id, model_image, model_tag, config, inputs[])."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li = read_table(spark, sf_dir, "lineitem").select(
+    orders = read_table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey")
+    li = read_table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(RESOURCE_ORDER)]
     item = F.struct(*[F.expr(sql).alias(n) for n, sql in REQUEST_INPUT_SQL.items()])
     per = (li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, item.alias("i")))).alias("_l"))
            .select(F.col("l_orderkey").alias("o_orderkey"), F.transform("_l", lambda e: e["i"]).alias("inputs")))
     req = orders.select("o_orderkey", *[F.expr(sql).alias(n) for n, sql in REQUEST_SQL.items()])
-    out = req.join(per, "o_orderkey", "left")
+    out = req.join(per.hint("merge"), "o_orderkey", "left")
     return out.withColumn("inputs", F.coalesce("inputs", F.array().cast(per.schema["inputs"].dataType)))

@@ -50,6 +50,16 @@ DESCRIPTION_CUT = 100
 DEFAULT_HUB_BASE = "https://hub.example/dataset/"
 
 
+def any_column_filter(df: DataFrame, needle: str | None, cols: list[str] | None = None) -> DataFrame:
+    """Keep rows where any shown column, as text, contains the needle
+    (case-insensitive, literal); blank keeps all."""
+    if not needle:
+        return df
+    cols = cols or df.columns
+    texts = F.array(*[F.lower(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in cols])
+    return df.where(F.exists(texts, lambda t: F.contains(t, F.lit(needle.lower()))))
+
+
 def badge(additional_type: Column) -> Column:
     """Type badge, ``Dataset`` when no type is set."""
     return F.coalesce(F.when(additional_type != "", additional_type), F.lit(DEFAULT_BADGE))

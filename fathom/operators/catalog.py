@@ -151,6 +151,31 @@ def model_runs(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     )
 
 
+def reject_reasons(pkgs: DataFrame) -> DataFrame:
+    """All rejected rows of the four tables in one pass over the packages:
+    (ord, kind, reason), one row per reason. Same rules as the table
+    builders (the same reason expressions), without building each table."""
+    def grp(g):
+        return F.exists("groups", lambda x: x["name"] == F.lit(g))
+    null_format = F.exists("resources", lambda r: r["format"].isNull())
+    no_parquet_size = F.get(F.filter("resources", lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "PARQUET"),
+                            0)["size"].isNull()
+    raw_params = extra("extras", "model_parameters")
+    bad_params = (raw_params.isNotNull() & (raw_params != "")
+                  & (F.from_json(raw_params, PARAMS_TYPE).isNull() | ~strip_ws(raw_params).startswith("[")))
+
+    def item(kind, cond, reason):
+        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason")))
+    items = F.array_compact(F.array(
+        item("raw_datasets", grp(GROUP_DATASETS) & no_parquet_size, "size_bytes is null"),
+        item("raw_datasets", grp(GROUP_DATASETS) & null_format, "resource format is null"),
+        item("processed_datasets", grp(GROUP_DATASETS) & null_format, "resource format is null"),
+        item("models", grp(GROUP_MODELS) & bad_params, "model_parameters is not a JSON list"),
+    ))
+    from fathom.functions.rows import explode_kept
+    return explode_kept(pkgs, ["ord"], items, None, "r").select("ord", "r.kind", "r.reason")
+
+
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their reasons). valid + rejects = input."""
     ok = rows_where(rows, F.size("reasons") == 0).drop("reasons")

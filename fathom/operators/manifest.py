@@ -112,12 +112,12 @@ def write_payloads(checked: DataFrame, path: str) -> None:
      .write.mode("overwrite").json(path))
 
 
-def stage_inputs(spark, request_inputs: DataFrame, out_root: str, sources: dict[str, DataFrame]) -> None:
-    """Each selected dataset through its effective SQL, written under its
-    target name. ``sources`` maps data_path -> DataFrame (already read)."""
-    from fathom.operators.preview import run_sql
-    for row in request_inputs.select("data_path", "target_name", "sql").collect():
-        sources[row["data_path"]].createOrReplaceTempView("df")
-        sql = row["sql"] if row["sql"] else None
-        run_sql(spark, sql if sql else "SELECT * FROM df").write.mode("overwrite").parquet(
-            f"{out_root.rstrip('/')}/{row['target_name']}")
+def stage_inputs(spark, inputs: list[tuple[str, str, str]], out_root: str, fmt: str = "parquet") -> None:
+    """One request's selected datasets, each through its effective SQL,
+    written under its target name. ``inputs`` are the request's
+    (data_path, target_name, sql) triples; each dataset is its own Spark job
+    reading and writing in parallel, nothing passes through the driver."""
+    from fathom.operators.preview import register_dataset, run_sql
+    for data_path, target, sql in inputs:
+        register_dataset(spark, data_path, fmt)
+        run_sql(spark, sql or "SELECT * FROM df").write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/{target}")

@@ -142,6 +142,15 @@ def load_plan(runs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
             .where(F.col("e").isNotNull()).select("run_key", "qid", "e.*"))
 
 
+def replay(spark, url: str, query: str, limit: int = 500):
+    """A recorded transform run again on its source: the source is
+    registered as ``df`` and the query runs as user SQL; returns the total
+    row count job and the first ``limit`` rows (``preview.count_and_head``)."""
+    from fathom.operators import preview
+    preview.register_dataset(spark, url)
+    return preview.count_and_head(preview.run_sql(spark, query or None), limit)
+
+
 def load_report(plan: DataFrame, loaded: DataFrame) -> DataFrame:
     """Per planned file, ``ok`` or the error message; one failure never
     drops the other files. ``loaded`` holds (run_key, stage, pos, error)."""

@@ -201,3 +201,18 @@ def runs_enriched(spark, sf_dir):
     enriched = runs.enrich_runs(catalog.model_runs(pk), catalog.processed_datasets(pk), DOIP)
     return enriched.select(F.col("ord.pos").alias("feed_pos"), "qid", "status", "status_cls",
                            F.array_join("input_names", "|").alias("input_names"), "log_url")
+
+
+# ---------------------------------------------------------------- B5
+ANY_NEEDLE = "Q12"
+
+
+@register("browse_any_column", with_catalogue(f"""
+SELECT x_qid AS qid, coalesce(title, '') AS name, x_modified AS last_modified
+FROM px WHERE grp = 'type-raw-data'
+  AND (contains(lower(x_qid), lower('{ANY_NEEDLE}')) OR contains(lower(coalesce(title, '')), lower('{ANY_NEEDLE}'))
+       OR contains(lower(x_modified), lower('{ANY_NEEDLE}')))
+"""))
+def browse_any_column(spark, sf_dir):
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir)).select("qid", "name", "last_modified")
+    return browse.any_column_filter(ds, ANY_NEEDLE)

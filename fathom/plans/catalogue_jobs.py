@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.rows import explode_kept
 from fathom.operators import browse, catalog
 from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
@@ -129,17 +128,8 @@ SELECT 'models', 'model_parameters is not a JSON list', CAST(count(*) AS BIGINT)
 FROM px WHERE grp = 'type-model' AND NOT {_PARAMS_OK}
 """))
 def catalog_rejects(spark, sf_dir):
-    pk = _pkgs(spark, sf_dir)
-    parts = []
-    for kind, rows in (("raw_datasets", catalog.raw_datasets(pk)), ("models", catalog.models(pk)),
-                       ("processed_datasets", catalog.processed_datasets(pk)),
-                       ("model_runs", catalog.model_runs(pk))):
-        _, bad = catalog.split_rejects(rows)
-        parts.append(explode_kept(bad.withColumn("kind", F.lit(kind)), ["kind"], F.col("reasons"), None, "reason"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    bad = catalog.reject_reasons(_pkgs(spark, sf_dir))
+    return bad.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- C8 C9 C10

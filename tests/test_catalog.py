@@ -123,3 +123,22 @@ def test_publish_catalogue_counts(spark, pkgs, tmp_path):
         ok = spark.read.parquet(f"{out}/{kind}").count()
         bad = spark.read.parquet(f"{out}/rejects").where(F.col("kind") == kind).count()
         assert ok + bad == total, kind
+
+
+def test_reject_reasons_match_table_rejects(pkgs):
+    _, p = pkgs
+    one_pass = sorted((r["kind"], r["reason"]) for r in catalog.reject_reasons(p).collect())
+    per_table = []
+    for kind, rows in (("raw_datasets", catalog.raw_datasets(p)), ("processed_datasets", catalog.processed_datasets(p)),
+                       ("models", catalog.models(p)), ("model_runs", catalog.model_runs(p))):
+        _, bad = catalog.split_rejects(rows)
+        per_table += [(kind, reason) for r in bad.collect() for reason in r["reasons"]]
+    assert one_pass == sorted(per_table)
+
+
+def test_any_column_filter(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 12, "x%y"), ("c", 3, "Z")], "s string, n long, t string")
+    assert [r["s"] for r in browse.any_column_filter(df, "12").collect()] == ["b"]
+    assert [r["s"] for r in browse.any_column_filter(df, "%").collect()] == ["b"]
+    assert [r["s"] for r in browse.any_column_filter(df, "z").collect()] == ["c"]
+    assert browse.any_column_filter(df, "").count() == 3

@@ -46,3 +46,15 @@ def test_gates(spark):
     pred_input_csv = {"kernel": {"fdo:hasComponent": [
         {"@id": "components/input/predictions.csv", "componentId": "predictions.csv"}]}}
     assert runfiles.load_plan(_runs(spark, [no_pred, pred_input_csv])).count() == 0
+
+
+def test_replay_and_staging(spark, tmp_path):
+    from fathom.operators import manifest
+    src = "/root/testdata/sf0.001/lineitem.parquet"
+    total, head = runfiles.replay(spark, src, "SELECT l_orderkey FROM df WHERE l_quantity > 40", 7)
+    n = spark.read.parquet(src).where("l_quantity > 40").count()
+    assert total.first()["total_rows"] == n and head.count() == min(7, n)
+    manifest.stage_inputs(spark, [(src, "input.parquet", "SELECT l_orderkey FROM df WHERE l_quantity > 40"),
+                                  (src, "input2.parquet", "")], str(tmp_path / "stage"))
+    assert spark.read.parquet(str(tmp_path / "stage/input.parquet")).count() == n
+    assert spark.read.parquet(str(tmp_path / "stage/input2.parquet")).count() == spark.read.parquet(src).count()

@@ -142,3 +142,19 @@ def test_any_column_filter(spark):
     assert [r["s"] for r in browse.any_column_filter(df, "%").collect()] == ["b"]
     assert [r["s"] for r in browse.any_column_filter(df, "z").collect()] == ["c"]
     assert browse.any_column_filter(df, "").count() == 3
+
+
+def test_group_cap_is_ordered_top_k(pkgs):
+    _, p = pkgs
+    assert catalog.in_group(p, catalog.GROUP_DATASETS).count() == 4
+    capped = catalog.in_group(p, catalog.GROUP_DATASETS, max_rows=2)
+    assert [r["title"] for r in capped.collect()] == ["A", "B"]
+
+
+def test_keyset_paging(spark):
+    df = spark.range(1, 26).withColumn("ord", F.col("id"))
+    order = [F.col("id").desc()]
+    p1 = [r["id"] for r in browse.page(df, order, size=10).collect()]
+    p2 = [r["id"] for r in browse.page_after(df, "id", p1[-1], order, size=10).collect()]
+    p2b = [r["id"] for r in browse.page(df, order, size=10, number=2).collect()]
+    assert p1 == list(range(25, 15, -1)) and p2 == p2b == list(range(15, 5, -1))

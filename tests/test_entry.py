@@ -48,3 +48,22 @@ def test_matches_oracle(spark, con, name):
     idx = [rel.columns.index(c) for c in cols]
     b = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert a == b
+
+
+def _rows(df):
+    cols = sorted(df.columns)
+    return sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+
+
+def test_same_result_under_1_and_8_shuffle_partitions(spark):
+    qs = E.queries()
+    first = {}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        for name, fn in qs.items():
+            first[name] = _rows(fn(spark, SF))
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for name, fn in qs.items():
+            assert _rows(fn(spark, SF)) == first[name], name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

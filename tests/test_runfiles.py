@@ -58,3 +58,13 @@ def test_replay_and_staging(spark, tmp_path):
                                   (src, "input2.parquet", "")], str(tmp_path / "stage"))
     assert spark.read.parquet(str(tmp_path / "stage/input.parquet")).count() == n
     assert spark.read.parquet(str(tmp_path / "stage/input2.parquet")).count() == spark.read.parquet(src).count()
+
+
+def test_load_report_keeps_other_files(spark):
+    doc = {"@id": "QR", "kernel": {"fdo:hasComponent": [
+        {"@id": "components/input/in.parquet", "componentId": "in.parquet"},
+        {"@id": "components/output/predictions.csv", "componentId": "predictions.csv"}]}}
+    plan = runfiles.load_plan(_runs(spark, [doc]))
+    loaded = spark.createDataFrame([(0, 0, 0, "HTTP 404")], "run_key long, stage int, pos int, error string")
+    rep = {r["label"]: r["status"] for r in runfiles.load_report(plan, loaded).collect()}
+    assert rep == {"in.parquet": "failed", "predictions.csv": "ok"}

@@ -110,21 +110,16 @@ def series_sparse(spark, sf_dir):
     rows = bindings.series_rows(spark, sf_dir)
     x_rows = rows.where(F.col("file_id") == X_FILE)
     labels = series.position_labels(x_rows, "x_auto_converted", "label")
-    xs = x_rows.select("row_pos", F.col("x_auto_converted").alias("_x"))
-    parts = []
-    for f in Y_FILES:
-        fr = rows.where(F.col("file_id") == f)
-        if f in SERIES_FILES_WITH_X:
-            sr = fr.select(F.lit(_series_name(f)).alias("series"), "row_pos", "x_auto_converted", "y_text")
-        else:
-            sr = (fr.select("row_pos", "y_text").join(xs, "row_pos", "inner")
-                  .select(F.lit(_series_name(f)).alias("series"), "row_pos",
-                          F.col("_x").alias("x_auto_converted"), "y_text"))
-        parts.append(sr)
-    sr_all = parts[0]
-    for p in parts[1:]:
-        sr_all = sr_all.unionByName(p)
-    pts = series.series_points(sr_all, "x_auto_converted", "y_text")
+    # every y series in one pass: a file with its own x column keeps it, the
+    # others take the x file's value at the same row (rows past its end drop)
+    xs = x_rows.select("row_pos", F.col("x_auto_converted").alias("_x"), F.lit(True).alias("_has_x"))
+    own = F.col("file_id").isin(*SERIES_FILES_WITH_X)
+    sr = (rows.where(F.col("file_id").isin(*Y_FILES)).join(xs, "row_pos", "left")
+          .where(own | F.col("_has_x").isNotNull())
+          .select(F.concat(F.col("file_id"), F.lit(": y_text")).alias("series"), "row_pos",
+                  F.when(own, F.col("x_auto_converted")).otherwise(F.col("_x")).alias("x_auto_converted"),
+                  "y_text"))
+    pts = series.series_points(sr, "x_auto_converted", "y_text")
     return series.sparse_align(labels, pts, [_series_name(f) for f in Y_FILES])
 
 

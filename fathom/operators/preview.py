@@ -48,10 +48,22 @@ def run_sql(spark: SparkSession, sql: str | None) -> DataFrame:
 
 
 def file_order_head(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
-    """First ``n`` rows of a file scan in file order (TakeOrdered on the
-    hidden file path / row index columns: per-task top-n, no full sort)."""
-    return (df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-            .orderBy("_f", "_i").limit(n).drop("_f", "_i"))
+    """First ``n`` rows of a file scan in file order (TakeOrdered: per-task
+    top-n, then a merge of n rows per task; no full sort, no shuffle).
+
+    Parquet gives each row's index in its file. Text sources (CSV / TSV) do
+    not, so their key is (file, split start, id in read order): rows of one
+    split are read in file order, and the split start orders the splits of a
+    file."""
+    meta = [f.name for f in df.select("_metadata").schema.fields[0].dataType.fields]
+    if "row_index" in meta:
+        keyed = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                          F.lit(0).cast("long").alias("_s"), F.col("_metadata.row_index").alias("_i"))
+    else:
+        keyed = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                          F.col("_metadata.file_block_start").alias("_s"),
+                          F.monotonically_increasing_id().alias("_i"))
+    return keyed.orderBy("_f", "_s", "_i").limit(n).drop("_f", "_s", "_i")
 
 
 def count_and_head(result: DataFrame, n: int = DEFAULT_LIMIT) -> tuple[DataFrame, DataFrame]:

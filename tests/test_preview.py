@@ -39,3 +39,19 @@ def test_labels_and_text(spark):
     lab = spark.createDataFrame([(500, 12345), (20, 20), (7, None)], "shown long, total long")
     got = [r[0] for r in lab.select(preview.shape_label(preview.row_label(F.col("shown"), F.col("total")), 4)).collect()]
     assert got == ["500 of 12,345 rows × 4 columns", "20 rows × 4 columns", "7 rows × 4 columns"]
+
+
+def test_csv_head_in_file_order(spark, tmp_path):
+    import os
+    d = tmp_path / "csvs"
+    d.mkdir()
+    for f in range(3):
+        lines = ["k,v"] + [f"{f * 1000 + i},{i}" for i in range(300)]
+        (d / f"part{f}.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")   # several splits per file
+    try:
+        df = preview.register_dataset(spark, str(d), "csv")
+        got = [r["k"] for r in preview.file_order_head(df, 500).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f * 1000 + i for f in range(3) for i in range(300)][:500]

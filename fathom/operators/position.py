@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 
 def _numeric_key(df: DataFrame, col: str) -> Column:
+    """A numeric, order-preserving form of ``col`` for ``approx_percentile``."""
     dt = df.schema[col].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(col).cast("timestamp"))
@@ -29,34 +30,60 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     raise TypeError(f"leading order column {col} must be numeric or temporal, got {dt}")
 
 
+def _bucket_of(key: Column, cuts: list) -> Column:
+    """Number of cut points <= key (plain comparisons, no lambda: the optimizer
+    copies this expression into inferred join filters)."""
+    b = F.lit(0)
+    for c in sorted(set(cuts)):
+        b = b + F.when(key >= F.lit(c), 1).otherwise(0)
+    return F.coalesce(b, F.lit(0)).cast("int")
+
+
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    out_col: str = "row_pos", n_buckets: int | None = None,
                    accuracy: int = 10000) -> DataFrame:
     """Add ``out_col`` = 1..n within each group in ``order_cols`` order.
 
     ``order_cols`` must make the order total (end with a unique key).
+
+    Buckets are ranges of the leading order key. A single leading value that
+    holds more than one bucket's share of rows shows up as a repeated cut
+    point; only for those hot values, cut points of the second order key
+    split them into sub-buckets. Rows are numbered per (group, bucket,
+    sub-bucket) and shifted by the counts of the earlier (bucket, sub-bucket)
+    pairs of their group, which is exact because the pair is non-decreasing in
+    the full order.
     """
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    key = _numeric_key(df, order_cols[0])
-    staged = df.withColumn("_key", key)
     probs = [i / n_buckets for i in range(1, n_buckets)]
+    staged = df.withColumn("_key", _numeric_key(df, order_cols[0]))
     cuts = staged.agg(F.approx_percentile("_key", probs, accuracy).alias("c")).first()["c"] or []
-    # bucket = number of cut points <= key (plain comparisons, no lambda: the
-    # optimizer copies this expression into inferred join filters)
-    b = F.lit(0)
-    for c in sorted(set(cuts)):
-        b = b + F.when(F.col("_key") >= F.lit(c), 1).otherwise(0)
-    bucketed = staged.withColumn("_b", F.coalesce(b, F.lit(0)).cast("int"))
-    local = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
-    numbered = bucketed.withColumn("_r", F.row_number().over(local))
-    counts = bucketed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})
+    staged = staged.withColumn("_b", _bucket_of(F.col("_key"), cuts))
+    if hot and len(order_cols) > 1:
+        # cut points of the second order key inside each hot leading value
+        # (one row per hot value: at most n_buckets of them)
+        second = _numeric_key(df, order_cols[1])
+        sub = (staged.where(F.col("_key").isin(*hot))
+               .groupBy("_key").agg(F.approx_percentile(second, probs, accuracy).alias("c")).collect())
+        # a hot value is the lower cut of its bucket, so its rows come first
+        # there; every other row of that bucket follows all its sub-buckets
+        sub_b = F.lit(n_buckets)
+        for row in sub:
+            sub_b = F.when(F.col("_key") == F.lit(row["_key"]), _bucket_of(second, row["c"] or [])).otherwise(sub_b)
+        staged = staged.withColumn("_sb", sub_b.cast("int"))
+    else:
+        staged = staged.withColumn("_sb", F.lit(0))
+    local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order_cols)
+    numbered = staged.withColumn("_r", F.row_number().over(local))
+    counts = staged.groupBy(*group_cols, "_b", "_sb").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_b", "_sb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (numbered.join(offsets, [*group_cols, "_b"], "left")
+    return (numbered.join(offsets, [*group_cols, "_b", "_sb"], "left")
             .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("long"))
-            .drop("_key", "_b", "_r", "_off"))
+            .drop("_key", "_b", "_sb", "_r", "_off"))
 
 
 def file_row_numbers(df: DataFrame, out_col: str = "row_num") -> DataFrame:

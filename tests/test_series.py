@@ -23,6 +23,18 @@ def test_dense_position_equals_row_number(spark):
     assert "SinglePartition" not in plan
 
 
+def test_dense_position_splits_a_hot_order_value(spark):
+    # one leading order value holds 40 % of a hot group that itself holds 60 % of the rows
+    data = [("hot", 5 if i % 5 < 2 else i % 97, i) for i in range(4000)] + [("cold", i % 13, i) for i in range(4000, 6000)]
+    df = spark.createDataFrame(data, "g string, k long, id long")
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=8)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
+    # the case really is hot: the value 5 repeats among the cut points, so it is split by id
+    cuts = df.agg(F.approx_percentile(F.col("k").cast("double"), [i / 8 for i in range(1, 8)], 10000)).first()[0]
+    assert cuts.count(5.0) > 1
+
+
 def test_dense_position_stable_across_shuffle_partitions(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     res = []

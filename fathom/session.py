@@ -24,6 +24,28 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Settings sized from the input volume, for a cluster session.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (AQE then coalesces small ones and splits skewed ones toward the
+    same advisory size), and scan splits use the same target, so a task's
+    data fits executor memory and spills stay rare. For 100 TB that is about
+    400k, capped at ``max_shuffle_partitions``.
+    """
+    n = max(8, min(max_shuffle_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 4),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "fathom", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.

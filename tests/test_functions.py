@@ -99,3 +99,10 @@ def test_config_from_params_first_position_last_value(spark):
     p = F.from_json("v", "array<struct<name:string,value:variant>>")
     got = [r[0] for r in df.select(nested.params_to_config_json(p)).collect()]
     assert got == ['{"h":7,"m":"fast"}', "{}"]
+
+
+def test_scale_conf_sizes_partitions():
+    from fathom.session import scale_conf
+    assert scale_conf(1 << 30)["spark.sql.shuffle.partitions"] == "8"
+    assert scale_conf(100 * (1 << 40))["spark.sql.shuffle.partitions"] == "200000"
+    assert scale_conf(10 * (1 << 40))["spark.sql.shuffle.partitions"] == str(10 * (1 << 40) // (256 << 20))

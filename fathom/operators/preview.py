@@ -30,6 +30,32 @@ def register_dataset(spark: SparkSession, path: str, fmt: str = "parquet", view:
     return df
 
 
+# Settings copied from the caller's session into an isolated one.
+_CARRY = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes",
+          "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.enabled",
+          "spark.sql.autoBroadcastJoinThreshold")
+
+
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session of its own (shared SparkContext and cache, separate temp views),
+    so concurrent previews can each register their dataset as ``df``."""
+    from fathom.session import prepare
+    s = spark.newSession()
+    for k in _CARRY:
+        v = spark.conf.get(k, None)
+        if v is not None:
+            s.conf.set(k, v)
+    return prepare(s)
+
+
+def query_dataset(spark: SparkSession, path: str, sql: str | None, fmt: str = "parquet") -> DataFrame:
+    """S5 + P1 in an isolated session: ``path`` registered as ``df``, then the
+    user SQL (blank = default preview)."""
+    s = isolated(spark)
+    register_dataset(s, path, fmt)
+    return run_sql(s, sql)
+
+
 def wrap_user_sql(sql: str | None) -> str:
     """blank = default preview; one trailing ``;`` is dropped; the text is
     wrapped as a subquery, so CTEs and inner ORDER BY work while DDL or a

@@ -103,8 +103,7 @@ def _oracle(table: str, duck_sql: str) -> str:
 
 def _make(table: str, sql: str):
     def run(spark, sf_dir):
-        preview.register_dataset(spark, f"{sf_dir.rstrip('/')}/{table}.parquet")
-        return preview.run_sql(spark, sql)
+        return preview.query_dataset(spark, f"{sf_dir.rstrip('/')}/{table}.parquet", sql)
     return run
 
 
@@ -128,8 +127,7 @@ FROM (SELECT * FROM q LIMIT 500) q CROSS JOIN t
 """)
 def preview_user_sql(spark, sf_dir):
     from pyspark.sql import functions as F
-    preview.register_dataset(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    result = preview.run_sql(spark, PREVIEW_SQL)
+    result = preview.query_dataset(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", PREVIEW_SQL)
     total, head = preview.count_and_head(result, preview.DEFAULT_LIMIT)
     n = total.first()["total_rows"]  # one number: the separate COUNT(*) job of a preview
     shown = F.lit(min(n, preview.DEFAULT_LIMIT))

@@ -55,3 +55,10 @@ def test_csv_head_in_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [f * 1000 + i for f in range(3) for i in range(300)][:500]
+
+
+def test_isolated_sessions_keep_their_own_df(spark):
+    a = preview.query_dataset(spark, "/root/testdata/sf0.001/events.parquet", "SELECT count(*) AS n FROM df")
+    b = preview.query_dataset(spark, "/root/testdata/sf0.001/orders.parquet", "SELECT count(*) AS n FROM df")
+    assert a.first()["n"] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert b.first()["n"] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()

@@ -105,7 +105,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     nothing is added."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
+        try:
+            slots = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session): leave as read
+            return df
+        if splits < slots:
             df = df.repartition(slots)
     return df

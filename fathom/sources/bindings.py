@@ -6,7 +6,6 @@ TPC-H-like tables, so every job's work grows with the data:
 
 * ``packages``  - one package per ``orders`` row, ``lineitem`` rows as its
   resources, key/value extras computed per row (no shuffle for extras).
-* ``dataset_names`` - ``part`` rows as (qid, name) pairs, some left out / blank.
 * ``objects``   - ``documents`` rows as an object listing (paths sharded by qid).
 * ``series_rows`` - ``events`` per ``event_type`` as one numbered file each.
 * ``run_meta`` - ``orders`` with ``lineitem`` rows as run components.
@@ -131,15 +130,6 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("_pkg_id"))
 
 
-def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, name, ord) name map; one part in four missing, one in nine blank."""
-    return (read_table(spark, sf_dir, "part")
-            .where("p_partkey % 4 <> 0")
-            .select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"),
-                    F.expr("CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_name END").alias("name"),
-                    F.col("p_partkey").alias("ord")))
-
-
 # ---------------------------------------------------------------- object listing / sidecars
 _DOC = "CAST(doc_id AS STRING)"
 _FILLED = f"CASE WHEN length({_DOC}) >= 6 THEN {_DOC} ELSE lpad({_DOC}, 6, '0') END"

@@ -20,13 +20,12 @@ SIDECAR_SUFFIX = ".fdo.json"
 
 
 def _relative(path_col, root: str):
-    root = root.rstrip("/") + "/"
-    # listing paths come back as URIs (file:/..., s3a://...); keep the part under root
-    return F.regexp_replace(path_col, "^.*?" + _escape(root.split(":", 1)[-1].lstrip("/")), "")
-
-
-def _escape(s: str) -> str:
-    return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
+    """Path under ``root``. Listing paths come back as URIs (``file:/...``,
+    ``s3a://bucket/...``) while ``root`` may be given without a scheme, so
+    the part after the first occurrence of the root's path is kept."""
+    tail = root.split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
+    at = F.instr(path_col, tail)
+    return F.when(at > 0, F.substring(path_col, at + len(tail), F.length(path_col))).otherwise(path_col)
 
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:

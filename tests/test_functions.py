@@ -106,3 +106,12 @@ def test_scale_conf_sizes_partitions():
     assert scale_conf(1 << 30)["spark.sql.shuffle.partitions"] == "8"
     assert scale_conf(100 * (1 << 40))["spark.sql.shuffle.partitions"] == "200000"
     assert scale_conf(10 * (1 << 40))["spark.sql.shuffle.partitions"] == str(10 * (1 << 40) // (256 << 20))
+
+
+def test_cut_lineage_uses_the_session_checkpoint_dir(spark):
+    from fathom.session import checkpoint_dir, cut_lineage
+    d = checkpoint_dir(spark)
+    assert d == spark.conf.get("spark.checkpoint.dir")
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.agg(F.sum("x")).first()[0] == 90
+    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()

@@ -14,8 +14,9 @@ _WS = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 GAP_TEXTS = ("nan", "None", "")
 
 # Fixed value. A number as pandas' to_numeric accepts it (case-insensitive):
-# optional sign, digits with optional point and exponent, or inf / infinity.
-NUMBER_RE = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+# optional sign, digits with optional point and exponent, with ASCII
+# whitespace around; or a signed inf / infinity with no whitespace at all.
+NUMBER_RE = r"(?i)^(\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)\s*|[+-]?(inf|infinity))$"
 
 
 def strip_ws(c: Column) -> Column:
@@ -49,13 +50,38 @@ def gap_to_null(c: Column) -> Column:
     return F.when(c.isNull() | txt.isin(*GAP_TEXTS) | (F.lower(txt) == "nan"), F.lit(None)).otherwise(c)
 
 
+# Pandas reads integer text as int64 / uint64 and rejects
+# integers outside [-2^63, 2^64 - 1]; text overflowing a double is rejected.
+_INT_RE = r"^\s*[+-]?\d+\s*$"
+_INF_RE = r"(?i)^[+-]?inf(inity)?$"
+INT_MIN = "-9223372036854775808"
+UINT_MAX = "18446744073709551615"
+
+
+def _parses(txt: Column, strict: bool = True) -> Column:
+    """The text is a number pandas' to_numeric reads (see NUMBER_RE and the
+    overflow bound above). The integer range applies to the strict test
+    only: coercion turns out-of-range integers into doubles."""
+    core = strip_ws(txt)
+    as_double = core.try_cast("double")
+    overflow = (F.abs(as_double) == F.lit(float("inf"))) & ~core.rlike(_INF_RE)
+    digits = F.regexp_replace(core, "^([+-]?)0+(?=\\d)", "$1")
+    as_int = digits.try_cast("decimal(38,0)")
+    int_out = txt.rlike(_INT_RE) & (as_int.isNull()
+                                    | (as_int < F.lit(INT_MIN).cast("decimal(38,0)"))
+                                    | (as_int > F.lit(UINT_MAX).cast("decimal(38,0)")))
+    ok = txt.rlike(NUMBER_RE) & ~overflow
+    return ok & ~int_out if strict else ok
+
+
 def is_strict_number(c: Column) -> Column:
-    """Value a strict numeric conversion accepts: blank (becomes NaN) or a number."""
+    """Value a strict numeric conversion accepts: null or the empty text (both
+    become NaN) or a number. Whitespace-only text is rejected."""
     txt = c.cast("string")
-    return c.isNull() | (strip_ws(txt) == "") | txt.rlike(NUMBER_RE)
+    return c.isNull() | (txt == "") | _parses(txt)
 
 
 def to_number(c: Column) -> Column:
     """Lenient numeric conversion: bad values become null (never an error)."""
     txt = c.cast("string")
-    return F.when(txt.rlike(NUMBER_RE), strip_ws(txt).try_cast("double"))
+    return F.when(_parses(txt, strict=False), strip_ws(txt).try_cast("double"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathom.functions.text import NUMBER_RE
 from fathom.operators import series
 from fathom.plans.registry import register
 from fathom.sources import bindings
@@ -25,7 +26,7 @@ def _with_series(body: str) -> str:
 
 
 _GAP = "CASE WHEN {0} IN ('', 'nan', 'None') THEN NULL ELSE {0} END"
-_NUM_RE = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+_NUM_RE = NUMBER_RE
 
 
 # ---------------------------------------------------------------- X9 (dense positions)
@@ -55,7 +56,7 @@ def series_positions(spark, sf_dir):
   UNION ALL SELECT file_id, 'y_text', 2, y_text FROM s)
 SELECT file_id, "column", ordinal, CAST(count(*) AS BIGINT) AS n_rows,
   CAST(count(*) FILTER (WHERE value IS NULL OR value IN ('', 'nan', 'None')) AS BIGINT) AS n_gaps,
-  bool_and(value IS NULL OR trim(value) = '' OR regexp_matches(value, '{_NUM_RE}')) AS is_numeric,
+  bool_and(value IS NULL OR value = '' OR regexp_matches(value, '{_NUM_RE}')) AS is_numeric,
   file_id || ': ' || "column" AS key
 FROM cols GROUP BY file_id, "column", ordinal
 """))

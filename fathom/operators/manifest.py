@@ -51,15 +51,28 @@ def target_names(inputs: Column) -> Column:
                  name_suffix(e["data_path"])))))
 
 
+def _py_text(v: Column) -> Column:
+    """A JSON value as Python's str() shows the parsed value: True / False /
+    None, floats with a point, ints and strings as they are. Nested lists and
+    objects stay JSON text."""
+    t = F.schema_of_variant(v)
+    as_str = F.try_variant_get(v, "$", "string")
+    return (F.when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .when(t == "VOID", F.lit("None"))
+            .when(t.startswith("DECIMAL") | (t == "DOUBLE") | (t == "FLOAT"),
+                  F.try_variant_get(v, "$", "double").cast("string"))
+            .otherwise(as_str))
+
+
 def config_summary(config: Column) -> Column:
     """M5: first two ``key: value`` pairs of a JSON object, ``Configured`` for
     an empty one, ``Not configured yet`` when it is not a JSON object."""
     cfg = strip_ws(F.coalesce(config, F.lit("")))
-    as_map = F.from_json(cfg, "map<string,string>")
+    as_map = F.from_json(cfg, "map<string,variant>")
     is_obj = cfg.startswith("{") & F.try_parse_json(cfg).isNotNull() & as_map.isNotNull()
     keys = F.slice(F.json_object_keys(cfg), 1, 2)
     pairs = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit(": "),
-                                                              F.coalesce(as_map[k], F.lit("None")))), ", ")
+                                                              F.coalesce(_py_text(as_map[k]), F.lit("None")))), ", ")
     return (F.when(~is_obj, F.lit(NOT_CONFIGURED))
             .when(F.size(keys) == 0, F.lit(CONFIGURED))
             .otherwise(pairs))

@@ -50,3 +50,19 @@ def test_has_sql_lines(spark):
     got = [r[0] for r in df.select(manifest.has_sql(F.col("v"))).collect()]
     expect = [any(l.strip() and not l.strip().startswith("--") for l in v.splitlines()) for v in vals]
     assert got == expect
+
+
+def test_config_summary_prints_like_python(spark):
+    cfgs = ['{"a": true, "b": 2.0}', '{"c": null, "d": 1.50}', '{"e": 12, "f": "s", "g": 1}', '{"h": false}',
+            '[1, 2]', '"text"', '{}', '  {"x": 1e3}  ']
+    df = spark.createDataFrame([(c,) for c in cfgs], "c string")
+    got = [r[0] for r in df.select(manifest.config_summary(F.col("c"))).collect()]
+
+    def py(c):
+        try:
+            parsed = json.loads(c.strip())
+            keys = list(parsed.keys())
+            return ", ".join(f"{k}: {parsed[k]}" for k in keys[:2]) if keys else "Configured"
+        except Exception:
+            return "Not configured yet"
+    assert got == [py(c) for c in cfgs]

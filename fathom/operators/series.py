@@ -10,29 +10,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from fathom.functions.text import gap_to_null, is_strict_number, to_number
 
+_TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
+def numeric_of(df: DataFrame, col: str) -> Column:
+    """X12 on a typed column: numbers as doubles; temporal values as epoch
+    microseconds (D12: pandas treats them as numbers); text through the
+    pandas-like parser, bad values null."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, T.DateType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    return to_number(c)
+
 
 def column_profile(files: DataFrame, columns: list[str]) -> DataFrame:
     """X10 + X11: one row per (file, column): ``"file: column"`` key, ordinal,
     row count, gap count and the strict numeric test (every value parses).
+    Numeric and temporal columns pass the test by type (D12).
 
     The columns are unpivoted with ``stack`` and aggregated per key: a partial
     aggregate, so a hot file never gathers in one task.
     """
-    pairs = ", ".join(f"'{c}', {i}, CAST(`{c}` AS STRING)" for i, c in enumerate(columns))
-    long = files.selectExpr("file_id", f"stack({len(columns)}, {pairs}) AS (column, ordinal, value)")
+    typed = {c for c in columns if isinstance(files.schema[c].dataType, (T.NumericType, *_TEMPORAL))}
+    pairs = ", ".join(f"'{c}', {i}, CAST(`{c}` AS STRING), {'true' if c in typed else 'false'}"
+                      for i, c in enumerate(columns))
+    long = files.selectExpr("file_id", f"stack({len(columns)}, {pairs}) AS (column, ordinal, value, typed)")
     return (long.groupBy("file_id", "column", "ordinal")
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  F.count_if(gap_to_null(F.col("value")).isNull()).alias("n_gaps"),
-                 F.bool_and(is_strict_number(F.col("value"))).alias("is_numeric"))
+                 F.bool_and(F.col("typed") | is_strict_number(F.col("value"))).alias("is_numeric"))
             .withColumn("key", F.concat_ws(": ", "file_id", "column")))
 
 
-def positions_of(x: Column) -> Column:
-    """X12 + X15: numeric coercion then truncation to an int position;
-    bad or non-finite values give null (D9)."""
-    v = to_number(x)
+def positions_of(v: Column) -> Column:
+    """A numeric x (see ``numeric_of``) truncated to an int position;
+    null or non-finite values give null (D9)."""
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     return F.when(finite, v.cast("long"))
 
@@ -42,10 +63,10 @@ def numeric_pairs(y_rows: DataFrame, x_rows: DataFrame | None, y_col: str, x_col
     column, else from the x file by row position; an inner join on position
     cuts to the shorter of the two. Gaps become null."""
     if x_rows is None:
-        src = y_rows.select("file_id", "row_pos", to_number(F.col(x_col)).alias("x"),
+        src = y_rows.select("file_id", "row_pos", numeric_of(y_rows, x_col).alias("x"),
                             gap_to_null(F.col(y_col)).alias("y"))
     else:
-        xs = x_rows.select("row_pos", to_number(F.col(x_col)).alias("x"))
+        xs = x_rows.select("row_pos", numeric_of(x_rows, x_col).alias("x"))
         src = (y_rows.select("file_id", "row_pos", gap_to_null(F.col(y_col)).alias("y"))
                .join(xs, "row_pos", "inner"))
     return src.select("file_id", "row_pos", "x", "y")
@@ -53,7 +74,7 @@ def numeric_pairs(y_rows: DataFrame, x_rows: DataFrame | None, y_col: str, x_col
 
 def position_labels(x_rows: DataFrame, x_col: str, label_col: str) -> DataFrame:
     """Position -> label text; the last row with that position wins."""
-    return (x_rows.select(positions_of(F.col(x_col)).alias("pos"), "row_pos",
+    return (x_rows.select(positions_of(numeric_of(x_rows, x_col)).alias("pos"), "row_pos",
                           F.coalesce(F.col(label_col).cast("string"), F.lit("None")).alias("label"))
             .where(F.col("pos").isNotNull())
             .groupBy("pos").agg(F.max_by("label", "row_pos").alias("label")))
@@ -63,7 +84,7 @@ def series_points(series_rows: DataFrame, x_col: str, y_col: str) -> DataFrame:
     """Per series: (series, pos, y) with the last row per position winning,
     including a last row whose value is a gap. ``series_rows`` holds
     ``series, row_pos, <x_col>, <y_col>`` with x already taken from the right file."""
-    pts = series_rows.select("series", positions_of(F.col(x_col)).alias("pos"), "row_pos",
+    pts = series_rows.select("series", positions_of(numeric_of(series_rows, x_col)).alias("pos"), "row_pos",
                              gap_to_null(F.col(y_col)).cast("string").alias("y"))
     return (pts.where(F.col("pos").isNotNull())
             .groupBy("series", "pos")

@@ -89,3 +89,14 @@ def test_pairs_zip_and_profile(spark):
     prof = {r["key"]: r for r in series.column_profile(f, ["xv", "v"]).collect()}
     assert prof["x: xv"]["is_numeric"] is False    # 'nan' text fails the strict test
     assert prof["y: v"]["is_numeric"] is True and prof["y: v"]["n_gaps"] == 1
+
+
+def test_temporal_x_is_numeric(spark):
+    import datetime as dt
+    rows = [("f", i + 1, dt.datetime(2024, 1, 1, 0, 0, i), str(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "file_id string, row_pos long, t timestamp, v string")
+    prof = {r["column"]: r["is_numeric"] for r in series.column_profile(df, ["t", "v"]).collect()}
+    assert prof == {"t": True, "v": True}
+    pairs = sorted(tuple(r) for r in series.numeric_pairs(df, None, "v", "t").select("row_pos", "x").collect())
+    base = 1704067200 * 10 ** 6
+    assert pairs == [(1, float(base)), (2, float(base + 10 ** 6)), (3, float(base + 2 * 10 ** 6))]

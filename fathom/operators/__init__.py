@@ -1 +1 @@
-"""DataFrame -> DataFrame operators, one module per area of the reference."""
+"""DataFrame -> DataFrame operators, one module per area of the catalogue service."""

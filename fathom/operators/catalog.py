@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.nested import extra, first_or_blank, lenient_json_list
-from fathom.functions.rows import rows_where
+from fathom.functions.rows import explode_kept, rows_where
 from fathom.functions.text import strip_ws
 from fathom.schemas import PUBLISHED
 
@@ -55,6 +55,27 @@ def parquet_components(resources: Column | str) -> Column:
         lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url")))
 
 
+# Reject reasons.
+R_NULL_FORMAT = "resource format is null"
+R_NO_SIZE = "size_bytes is null"
+R_BAD_PARAMS = "model_parameters is not a JSON list"
+
+
+def _null_format() -> Column:
+    """A resource without a format (the original fails the whole list on it)."""
+    return F.exists("resources", lambda r: r["format"].isNull())
+
+
+def _first_parquet() -> Column:
+    return F.get(F.filter("resources", lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "PARQUET"), 0)
+
+
+def _bad_params(raw_params: Column) -> Column:
+    """Non-blank model parameters that are not a JSON list."""
+    return (raw_params.isNotNull() & (raw_params != "")
+            & (F.from_json(raw_params, PARAMS_TYPE).isNull() | ~strip_ws(raw_params).startswith("[")))
+
+
 def _reasons(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(msg)) for c, msg in checks]))
 
@@ -81,9 +102,7 @@ def models(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
         doip_url(extra("extras", "model_qid"), base).alias("doip_url"),
         git.alias("git_repo"),
         F.when(raw_params == "", F.array().cast(PARAMS_TYPE)).otherwise(parsed).alias("additional_properties"),
-        _reasons((raw_params.isNotNull() & (raw_params != "")
-                  & (parsed.isNull() | ~strip_ws(raw_params).startswith("[")),
-                  "model_parameters is not a JSON list")).alias("reasons"),
+        _reasons((_bad_params(raw_params), R_BAD_PARAMS)).alias("reasons"),
     )
 
 
@@ -104,24 +123,20 @@ def processed_datasets(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFr
         doip_url(qid, base).alias("doip_url"),
         comps.alias("components"),
         extra("extras", "additional_type").alias("additional_type"),
-        _reasons((F.exists("resources", lambda r: r["format"].isNull()),
-                  "resource format is null")).alias("reasons"),
+        _reasons((_null_format(), R_NULL_FORMAT)).alias("reasons"),
     )
 
 
 def raw_datasets(pkgs: DataFrame) -> DataFrame:
     """Raw rows; a package without a Parquet resource has no size -> reason."""
     p = in_group(pkgs, GROUP_DATASETS)
-    first = F.get(F.filter("resources", lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "PARQUET"), 0)
-    size = first["size"]
+    size = _first_parquet()["size"]
     return p.select(
         "ord",
         _s("title").alias("path"),
         size.alias("size_bytes"),
         extra("extras", "modified").alias("last_modified"),
-        _reasons((size.isNull(), "size_bytes is null"),
-                 (F.exists("resources", lambda r: r["format"].isNull()), "resource format is null"))
-        .alias("reasons"),
+        _reasons((size.isNull(), R_NO_SIZE), (_null_format(), R_NULL_FORMAT)).alias("reasons"),
     )
 
 
@@ -153,26 +168,19 @@ def model_runs(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
 
 def reject_reasons(pkgs: DataFrame) -> DataFrame:
     """All rejected rows of the four tables in one pass over the packages:
-    (ord, kind, reason), one row per reason. Same rules as the table
-    builders (the same reason expressions), without building each table."""
+    (ord, kind, reason), one row per reason, by the same rules the table
+    builders apply, without building each table."""
     def grp(g):
         return F.exists("groups", lambda x: x["name"] == F.lit(g))
-    null_format = F.exists("resources", lambda r: r["format"].isNull())
-    no_parquet_size = F.get(F.filter("resources", lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "PARQUET"),
-                            0)["size"].isNull()
-    raw_params = extra("extras", "model_parameters")
-    bad_params = (raw_params.isNotNull() & (raw_params != "")
-                  & (F.from_json(raw_params, PARAMS_TYPE).isNull() | ~strip_ws(raw_params).startswith("[")))
 
     def item(kind, cond, reason):
         return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason")))
     items = F.array_compact(F.array(
-        item("raw_datasets", grp(GROUP_DATASETS) & no_parquet_size, "size_bytes is null"),
-        item("raw_datasets", grp(GROUP_DATASETS) & null_format, "resource format is null"),
-        item("processed_datasets", grp(GROUP_DATASETS) & null_format, "resource format is null"),
-        item("models", grp(GROUP_MODELS) & bad_params, "model_parameters is not a JSON list"),
+        item("raw_datasets", grp(GROUP_DATASETS) & _first_parquet()["size"].isNull(), R_NO_SIZE),
+        item("raw_datasets", grp(GROUP_DATASETS) & _null_format(), R_NULL_FORMAT),
+        item("processed_datasets", grp(GROUP_DATASETS) & _null_format(), R_NULL_FORMAT),
+        item("models", grp(GROUP_MODELS) & _bad_params(extra("extras", "model_parameters")), R_BAD_PARAMS),
     ))
-    from fathom.functions.rows import explode_kept
     return explode_kept(pkgs, ["ord"], items, None, "r").select("ord", "r.kind", "r.reason")
 
 
@@ -184,7 +192,7 @@ def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def strict(rows: DataFrame) -> DataFrame:
-    """The reference's all-or-nothing mode: raise when any row is rejected."""
+    """All-or-nothing mode (one bad row fails the list): raise when any row is rejected."""
     bad = rows.where(F.size("reasons") > 0).select("reasons").limit(1).collect()
     if bad:
         raise ValueError(f"catalogue rows rejected: {bad[0]['reasons']}")

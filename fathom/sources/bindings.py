@@ -1,6 +1,6 @@
 """Catalogue inputs derived from the test tables.
 
-The catalogue, object store and run metadata of the reference live behind
+The catalogue, object store and run metadata of the service live behind
 HTTP services. For tests and the bench they are derived, by Spark, from the
 TPC-H-like tables, so every job's work grows with the data:
 

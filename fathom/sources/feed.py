@@ -35,7 +35,7 @@ def packages(envelopes: DataFrame) -> DataFrame:
 
 
 def strict_packages(envelopes: DataFrame) -> DataFrame:
-    """The reference's behaviour: any failed reply raises, with its error."""
+    """All-or-nothing mode: any failed reply raises, with its error."""
     bad = feed_rejects(envelopes).limit(1).collect()
     if bad:
         raise RuntimeError(f"catalogue reply failed: {bad[0]['error']}")

@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from fathom.operators import catalog
 
 
-def publish_catalogue(pkgs: DataFrame, root: str, base: str = catalog.DEFAULT_DOIP_BASE,
-                      mode: str = "overwrite") -> dict[str, DataFrame]:
-    """The four published tables (declared fields only) and one rejects
-    table, written as Parquet under ``root/<table>``. Returns the rejects
-    frames so callers can count them; valid + rejects = input per table."""
-    tables = {
+def catalogue_tables(pkgs: DataFrame, base: str = catalog.DEFAULT_DOIP_BASE) -> dict[str, DataFrame]:
+    """The four table builders over one package frame (rows still carry reasons)."""
+    return {
         "raw_datasets": catalog.raw_datasets(pkgs),
         "processed_datasets": catalog.processed_datasets(pkgs, base),
         "models": catalog.models(pkgs, base),
         "model_runs": catalog.model_runs(pkgs, base),
     }
-    rejects = {}
-    for kind, rows in tables.items():
-        ok, bad = catalog.split_rejects(rows)
-        catalog.publish(ok, kind).write.mode(mode).parquet(f"{root.rstrip('/')}/{kind}")
-        rejects[kind] = bad.select(F.lit(kind).alias("kind"), F.col("ord"), F.col("reasons"))
-    all_bad = None
-    for df in rejects.values():
-        all_bad = df if all_bad is None else all_bad.unionByName(df)
-    all_bad.write.mode(mode).partitionBy("kind").parquet(f"{root.rstrip('/')}/rejects")
-    return rejects
+
+
+def publish_catalogue(pkgs: DataFrame, root: str, base: str = catalog.DEFAULT_DOIP_BASE,
+                      mode: str = "overwrite", partition: dict[str, object] | None = None) -> None:
+    """The four published tables (valid rows, declared fields only) and
+    one rejects table (ord, kind, reason), written as Parquet under
+    ``root/<table>``. Each table is one pass over the packages and the
+    rejects one more; valid + rejected = input per table.
+
+    ``partition`` adds constant partition columns (e.g. a micro-batch id).
+    Overwrites then replace only those partitions (dynamic overwrite), so a
+    retried batch replaces its own output and leaves other batches alone."""
+    root = root.rstrip("/")
+    part = partition or {}
+    cols = [F.lit(v).alias(k) for k, v in part.items()]
+
+    def write(df: DataFrame, name: str, by: list[str]) -> None:
+        (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*by).parquet(f"{root}/{name}"))
+
+    for kind, rows in catalogue_tables(pkgs, base).items():
+        ok, _ = catalog.split_rejects(rows)
+        write(ok.select(*catalog.PUBLISHED[kind], *cols), kind, list(part))
+    write(catalog.reject_reasons(pkgs).select("ord", "kind", "reason", *cols), "rejects", [*part, "kind"])
 
 
 def write_sidecar_table(sidecars: DataFrame, root: str, mode: str = "overwrite") -> None:

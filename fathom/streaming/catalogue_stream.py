@@ -48,3 +48,24 @@ def start_publish(spark: SparkSession, landing: str, out_root: str, kind: str =
          .option("checkpointLocation", ck).outputMode("append"))
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def start_publish_all(spark: SparkSession, landing: str, out_root: str, checkpoint: str | None = None,
+                      trigger_once: bool = False, base: str = catalog.DEFAULT_DOIP_BASE) -> StreamingQuery:
+    """All four published tables and the rejects table from one read per
+    micro-batch (``foreachBatch``). Each batch writes under its own
+    ``batch_id`` partition with dynamic overwrite, so a batch replayed after
+    a failure replaces its earlier partial output instead of duplicating it."""
+    from fathom.sources import sinks
+
+    def publish_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()      # five writes over one batch: parse the files once
+        try:
+            sinks.publish_catalogue(batch, out_root, base, partition={"batch_id": batch_id})
+        finally:
+            batch.unpersist()
+
+    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-catalogue"
+    w = stream_packages(spark, landing).writeStream.foreachBatch(publish_batch).option("checkpointLocation", ck)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
+    return w.start()

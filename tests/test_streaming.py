@@ -27,3 +27,24 @@ def test_stream_equals_batch(spark, tmp_path):
     ok, _ = catalog.split_rejects(catalog.processed_datasets(batch_pk))
     want = sorted(tuple(r) for r in catalog.publish(ok, "processed_datasets").collect())
     assert got == want and len(got) == 12
+
+
+def test_stream_all_tables_one_read(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    reply = {"success": True, "result": {"results": [
+        {"title": f"d{j}", "notes": "n", "url": "", "metadata_created": "2024-01-01",
+         "groups": [{"name": "type-raw-data"}], "extras": [{"key": "qid", "value": f"Q{j}"}],
+         "resources": [{"name": "x.parquet", "url": f"u{j}", "format": "PARQUET" if j else None,
+                        "description": "", "size": 1}]}
+        for j in range(4)]}}
+    (landing / "r.json").write_text(json.dumps(reply))
+    out = str(tmp_path / "out")
+    q = catalogue_stream.start_publish_all(spark, str(landing), out, checkpoint=str(tmp_path / "ck"),
+                                           trigger_once=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    ok = spark.read.parquet(f"{out}/processed_datasets")
+    bad = spark.read.parquet(f"{out}/rejects").where("kind = 'processed_datasets'")
+    assert ok.count() + bad.count() == 4 and bad.count() == 1
+    assert "batch_id" in ok.columns

@@ -17,6 +17,16 @@ def extra(extras: Column | str, key: str) -> Column:
     return F.coalesce(hit["value"], F.lit(""))
 
 
+def with_extras(df, keys: list[str], extras: str = "extras", prefix: str = "_x_"):
+    """Each listed extra looked up once per row into ``<prefix><key>``.
+
+    Every ``extra()`` call builds its own lambda, so repeated lookups of one
+    key are distinct expressions to Catalyst and are each evaluated. Reading
+    them from columns of a first projection evaluates each once; the
+    optimizer keeps that projection because the lookups are not cheap."""
+    return df.select("*", *[extra(extras, k).alias(prefix + k) for k in keys])
+
+
 def first_or_blank(arr: Column, field: str) -> Column:
     """``field`` of the first element, ``""`` for an empty array."""
     return F.coalesce(F.get(arr, 0)[field], F.lit(""))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.nested import extra, first_or_blank, lenient_json_list
+from fathom.functions.nested import extra, first_or_blank, lenient_json_list, with_extras
 from fathom.functions.rows import explode_kept, rows_where
 from fathom.functions.text import strip_ws
 from fathom.schemas import PUBLISHED
@@ -70,10 +70,11 @@ def _first_parquet() -> Column:
     return F.get(F.filter("resources", lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "PARQUET"), 0)
 
 
-def _bad_params(raw_params: Column) -> Column:
+def _bad_params(raw_params: Column, parsed: Column | None = None) -> Column:
     """Non-blank model parameters that are not a JSON list."""
+    parsed = F.from_json(raw_params, PARAMS_TYPE) if parsed is None else parsed
     return (raw_params.isNotNull() & (raw_params != "")
-            & (F.from_json(raw_params, PARAMS_TYPE).isNull() | ~strip_ws(raw_params).startswith("[")))
+            & (parsed.isNull() | ~strip_ws(raw_params).startswith("[")))
 
 
 def _reasons(*checks: tuple[Column, str]) -> Column:
@@ -82,35 +83,37 @@ def _reasons(*checks: tuple[Column, str]) -> Column:
 
 def models(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     """Model rows with ``reasons`` (empty = valid)."""
-    p = in_group(pkgs, GROUP_MODELS)
-    image = extra("extras", "docker_image")
-    raw_params = extra("extras", "model_parameters")
+    p = with_extras(in_group(pkgs, GROUP_MODELS),
+                    ["model_qid", "docker_image", "docker_tag", "docker_image_created", "model_parameters"])
+    p = p.withColumn("_params", F.from_json("_x_model_parameters", PARAMS_TYPE))
+    image = F.col("_x_docker_image")
+    raw_params = F.col("_x_model_parameters")
     url = _s("url")
     git = (F.when(url != "", url)
            .when(image.startswith(GHCR_PREFIX),
                  F.concat(F.lit(GITHUB_BASE), F.substring(image, len(GHCR_PREFIX) + 1, 1 << 20)))
            .otherwise(F.lit("")))
-    parsed = F.from_json(raw_params, PARAMS_TYPE)
     return p.select(
         "ord",
-        extra("extras", "model_qid").alias("qid"),
+        F.col("_x_model_qid").alias("qid"),
         _s("title").alias("name"),
         image.alias("docker_image"),
-        extra("extras", "docker_tag").alias("docker_tag"),
+        F.col("_x_docker_tag").alias("docker_tag"),
         _s("notes").alias("description"),
-        extra("extras", "docker_image_created").alias("docker_image_created"),
-        doip_url(extra("extras", "model_qid"), base).alias("doip_url"),
+        F.col("_x_docker_image_created").alias("docker_image_created"),
+        doip_url(F.col("_x_model_qid"), base).alias("doip_url"),
         git.alias("git_repo"),
-        F.when(raw_params == "", F.array().cast(PARAMS_TYPE)).otherwise(parsed).alias("additional_properties"),
-        _reasons((_bad_params(raw_params), R_BAD_PARAMS)).alias("reasons"),
+        F.when(raw_params == "", F.array().cast(PARAMS_TYPE)).otherwise(F.col("_params")).alias("additional_properties"),
+        _reasons((_bad_params(raw_params, F.col("_params")), R_BAD_PARAMS)).alias("reasons"),
     )
 
 
 def processed_datasets(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     """Processed dataset rows (components kept as an array)."""
-    p = in_group(pkgs, GROUP_DATASETS)
-    qid = extra("extras", "qid")
-    comps = parquet_components("resources")
+    p = with_extras(in_group(pkgs, GROUP_DATASETS), ["qid", "modified", "additional_type"])
+    p = p.withColumn("_comps", parquet_components("resources"))
+    qid = F.col("_x_qid")
+    comps = F.col("_comps")
     return p.select(
         "ord",
         qid.alias("qid"),
@@ -118,19 +121,19 @@ def processed_datasets(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFr
         _s("notes").alias("description"),
         _s("url").alias("source_url"),
         first_or_blank(comps, "url").alias("data_path"),
-        extra("extras", "modified").alias("last_modified"),
+        F.col("_x_modified").alias("last_modified"),
         _s("metadata_created").alias("metadata_created"),
         doip_url(qid, base).alias("doip_url"),
         comps.alias("components"),
-        extra("extras", "additional_type").alias("additional_type"),
+        F.col("_x_additional_type").alias("additional_type"),
         _reasons((_null_format(), R_NULL_FORMAT)).alias("reasons"),
     )
 
 
 def raw_datasets(pkgs: DataFrame) -> DataFrame:
     """Raw rows; a package without a Parquet resource has no size -> reason."""
-    p = in_group(pkgs, GROUP_DATASETS)
-    size = _first_parquet()["size"]
+    p = in_group(pkgs, GROUP_DATASETS).withColumn("_size", _first_parquet()["size"])
+    size = F.col("_size")
     return p.select(
         "ord",
         _s("title").alias("path"),
@@ -142,8 +145,8 @@ def raw_datasets(pkgs: DataFrame) -> DataFrame:
 
 def model_runs(pkgs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
     """Model run rows."""
-    p = in_group(pkgs, GROUP_RUNS)
-    qid = extra("extras", "qid")
+    p = with_extras(in_group(pkgs, GROUP_RUNS), ["qid"])
+    qid = F.col("_x_qid")
 
     def urls(desc: str) -> Column:
         return F.transform(F.filter("resources", lambda r: r["description"] == F.lit(desc)), lambda r: r["url"])

@@ -13,6 +13,8 @@ by the in-bucket order equals the full order. Deterministic on recompute.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,50 +32,76 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     raise TypeError(f"leading order column {col} must be numeric or temporal, got {dt}")
 
 
-def _bucket_of(key: Column, cuts: list) -> Column:
-    """Number of cut points <= key (plain comparisons, no lambda: the optimizer
-    copies this expression into inferred join filters)."""
-    b = F.lit(0)
-    for c in sorted(set(cuts)):
-        b = b + F.when(key >= F.lit(c), 1).otherwise(0)
-    return F.coalesce(b, F.lit(0)).cast("int")
+# Bucket count cap and sample size per bucket for the cut points.
+MAX_BUCKETS = 4096
+SAMPLE_PER_BUCKET = 100
+_SEED = 17
+
+
+def _bucketize(df: DataFrame, in_col: str, cuts: list, out_col: str) -> DataFrame:
+    """``out_col`` = number of distinct cut points <= ``in_col`` (null -> 0).
+
+    ``Bucketizer`` does a binary search in the JVM, so a row costs
+    O(log cuts) however many buckets there are; NaN lands in a last bucket of
+    its own, after every number, as NaN sorts last."""
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf"), *sorted(set(_finite(cuts))), float("inf")]
+    b = Bucketizer(splits=splits, inputCol=in_col, outputCol=out_col, handleInvalid="keep")
+    return b.transform(df).withColumn(out_col, F.coalesce(F.col(out_col).cast("int"), F.lit(0)))
+
+
+def _finite(cuts: list) -> list[float]:
+    """Finite cut points only. NaN and infinite keys still get a bucket that
+    keeps the order (NaN after all numbers, -inf first, +inf last) but are
+    never split points, nor hot values."""
+    return [float(c) for c in cuts if c is not None and math.isfinite(c)]
+
+
+def _cut_points(sample: DataFrame, col: str, n_buckets: int) -> list:
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    accuracy = max(10000, 10 * n_buckets)
+    return sample.agg(F.approx_percentile(col, probs, accuracy).alias("c")).first()["c"] or []
 
 
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                   out_col: str = "row_pos", n_buckets: int | None = None,
-                   accuracy: int = 10000) -> DataFrame:
+                   out_col: str = "row_pos", n_buckets: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1..n within each group in ``order_cols`` order.
 
     ``order_cols`` must make the order total (end with a unique key).
 
-    Buckets are ranges of the leading order key. A single leading value that
-    holds more than one bucket's share of rows shows up as a repeated cut
-    point; only for those hot values, cut points of the second order key
-    split them into sub-buckets. Rows are numbered per (group, bucket,
-    sub-bucket) and shifted by the counts of the earlier (bucket, sub-bucket)
-    pairs of their group, which is exact because the pair is non-decreasing in
-    the full order.
+    Buckets are ranges of the leading order key, cut at percentiles of a
+    seeded sample of about ``SAMPLE_PER_BUCKET`` rows per bucket (a row count
+    sizes the sample, so the percentile sketches stay small however large
+    the input is). A single leading value that holds more than one bucket's
+    share of rows shows up as a repeated cut point; those hot rows are split
+    further into sub-buckets by cut points of the second order key over the
+    sampled hot rows. Rows are numbered per (group, bucket, sub-bucket) and
+    shifted by the counts of the earlier (bucket, sub-bucket) pairs of their
+    group, which is exact because the pair is non-decreasing in the full
+    order: the cut points only decide how even the buckets are, never the
+    numbers.
     """
     spark = df.sparkSession
     if n_buckets is None:
-        n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
+        n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
     staged = df.withColumn("_key", _numeric_key(df, order_cols[0]))
-    cuts = staged.agg(F.approx_percentile("_key", probs, accuracy).alias("c")).first()["c"] or []
-    hot = sorted({c for c in cuts if cuts.count(c) > 1})
-    staged = staged.withColumn("_b", _bucket_of(F.col("_key"), cuts))
+    if len(order_cols) > 1:
+        staged = staged.withColumn("_key2", _numeric_key(df, order_cols[1]))
+    n = staged.count()
+    fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(n, 1))
+    sample = staged if fraction >= 1.0 else staged.sample(fraction=fraction, seed=_SEED)
+    cuts = _cut_points(sample, "_key", n_buckets)
+    finite = _finite(cuts)
+    hot = sorted({c for c in finite if finite.count(c) > 1})
+    staged = _bucketize(staged, "_key", cuts, "_b")
     if hot and len(order_cols) > 1:
-        # cut points of the second order key inside each hot leading value
-        # (one row per hot value: at most n_buckets of them)
-        second = _numeric_key(df, order_cols[1])
-        sub = (staged.where(F.col("_key").isin(*hot))
-               .groupBy("_key").agg(F.approx_percentile(second, probs, accuracy).alias("c")).collect())
-        # a hot value is the lower cut of its bucket, so its rows come first
-        # there; every other row of that bucket follows all its sub-buckets
-        sub_b = F.lit(n_buckets)
-        for row in sub:
-            sub_b = F.when(F.col("_key") == F.lit(row["_key"]), _bucket_of(second, row["c"] or [])).otherwise(sub_b)
-        staged = staged.withColumn("_sb", sub_b.cast("int"))
+        # A hot value is the lower cut of its bucket, so its rows come first
+        # there, in second-key order; every other row of that bucket follows.
+        sub_cuts = _cut_points(sample.where(F.col("_key").isin(*hot)), "_key2", n_buckets)
+        staged = _bucketize(staged, "_key2", sub_cuts, "_sb2")
+        staged = staged.withColumn("_sb", F.when(F.col("_key").isin(*hot), F.col("_sb2"))
+                                   .otherwise(F.lit(n_buckets + 1)).cast("int")).drop("_sb2")
     else:
         staged = staged.withColumn("_sb", F.lit(0))
     local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order_cols)
@@ -83,7 +111,7 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (numbered.join(offsets, [*group_cols, "_b", "_sb"], "left")
             .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("long"))
-            .drop("_key", "_b", "_sb", "_r", "_off"))
+            .drop("_key", "_key2", "_b", "_sb", "_r", "_off"))
 
 
 def file_row_numbers(df: DataFrame, out_col: str = "row_num") -> DataFrame:

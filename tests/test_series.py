@@ -35,6 +35,23 @@ def test_dense_position_splits_a_hot_order_value(spark):
     assert cuts.count(5.0) > 1
 
 
+def test_dense_position_sampled_cuts_nulls_nan_and_cap(spark):
+    # 20k rows: cut points come from a sample; null and NaN keys, a value
+    # holding a third of the rows, and more buckets asked for than the cap
+    random.seed(11)
+    data = []
+    for i in range(20000):
+        r = random.random()
+        k = None if r < 0.05 else float("nan") if r < 0.1 else 3.0 if r < 0.43 else float(random.randint(0, 500))
+        data.append(("g" if i % 4 else "h", k, i))
+    df = spark.createDataFrame(data, "g string, k double, id long")
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=position.MAX_BUCKETS + 100)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
+    got16 = position.dense_position(df, ["g"], ["k", "id"], n_buckets=16)
+    assert sorted((r["id"], r["row_pos"]) for r in got16.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
+
+
 def test_dense_position_stable_across_shuffle_partitions(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     res = []

@@ -19,6 +19,9 @@ GAP_TEXTS = ("nan", "None", "")
 NUMBER_RE = r"(?i)^(\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)\s*|[+-]?(inf|infinity))$"
 
 
+WS_CLASS = _WS
+
+
 def strip_ws(c: Column) -> Column:
     """str.strip(): remove leading and trailing whitespace of any kind."""
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")

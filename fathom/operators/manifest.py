@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.text import strip_ws
+from fathom.functions.text import WS_CLASS, strip_ws
 
 # Fixed values.
 DEFAULT_TAG = "latest"
@@ -23,13 +23,17 @@ DUP_NAMES = "All target filenames must be unique"
 CONFIGURED = "Configured"
 NOT_CONFIGURED = "Not configured yet"
 # Line breaks as str.splitlines() knows them.
-_LINES = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+_BREAK = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+_SQL_LINE = f"(?:^|{_BREAK}){WS_CLASS}*(?:[^-{WS_CLASS[1:]}|-(?:[^-]|\\z))"
 
 
 def has_sql(sql: Column) -> Column:
-    """M2: some line is non-blank and not a ``--`` comment."""
-    stripped = F.transform(F.split(F.coalesce(sql, F.lit("")), _LINES), strip_ws)
-    return F.exists(stripped, lambda line: (line != "") & ~line.startswith("--"))
+    """M2: some line is non-blank and not a ``--`` comment.
+
+    One regex search over the whole text: at the start of the text or after
+    a line break, skip whitespace (blank lines included) and find a
+    character other than ``-``, or a ``-`` not followed by another."""
+    return F.coalesce(sql, F.lit("")).rlike(_SQL_LINE)
 
 
 def effective_sql(sql: Column) -> Column:

@@ -32,14 +32,26 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     raise TypeError(f"leading order column {col} must be numeric or temporal, got {dt}")
 
 
+def _order_key(df: DataFrame, col: str, desc: bool) -> Column:
+    """A double that is non-decreasing along the sort order of ``col``.
+
+    Ascending as is (nulls first, NaN last, as Spark sorts). Descending
+    negated, with NaN (first in a descending sort) mapped to -inf; nulls
+    (last in a descending sort) are placed by ``_bucketize``. Ties are fine:
+    a bucket only has to be non-decreasing along the order."""
+    k = _numeric_key(df, col).cast("double")
+    return F.when(F.isnan(k), F.lit(float("-inf"))).otherwise(-k) if desc else k
+
+
 # Bucket count cap and sample size per bucket for the cut points.
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 100
 _SEED = 17
 
 
-def _bucketize(df: DataFrame, in_col: str, cuts: list, out_col: str) -> DataFrame:
-    """``out_col`` = number of distinct cut points <= ``in_col`` (null -> 0).
+def _bucketize(df: DataFrame, in_col: str, cuts: list, out_col: str, nulls_last: bool = False) -> DataFrame:
+    """``out_col`` = number of distinct cut points <= ``in_col``; null -> 0,
+    or after every other bucket with ``nulls_last``.
 
     ``Bucketizer`` does a binary search in the JVM, so a row costs
     O(log cuts) however many buckets there are; NaN lands in a last bucket of
@@ -47,7 +59,19 @@ def _bucketize(df: DataFrame, in_col: str, cuts: list, out_col: str) -> DataFram
     from pyspark.ml.feature import Bucketizer
     splits = [float("-inf"), *sorted(set(_finite(cuts))), float("inf")]
     b = Bucketizer(splits=splits, inputCol=in_col, outputCol=out_col, handleInvalid="keep")
-    return b.transform(df).withColumn(out_col, F.coalesce(F.col(out_col).cast("int"), F.lit(0)))
+    null_bucket = F.lit(len(splits) if nulls_last else 0)
+    return b.transform(df).withColumn(out_col, F.coalesce(F.col(out_col).cast("int"), null_bucket))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null (as a window's
+    PARTITION BY groups nulls together); the right key columns are dropped."""
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
 def _finite(cuts: list) -> list[float]:
@@ -64,10 +88,14 @@ def _cut_points(sample: DataFrame, col: str, n_buckets: int) -> list:
 
 
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                   out_col: str = "row_pos", n_buckets: int | None = None) -> DataFrame:
-    """Add ``out_col`` = 1..n within each group in ``order_cols`` order.
+                   out_col: str = "row_pos", n_buckets: int | None = None,
+                   descending: frozenset[str] | set[str] = frozenset()) -> DataFrame:
+    """Add ``out_col`` = 1..n within each group in ``order_cols`` order, i.e.
+    ``row_number() OVER (PARTITION BY group_cols ORDER BY order_cols)``.
 
-    ``order_cols`` must make the order total (end with a unique key).
+    ``order_cols`` must make the order total (end with a unique key). Columns
+    named in ``descending`` sort descending; nulls sort as Spark's defaults
+    (first ascending, last descending). A null group is a group.
 
     Buckets are ranges of the leading order key, cut at percentiles of a
     seeded sample of about ``SAMPLE_PER_BUCKET`` rows per bucket (a row count
@@ -85,31 +113,35 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     if n_buckets is None:
         n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
-    staged = df.withColumn("_key", _numeric_key(df, order_cols[0]))
-    if len(order_cols) > 1:
-        staged = staged.withColumn("_key2", _numeric_key(df, order_cols[1]))
+    desc = [c in descending for c in order_cols]
+    staged = df.withColumn("_key", _order_key(df, order_cols[0], desc[0]))
+    split_second = len(order_cols) > 1 and isinstance(
+        df.schema[order_cols[1]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    if split_second:
+        staged = staged.withColumn("_key2", _order_key(df, order_cols[1], desc[1]))
     n = staged.count()
     fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(n, 1))
     sample = staged if fraction >= 1.0 else staged.sample(fraction=fraction, seed=_SEED)
     cuts = _cut_points(sample, "_key", n_buckets)
     finite = _finite(cuts)
     hot = sorted({c for c in finite if finite.count(c) > 1})
-    staged = _bucketize(staged, "_key", cuts, "_b")
-    if hot and len(order_cols) > 1:
+    staged = _bucketize(staged, "_key", cuts, "_b", nulls_last=desc[0])
+    if hot and split_second:
         # A hot value is the lower cut of its bucket, so its rows come first
         # there, in second-key order; every other row of that bucket follows.
         sub_cuts = _cut_points(sample.where(F.col("_key").isin(*hot)), "_key2", n_buckets)
-        staged = _bucketize(staged, "_key2", sub_cuts, "_sb2")
+        staged = _bucketize(staged, "_key2", sub_cuts, "_sb2", nulls_last=desc[1])
         staged = staged.withColumn("_sb", F.when(F.col("_key").isin(*hot), F.col("_sb2"))
                                    .otherwise(F.lit(n_buckets + 1)).cast("int")).drop("_sb2")
     else:
         staged = staged.withColumn("_sb", F.lit(0))
-    local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order_cols)
+    order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
+    local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order)
     numbered = staged.withColumn("_r", F.row_number().over(local))
     counts = staged.groupBy(*group_cols, "_b", "_sb").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_b", "_sb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (numbered.join(offsets, [*group_cols, "_b", "_sb"], "left")
+    return (join_null_safe(numbered, offsets, [*group_cols, "_b", "_sb"])
             .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("long"))
             .drop("_key", "_key2", "_b", "_sb", "_r", "_off"))
 

@@ -81,3 +81,17 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
                .select(keys[0], (F.col("_s") - F.col("_m") * (F.col("_m") + 1) / 2).alias("_earlier")))
     return (per_key.groupBy(keys[0]).agg(F.sum("_earlier").cast("long").alias("n"))
             .where(F.col("n") > 0))
+
+
+def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col: str = "median") -> DataFrame:
+    """Per ``group``: the exact median of non-null ``value`` as Spark's
+    ``median`` gives it (the middle value, or the lower middle plus half the
+    gap to the upper one), without gathering a group's values in one task:
+    only the one or two middle rows of each group are kept from the dense
+    positions, whose count table also gives the group size."""
+    rows = df.where(F.col(value).isNotNull()).select(group, value, tiebreak)
+    numbered = dense_position(rows, [group], [value, tiebreak], out_col="_p", total_col="_tot")
+    middle = numbered.where((F.col("_p") == F.floor((F.col("_tot") + 1) / 2)) | (F.col("_p") == F.floor(F.col("_tot") / 2) + 1))
+    mid = middle.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    half = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.lit(0.5))
+    return mid.select(group, (F.col("_lo") + half * (F.col("_hi") - F.col("_lo"))).alias(out_col))

@@ -89,13 +89,16 @@ def _cut_points(sample: DataFrame, col: str, n_buckets: int) -> list:
 
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    out_col: str = "row_pos", n_buckets: int | None = None,
-                   descending: frozenset[str] | set[str] = frozenset()) -> DataFrame:
+                   descending: frozenset[str] | set[str] = frozenset(),
+                   total_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = 1..n within each group in ``order_cols`` order, i.e.
     ``row_number() OVER (PARTITION BY group_cols ORDER BY order_cols)``.
 
     ``order_cols`` must make the order total (end with a unique key). Columns
     named in ``descending`` sort descending; nulls sort as Spark's defaults
     (first ascending, last descending). A null group is a group.
+    ``total_col`` also adds the group's row count (from the small count
+    table, with no further join).
 
     Buckets are ranges of the leading order key, cut at percentiles of a
     seeded sample of about ``SAMPLE_PER_BUCKET`` rows per bucket (a row count
@@ -140,7 +143,10 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     numbered = staged.withColumn("_r", F.row_number().over(local))
     counts = staged.groupBy(*group_cols, "_b", "_sb").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_b", "_sb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if total_col:
+        offsets = offsets.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
+    offsets = offsets.drop("_n")
     return (join_null_safe(numbered, offsets, [*group_cols, "_b", "_sb"])
             .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("long"))
             .drop("_key", "_key2", "_b", "_sb", "_r", "_off"))

@@ -164,7 +164,9 @@ def file_row_numbers(df: DataFrame, out_col: str = "row_num") -> DataFrame:
     per_file = staged.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # one row per file: AQE broadcasts it when its measured size allows
-    return (staged.join(offsets, "_f")
+    # one row per file, broadcast after a size check: the rows are not
+    # shuffled by file (one file may hold a third of them)
+    from fathom.operators.joins import broadcast_if_small
+    return (staged.join(broadcast_if_small(offsets), "_f")
             .withColumn(out_col, (F.col("_off") + F.col("_i") + 1).cast("long"))
             .drop("_f", "_i", "_off"))

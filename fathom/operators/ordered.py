@@ -7,33 +7,50 @@ predicate emits every pair of a group. Here row positions come from
 ``position.dense_position`` (ordered buckets, so a hot group spreads over
 many tasks), and everything else is an equi-join or aggregate on
 (group, position) keys, which are unique per row and hash evenly.
+
+Each function first measures the largest group in one small job
+(``position.groups_fit``). When every group fits one window partition the
+plain window or aggregate is used; beyond that the bucketed plan. Both give
+the same result; ``max_group_rows`` overrides the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.operators.position import dense_position, join_null_safe
+from fathom.operators.position import dense_position, groups_fit, join_null_safe
 
 
-def ranks(df: DataFrame, group: str, order: str, tiebreak: str, descending: bool = True) -> DataFrame:
+def ranks(df: DataFrame, group: str, order: str, tiebreak: str, descending: bool = True,
+          max_group_rows: int | None = None) -> DataFrame:
     """Adds ``rn`` (row_number by order, tiebreak), ``rnk`` (rank) and ``drnk``
     (dense_rank) by ``order`` within ``group``."""
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    if groups_fit(df, [group], max_group_rows):
+        w = Window.partitionBy(group).orderBy(o)
+        return df.select("*", F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("drnk"),
+                         F.row_number().over(Window.partitionBy(group).orderBy(o, F.col(tiebreak))).cast("long")
+                         .alias("rn"))
     desc = {order} if descending else set()
-    numbered = dense_position(df, [group], [order, tiebreak], out_col="rn", descending=desc)
+    numbered = dense_position(df, [group], [order, tiebreak], out_col="rn", descending=desc, max_group_rows=0)
     # rank = first position of the value; dense rank = position of the value
     # among the group's distinct values (partially aggregated to one row per
     # (group, value) before any shuffle, and numbered from the input itself)
     firsts = numbered.groupBy(group, order).agg(F.min("rn").alias("rnk"))
-    by_value = dense_position(df.select(group, order).distinct(), [group], [order], out_col="drnk", descending=desc)
+    by_value = dense_position(df.select(group, order).distinct(), [group], [order], out_col="drnk", descending=desc,
+                              max_group_rows=max_group_rows)
     return join_null_safe(join_null_safe(numbered, firsts, [group, order]), by_value, [group, order])
 
 
-def neighbours(df: DataFrame, group: str, order_cols: list[str], value: str) -> DataFrame:
+def neighbours(df: DataFrame, group: str, order_cols: list[str], value: str,
+               max_group_rows: int | None = None) -> DataFrame:
     """Adds ``prev_value`` / ``next_value``: ``value`` of the row before and
     after in ``order_cols`` order within ``group`` (lag / lead)."""
-    numbered = dense_position(df, [group], order_cols, out_col="_p")
+    if groups_fit(df, [group], max_group_rows):
+        w = Window.partitionBy(group).orderBy(*order_cols)
+        return df.select("*", F.lag(value).over(w).alias("prev_value"), F.lead(value).over(w).alias("next_value"))
+    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0)
     prev = numbered.select(group, (F.col("_p") + 1).alias("_p"), F.col(value).alias("prev_value"))
     nxt = numbered.select(group, (F.col("_p") - 1).alias("_p"), F.col(value).alias("next_value"))
     out = join_null_safe(join_null_safe(numbered, prev, [group, "_p"]), nxt, [group, "_p"])
@@ -41,13 +58,16 @@ def neighbours(df: DataFrame, group: str, order_cols: list[str], value: str) ->
 
 
 def rows_frame_sum(df: DataFrame, group: str, order_cols: list[str], value: str, preceding: int,
-                   out_col: str = "frame_sum") -> DataFrame:
+                   out_col: str = "frame_sum", max_group_rows: int | None = None) -> DataFrame:
     """Adds ``out_col`` = SUM(value) OVER (PARTITION BY group ORDER BY
     order_cols ROWS BETWEEN ``preceding`` PRECEDING AND CURRENT ROW).
 
     Each row adds its value to its own position and the next ``preceding``
     ones; a partial aggregate per (group, position) sums them."""
-    numbered = dense_position(df, [group], order_cols, out_col="_p")
+    if groups_fit(df, [group], max_group_rows):
+        w = Window.partitionBy(group).orderBy(*order_cols).rowsBetween(-preceding, 0)
+        return df.select("*", F.sum(value).over(w).alias(out_col))
+    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0)
     shifts = F.array(*[F.col("_p") + i for i in range(preceding + 1)])
     sums = (numbered.select(group, F.explode(shifts).alias("_p"), value)
             .groupBy(group, "_p").agg(F.sum(value).alias(out_col)))
@@ -55,7 +75,7 @@ def rows_frame_sum(df: DataFrame, group: str, order_cols: list[str], value: str,
 
 
 def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
-                        is_left, is_right) -> DataFrame:
+                        is_left, is_right, max_group_rows: int | None = None) -> DataFrame:
     """Per ``keys[0]``: the number of (left row, right row) pairs with equal
     ``keys`` and ``right.ts > left.ts``, i.e. the count of
 
@@ -73,7 +93,14 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
             .select(*keys, ts, tiebreak,
                     F.when(is_right, F.lit(0)).when(is_left, F.lit(1)).alias("_kind"))
             .where(F.col("_kind").isNotNull()))
-    both = dense_position(rows, keys, [ts, "_kind", tiebreak], out_col="_pa")
+    if groups_fit(rows, keys, max_group_rows):
+        # left rows before each right row: a running count in the same order
+        w = (Window.partitionBy(*keys).orderBy(ts, "_kind", tiebreak)
+             .rowsBetween(Window.unboundedPreceding, -1))
+        before = rows.select(*keys, "_kind", F.sum("_kind").over(w).alias("_earlier"))
+        return (before.where(F.col("_kind") == 0).groupBy(keys[0])
+                .agg(F.sum("_earlier").cast("long").alias("n")).where(F.col("n") > 0))
+    both = dense_position(rows, keys, [ts, "_kind", tiebreak], out_col="_pa", max_group_rows=0)
     # exact in decimal: sums of positions of a hot group outgrow a long
     per_key = (both.where(F.col("_kind") == 0).groupBy(*keys)
                .agg(F.sum(F.col("_pa").cast("decimal(38,0)")).alias("_s"),
@@ -83,14 +110,17 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
             .where(F.col("n") > 0))
 
 
-def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col: str = "median",
+                 max_group_rows: int | None = None) -> DataFrame:
     """Per ``group``: the exact median of non-null ``value`` as Spark's
     ``median`` gives it (the middle value, or the lower middle plus half the
     gap to the upper one), without gathering a group's values in one task:
     only the one or two middle rows of each group are kept from the dense
     positions, whose count table also gives the group size."""
     rows = df.where(F.col(value).isNotNull()).select(group, value, tiebreak)
-    numbered = dense_position(rows, [group], [value, tiebreak], out_col="_p", total_col="_tot")
+    if groups_fit(rows, [group], max_group_rows):
+        return rows.groupBy(group).agg(F.median(value).alias(out_col))
+    numbered = dense_position(rows, [group], [value, tiebreak], out_col="_p", total_col="_tot", max_group_rows=0)
     middle = numbered.where((F.col("_p") == F.floor((F.col("_tot") + 1) / 2)) | (F.col("_p") == F.floor(F.col("_tot") / 2) + 1))
     mid = middle.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     half = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.lit(0.5))

@@ -43,7 +43,10 @@ def _order_key(df: DataFrame, col: str, desc: bool) -> Column:
     return F.when(F.isnan(k), F.lit(float("-inf"))).otherwise(-k) if desc else k
 
 
-# Bucket count cap and sample size per bucket for the cut points.
+# The most rows one window partition may take (larger groups
+# are split into ordered buckets), bucket count cap, and sample size per
+# bucket for the cut points.
+WINDOW_GROUP_MAX_ROWS = 2_000_000
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 100
 _SEED = 17
@@ -87,10 +90,23 @@ def _cut_points(sample: DataFrame, col: str, n_buckets: int) -> list:
     return sample.agg(F.approx_percentile(col, probs, accuracy).alias("c")).first()["c"] or []
 
 
+def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
+    """(rows, rows of the largest group) in one small job: counted per group
+    with partial aggregation, so a hot group is one row per task."""
+    r = df.groupBy(*group_cols).count().agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
+    return int(r["n"] or 0), int(r["m"] or 0)
+
+
+def groups_fit(df: DataFrame, group_cols: list[str], max_rows: int | None = None) -> bool:
+    """True when every group fits one window partition."""
+    limit = WINDOW_GROUP_MAX_ROWS if max_rows is None else max_rows
+    return group_sizes(df, group_cols)[1] <= limit
+
+
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    out_col: str = "row_pos", n_buckets: int | None = None,
                    descending: frozenset[str] | set[str] = frozenset(),
-                   total_col: str | None = None) -> DataFrame:
+                   total_col: str | None = None, max_group_rows: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1..n within each group in ``order_cols`` order, i.e.
     ``row_number() OVER (PARTITION BY group_cols ORDER BY order_cols)``.
 
@@ -100,6 +116,10 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     ``total_col`` also adds the group's row count (from the small count
     table, with no further join).
 
+    One small job first measures the largest group. When it fits one window
+    partition (``max_group_rows``, default ``WINDOW_GROUP_MAX_ROWS``) the
+    plain window is used; the numbers are the same either way.
+
     Buckets are ranges of the leading order key, cut at percentiles of a
     seeded sample of about ``SAMPLE_PER_BUCKET`` rows per bucket (a row count
     sizes the sample, so the percentile sketches stay small however large
@@ -117,12 +137,18 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
         n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
     desc = [c in descending for c in order_cols]
+    order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
+    n, largest = group_sizes(df, group_cols)
+    if largest <= (WINDOW_GROUP_MAX_ROWS if max_group_rows is None else max_group_rows):
+        out = df.withColumn(out_col, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)).cast("long"))
+        if total_col:
+            out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
+        return out
     staged = df.withColumn("_key", _order_key(df, order_cols[0], desc[0]))
     split_second = len(order_cols) > 1 and isinstance(
         df.schema[order_cols[1]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
     if split_second:
         staged = staged.withColumn("_key2", _order_key(df, order_cols[1], desc[1]))
-    n = staged.count()
     fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(n, 1))
     sample = staged if fraction >= 1.0 else staged.sample(fraction=fraction, seed=_SEED)
     cuts = _cut_points(sample, "_key", n_buckets)
@@ -138,7 +164,6 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
                                    .otherwise(F.lit(n_buckets + 1)).cast("int")).drop("_sb2")
     else:
         staged = staged.withColumn("_sb", F.lit(0))
-    order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
     local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order)
     numbered = staged.withColumn("_r", F.row_number().over(local))
     counts = staged.groupBy(*group_cols, "_b", "_sb").agg(F.count(F.lit(1)).alias("_n"))

@@ -44,38 +44,48 @@ def _rows(df, cols):
     return sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
 
 
-def test_ranks(spark, ev):
-    got = ordered.ranks(ev, "user_id", "value", "event_id")
+BOTH_PLANS = pytest.mark.parametrize("max_rows", [None, 0], ids=["plain", "bucketed"])
+
+
+@BOTH_PLANS
+def test_ranks(spark, ev, max_rows):
+    got = ordered.ranks(ev, "user_id", "value", "event_id", max_group_rows=max_rows)
     cols = ["event_id", "user_id", "rnk", "drnk", "rn"]
     assert _rows(got, cols) == _rows(spark.sql(SQL_RANKS), cols)
 
 
-def test_neighbours(spark, ev):
-    got = ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value")
+@BOTH_PLANS
+def test_neighbours(spark, ev, max_rows):
+    got = ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value", max_group_rows=max_rows)
     cols = ["event_id", "prev_value", "next_value"]
     assert _rows(got, cols) == _rows(spark.sql(SQL_LAG), cols)
 
 
-def test_rows_frame_sum(spark, ev):
-    got = ordered.rows_frame_sum(ev, "user_id", ["ts", "event_id"], "value", 2, out_col="s")
+@BOTH_PLANS
+def test_rows_frame_sum(spark, ev, max_rows):
+    got = ordered.rows_frame_sum(ev, "user_id", ["ts", "event_id"], "value", 2, out_col="s", max_group_rows=max_rows)
     assert _rows(got, ["event_id", "s"]) == _rows(spark.sql(SQL_FRAME), ["event_id", "s"])
 
 
-def test_count_earlier_pairs(spark, ev):
+@BOTH_PLANS
+def test_count_earlier_pairs(spark, ev, max_rows):
     from pyspark.sql import functions as F
     got = ordered.count_earlier_pairs(ev.withColumn("_day", F.col("ts").cast("date")), ["user_id", "_day"], "ts",
                                       "event_id", is_left=F.col("event_type") == "error",
-                                      is_right=F.col("event_type") == "purchase")
+                                      is_right=F.col("event_type") == "purchase", max_group_rows=max_rows)
     assert _rows(got, ["user_id", "n"]) == _rows(spark.sql(SQL_PAIRS), ["user_id", "n"])
 
 
 def test_no_window_over_a_whole_user(spark, ev):
     from pyspark.sql import functions as F
-    plans = [ordered.ranks(ev, "user_id", "value", "event_id"),
-             ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value"),
+    # groups over the bound (forced here with a bound of 0 rows)
+    plans = [ordered.ranks(ev, "user_id", "value", "event_id", max_group_rows=0),
+             ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value", max_group_rows=0),
+             ordered.rows_frame_sum(ev, "user_id", ["ts", "event_id"], "value", 2, max_group_rows=0),
+             ordered.exact_median(ev, "user_id", "value", "event_id", max_group_rows=0),
              ordered.count_earlier_pairs(ev.withColumn("_day", F.col("ts").cast("date")), ["user_id", "_day"], "ts",
                                          "event_id", F.col("event_type") == "error",
-                                         F.col("event_type") == "purchase")]
+                                         F.col("event_type") == "purchase", max_group_rows=0)]
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         # row windows are keyed by (user, bucket); no pair join on the user alone
@@ -86,16 +96,26 @@ def test_no_window_over_a_whole_user(spark, ev):
                 assert "_b#" in line.split("], [")[1]   # partitioned by (group, bucket)
 
 
-def test_exact_median(spark, ev):
+@BOTH_PLANS
+def test_exact_median(spark, ev, max_rows):
     from pyspark.sql import functions as F
     # odd and even group sizes, a null group, null values, a hot group
-    got = ordered.exact_median(ev.withColumn("g", F.col("user_id") % 4), "g", "value", "event_id")
+    got = ordered.exact_median(ev.withColumn("g", F.col("user_id") % 4), "g", "value", "event_id",
+                               max_group_rows=max_rows)
     want = spark.sql("SELECT user_id % 4 AS g, median(value) AS median FROM ev GROUP BY 1")
     assert _rows(got, ["g", "median"]) == _rows(want, ["g", "median"])
     sizes = {r["g"]: r["n"] for r in spark.sql("SELECT user_id % 4 AS g, count(value) AS n FROM ev GROUP BY 1").collect()}
     assert {n % 2 for n in sizes.values()} == {0, 1}
 
 
+def test_plan_choice_follows_the_largest_group(spark, ev):
+    from fathom.operators import position
+    assert position.group_sizes(ev, ["user_id"]) == (6000, 2000)
+    assert position.groups_fit(ev, ["user_id"], 2000) and not position.groups_fit(ev, ["user_id"], 1999)
+    plain = ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value", max_group_rows=2000)
+    assert "_b#" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_broadcast_only_after_size_check(spark, ev):
     from pyspark.sql import functions as F
     from fathom.operators.joins import broadcast_if_small

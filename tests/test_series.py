@@ -13,7 +13,7 @@ def test_dense_position_equals_row_number(spark):
     data = [(("hot" if random.random() < 0.4 else f"g{random.randint(0, 5)}"), random.randint(0, 50), i)
             for i in range(3000)]
     df = spark.createDataFrame(data, "g string, k long, id long")
-    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=7)
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=7, max_group_rows=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     a = sorted((r["id"], r["row_pos"]) for r in got.collect())
     b = sorted((r["id"], r["rn"]) for r in ref.collect())
@@ -27,7 +27,7 @@ def test_dense_position_splits_a_hot_order_value(spark):
     # one leading order value holds 40 % of a hot group that itself holds 60 % of the rows
     data = [("hot", 5 if i % 5 < 2 else i % 97, i) for i in range(4000)] + [("cold", i % 13, i) for i in range(4000, 6000)]
     df = spark.createDataFrame(data, "g string, k long, id long")
-    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=8)
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=8, max_group_rows=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
     # the case really is hot: the value 5 repeats among the cut points, so it is split by id
@@ -45,10 +45,10 @@ def test_dense_position_sampled_cuts_nulls_nan_and_cap(spark):
         k = None if r < 0.05 else float("nan") if r < 0.1 else 3.0 if r < 0.43 else float(random.randint(0, 500))
         data.append(("g" if i % 4 else "h", k, i))
     df = spark.createDataFrame(data, "g string, k double, id long")
-    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=position.MAX_BUCKETS + 100)
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=position.MAX_BUCKETS + 100, max_group_rows=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
-    got16 = position.dense_position(df, ["g"], ["k", "id"], n_buckets=16)
+    got16 = position.dense_position(df, ["g"], ["k", "id"], n_buckets=16, max_group_rows=0)
     assert sorted((r["id"], r["row_pos"]) for r in got16.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
 
 
@@ -58,7 +58,7 @@ def test_dense_position_stable_across_shuffle_partitions(spark):
     for n in ("1", "8"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         res.append(sorted((r["event_id"], r["row_pos"]) for r in
-                          position.dense_position(df, ["event_type"], ["ts", "event_id"]).collect()))
+                          position.dense_position(df, ["event_type"], ["ts", "event_id"], max_group_rows=0).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1]
     per = {}

@@ -2,7 +2,11 @@
 
 Each entry: (id, table registered as df, Spark SQL, DuckDB text or None when
 the same text runs on both). Spark runs the text through ``preview.run_sql``
-exactly as a user query would.
+exactly as a user query would, except for the entries in ``SKEW_SAFE``
+(windows per user, an order-predicate self-join, semi/anti joins and set
+operations of the table with itself, a per-type correlated mean, a median):
+those run as plans that keep a hot user or type out of one task, with the
+text as their oracle.
 """
 
 from __future__ import annotations

@@ -125,3 +125,21 @@ def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col:
     mid = middle.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     half = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.lit(0.5))
     return mid.select(group, (F.col("_lo") + half * (F.col("_hi") - F.col("_lo"))).alias(out_col))
+
+
+def collect_bounded(df: DataFrame, key: str, value: str, order_cols: list[str], out_col: str = "items",
+                    max_len: int | None = None) -> DataFrame:
+    """``collect_list(value)`` per ``key`` (nulls skipped), in arrays of at
+    most ``max_len`` elements: one array per key when every key fits,
+    otherwise one per (key, run of ``max_len`` consecutive positions in
+    ``order_cols`` order), so no array holds a hot key's rows. Exploding
+    the arrays gives the same rows either way (a key with only null values
+    has an empty array in the first form and no row in the second)."""
+    from fathom.operators.position import WINDOW_GROUP_MAX_ROWS
+    limit = WINDOW_GROUP_MAX_ROWS if max_len is None else max_len
+    rows = df.where(F.col(value).isNotNull())
+    if groups_fit(rows, [key], limit):
+        return df.groupBy(key).agg(F.collect_list(value).alias(out_col))
+    numbered = dense_position(rows, [key], order_cols, out_col="_p", max_group_rows=0)
+    return (numbered.groupBy(key, F.floor((F.col("_p") - 1) / limit).alias("_chunk"))
+            .agg(F.collect_list(value).alias(out_col)).drop("_chunk"))

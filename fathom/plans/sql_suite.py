@@ -193,9 +193,16 @@ def _q25(spark, sf_dir):
     return out.select("event_type", F.round("_med", 6).alias("med"), F.round("_sd", 6).alias("sd"))
 
 
+def _q23(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    parts = ordered.collect_bounded(li, "l_orderkey", "l_partkey", ["l_linenumber", "l_partkey", "l_suppkey"],
+                                    out_col="parts")
+    return parts.select("l_orderkey", F.explode("parts").alias("partkey"))
+
+
 SKEW_SAFE = {"q08_ranking": _q08, "q09_lag_lead": _q09, "q10_moving_sum": _q10, "q11_self_join": _q11,
              "q12_exists": _q12, "q13_not_exists": _q13, "q14_correlated_scalar": _q14,
-             "q17_intersect": _q17, "q18_except": _q18, "q25_statistics": _q25}
+             "q17_intersect": _q17, "q18_except": _q18, "q23_array_unnest": _q23, "q25_statistics": _q25}
 
 for _id, _table, _spark_sql, _duck_sql in SUITE:
     register(f"sql_{_id}", _oracle(_table, _duck_sql or _spark_sql))(SKEW_SAFE.get(_id) or _make(_table, _spark_sql))

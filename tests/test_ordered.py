@@ -150,3 +150,15 @@ def test_set_queries_equal_sql(spark, tmp_path):
         want = spark.sql(sql)
         assert got.count() > 0, qid
         assert _rows(got, want.columns) == _rows(want, want.columns), qid
+
+
+@pytest.mark.parametrize("max_len", [None, 7], ids=["one-array", "chunked"])
+def test_collect_bounded(spark, ev, max_len):
+    from pyspark.sql import functions as F
+    got = ordered.collect_bounded(ev, "user_id", "value", ["ts", "event_id"], out_col="vals", max_len=max_len)
+    if max_len:
+        assert got.select(F.max(F.size("vals"))).first()[0] <= max_len
+    flat = got.select("user_id", F.explode("vals").alias("value"))
+    want = spark.sql("SELECT user_id, v AS value FROM (SELECT user_id, collect_list(value) AS vs FROM ev GROUP BY user_id) "
+                     "LATERAL VIEW explode(vs) t AS v")
+    assert _rows(flat, ["user_id", "value"]) == _rows(want, ["user_id", "value"])

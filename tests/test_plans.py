@@ -27,3 +27,18 @@ def test_flagship_scan_is_pruned(spark):
     assert "lineitem" not in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderdate" in plan or \
         "o_totalprice" not in plan
+
+
+def test_ordered_pair_count_emits_no_pairs(spark):
+    # Q11 counts (error, purchase) pairs with p.ts > e.ts per user and day:
+    # no join carries an order predicate, so no pairs are formed
+    for rows in (None, 0):
+        from fathom.operators import ordered
+        from pyspark.sql import functions as F
+        ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("_day", F.col("ts").cast("date"))
+        df = ordered.count_earlier_pairs(ev, ["user_id", "_day"], "ts", "event_id",
+                                         F.col("event_type") == "error", F.col("event_type") == "purchase",
+                                         max_group_rows=rows)
+        for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            if "Join" in line:
+                assert " > " not in line and " < " not in line, line

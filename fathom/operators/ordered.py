@@ -27,13 +27,15 @@ def ranks(df: DataFrame, group: str, order: str, tiebreak: str, descending: bool
     """Adds ``rn`` (row_number by order, tiebreak), ``rnk`` (rank) and ``drnk``
     (dense_rank) by ``order`` within ``group``."""
     o = F.col(order).desc() if descending else F.col(order).asc()
-    if groups_fit(df, [group], max_group_rows):
+    fit, sizes = groups_fit(df, [group], max_group_rows)
+    if fit:
         w = Window.partitionBy(group).orderBy(o)
         return df.select("*", F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("drnk"),
                          F.row_number().over(Window.partitionBy(group).orderBy(o, F.col(tiebreak))).cast("long")
                          .alias("rn"))
     desc = {order} if descending else set()
-    numbered = dense_position(df, [group], [order, tiebreak], out_col="rn", descending=desc, max_group_rows=0)
+    numbered = dense_position(df, [group], [order, tiebreak], out_col="rn", descending=desc, max_group_rows=0,
+                              sizes=sizes)
     # rank = first position of the value; dense rank = position of the value
     # among the group's distinct values (partially aggregated to one row per
     # (group, value) before any shuffle, and numbered from the input itself)
@@ -47,10 +49,11 @@ def neighbours(df: DataFrame, group: str, order_cols: list[str], value: str,
                max_group_rows: int | None = None) -> DataFrame:
     """Adds ``prev_value`` / ``next_value``: ``value`` of the row before and
     after in ``order_cols`` order within ``group`` (lag / lead)."""
-    if groups_fit(df, [group], max_group_rows):
+    fit, sizes = groups_fit(df, [group], max_group_rows)
+    if fit:
         w = Window.partitionBy(group).orderBy(*order_cols)
         return df.select("*", F.lag(value).over(w).alias("prev_value"), F.lead(value).over(w).alias("next_value"))
-    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0)
+    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0, sizes=sizes)
     prev = numbered.select(group, (F.col("_p") + 1).alias("_p"), F.col(value).alias("prev_value"))
     nxt = numbered.select(group, (F.col("_p") - 1).alias("_p"), F.col(value).alias("next_value"))
     out = join_null_safe(join_null_safe(numbered, prev, [group, "_p"]), nxt, [group, "_p"])
@@ -64,10 +67,11 @@ def rows_frame_sum(df: DataFrame, group: str, order_cols: list[str], value: str,
 
     Each row adds its value to its own position and the next ``preceding``
     ones; a partial aggregate per (group, position) sums them."""
-    if groups_fit(df, [group], max_group_rows):
+    fit, sizes = groups_fit(df, [group], max_group_rows)
+    if fit:
         w = Window.partitionBy(group).orderBy(*order_cols).rowsBetween(-preceding, 0)
         return df.select("*", F.sum(value).over(w).alias(out_col))
-    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0)
+    numbered = dense_position(df, [group], order_cols, out_col="_p", max_group_rows=0, sizes=sizes)
     shifts = F.array(*[F.col("_p") + i for i in range(preceding + 1)])
     sums = (numbered.select(group, F.explode(shifts).alias("_p"), value)
             .groupBy(group, "_p").agg(F.sum(value).alias(out_col)))
@@ -93,14 +97,15 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
             .select(*keys, ts, tiebreak,
                     F.when(is_right, F.lit(0)).when(is_left, F.lit(1)).alias("_kind"))
             .where(F.col("_kind").isNotNull()))
-    if groups_fit(rows, keys, max_group_rows):
+    fit, sizes = groups_fit(rows, keys, max_group_rows)
+    if fit:
         # left rows before each right row: a running count in the same order
         w = (Window.partitionBy(*keys).orderBy(ts, "_kind", tiebreak)
              .rowsBetween(Window.unboundedPreceding, -1))
         before = rows.select(*keys, "_kind", F.sum("_kind").over(w).alias("_earlier"))
         return (before.where(F.col("_kind") == 0).groupBy(keys[0])
                 .agg(F.sum("_earlier").cast("long").alias("n")).where(F.col("n") > 0))
-    both = dense_position(rows, keys, [ts, "_kind", tiebreak], out_col="_pa", max_group_rows=0)
+    both = dense_position(rows, keys, [ts, "_kind", tiebreak], out_col="_pa", max_group_rows=0, sizes=sizes)
     # exact in decimal: sums of positions of a hot group outgrow a long
     per_key = (both.where(F.col("_kind") == 0).groupBy(*keys)
                .agg(F.sum(F.col("_pa").cast("decimal(38,0)")).alias("_s"),
@@ -118,9 +123,11 @@ def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col:
     only the one or two middle rows of each group are kept from the dense
     positions, whose count table also gives the group size."""
     rows = df.where(F.col(value).isNotNull()).select(group, value, tiebreak)
-    if groups_fit(rows, [group], max_group_rows):
+    fit, sizes = groups_fit(rows, [group], max_group_rows)
+    if fit:
         return rows.groupBy(group).agg(F.median(value).alias(out_col))
-    numbered = dense_position(rows, [group], [value, tiebreak], out_col="_p", total_col="_tot", max_group_rows=0)
+    numbered = dense_position(rows, [group], [value, tiebreak], out_col="_p", total_col="_tot", max_group_rows=0,
+                              sizes=sizes)
     middle = numbered.where((F.col("_p") == F.floor((F.col("_tot") + 1) / 2)) | (F.col("_p") == F.floor(F.col("_tot") / 2) + 1))
     mid = middle.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     half = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.lit(0.5))
@@ -138,8 +145,9 @@ def collect_bounded(df: DataFrame, key: str, value: str, order_cols: list[str],
     from fathom.operators.position import WINDOW_GROUP_MAX_ROWS
     limit = WINDOW_GROUP_MAX_ROWS if max_len is None else max_len
     rows = df.where(F.col(value).isNotNull())
-    if groups_fit(rows, [key], limit):
+    fit, sizes = groups_fit(rows, [key], limit)
+    if fit:
         return df.groupBy(key).agg(F.collect_list(value).alias(out_col))
-    numbered = dense_position(rows, [key], order_cols, out_col="_p", max_group_rows=0)
+    numbered = dense_position(rows, [key], order_cols, out_col="_p", max_group_rows=0, sizes=sizes)
     return (numbered.groupBy(key, F.floor((F.col("_p") - 1) / limit).alias("_chunk"))
             .agg(F.collect_list(value).alias(out_col)).drop("_chunk"))

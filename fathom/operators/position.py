@@ -97,16 +97,18 @@ def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
     return int(r["n"] or 0), int(r["m"] or 0)
 
 
-def groups_fit(df: DataFrame, group_cols: list[str], max_rows: int | None = None) -> bool:
-    """True when every group fits one window partition."""
+def groups_fit(df: DataFrame, group_cols: list[str], max_rows: int | None = None) -> tuple[bool, tuple[int, int]]:
+    """(every group fits one window partition, the measured ``group_sizes``)."""
     limit = WINDOW_GROUP_MAX_ROWS if max_rows is None else max_rows
-    return group_sizes(df, group_cols)[1] <= limit
+    sizes = group_sizes(df, group_cols)
+    return sizes[1] <= limit, sizes
 
 
 def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    out_col: str = "row_pos", n_buckets: int | None = None,
                    descending: frozenset[str] | set[str] = frozenset(),
-                   total_col: str | None = None, max_group_rows: int | None = None) -> DataFrame:
+                   total_col: str | None = None, max_group_rows: int | None = None,
+                   sizes: tuple[int, int] | None = None) -> DataFrame:
     """Add ``out_col`` = 1..n within each group in ``order_cols`` order, i.e.
     ``row_number() OVER (PARTITION BY group_cols ORDER BY order_cols)``.
 
@@ -118,7 +120,8 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
     One small job first measures the largest group. When it fits one window
     partition (``max_group_rows``, default ``WINDOW_GROUP_MAX_ROWS``) the
-    plain window is used; the numbers are the same either way.
+    plain window is used; the numbers are the same either way. ``sizes``
+    passes a measurement already made on ``df`` (``group_sizes``).
 
     Buckets are ranges of the leading order key, cut at percentiles of a
     seeded sample of about ``SAMPLE_PER_BUCKET`` rows per bucket (a row count
@@ -138,7 +141,7 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
     desc = [c in descending for c in order_cols]
     order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
-    n, largest = group_sizes(df, group_cols)
+    n, largest = sizes if sizes is not None else group_sizes(df, group_cols)
     if largest <= (WINDOW_GROUP_MAX_ROWS if max_group_rows is None else max_group_rows):
         out = df.withColumn(out_col, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)).cast("long"))
         if total_col:

@@ -111,7 +111,7 @@ def test_exact_median(spark, ev, max_rows):
 def test_plan_choice_follows_the_largest_group(spark, ev):
     from fathom.operators import position
     assert position.group_sizes(ev, ["user_id"]) == (6000, 2000)
-    assert position.groups_fit(ev, ["user_id"], 2000) and not position.groups_fit(ev, ["user_id"], 1999)
+    assert position.groups_fit(ev, ["user_id"], 2000)[0] and not position.groups_fit(ev, ["user_id"], 1999)[0]
     plain = ordered.neighbours(ev, "user_id", ["ts", "event_id"], "value", max_group_rows=2000)
     assert "_b#" not in plain._jdf.queryExecution().executedPlan().toString()
 

@@ -92,7 +92,7 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
     kinds minus its position among right rows. Summed over the m right rows
     of a key group, the second term is 1 + ... + m. Only first keys with at
     least one pair are returned, as the inner join gives. Rows with a null
-    key or ts never pair."""
+    key or ts never pair. ``tiebreak`` is numeric and unique."""
     rows = (df.where(F.col(ts).isNotNull() & F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
             .select(*keys, ts, tiebreak,
                     F.when(is_right, F.lit(0)).when(is_left, F.lit(1)).alias("_kind"))
@@ -105,7 +105,12 @@ def count_earlier_pairs(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
         before = rows.select(*keys, "_kind", F.sum("_kind").over(w).alias("_earlier"))
         return (before.where(F.col("_kind") == 0).groupBy(keys[0])
                 .agg(F.sum("_earlier").cast("long").alias("n")).where(F.col("n") > 0))
-    both = dense_position(rows, keys, [ts, "_kind", tiebreak], out_col="_pa", max_group_rows=0, sizes=sizes)
+    # (kind, tiebreak) as one number that never decreases along that order
+    # (ties only where doubles round), so a hot ts value is split by the
+    # tiebreak rather than by two kinds; the tiebreak stays the last key
+    k2 = F.col("_kind") * F.lit(4e19) + F.col(tiebreak).cast("double")
+    both = dense_position(rows.withColumn("_k2", k2), keys, [ts, "_k2", tiebreak], out_col="_pa",
+                          max_group_rows=0, sizes=sizes)
     # exact in decimal: sums of positions of a hot group outgrow a long
     per_key = (both.where(F.col("_kind") == 0).groupBy(*keys)
                .agg(F.sum(F.col("_pa").cast("decimal(38,0)")).alias("_s"),

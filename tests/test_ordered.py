@@ -162,3 +162,18 @@ def test_collect_bounded(spark, ev, max_len):
     want = spark.sql("SELECT user_id, v AS value FROM (SELECT user_id, collect_list(value) AS vs FROM ev GROUP BY user_id) "
                      "LATERAL VIEW explode(vs) t AS v")
     assert _rows(flat, ["user_id", "value"]) == _rows(want, ["user_id", "value"])
+
+
+def test_pairs_with_a_hot_timestamp(spark):
+    # a third of the rows share one ts: the bucketed plan splits them by the tiebreak
+    from pyspark.sql import functions as F
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(i, 1 if i % 2 else 2, t if i % 3 == 0 else t + dt.timedelta(seconds=i % 500),
+             "error" if i % 5 < 2 else "purchase") for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string")
+    df.createOrReplaceTempView("ev3")
+    got = ordered.count_earlier_pairs(df.withColumn("_day", F.col("ts").cast("date")), ["user_id", "_day"], "ts",
+                                      "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase",
+                                      max_group_rows=0)
+    want = spark.sql(SQL_PAIRS.replace(" ev ", " ev3 "))
+    assert _rows(got, ["user_id", "n"]) == _rows(want, ["user_id", "n"])

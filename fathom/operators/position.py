@@ -14,6 +14,7 @@ by the in-bucket order equals the full order. Deterministic on recompute.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +45,10 @@ def _order_key(df: DataFrame, col: str, desc: bool) -> Column:
 
 
 # The most rows one window partition may take (larger groups
-# are split into ordered buckets), bucket count cap, and sample size per
-# bucket for the cut points.
+# are split into ordered buckets of about this size), bucket count cap, and
+# sample size per bucket for the cut points.
 WINDOW_GROUP_MAX_ROWS = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65536
 SAMPLE_PER_BUCKET = 100
 _SEED = 17
 
@@ -135,10 +136,6 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     order: the cut points only decide how even the buckets are, never the
     numbers.
     """
-    spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
     desc = [c in descending for c in order_cols]
     order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
     n, largest = sizes if sizes is not None else group_sizes(df, group_cols)
@@ -147,6 +144,12 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
         if total_col:
             out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
         return out
+    if n_buckets is None:
+        # enough buckets for the largest group to come out near the bound,
+        # and at least one per shuffle partition
+        n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")),
+                        -(-largest // WINDOW_GROUP_MAX_ROWS))
+    n_buckets = min(max(2, n_buckets), MAX_BUCKETS)
     staged = df.withColumn("_key", _order_key(df, order_cols[0], desc[0]))
     split_second = len(order_cols) > 1 and isinstance(
         df.schema[order_cols[1]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -155,8 +158,7 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(n, 1))
     sample = staged if fraction >= 1.0 else staged.sample(fraction=fraction, seed=_SEED)
     cuts = _cut_points(sample, "_key", n_buckets)
-    finite = _finite(cuts)
-    hot = sorted({c for c in finite if finite.count(c) > 1})
+    hot = sorted(c for c, k in Counter(_finite(cuts)).items() if k > 1)
     staged = _bucketize(staged, "_key", cuts, "_b", nulls_last=desc[0])
     if hot and split_second:
         # A hot value is the lower cut of its bucket, so its rows come first

@@ -41,6 +41,7 @@ def _order_key(df: DataFrame, col: str, desc: bool) -> Column:
     (last in a descending sort) are placed by ``_bucketize``. Ties are fine:
     a bucket only has to be non-decreasing along the order."""
     k = _numeric_key(df, col).cast("double")
+    k = F.when(k == 0, F.lit(0.0)).otherwise(k)   # -0.0 sorts equal to 0.0 in Spark, not in a binary search
     return F.when(F.isnan(k), F.lit(float("-inf"))).otherwise(-k) if desc else k
 
 
@@ -158,15 +159,26 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / max(n, 1))
     sample = staged if fraction >= 1.0 else staged.sample(fraction=fraction, seed=_SEED)
     cuts = _cut_points(sample, "_key", n_buckets)
-    hot = sorted(c for c, k in Counter(_finite(cuts)).items() if k > 1)
+    repeats = {c: k for c, k in Counter(_finite(cuts)).items() if k > 1}
+    hot = sorted(repeats)
     staged = _bucketize(staged, "_key", cuts, "_b", nulls_last=desc[0])
     if hot and split_second:
         # A hot value is the lower cut of its bucket, so its rows come first
         # there, in second-key order; every other row of that bucket follows.
+        # Sub-buckets come from second-key cut points over all sampled hot
+        # rows, folded to as many as the value's repeated cut points (its
+        # share in buckets): the count table stays about n_buckets rows per
+        # group however many values are hot. The hot table has at most
+        # n_buckets / 2 rows, so broadcasting it is bounded.
         sub_cuts = _cut_points(sample.where(F.col("_key").isin(*hot)), "_key2", n_buckets)
+        width = len(set(_finite(sub_cuts))) + 3   # Bucketizer values 0..n+1, nulls n+2
         staged = _bucketize(staged, "_key2", sub_cuts, "_sb2", nulls_last=desc[1])
-        staged = staged.withColumn("_sb", F.when(F.col("_key").isin(*hot), F.col("_sb2"))
-                                   .otherwise(F.lit(n_buckets + 1)).cast("int")).drop("_sb2")
+        need = df.sparkSession.createDataFrame([(float(v), int(k)) for v, k in repeats.items()],
+                                               "_hv double, _need int")
+        staged = staged.join(F.broadcast(need), F.col("_key") == F.col("_hv"), "left")
+        staged = staged.withColumn("_sb", F.when(F.col("_need").isNotNull(),
+                                                 F.floor(F.col("_sb2") * F.col("_need") / F.lit(width)))
+                                   .otherwise(F.lit(n_buckets + 1)).cast("int")).drop("_sb2", "_hv", "_need")
     else:
         staged = staged.withColumn("_sb", F.lit(0))
     local = Window.partitionBy(*group_cols, "_b", "_sb").orderBy(*order)

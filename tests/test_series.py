@@ -117,3 +117,19 @@ def test_temporal_x_is_numeric(spark):
     pairs = sorted(tuple(r) for r in series.numeric_pairs(df, None, "v", "t").select("row_pos", "x").collect())
     base = 1704067200 * 10 ** 6
     assert pairs == [(1, float(base)), (2, float(base + 10 ** 6)), (3, float(base + 2 * 10 ** 6))]
+
+
+def test_dense_position_many_hot_values_and_signed_zero(spark):
+    # a leading key with few distinct values (all hot for 64 buckets), one of
+    # them holding a third of the rows, and -0.0 next to 0.0
+    random.seed(21)
+    data = []
+    for i in range(12000):
+        k = 0.0 if i % 3 == 0 else float(random.randint(1, 20))
+        if i % 7 == 0:
+            k = -0.0
+        data.append(("g", k, random.randint(0, 10 ** 6) * 10000 + i))
+    df = spark.createDataFrame(data, "g string, k double, id long")
+    got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=64, max_group_rows=0)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())

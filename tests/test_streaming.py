@@ -48,3 +48,26 @@ def test_stream_all_tables_one_read(spark, tmp_path):
     bad = spark.read.parquet(f"{out}/rejects").where("kind = 'processed_datasets'")
     assert ok.count() + bad.count() == 4 and bad.count() == 1
     assert "batch_id" in ok.columns
+
+
+def test_replayed_batch_replaces_its_partition(spark, tmp_path):
+    # a micro-batch written twice (a retry after a failure) leaves one copy;
+    # another batch id is added next to it
+    from fathom.sources import sinks
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    reply = {"success": True, "result": {"results": [
+        {"title": f"d{j}", "notes": "n", "url": "", "metadata_created": "2024-01-01",
+         "groups": [{"name": "type-raw-data"}], "extras": [{"key": "qid", "value": f"Q{j}"}],
+         "resources": [{"name": "x.parquet", "url": f"u{j}", "format": "PARQUET", "description": "", "size": 1}]}
+        for j in range(3)]}}
+    (landing / "r.json").write_text(json.dumps(reply))
+    pk = feed.packages(feed.read_feed(spark, str(landing)))
+    out = str(tmp_path / "out")
+    sinks.publish_catalogue(pk, out, partition={"batch_id": 0})
+    sinks.publish_catalogue(pk, out, partition={"batch_id": 0})      # replay
+    assert spark.read.parquet(f"{out}/processed_datasets").count() == 3
+    sinks.publish_catalogue(pk, out, partition={"batch_id": 1})
+    got = spark.read.parquet(f"{out}/processed_datasets")
+    assert sorted((r["batch_id"], r["n"]) for r in got.groupBy("batch_id").count().withColumnRenamed("count", "n")
+                  .collect()) == [(0, 3), (1, 3)]

@@ -133,3 +133,13 @@ def test_dense_position_many_hot_values_and_signed_zero(spark):
     got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=64, max_group_rows=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
+
+
+def test_dense_position_total_on_both_plans(spark):
+    df = spark.createDataFrame([(g, float(i % 5), i) for i in range(300) for g in (["a"] if i % 3 else ["b", None])],
+                               "g string, k double, id long")
+    want = sorted((r["g"] or "", r["n"]) for r in df.groupBy("g").count().withColumnRenamed("count", "n").collect())
+    for rows in (None, 0):
+        got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=4, total_col="n", max_group_rows=rows)
+        assert sorted({((r["g"] or ""), r["n"]) for r in got.collect()}) == want
+        assert got.where("row_pos > n").count() == 0

@@ -143,3 +143,25 @@ def test_dense_position_total_on_both_plans(spark):
         got = position.dense_position(df, ["g"], ["k", "id"], n_buckets=4, total_col="n", max_group_rows=rows)
         assert sorted({((r["g"] or ""), r["n"]) for r in got.collect()}) == want
         assert got.where("row_pos > n").count() == 0
+
+
+def test_dense_position_buckets_are_balanced(spark, monkeypatch):
+    # exact is not enough: a hot group with a hot order value must spread
+    # over many window partitions of about even size
+    cap = {}
+    orig = position.join_null_safe
+
+    def spy(left, right, keys, how="left"):
+        if "_b" in keys:
+            cap["numbered"] = left
+        return orig(left, right, keys, how)
+    monkeypatch.setattr(position, "join_null_safe", spy)
+    n = 40000
+    df = (spark.range(n).withColumn("g", F.when(F.col("id") % 4 != 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")))
+          .withColumn("k", F.when((F.col("g") == "hot") & (F.col("id") % 5 < 2), F.lit(7.0))
+                      .otherwise((F.col("id") * 7919 % 100003).cast("double"))))
+    position.dense_position(df, ["g"], ["k", "id"], n_buckets=16, max_group_rows=0)
+    sizes = cap["numbered"].where("g = 'hot'").groupBy("_b", "_sb").count()
+    r = sizes.agg(F.count("*").alias("parts"), F.max("count").alias("largest")).first()
+    even = 30000 / 16
+    assert r["parts"] >= 12 and r["largest"] <= 3 * even, (r["parts"], r["largest"])

@@ -6,7 +6,10 @@ group in one window partition, and a self-join on ``g`` with an order
 predicate emits every pair of a group. Here row positions come from
 ``position.dense_position`` (ordered buckets, so a hot group spreads over
 many tasks), and everything else is an equi-join or aggregate on
-(group, position) keys, which are unique per row and hash evenly.
+(group, position) keys, which are unique per row and hash evenly. Rank is
+the exception: it joins each row to its value's first position on
+(group, value), where a much-repeated value is a skewed key that AQE's
+skew-join handling splits (the other side has one row per key).
 
 Each function first measures the largest group in one small job
 (``position.groups_fit``). When every group fits one window partition the

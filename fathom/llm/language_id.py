@@ -36,7 +36,7 @@ DIMS = 1 << 12
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 1_500
 CENTROIDS = 4
-MAX_DISTANCE = 0.97
+MAX_DISTANCE = 0.9
 PIECE = 1 << 20     # bytes of a text whose n-grams are counted at once
 _SPACES = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
 

@@ -3,9 +3,9 @@
 Documents with a common group key (here: equal texts) are linked. Every
 linked document starts in a shard given by its row id; then rounds of joins
 move documents towards the shard that holds most of their neighbours, under
-capacity quotas: a shard never takes more than its share of the rows. A full
-shard is closed and its documents stay, so a group larger than one shard
-fills one shard after the other. Documents without links are placed last,
+capacity quotas: a shard takes no more than its share of the rows. A full
+shard is closed to others, so a group larger than one shard fills one shard
+after the other. Documents without links are placed last,
 where room is left, and a final step moves the few documents over a quota,
 so the law holds exactly.
 
@@ -13,9 +13,9 @@ Law ``rows``: shard sizes in documents differ by at most one.
 
 A round works with the documents per (group, shard): a hot group is one row
 of counts, joined back to its documents with Spark's skew handling. The
-quotas come from a table of moves wanted by (to, gain level), at most
-shards x 64 rows on the driver. Where only some of a level's moves
-fit, a hash of the row id chooses them. Each round is stored, so a lost
+quotas work on a table of moves wanted by (from, to, gain level), at most
+shards x shards x 64 rows on the driver: what leaves a shard makes room in
+it, the highest gains go first. Where only some of a level's moves fit, a hash of the row id chooses them. Each round is stored, so a lost
 executor repeats one round.
 
 Null and empty texts are equal texts of one byte each. Repeated rows are
@@ -26,6 +26,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,38 +41,76 @@ def shard_quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
+def allowed_flows(asked: dict[tuple[int, int, int], int], held: list[int], quotas: list[int]) -> dict[tuple[int, int, int], float]:
+    """How many of the moves asked for, by (from, to, gain level), may go.
+
+    Two shards may always exchange as many as both sides ask for. Of the
+    rest, what comes into a shard is scaled down, again and again, to its room
+    and what leaves it. A pair's highest gains go first."""
+    shards = range(len(quotas))
+    wanted = [[float(sum(n for k, n in asked.items() if k[:2] == (a, b))) for b in shards] for a in shards]
+    swap = [[min(wanted[a][b], wanted[b][a]) for b in shards] for a in shards]
+    rest = [[wanted[a][b] - swap[a][b] for b in shards] for a in shards]
+    for _ in range(64):
+        for s in shards:
+            into, room = sum(rest[a][s] for a in shards), max(0, quotas[s] - held[s]) + sum(rest[s])
+            if into > room:
+                for a in shards:
+                    rest[a][s] *= room / into
+    # what scaling has not settled yet: room alone
+    for s in shards:
+        into, room = sum(rest[a][s] for a in shards), max(0, quotas[s] - held[s]) + sum(rest[s])
+        if into > room + 0.5:
+            for a in shards:
+                rest[a][s] *= max(0, quotas[s] - held[s]) / into
+    flow = {}
+    for a in shards:
+        for b in shards:
+            left = swap[a][b] + rest[a][b]
+            for k in sorted((k for k in asked if k[:2] == (a, b)), key=lambda k: -k[2]):
+                flow[k] = min(left, asked[k])
+                left -= flow[k]
+    return flow
+
+
 def propagate(members: DataFrame, shards: int, quotas: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(_row_id, _shard) of every row in ``members`` (_row_id, _group).
 
     Rows may be members of several groups; their neighbours are the members
     of all of these. A document moves only to a shard where it has more
     neighbours, or as many and a lower number, so no two documents swap for
-    ever. Stops when none moves, or after ``max_rounds``."""
+    ever. In each round the shard with most askers, if it could not take half
+    of them, is closed for as long as it is full: the others then look for
+    their next best. Stops when none asks, or after ``max_rounds``."""
+    spark = members.sparkSession
     state = store(members.withColumn("_shard", F.pmod(F.xxhash64(ROW_ID), F.lit(shards)).cast("int")), "shards")
+    # hashes choose who moves, so counts are met up to their spread
+    soft = [max(0, q - math.isqrt(9 * q)) for q in quotas]
+    closed = [False] * shards
     for round_ in range(max_rounds):
         counts = [F.count(F.when(F.col("_shard") == s, 1)).alias(f"_c{s}") for s in range(shards)]
         per_group = store(state.groupBy("_group").agg(*counts), "group-shards")
-        held = {r["_shard"]: r["n"] for r in state.groupBy("_shard").agg(F.count_distinct(ROW_ID).alias("n")).collect()}
-        room = [max(0, q - held.get(s, 0)) for s, q in enumerate(quotas)]
-        open_ = [r > q // CLOSED for r, q in zip(room, quotas)]
+        located = {r["_shard"]: r["n"] for r in state.select(ROW_ID, "_shard").distinct().groupBy("_shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = [located.get(s, 0) for s in range(shards)]
+        open_ = [not c or q - h > q // CLOSED for c, q, h in zip(closed, soft, held)]
         near = (state.join(per_group, "_group").groupBy(ROW_ID, "_shard").agg(*[F.sum(f"_c{s}").alias(f"_c{s}") for s in range(shards)]))
         # the count decides, then the lower shard; closed shards attract nobody
         score = F.array(*[F.when(F.lit(open_[s]) | (F.col("_shard") == s), F.col(f"_c{s}") * shards + (shards - 1 - s)).otherwise(-1) for s in range(shards)])
         wish = near.select(ROW_ID, "_shard", score.alias("_score")).withColumn("_most", F.array_max("_score"))
         wish = wish.select(ROW_ID, "_shard", (F.array_position("_score", F.col("_most")) - 1).cast("int").alias("_to"),
                            (F.col("_most") - F.element_at("_score", F.col("_shard") + 1)).alias("_gain")).where("_gain > 0")
-        wish = store(wish.select(ROW_ID, "_to", F.floor(F.log2("_gain")).cast("int").alias("_level")), "moves")
-        asked = wish.groupBy("_to", "_level").agg(F.count(F.lit(1)).alias("n")).collect()   # at most shards x 64 rows
-        share = {}
-        for r in sorted(asked, key=lambda r: -r["_level"]):
-            take = min(room[r["_to"]], r["n"])
-            share[r["_to"], r["_level"]] = take / r["n"]
-            room[r["_to"]] -= take
-        if not any(share.values()):
+        wish = store(wish.select(ROW_ID, F.col("_shard").alias("_from"), "_to", F.floor(F.log2("_gain")).cast("int").alias("_level")), "moves")
+        asked = {(r["_from"], r["_to"], r["_level"]): r["n"] for r in wish.groupBy("_from", "_to", "_level").agg(F.count(F.lit(1)).alias("n")).collect()}
+        flow = allowed_flows(asked, held, soft)
+        if not asked:
             break
-        rows = F.broadcast(members.sparkSession.createDataFrame([(*k, float(v)) for k, v in share.items()], "_to int, _level int, _share double"))
+        came = {s: (sum(n for k, n in asked.items() if k[1] == s), sum(n for k, n in flow.items() if k[1] == s)) for s in range(shards)}
+        closed = [c and not o for c, o in zip(closed, open_)]
+        if full := [s for s, (wanted, got) in came.items() if wanted > 2 * got]:
+            closed[max(full, key=lambda s: came[s][0])] = True
+        rows = F.broadcast(spark.createDataFrame([(*k, n / asked[k]) for k, n in flow.items()], "_from int, _to int, _level int, _share double"))
         dice = F.pmod(F.xxhash64(ROW_ID, F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        moved = wish.join(rows, ["_to", "_level"]).where(dice < F.col("_share")).select(ROW_ID, "_to")
+        moved = wish.join(rows, ["_from", "_to", "_level"]).where(dice < F.col("_share")).select(ROW_ID, "_to")
         state = store(state.join(moved, ROW_ID, "left").select(ROW_ID, "_group", F.coalesce("_to", "_shard").alias("_shard")), "shards")
     return state.select(ROW_ID, "_shard").distinct()
 

@@ -23,6 +23,7 @@ default.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,52 +35,72 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import ROW_ID, dense_positions, pylist, with_row_id
 
-CACHE = 200_000  # chunks, and words, whose ids a task remembers
+CACHE = 150_000  # words, and chunks, whose ids a task remembers, twice
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
+# The tokenizer's word pattern, as it reads plain text.
+PLAIN_TEXT = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-zß-öø-ÿ0-9]+")
+
+
+class _Memory:
+    """A bounded dict of two generations: what is used stays."""
+
+    def __init__(self, make) -> None:
+        self.make, self.young, self.old = make, {}, {}
+
+    def __getitem__(self, key: str) -> bytes:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
+
 
 class ChunkTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    No token spans a space, so a text's ids are those of its chunks between
-    spaces, and chunks and words that come again are looked up. A chunk goes
-    through the tokenizer's own normalizer, splitter and model; one that may
-    hold a special token is encoded whole."""
+    No token spans white space, so a text's ids are those of its words one
+    after the other, and words that come again are looked up. Text of ASCII
+    and Latin-1 letters is split by the tokenizer's own word pattern; any
+    other chunk between spaces goes through its normalizer, splitter and
+    model, and one that may hold a special token is encoded whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.chunks = _Memory(self._word), _Memory(self._chunk)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the splitter's spelling of the letters beyond ASCII
+        self.spelling = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def _ids(self, spelled: str) -> bytes:
+        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._ids(word if word.isascii() else word.translate(self.spelling))
 
     def _chunk(self, chunk: str) -> bytes:
         t = self.tokenizer
         if any(x in chunk for x in self.special):
             return np.array(t.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for word, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk)):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[word] = np.array([x.id for x in t.model.tokenize(word)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(self._ids(word) for word, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk)))
+
+    def _plain(self, text: str) -> bytes:
+        words, get = self.words, self.words.young.get
+        return b"".join([get(w) or words[w] for w in PLAIN_WORD.findall(text.lower())])
 
     def encode(self, text: str) -> bytes:
-        get, out = self.chunks.get, []
-        for chunk in text.split(" "):
-            ids = get(chunk)
-            if ids is None:
-                if len(self.chunks) >= CACHE:
-                    self.chunks.clear()
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    self.chunks[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        special = any(x in text for x in self.special)
+        if not special and PLAIN_TEXT.fullmatch(text):
+            return self._plain(text)
+        return b"".join([self._plain(c) if PLAIN_TEXT.fullmatch(c) and not (special and any(x in c for x in self.special))
+                         else self.chunks[c] if len(c) <= 64 else self._chunk(c) for c in text.split(" ")])
 
 
 def tokenizer(path: str) -> ChunkTokenizer:

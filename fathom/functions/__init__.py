@@ -1,7 +1,6 @@
 """Column expressions (all JVM built-ins, no Python UDFs)."""
 
-from fathom.functions.text import (blank_to_null, contains_ci, gap_to_null, is_strict_number,
-                                   search_any, strip_ws, to_number)
+from fathom.functions.text import contains_ci, gap_to_null, is_strict_number, search_any, strip_ws, to_number
 from fathom.functions.dates import (fmt_dataset_date, fmt_model_date, fmt_run_date,
                                     parse_dataset_date, parse_model_date, parse_run_date,
                                     relative_age)

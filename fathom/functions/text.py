@@ -43,14 +43,12 @@ def search_any(cols: list[Column | str], needle: str | None) -> Column:
     return cond
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def gap_to_null(c: Column) -> Column:
-    """Text form ``nan``, ``None`` or blank (or a NaN double) means no value."""
+    """Text ``nan``, ``None`` or blank, in this spelling, and a NaN number mean
+    no value."""
     txt = c.cast("string")
-    return F.when(c.isNull() | txt.isin(*GAP_TEXTS) | (F.lower(txt) == "nan"), F.lit(None)).otherwise(c)
+    nan_number = (F.typeof(c).isin("double", "float")) & (txt == "NaN")
+    return F.when(c.isNull() | txt.isin(*GAP_TEXTS) | nan_number, F.lit(None)).otherwise(c)
 
 
 # Pandas reads integer text as int64 / uint64 and rejects

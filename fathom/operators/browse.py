@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fathom.functions.text import search_any
 
 PAGE_SIZE = 10
-SIMPLE_PAGE_SIZE = 5
 
 
 def search(df: DataFrame, needle: str | None, cols: list[str]) -> DataFrame:
@@ -38,9 +37,20 @@ def page(df: DataFrame, order: list[Column], size: int = PAGE_SIZE, number: int
     return top.offset(size * (number - 1))
 
 
-def page_after(df: DataFrame, key_col: str, last_key, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
-    """B11, keyset form for deep pages: rows strictly after the last key shown."""
-    return df.where(F.col(key_col) < F.lit(last_key)).orderBy(*order).limit(size)
+def page_after(df: DataFrame, key: Column, last_key, last_ord, descending: bool, size: int = PAGE_SIZE, ord_col: str = "ord") -> DataFrame:
+    """B11, keyset form for deep pages: the ``size`` rows after the last one
+    shown, in the order (key, ord) of B8 (``descending`` key) or B9
+    (ascending key); ord always ascends, so rows that tie with the last one
+    are not lost. Null keys come last descending and first ascending, as
+    Spark sorts them. ``last_ord`` is any value comparable with ``ord_col``."""
+    o = last_ord if isinstance(last_ord, Column) else F.lit(last_ord)
+    tied = key.eqNullSafe(F.lit(last_key)) & (F.col(ord_col) > o)
+    if last_key is None:
+        beyond = F.lit(False) if descending else key.isNotNull()
+    else:
+        beyond = (key < F.lit(last_key)) | key.isNull() if descending else key > F.lit(last_key)
+    order = key.desc_nulls_last() if descending else key.asc_nulls_first()
+    return df.where(F.coalesce(beyond, F.lit(False)) | tied).orderBy(order, F.col(ord_col).asc()).limit(size)
 
 
 # Type filter options that keep every row, and the default badge.

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from fathom.session import cut_lineage
 
-# Fixed value: the most rows a checked side may have to be broadcast.
+# The most rows, and bytes as JSON text, a side may have to be broadcast.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``small`` hinted for broadcast when it has at most ``max_rows`` rows.
+def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``small`` hinted for broadcast when it is within both bounds.
 
     It is computed once into the shared checkpoint folder first, so the
-    count and the join read the stored rows instead of computing them twice.
-    Beyond the bound it stays a shuffle join, whose skewed partitions AQE
-    splits. Without RDD access (a Connect session) nothing is stored and the
-    choice is left to AQE's runtime size check."""
-    try:
-        stored = cut_lineage(small)
-    except Exception:  # noqa: BLE001 - no checkpoint support in this session
-        return small
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    measurement and the join read the stored rows instead of computing them
+    twice. Beyond a bound it stays a shuffle join, whose skewed partitions
+    AQE splits. A missing checkpoint folder is an error. Spark deletes the
+    stored files when the session no longer refers to them
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    stored = cut_lineage(small)
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(stored) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else stored

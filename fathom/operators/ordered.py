@@ -144,18 +144,17 @@ def exact_median(df: DataFrame, group: str, value: str, tiebreak: str, out_col:
 
 def collect_bounded(df: DataFrame, key: str, value: str, order_cols: list[str], out_col: str = "items",
                     max_len: int | None = None) -> DataFrame:
-    """``collect_list(value)`` per ``key`` (nulls skipped), in arrays of at
-    most ``max_len`` elements: one array per key when every key fits,
-    otherwise one per (key, run of ``max_len`` consecutive positions in
-    ``order_cols`` order), so no array holds a hot key's rows. Exploding
-    the arrays gives the same rows either way (a key with only null values
-    has an empty array in the first form and no row in the second)."""
+    """Non-null ``value`` per ``key`` in arrays of at most ``max_len``
+    elements: columns (key, chunk, ``out_col``), one row per key and run of
+    ``max_len`` consecutive positions in ``order_cols`` order, numbered from
+    0. No array holds a hot key's rows, and a key with null values only has
+    no row. The elements of one array have no fixed order."""
     from fathom.operators.position import WINDOW_GROUP_MAX_ROWS
     limit = WINDOW_GROUP_MAX_ROWS if max_len is None else max_len
     rows = df.where(F.col(value).isNotNull())
     fit, sizes = groups_fit(rows, [key], limit)
-    if fit:
-        return df.groupBy(key).agg(F.collect_list(value).alias(out_col))
+    if fit:     # every key is one chunk
+        return rows.groupBy(key).agg(F.collect_list(value).alias(out_col)).select(key, F.lit(0).cast("long").alias("chunk"), out_col)
     numbered = dense_position(rows, [key], order_cols, out_col="_p", max_group_rows=0, sizes=sizes)
-    return (numbered.groupBy(key, F.floor((F.col("_p") - 1) / limit).alias("_chunk"))
-            .agg(F.collect_list(value).alias(out_col)).drop("_chunk"))
+    return (numbered.groupBy(key, F.floor((F.col("_p") - 1) / limit).alias("chunk"))
+            .agg(F.collect_list(value).alias(out_col)))

@@ -135,7 +135,8 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
     shifted by the counts of the earlier (bucket, sub-bucket) pairs of their
     group, which is exact because the pair is non-decreasing in the full
     order: the cut points only decide how even the buckets are, never the
-    numbers.
+    numbers. A leading key that is neither a number nor a time (text, for
+    one) takes ``_range_position`` instead, with the same numbers.
     """
     desc = [c in descending for c in order_cols]
     order = [F.col(c).desc() if d else F.col(c).asc() for c, d in zip(order_cols, desc)]
@@ -145,6 +146,8 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
         if total_col:
             out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
         return out
+    if not isinstance(df.schema[order_cols[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _range_position(df, group_cols, order, out_col, total_col)
     if n_buckets is None:
         # enough buckets for the largest group to come out near the bound,
         # and at least one per shuffle partition
@@ -194,6 +197,25 @@ def dense_position(df: DataFrame, group_cols: list[str], order_cols: list[str],
             .drop("_key", "_key2", "_b", "_sb", "_r", "_off"))
 
 
+def _range_position(df: DataFrame, group_cols: list[str], order: list[Column], out_col: str, total_col: str | None) -> DataFrame:
+    """``dense_position`` for any sortable key: the rows are range-partitioned
+    by (group, order), which splits a hot group and a hot leading value alike,
+    and stored with their partition number. Rows are numbered inside (group,
+    partition) and shifted by the rows of the group's earlier partitions: at
+    most partitions + groups counts."""
+    from fathom.session import cut_lineage
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    placed = cut_lineage(df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order).withColumn("_b", F.spark_partition_id()))
+    numbered = placed.withColumn("_r", F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy(*order)))
+    before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    if total_col:
+        offsets = offsets.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
+    return (join_null_safe(numbered, offsets.drop("_n"), [*group_cols, "_b"])
+            .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_r", "_off"))
+
+
 def file_row_numbers(df: DataFrame, out_col: str = "row_num") -> DataFrame:
     """X9 for file scans: 1..n in file order across all files of ``df``.
 

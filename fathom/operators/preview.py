@@ -50,16 +50,18 @@ def isolated(spark: SparkSession) -> SparkSession:
 
 def query_dataset(spark: SparkSession, path: str, sql: str | None, fmt: str = "parquet") -> DataFrame:
     """S5 + P1 in an isolated session: ``path`` registered as ``df``, then the
-    user SQL (blank = default preview)."""
+    user SQL. Blank SQL is the default preview: the file's first rows in file
+    order."""
     s = isolated(spark)
-    register_dataset(s, path, fmt)
-    return run_sql(s, sql)
+    df = register_dataset(s, path, fmt)
+    return run_sql(s, sql) if (sql or "").strip() else file_order_head(df, DEFAULT_LIMIT)
 
 
 def wrap_user_sql(sql: str | None) -> str:
-    """blank = default preview; one trailing ``;`` is dropped; the text is
-    wrapped as a subquery, so CTEs and inner ORDER BY work while DDL or a
-    second statement fail to parse."""
+    """One trailing ``;`` is dropped; the text is wrapped as a
+    subquery, so CTEs and inner ORDER BY work while DDL or a second statement
+    fail to parse. Blank text is the default query, whose rows have no order:
+    where the file is known, ``query_dataset`` gives them in file order."""
     q = (sql or "").strip()
     if not q:
         return DEFAULT_QUERY
@@ -115,17 +117,17 @@ def shape_label(label: Column, n_cols: int) -> Column:
     return F.concat(label, F.lit(f" × {n_cols} columns"))
 
 
+def null_text(dt: T.DataType) -> str:
+    """A null's text by type."""
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "nan"
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "NaT"
+    return "None"
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Every column as text; nulls by type (numbers ``nan``, temporals
     ``NaT``, others ``None``), integers stay integers."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            null_txt = "nan"
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            null_txt = "NaT"
-        else:
-            null_txt = "None"
-        out.append(F.coalesce(c.cast("string"), F.lit(null_txt)).alias(f.name))
-    return df.select(*out)
+    return df.select(*[F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(null_text(f.dataType))).alias(f.name)
+                       for f in df.schema.fields])

@@ -142,13 +142,16 @@ def load_plan(runs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
             .where(F.col("e").isNotNull()).select("run_key", "qid", "e.*"))
 
 
-def replay(spark, url: str, query: str, limit: int = 500):
-    """A recorded transform run again on its source: the source is
-    registered as ``df`` and the query runs as user SQL; returns the total
-    row count job and the first ``limit`` rows (``preview.count_and_head``)."""
+def replay(spark, url: str, query: str | None, limit: int = 500):
+    """A recorded transform run again on its source, in a session of its
+    own: the total row count (one row) and the first ``limit`` rows. Without
+    a query the whole file is counted and the rows come in file order."""
     from fathom.operators import preview
-    preview.register_dataset(spark, url)
-    return preview.count_and_head(preview.run_sql(spark, query or None), limit)
+    s = preview.isolated(spark)
+    source = preview.register_dataset(s, url)
+    if not (query or "").strip():
+        return preview.count_and_head(source, limit)[0], preview.file_order_head(source, limit)
+    return preview.count_and_head(preview.run_sql(s, query), limit)
 
 
 def load_report(plan: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.text import gap_to_null, is_strict_number, to_number
+from fathom.operators.preview import null_text
 
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -27,20 +28,28 @@ def numeric_of(df: DataFrame, col: str) -> Column:
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("double")
     if isinstance(dt, T.NumericType):
         return c.cast("double")
     return to_number(c)
 
 
+def text_of(df: DataFrame, col: str) -> Column:
+    """D6 on a typed column: its text, nulls as ``nan`` for numbers, ``NaT``
+    for temporal values and ``None`` otherwise."""
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(null_text(df.schema[col].dataType)))
+
+
 def column_profile(files: DataFrame, columns: list[str]) -> DataFrame:
     """X10 + X11: one row per (file, column): ``"file: column"`` key, ordinal,
     row count, gap count and the strict numeric test (every value parses).
-    Numeric and temporal columns pass the test by type (D12).
+    Numeric, boolean and temporal columns pass the test by type (D7, D12).
 
     The columns are unpivoted with ``stack`` and aggregated per key: a partial
     aggregate, so a hot file never gathers in one task.
     """
-    typed = {c for c in columns if isinstance(files.schema[c].dataType, (T.NumericType, *_TEMPORAL))}
+    typed = {c for c in columns if isinstance(files.schema[c].dataType, (T.NumericType, T.BooleanType, *_TEMPORAL))}
     pairs = ", ".join(f"'{c}', {i}, CAST(`{c}` AS STRING), {'true' if c in typed else 'false'}"
                       for i, c in enumerate(columns))
     long = files.selectExpr("file_id", f"stack({len(columns)}, {pairs}) AS (column, ordinal, value, typed)")
@@ -72,12 +81,16 @@ def numeric_pairs(y_rows: DataFrame, x_rows: DataFrame | None, y_col: str, x_col
     return src.select("file_id", "row_pos", "x", "y")
 
 
-def position_labels(x_rows: DataFrame, x_col: str, label_col: str) -> DataFrame:
-    """Position -> label text; the last row with that position wins."""
-    return (x_rows.select(positions_of(numeric_of(x_rows, x_col)).alias("pos"), "row_pos",
-                          F.coalesce(F.col(label_col).cast("string"), F.lit("None")).alias("label"))
-            .where(F.col("pos").isNotNull())
-            .groupBy("pos").agg(F.max_by("label", "row_pos").alias("label")))
+def position_labels(x_rows: DataFrame, x_col: str, label_col: str, label_rows: DataFrame | None = None) -> DataFrame:
+    """Position -> label text; the last row with that position wins.
+    Labels from another file (``label_rows``) go by row position, cut to the
+    shorter file."""
+    pos = positions_of(numeric_of(x_rows, x_col)).alias("pos")
+    if label_rows is None:
+        rows = x_rows.select("row_pos", pos, text_of(x_rows, label_col).alias("label"))
+    else:
+        rows = x_rows.select("row_pos", pos).join(label_rows.select("row_pos", text_of(label_rows, label_col).alias("label")), "row_pos")
+    return rows.where(F.col("pos").isNotNull()).groupBy("pos").agg(F.max_by("label", "row_pos").alias("label"))
 
 
 def series_points(series_rows: DataFrame, x_col: str, y_col: str) -> DataFrame:
@@ -113,7 +126,14 @@ def sparse_align(labels: DataFrame, points: DataFrame, series_names: list[str])
 
 def category_zip(x_rows: DataFrame, y_rows: DataFrame, x_col: str, y_col: str) -> DataFrame:
     """Category axis: x text with y by row position, cut to the shorter
-    (inner join on position); the axis itself keeps every x."""
-    xs = x_rows.select("row_pos", F.coalesce(F.col(x_col).cast("string"), F.lit("None")).alias("x"))
+    (inner join on position); ``category_axis`` keeps every x."""
+    xs = x_rows.select("row_pos", text_of(x_rows, x_col).alias("x"))
     ys = y_rows.select("file_id", "row_pos", gap_to_null(F.col(y_col)).alias("y"))
     return ys.join(xs, "row_pos", "inner").select("file_id", "row_pos", "x", "y")
+
+
+def category_axis(x_rows: DataFrame, y_rows: DataFrame, x_col: str) -> DataFrame:
+    """Every x of the axis, with ``in_range``: the y file has a row there."""
+    xs = x_rows.select("row_pos", text_of(x_rows, x_col).alias("x"))
+    ys = y_rows.select("row_pos", F.lit(True).alias("_y"))
+    return xs.join(ys, "row_pos", "left").select("row_pos", "x", F.coalesce("_y", F.lit(False)).alias("in_range"))

@@ -42,6 +42,24 @@ def browse_runs_page(spark, sf_dir):
     return browse.page(hits, browse.newest_first("run_timestamp"), size=10).select("qid", "model_name", "run_timestamp")
 
 
+# ---------------------------------------------------------------- B11 keyset pages, both orders
+# the run timestamps have a date only, so many rows tie with the last one shown
+@register("browse_page_after", with_catalogue("""
+, r AS (SELECT x_qid AS qid, substring(x_run_timestamp, 1, 7) AS key, pkg_id FROM px WHERE grp = 'type-model-run')
+SELECT * FROM (SELECT 'newest' AS listing, qid, key, pkg_id AS feed_pos FROM r ORDER BY key DESC, pkg_id LIMIT 10 OFFSET 10)
+UNION ALL SELECT * FROM (SELECT 'a_to_z' AS listing, qid, key, pkg_id FROM r ORDER BY key, pkg_id LIMIT 10 OFFSET 10)
+"""))
+def browse_page_after(spark, sf_dir):
+    r = catalog.model_runs(_pkgs(spark, sf_dir)).select("qid", F.substring("run_timestamp", 1, 7).alias("key"), F.col("ord.pos").alias("ord"))
+    pages = []
+    for listing, descending in (("newest", True), ("a_to_z", False)):
+        order = [F.col("key").desc() if descending else F.col("key").asc(), F.col("ord").asc()]
+        shown = browse.page(r, order, size=10).collect()    # the page on the user's screen
+        nxt = browse.page_after(r, F.col("key"), shown[-1]["key"], shown[-1]["ord"], descending) if shown else r.limit(0)
+        pages.append(nxt.select(F.lit(listing).alias("listing"), "qid", "key", F.col("ord").alias("feed_pos")))
+    return pages[0].unionByName(pages[1])
+
+
 # ---------------------------------------------------------------- B6 B7 B10
 _BADGE = "coalesce(nullif(x_additional_type, ''), 'Dataset')"
 

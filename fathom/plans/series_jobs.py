@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.functions.text import NUMBER_RE
+from fathom.functions.text import gap_to_null
 from fathom.operators import series
 from fathom.plans.registry import register
+from fathom.session import read_table
 from fathom.sources import bindings
 from fathom.sources.bindings import SERIES_FILES_WITH_X, SERIES_LABEL_SQL, SERIES_X_SQL, SERIES_Y_SQL
 
@@ -26,13 +27,14 @@ def _with_series(body: str) -> str:
 
 
 _GAP = "CASE WHEN {0} IN ('', 'nan', 'None') THEN NULL ELSE {0} END"
-_NUM_RE = NUMBER_RE
+# the texts that occur here are plain decimals, gaps and words
+_NUM_RE = "^ *[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)? *$"
 
 
 # ---------------------------------------------------------------- X9 (dense positions)
 @register("series_positions", _with_series("""
 SELECT file_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(row_pos) AS BIGINT) AS first_pos,
-  CAST(max(row_pos) AS BIGINT) AS last_pos, CAST(sum(row_pos * row_pos) AS BIGINT) AS pos_sq_sum,
+  CAST(max(row_pos) AS BIGINT) AS last_pos, CAST(sum(CAST(row_pos AS HUGEINT) * row_pos) AS VARCHAR) AS pos_sq_sum,
   CAST(sum(CASE WHEN row_pos = 1 THEN length(label) ELSE 0 END) AS BIGINT) AS first_label_len,
   min(label) FILTER (WHERE row_pos = 7) AS label_at_7, min(y_text) FILTER (WHERE row_pos = 100) AS y_at_100
 FROM s GROUP BY file_id
@@ -41,7 +43,7 @@ def series_positions(spark, sf_dir):
     rows = bindings.series_rows(spark, sf_dir)
     return rows.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("row_pos").alias("first_pos"), F.max("row_pos").alias("last_pos"),
-        F.sum(F.col("row_pos") * F.col("row_pos")).cast("long").alias("pos_sq_sum"),
+        F.sum(F.col("row_pos").cast("decimal(19,0)") * F.col("row_pos").cast("decimal(18,0)")).cast("string").alias("pos_sq_sum"),
         F.sum(F.when(F.col("row_pos") == 1, F.length("label")).otherwise(0)).cast("long").alias("first_label_len"),
         F.min(F.when(F.col("row_pos") == 7, F.col("label"))).alias("label_at_7"),
         F.min(F.when(F.col("row_pos") == 100, F.col("y_text"))).alias("y_at_100"))
@@ -133,3 +135,38 @@ def series_category_zip(spark, sf_dir):
     rows = bindings.series_rows(spark, sf_dir)
     return series.category_zip(rows.where(F.col("file_id") == X_FILE), rows.where(F.col("file_id") == ZIP_FILE),
                                "label", "y_text")
+
+
+# ---------------------------------------------------------------- X13 spellings
+_SPELLED = ("CASE event_id % 7 WHEN 0 THEN 'nan' WHEN 1 THEN 'NaN' WHEN 2 THEN 'None' WHEN 3 THEN '' WHEN 4 THEN 'NAN' "
+            "WHEN 5 THEN 'none' ELSE event_type END")
+
+
+@register("series_gaps", f"""
+SELECT y, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN {_SPELLED} NOT IN ('', 'nan', 'None') THEN {_SPELLED} END AS y FROM events)
+GROUP BY y
+""")
+def series_gaps(spark, sf_dir):
+    y = read_table(spark, sf_dir, "events").select(gap_to_null(F.expr(_SPELLED)).alias("y"))
+    return y.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- X18 axis
+@register("series_axis", _with_series(f"""
+SELECT c.row_pos, c.label AS x, p.row_pos IS NOT NULL AS in_range
+FROM s c LEFT JOIN s p ON p.row_pos = c.row_pos AND p.file_id = '{ZIP_FILE}' WHERE c.file_id = '{X_FILE}'
+"""))
+def series_axis(spark, sf_dir):
+    rows = bindings.series_rows(spark, sf_dir)
+    return series.category_axis(rows.where(F.col("file_id") == X_FILE), rows.where(F.col("file_id") == ZIP_FILE), "label")
+
+
+# ---------------------------------------------------------------- X15 labels of another file
+@register("series_labels_other_file", _with_series(f"""
+SELECT CAST(trunc(c.x_auto_converted) AS BIGINT) AS pos, arg_max(p.label, c.row_pos) AS label
+FROM s c JOIN s p ON p.row_pos = c.row_pos AND p.file_id = '{ZIP_FILE}' WHERE c.file_id = '{X_FILE}' GROUP BY 1
+"""))
+def series_labels_other_file(spark, sf_dir):
+    rows = bindings.series_rows(spark, sf_dir)
+    return series.position_labels(rows.where(F.col("file_id") == X_FILE), "x_auto_converted", "label",
+                                  rows.where(F.col("file_id") == ZIP_FILE))

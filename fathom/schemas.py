@@ -63,20 +63,6 @@ RUN_META = T.StructType([
     ])),
 ])
 
-OBJECT_LISTING = T.StructType([
-    T.StructField("path", S), T.StructField("mtime", T.TimestampType()),
-    T.StructField("size_bytes", T.LongType()),
-])
-
-RUN_REQUEST = T.StructType([
-    T.StructField("request_id", S),
-    T.StructField("model_image", S),
-    T.StructField("model_tag", S),
-    T.StructField("input_data_files", T.ArrayType(T.ArrayType(S))),
-    T.StructField("config", S),
-    T.StructField("data_transformation_sql", T.ArrayType(S)),
-])
-
 # Published (REST) projections: only these fields leave the catalogue jobs.
 PUBLISHED = {
     "raw_datasets": ["path", "last_modified", "size_bytes"],

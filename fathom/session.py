@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -89,7 +90,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
         d = tempfile.mkdtemp(prefix="fathom-ckpt-")  # local runs only
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -99,19 +101,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# A table up to this many bytes of files may be dealt out anew.
+SPREAD_MAX_BYTES = 1 << 30
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one table. ``spread``: when the scan has fewer splits than the
-    cluster has task slots (a small file, or one row group), deal its rows
-    round-robin over the slots so the row-local work after it runs in
-    parallel. With real data the scan already has more splits than slots and
-    nothing is added."""
+    """Read one table. ``spread``: when its files hold at most
+    ``SPREAD_MAX_BYTES`` and the scan has fewer splits than the cluster has
+    task slots (a small file, or one row group), deal its rows round-robin
+    over the slots so the row-local work after it runs in parallel. A larger
+    table is never shuffled for this."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        try:
-            slots = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session): leave as read
-            return df
-        if splits < slots:
+    if spread and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_MAX_BYTES:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
             df = df.repartition(slots)
     return df

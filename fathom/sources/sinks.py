@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.operators import catalog
 
@@ -19,42 +21,66 @@ def catalogue_tables(pkgs: DataFrame, base: str = catalog.DEFAULT_DOIP_BASE) ->
 
 
 def publish_catalogue(pkgs: DataFrame, root: str, base: str = catalog.DEFAULT_DOIP_BASE,
-                      mode: str = "overwrite", partition: dict[str, object] | None = None) -> None:
-    """The four published tables (valid rows, declared fields only) and
-    one rejects table (ord, kind, reason), written as Parquet under
-    ``root/<table>``. Each table is one pass over the packages and the
-    rejects one more; valid + rejected = input per table.
-
-    ``partition`` adds constant partition columns (e.g. a micro-batch id).
-    Overwrites then replace only those partitions (dynamic overwrite), so a
-    retried batch replaces its own output and leaves other batches alone."""
+                      mode: str = "overwrite", partition: dict[str, object] | None = None,
+                      kinds: list[str] | None = None) -> None:
+    """The published tables (valid rows, declared fields only; all four
+    or only ``kinds``) and one rejects table (ord, kind, reason), written as
+    Parquet under ``root/<table>``; valid + rejected = input per table. The
+    packages are kept on the executors' disks meanwhile, so the feed is
+    parsed once.
+
+    Without ``partition`` a table is replaced whole, rejects of an earlier
+    publication included. ``partition`` adds constant partition columns (e.g.
+    a micro-batch id). Overwrites then replace only those partitions (dynamic
+    overwrite), so a retried batch replaces its own output and leaves other
+    batches alone."""
     root = root.rstrip("/")
     part = partition or {}
     cols = [F.lit(v).alias(k) for k, v in part.items()]
 
     def write(df: DataFrame, name: str, by: list[str]) -> None:
-        (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if part else "static")
          .partitionBy(*by).parquet(f"{root}/{name}"))
 
-    for kind, rows in catalogue_tables(pkgs, base).items():
-        ok, _ = catalog.split_rejects(rows)
-        write(ok.select(*catalog.PUBLISHED[kind], *cols), kind, list(part))
-    write(catalog.reject_reasons(pkgs).select("ord", "kind", "reason", *cols), "rejects", [*part, "kind"])
+    kept = pkgs.persist(StorageLevel.DISK_ONLY)
+    try:
+        for kind, rows in catalogue_tables(kept, base).items():
+            if kinds is None or kind in kinds:
+                ok, _ = catalog.split_rejects(rows)
+                write(ok.select(*catalog.PUBLISHED[kind], *cols), kind, list(part))
+        rejects = catalog.reject_reasons(kept)
+        if kinds is not None:
+            rejects = rejects.where(F.col("kind").isin(*kinds))
+        write(rejects.select("ord", "kind", "reason", *cols), "rejects", [*part, "kind"])
+    finally:
+        kept.unpersist()
+
+
+def write_feed_rejects(envelopes: DataFrame, root: str, batch_id: int) -> None:
+    """Failed replies of one micro-batch (src, error), under its batch id."""
+    from fathom.sources import feed
+    (feed.feed_rejects(envelopes).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root.rstrip('/')}/feed_rejects"))
 
 
 def write_sidecar_table(sidecars: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Sidecars stored by shard folders, so a point lookup by run id
-    prunes to one partition instead of scanning the store."""
+    prunes to one partition instead of scanning the store. Rows are brought
+    together by shard first (large shards are split again), so a task writes
+    few folders."""
     from fathom.operators.listing import qid_from_path, shard_path
     parts = F.split(shard_path(qid_from_path(F.col("path"))), "/")
-    (sidecars.withColumn("s1", parts[0]).withColumn("s2", parts[1])
+    (sidecars.withColumn("s1", parts[0]).withColumn("s2", parts[1]).hint("rebalance", "s1", "s2")
      .write.mode(mode).partitionBy("s1", "s2").parquet(root))
 
 
 def lookup_sidecar(spark, root: str, run_id: str) -> DataFrame:
-    """L11 point form: partition-pruned read of one run's sidecar."""
+    """L11 point form: partition-pruned read of one run's sidecar. An id of
+    any form without a sidecar gives no row."""
     from fathom.operators.listing import sidecar_lookup_path
     path_col = sidecar_lookup_path(F.lit(run_id))
     parts = F.split(path_col, "/")
-    df = spark.read.parquet(root)
+    shards = ("s1", "s2")   # text such as "05", not the numbers that reading would infer
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in shards else f for f in spark.read.parquet(root).schema])
+    df = spark.read.schema(schema).parquet(root)
     return df.where((F.col("s1") == parts[0]) & (F.col("s2") == parts[1]) & (F.col("path") == path_col))

@@ -9,6 +9,7 @@ restart after executor or driver loss.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,56 +17,44 @@ from pyspark.sql.streaming import StreamingQuery
 from fathom.operators import catalog
 from fathom.schemas import FEED_ENVELOPE
 from fathom.session import checkpoint_dir
+from fathom.sources import feed, sinks
 
 
-def stream_packages(spark: SparkSession, landing: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming package rows from reply files (one JSON document per file)."""
+def stream_envelopes(spark: SparkSession, landing: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming reply envelopes with their file (one JSON document per file)."""
     env = (spark.readStream.schema(FEED_ENVELOPE).option("multiLine", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(landing))
-    ok = env.where(F.coalesce(F.col("success"), F.lit(False))).select(
-        F.col("_metadata.file_path").alias("src"), F.posexplode("result.results").alias("pos", "p"))
-    return ok.select(F.struct("src", F.col("pos").cast("long").alias("pos")).alias("ord"), "p.*")
+    return env.select("*", F.col("_metadata.file_path").alias("src"))
 
 
-def start_publish(spark: SparkSession, landing: str, out_root: str, kind: str = "processed_datasets",
+def start_publish(spark: SparkSession, landing: str, out_root: str, kind: str | None = "processed_datasets",
                   checkpoint: str | None = None, trigger_once: bool = False,
                   base: str = catalog.DEFAULT_DOIP_BASE) -> StreamingQuery:
-    """Append one published table (valid rows) as reply files arrive.
+    """Publish one table (or all four, with ``kind`` None) as reply files
+    arrive, with the rejected rows in ``rejects`` and the failed replies in
+    ``feed_rejects``: nothing that arrives is lost.
+
+    One read per micro-batch (``foreachBatch``). Each batch writes under its
+    own ``batch_id`` partition with dynamic overwrite, so a batch replayed
+    after a failure replaces its earlier partial output instead of
+    duplicating it. The checkpoint goes under the session's shared checkpoint
+    folder unless one is given."""
+    def publish_batch(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            sinks.publish_catalogue(feed.packages(kept), out_root, base, partition={"batch_id": batch_id},
+                                    kinds=None if kind is None else [kind])
+            sinks.write_feed_rejects(kept, out_root, batch_id)
+        finally:
+            kept.unpersist()
 
-    The checkpoint goes under the session's shared checkpoint folder unless
-    one is given."""
-    pk = stream_packages(spark, landing)
-    builders = {
-        "processed_datasets": lambda p: catalog.processed_datasets(p, base),
-        "raw_datasets": catalog.raw_datasets,
-        "models": lambda p: catalog.models(p, base),
-        "model_runs": lambda p: catalog.model_runs(p, base),
-    }
-    ok, _ = catalog.split_rejects(builders[kind](pk))
-    out = catalog.publish(ok, kind)
-    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{kind}"
-    w = (out.writeStream.format("parquet").option("path", f"{out_root.rstrip('/')}/{kind}")
-         .option("checkpointLocation", ck).outputMode("append"))
+    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{kind or 'catalogue'}"
+    w = stream_envelopes(spark, landing).writeStream.foreachBatch(publish_batch).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def start_publish_all(spark: SparkSession, landing: str, out_root: str, checkpoint: str | None = None,
                       trigger_once: bool = False, base: str = catalog.DEFAULT_DOIP_BASE) -> StreamingQuery:
-    """All four published tables and the rejects table from one read per
-    micro-batch (``foreachBatch``). Each batch writes under its own
-    ``batch_id`` partition with dynamic overwrite, so a batch replayed after
-    a failure replaces its earlier partial output instead of duplicating it."""
-    from fathom.sources import sinks
-
-    def publish_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()      # five writes over one batch: parse the files once
-        try:
-            sinks.publish_catalogue(batch, out_root, base, partition={"batch_id": batch_id})
-        finally:
-            batch.unpersist()
-
-    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-catalogue"
-    w = stream_packages(spark, landing).writeStream.foreachBatch(publish_batch).option("checkpointLocation", ck)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
-    return w.start()
+    """All four published tables, the rejects and the failed replies."""
+    return start_publish(spark, landing, out_root, None, checkpoint, trigger_once, base)

@@ -151,10 +151,28 @@ def test_group_cap_is_ordered_top_k(pkgs):
     assert [r["title"] for r in capped.collect()] == ["A", "B"]
 
 
-def test_keyset_paging(spark):
-    df = spark.range(1, 26).withColumn("ord", F.col("id"))
-    order = [F.col("id").desc()]
-    p1 = [r["id"] for r in browse.page(df, order, size=10).collect()]
-    p2 = [r["id"] for r in browse.page_after(df, "id", p1[-1], order, size=10).collect()]
-    p2b = [r["id"] for r in browse.page(df, order, size=10, number=2).collect()]
-    assert p1 == list(range(25, 15, -1)) and p2 == p2b == list(range(15, 5, -1))
+@pytest.mark.parametrize("descending", [True, False])
+def test_keyset_paging_walks_every_row_once(spark, descending):
+    # 15 of 25 rows tie, two keys are null
+    rows = [(i, None if i in (3, 9) else 7 if i % 5 < 3 else i) for i in range(25)]
+    df = spark.createDataFrame(rows, "ord long, k long")
+    order = [F.col("k").desc_nulls_last() if descending else F.col("k").asc_nulls_first(), F.col("ord")]
+    want = [r["ord"] for r in df.orderBy(*order).collect()]
+    got = [r for r in browse.page(df, order, size=4).collect()]
+    while True:
+        more = browse.page_after(df, F.col("k"), got[-1]["k"], got[-1]["ord"], descending, size=4).collect()
+        got += more
+        if len(more) < 4:
+            break
+    assert [r["ord"] for r in got] == want
+
+
+def test_republish_replaces_old_rejects(pkgs, spark, tmp_path):
+    from fathom.sources import sinks
+    _, p = pkgs
+    out = str(tmp_path / "pub")
+    sinks.publish_catalogue(p, out)
+    assert spark.read.parquet(f"{out}/rejects").count() > 0
+    sinks.publish_catalogue(p.limit(0), out)
+    assert list((tmp_path / "pub/rejects").rglob("*.parquet")) == []
+    assert spark.read.parquet(f"{out}/raw_datasets").count() == 0

@@ -40,8 +40,11 @@ def test_strict_number_and_coercion(spark):
 
 
 def test_gap_to_null(spark):
-    df = one_col(spark, ["nan", "None", "", "0", "x"])
-    assert [r[0] for r in df.select(text.gap_to_null(F.col("v"))).collect()] == [None, None, None, "0", "x"]
+    # only these spellings of text are gaps; a NaN number is one
+    df = one_col(spark, ["nan", "None", "", "0", "x", "NaN", "NAN", "none"])
+    assert [r[0] for r in df.select(text.gap_to_null(F.col("v"))).collect()] == [None, None, None, "0", "x", "NaN", "NAN", "none"]
+    numbers = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "v double")
+    assert [r[0] for r in numbers.select(text.gap_to_null(F.col("v"))).collect()] == [1.5, None, None]
 
 
 def test_dataset_dates_keep_date_only(spark):

@@ -122,10 +122,12 @@ def test_broadcast_only_after_size_check(spark, ev):
     types = ev.groupBy("event_type").agg(F.avg("value").alias("a"))
     small = ev.join(broadcast_if_small(types), "event_type")
     over = ev.join(broadcast_if_small(types, max_rows=1), "event_type")
+    large = ev.join(broadcast_if_small(types, max_bytes=10), "event_type")
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" not in over._jdf.queryExecution().executedPlan().toString()
+        for df in (over, large):
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert _rows(small, small.columns) == _rows(over, over.columns)
@@ -156,6 +158,7 @@ def test_set_queries_equal_sql(spark, tmp_path):
 def test_collect_bounded(spark, ev, max_len):
     from pyspark.sql import functions as F
     got = ordered.collect_bounded(ev, "user_id", "value", ["ts", "event_id"], out_col="vals", max_len=max_len)
+    assert got.columns == ["user_id", "chunk", "vals"]
     if max_len:
         assert got.select(F.max(F.size("vals"))).first()[0] <= max_len
     flat = got.select("user_id", F.explode("vals").alias("value"))

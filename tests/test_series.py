@@ -108,6 +108,28 @@ def test_pairs_zip_and_profile(spark):
     assert prof["y: v"]["is_numeric"] is True and prof["y: v"]["n_gaps"] == 1
 
 
+def test_axis_labels_of_another_file_nulls_and_booleans(spark):
+    x = spark.createDataFrame([("x", 1, 0.5, True), ("x", 2, 1.5, None), ("x", 3, 1.9, False), ("x", 4, None, True)], "file_id string, row_pos long, xv double, b boolean")
+    y = spark.createDataFrame([("y", 1, 10), ("y", 2, None), ("y", 3, 30)], "file_id string, row_pos long, v long")
+    assert sorted(tuple(r) for r in series.category_axis(x, y, "xv").collect()) == [(1, "0.5", True), (2, "1.5", True), (3, "1.9", True), (4, "nan", False)]
+    assert sorted(tuple(r) for r in series.position_labels(x, "xv", "v", y).collect()) == [(0, "10"), (1, "30")]
+    assert sorted(tuple(r) for r in series.position_labels(x, "xv", "xv").collect()) == [(0, "0.5"), (1, "1.9")]
+    prof = {r["column"]: r["is_numeric"] for r in series.column_profile(x, ["xv", "b"]).collect()}
+    assert prof == {"xv": True, "b": True}
+    assert [r["n"] for r in x.orderBy("row_pos").select(series.numeric_of(x, "b").alias("n")).collect()] == [1.0, None, 0.0, 1.0]
+
+
+def test_dense_position_text_key_on_both_plans(spark):
+    rows = [(("hot" if i % 3 else "g") if i % 50 else None, None if i % 41 == 0 else "a" if i % 4 == 0 else chr(98 + i % 20) * (i % 3 + 1), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k string, id long")
+    for desc in (set(), {"k"}):
+        o = F.col("k").desc() if desc else F.col("k").asc()
+        want = sorted((r["id"], r["rn"]) for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(o, "id"))).collect())
+        for limit in (None, 0):
+            got = position.dense_position(df, ["g"], ["k", "id"], descending=desc, max_group_rows=limit, total_col="n")
+            assert sorted((r["id"], r["row_pos"]) for r in got.collect()) == want
+
+
 def test_temporal_x_is_numeric(spark):
     import datetime as dt
     rows = [("f", i + 1, dt.datetime(2024, 1, 1, 0, 0, i), str(i)) for i in range(3)]

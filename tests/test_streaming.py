@@ -22,11 +22,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q = catalogue_stream.start_publish(spark, str(landing), out, "processed_datasets",
                                        checkpoint=str(tmp_path / "ck"), trigger_once=True)
     q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/processed_datasets").collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/processed_datasets").drop("batch_id").collect())
     batch_pk = feed.packages(feed.read_feed(spark, str(landing)))
     ok, _ = catalog.split_rejects(catalog.processed_datasets(batch_pk))
     want = sorted(tuple(r) for r in catalog.publish(ok, "processed_datasets").collect())
     assert got == want and len(got) == 12
+    # the failed reply is kept, not lost
+    bad = spark.read.parquet(f"{out}/feed_rejects").collect()
+    assert [(r["src"].rsplit("/", 1)[1], r["error"]) for r in bad] == [("bad.json", "x")]
+
+
+def test_stream_of_one_table_keeps_its_rejects(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    package = {"title": "d", "notes": "n", "url": "", "metadata_created": "2024-01-01", "groups": [{"name": "type-raw-data"}],
+               "extras": [{"key": "qid", "value": "Q1"}], "resources": [{"name": "x.parquet", "url": "u", "format": None, "description": "", "size": 1}]}
+    (landing / "r.json").write_text(json.dumps({"success": True, "result": {"results": [package]}}))
+    out = str(tmp_path / "out")
+    q = catalogue_stream.start_publish(spark, str(landing), out, "processed_datasets", checkpoint=str(tmp_path / "ck"), trigger_once=True)
+    q.awaitTermination(120)
+    assert list((tmp_path / "out/processed_datasets").rglob("*.parquet")) == []
+    assert {r["kind"] for r in spark.read.parquet(f"{out}/rejects").collect()} == {"processed_datasets"}
 
 
 def test_stream_all_tables_one_read(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import search_any
+from fathom.operators.joins import broadcast_if_small
 
 PAGE_SIZE = 10
 
@@ -94,10 +95,19 @@ def facets(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def facets_with_total(df: DataFrame) -> DataFrame:
+    """B7 + B10: the facets and their total (badge ``All Types``) in one pass."""
+    named = df.select(badge(F.col("additional_type")).alias("_badge"))
+    return (named.rollup("_badge").agg(F.count(F.lit(1)).alias("n"), F.grouping("_badge").alias("_all"))
+            .select(F.when(F.col("_all") == 1, F.lit(ALL_TYPES[0])).otherwise(F.col("_badge")).alias("badge"), "n"))
+
+
 def select_rows(df: DataFrame, selected: DataFrame, key: str = "qid") -> DataFrame:
     """Catalogue rows whose key is selected, in catalogue order (semi join:
-    duplicates in ``selected`` never multiply rows)."""
-    return df.join(selected.select(key), key, "left_semi")
+    duplicates in ``selected`` never multiply rows). The picks are stored and
+    measured first: broadcast when small, else joined by key with AQE splitting
+    a hot key (many datasets have a blank one)."""
+    return df.join(broadcast_if_small(selected.select(key).distinct()), key, "left_semi")
 
 
 def first_by(df: DataFrame, key: str, order: str = "ord") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.rows import explode_kept
 from fathom.operators.catalog import DEFAULT_DOIP_BASE
+from fathom.operators.joins import broadcast_if_small
 
 # Status classes (case-insensitive) and the log file name.
 STATUS_CLASSES = [
@@ -54,21 +54,18 @@ def resolve_inputs(runs: DataFrame, names: DataFrame, key: str = "ord",
     """Each input qid to its dataset name; the qid itself when unknown or the
     name is blank. Order and duplicates are kept.
 
-    Plan: explode (position kept) -> left join to the one-row-per-qid name map
-    (AQE broadcasts it when its measured size is small, else sort-merge) ->
-    re-nest per run in position order -> join back. Runs without inputs keep
-    an empty list.
-    """
-    ex = explode_kept(runs, [key], F.col(qids_col), "_pos", "_q")
-    named = (ex.join(names, ex["_q"] == names["qid"], "left")
-             .select(key, "_pos",
-                     F.when(F.coalesce(F.col("_name"), F.lit("")) != "", F.col("_name"))
-                     .otherwise(F.col("_q")).alias("_n")))
-    nested = (named.groupBy(key)
-              .agg(F.sort_array(F.collect_list(F.struct("_pos", "_n"))).alias("_l"))
-              .select(key, F.transform("_l", lambda e: e["_n"]).alias(out_col)))
-    return (runs.join(nested, key, "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))))
+    The run rows are exploded whole (an outer explode: runs without inputs
+    keep an empty list), joined to the one-row-per-qid name map and grouped
+    back, so the runs are computed once. The name map is stored and measured:
+    broadcast when small, else joined with AQE splitting a hot dataset."""
+    ex = runs.select(F.struct(*runs.columns).alias("_run"), F.posexplode_outer(F.col(qids_col)).alias("_pos", "_q"))
+    small = broadcast_if_small(names)
+    named = ex.join(small, ex["_q"] == small["qid"], "left").select(
+        F.col("_run").getField(key).alias("_key"), "_run",
+        F.when(F.col("_pos").isNotNull(), F.struct(
+            "_pos", F.when(F.coalesce(F.col("_name"), F.lit("")) != "", F.col("_name")).otherwise(F.col("_q")).alias("_n"))).alias("_e"))
+    nested = named.groupBy("_key").agg(F.any_value("_run").alias("_run"), F.sort_array(F.collect_list("_e")).alias("_l"))
+    return nested.select("_run.*", F.transform("_l", lambda e: e["_n"]).alias(out_col))
 
 
 def enrich_runs(runs: DataFrame, datasets: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:

@@ -37,7 +37,7 @@ FROM px WHERE grp = 'type-model-run'
 ORDER BY x_run_timestamp DESC, pkg_id LIMIT 10
 """))
 def browse_runs_page(spark, sf_dir):
-    r = catalog.model_runs(_pkgs(spark, sf_dir))
+    r = catalog.model_runs(_pkgs(spark, sf_dir, resources=False))
     hits = browse.search(r, RUN_NEEDLE, ["model_name", "qid"])
     return browse.page(hits, browse.newest_first("run_timestamp"), size=10).select("qid", "model_name", "run_timestamp")
 
@@ -50,7 +50,7 @@ SELECT * FROM (SELECT 'newest' AS listing, qid, key, pkg_id AS feed_pos FROM r O
 UNION ALL SELECT * FROM (SELECT 'a_to_z' AS listing, qid, key, pkg_id FROM r ORDER BY key, pkg_id LIMIT 10 OFFSET 10)
 """))
 def browse_page_after(spark, sf_dir):
-    r = catalog.model_runs(_pkgs(spark, sf_dir)).select("qid", F.substring("run_timestamp", 1, 7).alias("key"), F.col("ord.pos").alias("ord"))
+    r = catalog.model_runs(_pkgs(spark, sf_dir, resources=False)).select("qid", F.substring("run_timestamp", 1, 7).alias("key"), F.col("ord.pos").alias("ord"))
     pages = []
     for listing, descending in (("newest", True), ("a_to_z", False)):
         order = [F.col("key").desc() if descending else F.col("key").asc(), F.col("ord").asc()]
@@ -74,12 +74,8 @@ SELECT 'All Types', CAST(count(*) AS BIGINT),
 FROM px WHERE grp = 'type-raw-data'
 """))
 def browse_type_facets(spark, sf_dir):
-    ds = catalog.processed_datasets(_pkgs(spark, sf_dir))
-    per = browse.facets(ds)
-    total = browse.type_filter(ds, "All Types").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("All Types").alias("badge"), "n")
-    both = per.unionByName(total)
-    return both.select("badge", "n", browse.count_label(F.col("n"), "dataset").alias("label"))
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False))
+    return browse.facets_with_total(ds).select("badge", "n", browse.count_label(F.col("n"), "dataset").alias("label"))
 
 
 @register("browse_type_filter", with_catalogue(f"""
@@ -87,7 +83,7 @@ SELECT x_qid AS qid, coalesce(title, '') AS name, {_BADGE} AS badge
 FROM px WHERE grp = 'type-raw-data' AND {_BADGE} = 'incidence'
 """))
 def browse_type_filter(spark, sf_dir):
-    ds = catalog.processed_datasets(_pkgs(spark, sf_dir))
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False))
     return browse.type_filter(ds, "incidence").select("qid", "name", browse.badge(F.col("additional_type")).alias("badge"))
 
 
@@ -98,7 +94,7 @@ FROM px WHERE grp = 'type-raw-data'
   AND x_qid IN (SELECT 'Q' || CAST(c_custkey * 7 AS STRING) FROM customer UNION ALL SELECT 'Q' || CAST(c_custkey * 7 AS STRING) FROM customer)
 """))
 def browse_selection(spark, sf_dir):
-    ds = catalog.processed_datasets(_pkgs(spark, sf_dir))
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False))
     cust = read_table(spark, sf_dir, "customer")
     sel = cust.select(F.concat(F.lit("Q"), (F.col("c_custkey") * 7).cast("string")).alias("qid"))
     sel = sel.unionByName(sel)  # a repeated pick must not repeat the row
@@ -198,6 +194,8 @@ def dates_runs(spark, sf_dir):
 , names AS (SELECT x_qid AS qid, arg_max(coalesce(title, ''), pkg_id) AS name FROM px WHERE grp = 'type-raw-data' GROUP BY x_qid),
 r AS (SELECT pkg_id, x_qid AS qid, x_status AS status,
         EXISTS (SELECT 1 FROM pkg_resources z WHERE z.pkg_id = px.pkg_id AND description = 'Output file') AS has_out,
+        (SELECT url FROM pkg_resources z WHERE z.pkg_id = px.pkg_id AND description = 'Output file' AND contains(url, 'run.log')
+         ORDER BY pos LIMIT 1) AS log_file,
         CASE WHEN x_input_dataset_qids = '' THEN [] WHEN NOT json_valid(x_input_dataset_qids) THEN []
              WHEN json_type(x_input_dataset_qids) = 'ARRAY' THEN from_json(x_input_dataset_qids, '["VARCHAR"]') ELSE [] END AS qids
       FROM px WHERE grp = 'type-model-run'),
@@ -211,12 +209,12 @@ SELECT s.pkg_id AS feed_pos, qid, st AS status,
        WHEN lower(st) IN ('running', 'in_progress') THEN 'bg-blue-100 text-blue-700'
        ELSE 'bg-gray-100 text-gray-600' END AS status_cls,
   coalesce(rn.input_names, '') AS input_names,
-  CASE WHEN qid <> '' THEN '{DOIP}/doip/retrieve/' || qid || '/output/run.log' ELSE '' END AS log_url
+  coalesce(log_file, CASE WHEN qid <> '' THEN '{DOIP}/doip/retrieve/' || qid || '/output/run.log' ELSE '' END) AS log_url
 FROM s LEFT JOIN rn ON rn.pkg_id = s.pkg_id
 """))
 def runs_enriched(spark, sf_dir):
-    pk = _pkgs(spark, sf_dir)
-    enriched = runs.enrich_runs(catalog.model_runs(pk), catalog.processed_datasets(pk), DOIP)
+    names = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False))
+    enriched = runs.enrich_runs(catalog.model_runs(_pkgs(spark, sf_dir)), names, DOIP)
     return enriched.select(F.col("ord.pos").alias("feed_pos"), "qid", "status", "status_cls",
                            F.array_join("input_names", "|").alias("input_names"), "log_url")
 
@@ -232,5 +230,5 @@ FROM px WHERE grp = 'type-raw-data'
        OR contains(lower(x_modified), lower('{ANY_NEEDLE}')))
 """))
 def browse_any_column(spark, sf_dir):
-    ds = catalog.processed_datasets(_pkgs(spark, sf_dir)).select("qid", "name", "last_modified")
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False)).select("qid", "name", "last_modified")
     return browse.any_column_filter(ds, ANY_NEEDLE)

@@ -14,8 +14,8 @@ AS_OF = "2024-02-01 00:00:00"
 DOIP = catalog.DEFAULT_DOIP_BASE
 
 
-def _pkgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.packages(spark, sf_dir)
+def _pkgs(spark: SparkSession, sf_dir: str, resources: bool = True) -> DataFrame:
+    return bindings.packages(spark, sf_dir, resources)
 
 
 def _joined(arr, sep: str = "|"):
@@ -58,7 +58,7 @@ ORDER BY x_modified DESC, pkg_id
 LIMIT 10
 """))
 def browse_datasets_search(spark, sf_dir):
-    ds = catalog.processed_datasets(_pkgs(spark, sf_dir))
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False))
     hits = browse.search(ds, FLAGSHIP_NEEDLE, ["name", "description"])
     page = browse.page(hits, browse.newest_first("last_modified"), size=10)
     return page.select("qid", "name", "last_modified")
@@ -176,6 +176,7 @@ SELECT ids.run_id, runs.qid IS NOT NULL AS found, runs.qid AS qid, runs.model_na
 FROM ids LEFT JOIN runs ON runs.k = upper(ids.run_id)
 """))
 def catalog_run_lookup(spark, sf_dir):
-    runs = catalog.model_runs(_pkgs(spark, sf_dir))
+    # only the shown columns are aggregated
+    runs = catalog.model_runs(_pkgs(spark, sf_dir, resources=False)).select("ord", "qid", "model_name")
     out = catalog.lookup_runs(runs, _lookup_ids(spark, sf_dir))
     return out.select("run_id", "found", F.col("run.qid").alias("qid"), F.col("run.model_name").alias("model_name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathom.functions.text import gap_to_null
 from fathom.operators import series
 from fathom.plans.registry import register
-from fathom.session import read_table
+from fathom.session import cut_lineage, read_table
 from fathom.sources import bindings
 from fathom.sources.bindings import SERIES_FILES_WITH_X, SERIES_LABEL_SQL, SERIES_X_SQL, SERIES_Y_SQL
 
@@ -17,6 +17,11 @@ ZIP_FILE = "purchase"
 _WITH_X = ", ".join(f"'{f}'" for f in SERIES_FILES_WITH_X)
 
 
+def _stored_rows(spark, sf_dir):
+    """The numbered rows, stored once: a chart takes several files from them."""
+    return cut_lineage(bindings.series_rows(spark, sf_dir))
+
+
 def _with_series(body: str) -> str:
     body = body.lstrip("\n")
     if body.startswith(","):
@@ -78,7 +83,7 @@ SELECT p.file_id, p.row_pos, CAST(c.x_auto_converted AS DOUBLE) AS x, {_GAP.form
 FROM s p JOIN s c ON c.row_pos = p.row_pos AND c.file_id = '{X_FILE}' WHERE p.file_id = '{ZIP_FILE}'
 """))
 def series_numeric_pairs(spark, sf_dir):
-    rows = bindings.series_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     own = series.numeric_pairs(rows.where(F.col("file_id") == "view"), None, "y_text", "x_auto_converted")
     other = series.numeric_pairs(rows.where(F.col("file_id") == ZIP_FILE), rows.where(F.col("file_id") == X_FILE),
                                  "y_text", "x_auto_converted")
@@ -110,7 +115,7 @@ names AS ({_NAMES})
 SELECT ax.pos, ax.category, names.series, pts.y FROM ax CROSS JOIN names LEFT JOIN pts ON pts.pos = ax.pos AND pts.series = names.series
 """))
 def series_sparse(spark, sf_dir):
-    rows = bindings.series_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     x_rows = rows.where(F.col("file_id") == X_FILE)
     labels = series.position_labels(x_rows, "x_auto_converted", "label")
     # every y series in one pass: a file with its own x column keeps it, the
@@ -132,7 +137,7 @@ SELECT p.file_id, p.row_pos, c.label AS x, {_GAP.format('p.y_text')} AS y
 FROM s p JOIN s c ON c.row_pos = p.row_pos AND c.file_id = '{X_FILE}' WHERE p.file_id = '{ZIP_FILE}'
 """))
 def series_category_zip(spark, sf_dir):
-    rows = bindings.series_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     return series.category_zip(rows.where(F.col("file_id") == X_FILE), rows.where(F.col("file_id") == ZIP_FILE),
                                "label", "y_text")
 
@@ -157,7 +162,7 @@ SELECT c.row_pos, c.label AS x, p.row_pos IS NOT NULL AS in_range
 FROM s c LEFT JOIN s p ON p.row_pos = c.row_pos AND p.file_id = '{ZIP_FILE}' WHERE c.file_id = '{X_FILE}'
 """))
 def series_axis(spark, sf_dir):
-    rows = bindings.series_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     return series.category_axis(rows.where(F.col("file_id") == X_FILE), rows.where(F.col("file_id") == ZIP_FILE), "label")
 
 
@@ -167,6 +172,6 @@ SELECT CAST(trunc(c.x_auto_converted) AS BIGINT) AS pos, arg_max(p.label, c.row_
 FROM s c JOIN s p ON p.row_pos = c.row_pos AND p.file_id = '{ZIP_FILE}' WHERE c.file_id = '{X_FILE}' GROUP BY 1
 """))
 def series_labels_other_file(spark, sf_dir):
-    rows = bindings.series_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     return series.position_labels(rows.where(F.col("file_id") == X_FILE), "x_auto_converted", "label",
                                   rows.where(F.col("file_id") == ZIP_FILE))

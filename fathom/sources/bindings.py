@@ -66,7 +66,8 @@ PKG_COLUMNS = {
 # Resource columns as SQL over one lineitem row.
 RESOURCE_COLUMNS = {
     "name": "'part' || CAST(l_partkey AS STRING) || '.parquet'",
-    "url": "'https://files.example/' || CAST(l_orderkey AS STRING) || '/part' || CAST(l_partkey AS STRING) || '.parquet'",
+    "url": ("'https://files.example/' || CAST(l_orderkey AS STRING) || CASE WHEN l_partkey % 13 = 0 THEN '/run.log' "
+            "ELSE '/part' || CAST(l_partkey AS STRING) || '.parquet' END"),
     "format": "CASE l_returnflag WHEN 'R' THEN 'PARQUET' WHEN 'A' THEN 'parquet' ELSE 'CSV' END",
     "description": "CASE l_linestatus WHEN 'O' THEN 'Output file' ELSE 'Input file' END",
     "size": "CAST(FLOOR(l_extendedprice) AS BIGINT)",
@@ -99,11 +100,13 @@ def resources_by_package(lineitem: DataFrame) -> DataFrame:
                     .alias("resources")))
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packages(spark: SparkSession, sf_dir: str, resources: bool = True) -> DataFrame:
     """The package feed as exploded package rows (see ``sources.feed.packages``).
 
     Columns: ``ord`` (feed order), ``title, notes, url, metadata_created``,
-    ``groups``, ``extras``, ``resources``.
+    ``groups``, ``extras``, ``resources``. A feed read from files holds the
+    resources in the row, and a job that ignores them prunes the column;
+    ``resources=False`` is the same here (empty lists, ``lineitem`` not read).
     """
     orders = read_table(spark, sf_dir, "orders", spread=True).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
@@ -122,6 +125,8 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.expr(PKG_COLUMNS["grp"]).alias("name"))).alias("groups"),
         _extras_array().alias("extras"),
     )
+    if not resources:
+        return pk.withColumn("resources", F.array().cast(resources_by_package(lineitem).schema["resources"].dataType)).drop("_pkg_id")
     # both sides grow with the data: a sort-merge join on the package key,
     # never a broadcast of the aggregated resources
     res = resources_by_package(lineitem).hint("merge")

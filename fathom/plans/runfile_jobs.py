@@ -1,4 +1,4 @@
-"""Run-file discovery and load-plan job."""
+"""Run-file discovery, load-plan and loading jobs."""
 
 from __future__ import annotations
 
@@ -55,3 +55,91 @@ def runfiles_load_plan(spark, sf_dir):
     plan = runfiles.load_plan(runs, DOIP)
     return plan.select("run_key", "qid", F.col("stage").cast("int"), F.col("pos").cast("int"),
                        "label", "url", "ext", "query")
+
+
+# ---------------------------------------------------------------- X4-X9, X22 over files
+# One run per nation. Its files are written by Spark into the shared folder:
+# an input of its suppliers, predictions of its customers, and two provenance
+# sources of the input. Some inputs and first sources are missing, and some
+# predictions are not Parquet.
+def _run_files(spark, sf_dir):
+    """(run documents, root of the written files)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from fathom.session import checkpoint_dir, read_table
+    root = f"{checkpoint_dir(spark).rstrip('/')}/run-files-{uuid.uuid4().hex}"
+    sup = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("run"), "s_suppkey", "s_acctbal")
+    cust = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run"), "c_custkey", "c_mktsegment")
+
+    def write(df, kind, fmt="parquet"):
+        df.withColumn("kind", F.lit(kind)).repartition("run").write.mode("append").partitionBy("kind", "run").format(fmt).save(root)
+
+    write(sup.where("run % 3 <> 0"), "input")
+    write(sup.where("run % 2 = 0"), "first")
+    write(sup, "second")
+    write(cust.where("run % 5 <> 0"), "predictions")
+    write(cust.where("run % 5 = 0").groupBy("run").agg(F.min(F.lit("not a table")).alias("value")), "predictions", "text")
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_key"))
+    comp = lambda at, cid: F.struct(F.lit(at).alias("@id"), F.lit(cid).alias("componentId"))
+    doc = F.to_json(F.struct(
+        F.concat(F.lit("Q"), F.col("run_key").cast("string")).alias("@id"),
+        F.struct(F.array(comp("components/input/in.parquet", "in.parquet"), comp("components/output/predictions.parquet", "predictions.parquet"))
+                 .alias("fdo:hasComponent")).alias("kernel"),
+        F.struct(F.array(*[F.concat(F.lit(f"https://files.example/{k}/"), F.col("run_key").cast("string"), F.lit("/in.parquet")) for k in ("first", "second")])
+                 .alias("prov:used")).alias("provenance")))
+    return nation.select("run_key", F.concat(F.lit("Q"), F.col("run_key").cast("string")).alias("qid"), doc.alias("meta_json")), root
+
+
+def _loaded(spark, sf_dir):
+    from pyspark.sql import functions as F
+    docs, root = _run_files(spark, sf_dir)
+    plan = runfiles.load_plan(runfiles.parse_run_meta(docs), DOIP, candidates=True)
+    kind = F.when(F.col("stage") == 1, F.regexp_extract("url", "example/([a-z]+)/", 1)).when(F.col("stage") == 0, "input").otherwise("predictions")
+    placed = plan.withColumn("path", F.concat(F.lit("kind="), kind, F.lit("/run="), F.col("run_key").cast("string")))
+    return runfiles.load_files(spark, placed, root)
+
+
+_FILES = """
+WITH n AS (
+  SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AS has_s,
+         EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) AS has_c FROM nation),
+files AS (
+  SELECT n_nationkey AS run_key, 0 AS stage, 0 AS pos, 'in.parquet' AS label, n_nationkey % 3 <> 0 AND has_s AS good, 'supplier' AS kind FROM n
+  UNION ALL SELECT n_nationkey, 1, 0, 'in.parquet', n_nationkey % 2 = 0 AND has_s, 'supplier' FROM n
+  UNION ALL SELECT n_nationkey, 1, 1, 'in.parquet', has_s, 'supplier' FROM n
+  UNION ALL SELECT n_nationkey, 2, 1, 'predictions.parquet', n_nationkey % 5 <> 0 AND has_c, 'customer' FROM n),
+report AS (
+  SELECT f.*, CASE WHEN stage = 1 AND EXISTS (SELECT 1 FROM files e WHERE e.run_key = f.run_key AND e.label = f.label AND e.good
+                                             AND (e.stage, e.pos) < (f.stage, f.pos)) THEN 'skipped'
+                   WHEN good THEN 'ok' ELSE 'failed' END AS status FROM files f),
+shown AS (SELECT DISTINCT run_key FROM report WHERE stage = 2 AND status = 'ok')
+"""
+
+
+@register("runfiles_report", _FILES + """
+SELECT run_key, CAST(stage AS INTEGER) AS stage, CAST(pos AS INTEGER) AS pos, label, status, status = 'failed' AS has_error,
+  run_key IN (SELECT run_key FROM shown) AS shown FROM report
+""")
+def runfiles_report(spark, sf_dir):
+    from pyspark.sql import functions as F
+    _, report = _loaded(spark, sf_dir)
+    return report.select("run_key", F.col("stage").cast("int"), F.col("pos").cast("int"), "label", "status", F.col("error").isNotNull().alias("has_error"), "shown")
+
+
+@register("runfiles_loaded", _FILES + """
+, rows AS (
+  SELECT s_nationkey AS run_key, 'supplier' AS kind, 'id' AS what, s_suppkey AS v FROM supplier
+  UNION ALL SELECT c_nationkey, 'customer', 'id', c_custkey FROM customer),
+good AS (SELECT r.run_key, r.stage, r.label, r.kind FROM report r JOIN shown USING (run_key) WHERE status = 'ok')
+SELECT g.run_key, g.label, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(v) AS BIGINT) AS id_sum,
+  CAST(CASE WHEN stage = 1 THEN count(*) * (count(*) + 1) / 2 END AS BIGINT) AS x_sum
+FROM good g JOIN rows ON rows.run_key = g.run_key AND rows.kind = g.kind GROUP BY g.run_key, g.label, g.stage
+""")
+def runfiles_loaded(spark, sf_dir):
+    from pyspark.sql import functions as F
+    rows, _ = _loaded(spark, sf_dir)
+    number = lambda names: F.sum(F.when(F.col("column").isin(*names), F.col("value").cast("long")))
+    return rows.groupBy("run_key", "label").agg(F.max("row_pos").alias("n_rows"), number(["s_suppkey", "c_custkey"]).alias("id_sum"),
+                                                number(["x_auto_converted"]).alias("x_sum"))

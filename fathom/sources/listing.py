@@ -19,7 +19,7 @@ from fathom.schemas import SIDECAR
 SIDECAR_SUFFIX = ".fdo.json"
 
 
-def _relative(path_col, root: str):
+def relative_path(path_col, root: str):
     """Path under ``root``. Listing paths come back as URIs (``file:/...``,
     ``s3a://bucket/...``) while ``root`` may be given without a scheme, so
     the part after the first occurrence of the root's path is kept."""
@@ -32,7 +32,7 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """S3: (path, mtime epoch seconds, size_bytes) of every object under ``root``."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
           .select("path", "modificationTime", "length"))
-    return df.select(_relative(F.col("path"), root).alias("path"),
+    return df.select(relative_path(F.col("path"), root).alias("path"),
                      F.unix_seconds(F.col("modificationTime")).alias("mtime"),
                      F.col("length").alias("size_bytes"))
 
@@ -42,6 +42,6 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     df = (spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*" + SIDECAR_SUFFIX).json(root))
     return df.select("*",
-                     _relative(F.col("_metadata.file_path"), root).alias("path"),
+                     relative_path(F.col("_metadata.file_path"), root).alias("path"),
                      F.unix_seconds(F.col("_metadata.file_modification_time")).alias("mtime"),
                      F.col("_metadata.file_size").alias("size_bytes"))

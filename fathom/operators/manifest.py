@@ -129,12 +129,23 @@ def write_payloads(checked: DataFrame, path: str) -> None:
      .write.mode("overwrite").json(path))
 
 
-def stage_inputs(spark, inputs: list[tuple[str, str, str]], out_root: str, fmt: str = "parquet") -> None:
+def file_format(name: str) -> str:
+    """``csv`` / ``tsv`` by suffix, else ``parquet``."""
+    low = name.lower().rstrip("/")
+    return next((e for e in ("csv", "tsv") if low.endswith("." + e)), "parquet")
+
+
+def stage_inputs(spark, inputs: list[tuple[str, str, str]], out_root: str) -> None:
     """One request's selected datasets, each through its effective SQL,
     written under its target name. ``inputs`` are the request's
     (data_path, target_name, sql) triples; each dataset is its own Spark job
-    reading and writing in parallel, nothing passes through the driver."""
-    from fathom.operators.preview import register_dataset, run_sql
+    in a session of its own, reading and writing in parallel, in the formats
+    that the names' suffixes say. Nothing passes through the driver."""
+    from fathom.operators.preview import query_dataset
     for data_path, target, sql in inputs:
-        register_dataset(spark, data_path, fmt)
-        run_sql(spark, sql or "SELECT * FROM df").write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/{target}")
+        rows = query_dataset(spark, data_path, sql if (sql or "").strip() else "SELECT * FROM df", file_format(data_path))
+        out, to = rows.write.mode("overwrite"), f"{out_root.rstrip('/')}/{target}"
+        if file_format(target) == "parquet":
+            out.parquet(to)
+        else:
+            out.option("header", True).option("sep", "\t" if file_format(target) == "tsv" else ",").csv(to)

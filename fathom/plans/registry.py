@@ -21,4 +21,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # Importing the plan modules fills the registry.
-    from fathom.plans import browse_jobs, catalogue_jobs, listing_jobs, manifest_jobs, runfile_jobs, series_jobs, sql_suite  # noqa: F401
+    from fathom.plans import browse_jobs, catalogue_jobs, file_jobs, listing_jobs, manifest_jobs, runfile_jobs, series_jobs, sql_suite  # noqa: F401

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.schemas import SIDECAR
 
@@ -45,3 +46,17 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
                      relative_path(F.col("_metadata.file_path"), root).alias("path"),
                      F.unix_seconds(F.col("_metadata.file_modification_time")).alias("mtime"),
                      F.col("_metadata.file_size").alias("size_bytes"))
+
+
+def parse_sidecars(texts: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """S4 on sidecar text: (parsed rows, rejects). A text that is not one JSON
+    object of the sidecar's shape is a reject with its other columns and the
+    text (D2), not a row of nulls."""
+    from fathom.schemas import SIDECAR
+    schema = T.StructType(list(SIDECAR)).add("_corrupt", "string")
+    parsed = texts.withColumn("_s", F.from_json(F.col(text_col), schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    ok = F.col("_s").isNotNull() & F.col("_s._corrupt").isNull() & F.trim(F.col(text_col)).startswith("{")
+    rest = [c for c in texts.columns if c != text_col]
+    good = parsed.where(F.coalesce(ok, F.lit(False)))
+    return (good.select(*rest, *[F.col(f"_s.`{f.name}`") for f in SIDECAR]),
+            parsed.where(~F.coalesce(ok, F.lit(False))).select(*rest, text_col))

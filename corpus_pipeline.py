@@ -6,13 +6,11 @@ columns of ``documents``, the last one the packed pieces.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontamination, language_id, line_dedup, packing, queries, simhash
-from fathom.llm.common import scratch
+from fathom.llm.common import new_path
 from fathom.session import prepare, read_table
 
 
@@ -65,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared
     checkpoint folder and read again."""
     prepare(spark)
-    docs, folder = read_table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = read_table(spark, sf_dir, "documents"), new_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

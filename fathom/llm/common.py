@@ -37,10 +37,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     values that are only fixed once written (row ids) stay the same. The
     folder is the cluster's ``spark.checkpoint.dir``; ``clear_scratch``
     removes what a session has stored."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one stored table."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def scratch(spark: SparkSession) -> str:

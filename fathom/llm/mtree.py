@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import ROW_ID, pylist, store, with_row_id
+from fathom.llm.common import ROW_ID, new_path, pylist, store, with_row_id
 
 PAGE = 64           # entries of a page
 SHARD_ROWS = 8192
@@ -210,12 +210,11 @@ def top_k(table: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", v
         if n:
             yield held
 
-    found = None
-    for block in blocks():
-        part = store(trees.mapInArrow(block_search(spark.sparkContext.broadcast(block)), "query_id long, _query long, score long, _id long, _row long"), "found")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    schema, path = "query_id long, _query long, score long, _id long, _row long", new_path(spark, "found")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in blocks():      # all blocks' results in one folder: the plan does not grow with them
+        trees.mapInArrow(block_search(spark.sparkContext.broadcast(block)), schema).write.mode("append").parquet(path)
+    found = spark.read.schema(schema).parquet(path)
     best = Window.partitionBy("_query").orderBy(F.desc("score"), "_id", "_row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col), "score")

@@ -10,7 +10,7 @@ from fathom.operators.catalog import DEFAULT_DOIP_BASE, doip_url
 SIDECAR_SUFFIX = ".fdo.json"
 INPUT_PREFIX = "components/input/"
 OUTPUT_PREFIX = "components/output/"
-DEFAULT_STORE = "lakefs://data-processed/main"
+DEFAULT_STORE = "store://data/main"    # a job names its own
 
 
 def _s(c: Column) -> Column:

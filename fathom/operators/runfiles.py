@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.rows import explode_kept
 from fathom.operators.catalog import DEFAULT_DOIP_BASE
 from fathom.schemas import RUN_META
 
@@ -47,37 +46,8 @@ def _ext(cid: Column) -> Column:
     return out
 
 
-def discover(runs: DataFrame, base: str = DEFAULT_DOIP_BASE) -> DataFrame:
-    """X1 + X3: one row per discovered component (known extension), with its
-    position, id, extension and download URL; ``qid`` is the document's @id
-    or the run's own qid."""
-    qid = F.coalesce(F.col("meta.`@id`"), F.col("qid"), F.lit(""))
-    ex = explode_kept(runs.withColumn("qid", qid), ["run_key", "qid"], components(F.col("meta")), "pos", "c")
-    cid = F.coalesce(F.col("c.componentId"), F.lit(""))
-    at_id = F.col("c.`@id`")
-    path = F.regexp_replace(F.coalesce(at_id, F.concat(F.lit("output/"), cid)), "^components/", "")
-    return (ex.select("run_key", "qid", "pos", cid.alias("cid"), F.coalesce(at_id, F.lit("")).alias("at_id"),
-                      _ext(cid).alias("ext"),
-                      F.concat(F.lit(base.rstrip("/") + "/doip/retrieve/"), F.col("qid"), F.lit("/"), path).alias("url"))
-            .where(F.col("ext").isNotNull()))
-
-
-def provenance(runs: DataFrame) -> DataFrame:
-    """X5 (part): prov:used entries as (run, pos, url, file name, query)."""
-    used = F.coalesce(F.try_variant_get(F.col("meta.provenance.`prov:used`"), "$", "array<variant>"),
-                      F.array().cast("array<variant>"))
-    ex = explode_kept(runs, ["run_key"], used, "pos", "e")
-    is_obj = F.schema_of_variant(F.col("e")).startswith("OBJECT")
-    url = F.when(is_obj, F.coalesce(F.try_variant_get("e", "$['@id']", "string"), F.lit(""))) \
-        .otherwise(F.coalesce(F.try_variant_get("e", "$", "string"), F.lit("")))
-    query = F.when(is_obj, F.coalesce(F.try_variant_get("e", "$['schema:query']", "string"), F.lit(""))) \
-        .otherwise(F.lit(""))
-    fname = F.substring_index(F.regexp_replace(F.substring_index(url, "?", 1), "/+$", ""), "/", -1)
-    return ex.select("run_key", "pos", url.alias("url"), fname.alias("filename"), query.alias("query"))
-
-
 def load_plan(runs: DataFrame, base: str = DEFAULT_DOIP_BASE, candidates: bool = False) -> DataFrame:
-    """The ordered files to load per gated run.
+    """The ordered files to load per gated run.
 
     With ``candidates`` every provenance Parquet entry is kept: which of them
     is needed is known only after loading (``resolve_loaded``), and the second

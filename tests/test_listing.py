@@ -53,7 +53,7 @@ def test_listing_and_sidecars_from_files(spark, tmp_path):
     ds = {r["name"]: r for r in listing.datasets_from_sidecars(sc).collect()}
     five = ds["run five"]
     assert [c["name"] for c in five["components"]] == ["a.parquet", "predictions.csv", "c.txt"]
-    assert five["data_path"] == "lakefs://data-processed/main/00/00/05/Q5/components/input/a.parquet"
+    assert five["data_path"] == "store://data/main/00/00/05/Q5/components/input/a.parquet"
     assert ds["six"]["doip_url"] == "" and ds["six"]["components"] == []
     run = {r["run_id"]: r for r in listing.runs_from_sidecars(sc).collect()}
     assert run["Q5"]["docker_tag"] == "v3"

@@ -14,11 +14,11 @@ def test_object_or_list_and_extensions(spark):
     docs = [
         {"@id": "QA", "kernel": {"fdo:hasComponent": {"@id": "components/output/Predictions.CSV", "componentId": "Predictions.CSV"}}},
         {"kernel": {"fdo:hasComponent": [{"componentId": "x.TSV"}, {"componentId": "y.json"},
-                                         {"@id": "components/output/p.parquet", "componentId": "p.parquet"}]}},
+                                         {"@id": "components/output/predictions.parquet", "componentId": "predictions.parquet"}]}},
     ]
-    d = runfiles.discover(_runs(spark, docs)).orderBy("run_key", "pos").collect()
-    assert [(r["qid"], r["cid"], r["ext"]) for r in d] == [
-        ("QA", "Predictions.CSV", ".csv"), ("Q1", "x.TSV", ".tsv"), ("Q1", "p.parquet", ".parquet")]
+    d = runfiles.load_plan(_runs(spark, docs)).orderBy("run_key", "pos").collect()
+    assert [(r["qid"], r["label"], r["ext"]) for r in d] == [
+        ("QA", "Predictions.CSV", ".csv"), ("Q1", "x.TSV", ".tsv"), ("Q1", "predictions.parquet", ".parquet")]
     assert d[1]["url"].endswith("/doip/retrieve/Q1/output/x.TSV")        # default @id
     assert d[0]["url"].endswith("/doip/retrieve/QA/output/Predictions.CSV")
 

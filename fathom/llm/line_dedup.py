@@ -40,7 +40,7 @@ def _digest(line: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text",
-                      ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+                      ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """One row per (host, line digest) to drop, with its pages and the host's."""
     own = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
     totals = store(own.groupBy("_host").agg(F.count(F.lit(1)).alias("_total")), "host-totals")
@@ -53,7 +53,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
             .where(F.col("_pages") > F.col("_total") * F.lit(ratio)))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05,
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1,
                      min_pages: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``text`` without its host's boilerplate lines, and
     ``n_lines`` and ``n_dropped`` (0 for null text) added. All rows stay;

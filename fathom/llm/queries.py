@@ -96,7 +96,7 @@ WITH lines AS (
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (
   SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE line <> '' GROUP BY l.source, line HAVING count(*) >= 5 AND count(*) > any_value(total) * 0.05),
+  WHERE line <> '' GROUP BY l.source, line HAVING count(*) >= 5 AND count(*) > CAST(any_value(total) AS DOUBLE) * CAST(0.1 AS DOUBLE)),
 drops AS (SELECT source, list(line) AS gone FROM bad GROUP BY source),
 cut AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS every,

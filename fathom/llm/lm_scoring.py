@@ -1,22 +1,26 @@
 """LM scoring by context-tree weighting over binary-decomposed bytes.
 
 A byte is eight binary decisions, the nodes of a tree with 255 inner nodes.
-Every node keeps, for every context of up to ``DEPTH`` = 2 bytes before it,
-how often it went left and right. At each depth the Krichevsky-Trofimov
-estimate of a context is mixed with its longer contexts,
+Every node keeps, for every context of up to three bytes before it, how often
+it went left and right. At each depth the Krichevsky-Trofimov estimate of a
+context is mixed with its longer contexts,
 
     Pw(s) = 1/2 Pe(s) + 1/2 * product of Pw over the contexts one byte longer,
 
-and a decision's probability mixes the KT estimates of all depths with the
-weights that the training counts give: beta(s) = 1/2 Pe(s) / Pw(s) for
-stopping at s. KT estimates do not depend on the order of the decisions, so
-counting byte trigrams over the whole training set, in parallel, gives the
-same weights as reading it in sequence. The model has at most 2^16 contexts,
-a fixed bound, so it can be broadcast. Its code length per byte is
+and a decision's probability mixes the KT estimates of all depths, 0 to 3,
+with the weights that the training counts give: beta(s) = 1/2 Pe(s) / Pw(s)
+for stopping at s. KT estimates do not depend on the order of the decisions,
+so counting byte four-grams over the whole training set, in parallel, gives
+the same weights as reading it in sequence.
+
+The tree is bounded: at most ``THREE_BYTE_CONTEXTS`` contexts of three bytes,
+the most frequent ones, are branches of their own; the others of the same two
+bytes are one branch together. With at most 2^16 contexts of two bytes the
+model has a fixed bound, so it can be broadcast. Its code length per byte is
 ``-score / log10(2) / bytes``.
 
 A text is its UTF-8 bytes with A-Z lower-cased, closed by the byte 0xFF
-(never part of UTF-8) and preceded by two of them as first context. So null
+(never part of UTF-8) and preceded by three of them as first context. So null
 and empty texts have the probability of an immediate end.
 
 Beside it stands the base model: token counts (runs without ASCII white
@@ -49,16 +53,18 @@ HEAD_TOKENS = 1 << 18
 EDGE = b"\xff"
 END_TOKEN = b""     # no word is empty
 PIECE = 1 << 21     # bytes scored at once
+THREE_BYTE_CONTEXTS = 1 << 15
+OTHERS = -1         # the branch of all other third bytes
 
 
 def text_bytes(text: str | None) -> bytes:
     return text.encode().lower() if text else b""
 
 
-def trigrams(own: bytes) -> np.ndarray:
-    """Per byte of the text and its end: two bytes of context and itself."""
-    a = np.frombuffer(EDGE + EDGE + own + EDGE, np.uint8).astype(np.int32)
-    return (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+def four_grams(own: bytes) -> np.ndarray:
+    """Per byte of the text and its end: three bytes of context and itself."""
+    a = np.frombuffer(EDGE * 3 + own + EDGE, np.uint8).astype(np.uint32)
+    return (a[:-3] << np.uint32(24)) | (a[1:-2] << np.uint32(16)) | (a[2:-1] << np.uint32(8)) | a[3:]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -108,68 +114,107 @@ def _kt(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 @dataclass
 class TreeModel:
-    """log10 byte probabilities of the seen contexts and of each last byte."""
+    """log10 byte probabilities by context."""
 
-    row: np.ndarray     # context (two bytes) -> row of logs
+    block: np.ndarray   # last two bytes -> block
+    row: np.ndarray     # block x third byte -> row of logs
     logs: np.ndarray    # rows x 256
 
     def score(self, text: str | None) -> float:
         """log10 probability of the whole text and its end."""
-        own, total = text_bytes(text), 0.0
-        key = trigrams(own)
-        for at in range(0, len(key), PIECE):
-            k = key[at:at + PIECE]
-            total += float(self.logs[self.row[k >> 8], k & 255].sum(dtype=np.float64))
+        grams, total = four_grams(text_bytes(text)), 0.0
+        for at in range(0, len(grams), PIECE):
+            g = grams[at:at + PIECE]
+            rows = self.row[self.block[(g >> np.uint32(8)) & np.uint32(0xFFFF)], g >> np.uint32(24)]
+            total += float(self.logs[rows, g & np.uint32(255)].sum(dtype=np.float64))
         return total
 
 
-def fit_tree(grams: DataFrame) -> TreeModel:
-    """A model from (gram, n): a 24-bit key (two context bytes, one byte) and its count.
-
-    Contexts are weighted in one task per last context byte (at most 65,536
-    rows); only their sums meet on the driver."""
+def branches(grams: DataFrame, contexts: int) -> DataFrame:
+    """Stored (last, second, third, byte, n): the counts of ``grams`` (gram, n)
+    with the third context byte only where its context is among the
+    ``contexts`` most frequent, ``OTHERS`` elsewhere."""
+    by_context = store(grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")), "contexts")
+    kept = by_context.where(F.col("n") >= 1 << head_level(by_context, contexts)).select("context", F.lit(True).alias("_own"))  # at most ``contexts`` rows
+    g = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept), "context", "left")
+    third = F.when(F.col("_own"), F.shiftright("gram", 24)).otherwise(OTHERS)
+    part = lambda bits: F.shiftright("gram", bits).bitwiseAND(F.lit(255)).cast("int")
+    return store(g.groupBy(part(8).alias("last"), part(16).alias("second"), third.cast("int").alias("third"), part(0).alias("byte"))
+                 .agg(F.sum("n").alias("n")), "branches")
+
+
+def _counts(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one last byte: the branches' (second, third) bytes and counts of the
+    next byte, where each second byte begins, and which one a branch has."""
+    key = (g["second"].to_numpy(np.int64) << 9) | (g["third"].to_numpy(np.int64) + 1)
+    names, at = np.unique(key, return_inverse=True)
+    c = np.zeros((len(names), 256))
+    np.add.at(c, (at, g["byte"].to_numpy()), g["n"].to_numpy())
+    starts = np.flatnonzero(np.concatenate([[True], (names[1:] >> 9) != (names[:-1] >> 9)]))
+    return names, c, starts, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(names))))
+
+
+def fit_tree(grams: DataFrame, contexts: int = THREE_BYTE_CONTEXTS) -> TreeModel:
+    """A model from (gram, n): a 32-bit key (three context bytes, one byte)
+    and its count.
+
+    Contexts are weighted in one task per last context byte; only those 256
+    tasks' sums meet on the driver."""
     spark = grams.sparkSession
-    by_last = grams.withColumn("last", F.shiftright("gram", 8).bitwiseAND(F.lit(255)))
+    by_last = branches(grams, contexts).groupBy("last")
 
-    def counts_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        gram = g["gram"].to_numpy()
-        second, at = np.unique(gram >> 16, return_inverse=True)
-        c = np.zeros((len(second), 256))
-        np.add.at(c, (at, gram & 255), g["n"].to_numpy())
-        return second, c
+    def weights(g: pd.DataFrame):
+        names, c, starts, owner = _counts(g)
+        three, two = decisions(c), decisions(np.add.reduceat(c, starts, axis=0))
+        longer = np.add.reduceat(log_kt(*three), starts, axis=0)
+        own = log_kt(*two)
+        return names, c, owner, three, two, own, longer, np.logaddexp(own, longer) - math.log(2)
 
     def weigh(g: pd.DataFrame) -> pd.DataFrame:
-        _, c = counts_of(g)
-        longer = log_kt(*decisions(c)).sum(axis=0)
-        own = log_kt(*decisions(c.sum(axis=0)))
-        return pd.DataFrame({"counts": [c.sum(axis=0).tolist()], "weighted": [(np.logaddexp(own, longer) - math.log(2)).tolist()]})
+        _, c, _, _, _, _, _, weighted = weights(g)
+        one = c.sum(axis=0)
+        return pd.DataFrame({"counts": [one.tolist()], "weighted": [(np.logaddexp(log_kt(*decisions(one)), weighted.sum(axis=0)) - math.log(2)).tolist()]})
 
-    rows = by_last.groupBy("last").applyInPandas(weigh, "counts array<double>, weighted array<double>").collect()  # at most 256
+    rows = by_last.applyInPandas(weigh, "counts array<double>, weighted array<double>").collect()  # at most 256
     left, right = decisions(np.sum([r["counts"] for r in rows], axis=0) if rows else np.zeros(256))
     stop = _stop_weight(log_kt(left, right), np.sum([r["weighted"] for r in rows], axis=0) if rows else np.zeros(255))
     base = _kt(left, right)
 
     def predict(g: pd.DataFrame) -> pd.DataFrame:
-        second, c = counts_of(g)
-        two, one = decisions(c), decisions(c.sum(axis=0))
-        stop1 = _stop_weight(log_kt(*one), log_kt(*two).sum(axis=0))
-        deepest = np.vstack([_kt(*two), np.full((1, 255), 0.5)])       # the last row: contexts not seen
-        p = stop * base + (1 - stop) * (stop1 * _kt(*one) + (1 - stop1) * deepest)
-        last = int(g["gram"].iloc[0]) >> 8 & 255
-        return pd.DataFrame({"last": last, "second": [*second.tolist(), -1], "logs": byte_logs(p).astype(np.float32).tolist()})
-
-    found = by_last.groupBy("last").applyInPandas(predict, "last int, second int, logs array<float>").collect()  # at most 2^16 + 256
+        names, c, owner, three, two, own, longer, weighted = weights(g)
+        one = decisions(c.sum(axis=0))
+        stop1 = _stop_weight(log_kt(*one), weighted.sum(axis=0))
+        stop2 = _stop_weight(own, longer)
+        from_one = lambda p: stop * base + (1 - stop) * (stop1 * _kt(*one) + (1 - stop1) * p)
+        p = from_one(stop2[owner] * _kt(*two)[owner] + (1 - stop2[owner]) * _kt(*three))
+        # third bytes without a branch and without others; then second bytes not seen
+        p = np.vstack([p, from_one(stop2 * _kt(*two) + (1 - stop2) * 0.5), from_one(np.full((1, 255), 0.5))])
+        second = [*(names >> 9).tolist(), *np.unique(names >> 9).tolist(), -1]
+        third = [*((names & 511) - 1).tolist(), *[-2] * len(stop2), -2]
+        return pd.DataFrame({"last": int(g["last"].iloc[0]), "second": second, "third": third, "logs": [x.tobytes() for x in byte_logs(p).astype(np.float32)]})
+
+    # at most 256 + 2 * 2^16 + contexts rows of 1 KB
+    found = by_last.applyInPandas(predict, "last int, second int, third int, logs binary").collect()
     logs = [byte_logs((stop * base + (1 - stop) * 0.5)[None, :])[0].astype(np.float32)]
-    row = np.zeros((256, 256), np.int32)
-    for r in sorted(found, key=lambda r: r["second"]):     # -1 first: the default of a last byte
-        row[(slice(None) if r["second"] < 0 else r["second"]), r["last"]] = len(logs)
-        logs.append(np.array(r["logs"], np.float32))
-    return TreeModel(row.reshape(-1), np.array(logs))
+    block, row = np.zeros((256, 256), np.int32), [np.zeros(256, np.int32)]
+    for r in sorted(found, key=lambda r: (r["last"], r["second"], r["third"])):     # defaults come before what replaces them
+        if r["second"] < 0:
+            block[:, r["last"]] = len(row)
+            row.append(np.full(256, len(logs), np.int32))
+        elif r["third"] < OTHERS:
+            block[r["second"], r["last"]] = len(row)
+            row.append(np.full(256, len(logs), np.int32))
+        elif r["third"] == OTHERS:
+            row[-1][:] = len(logs)
+        else:
+            row[-1][r["third"]] = len(logs)
+        logs.append(np.frombuffer(r["logs"], np.float32))
+    return TreeModel(block.reshape(-1), np.array(row), np.array(logs))
 
 
 def corpus_counts(train: DataFrame, text: str = "text") -> DataFrame:
     """Stored (word, gram, n): token counts (gram null; the empty word is the
-    end token) and trigram counts (word null) of all rows."""
+    end token) and byte four-gram counts (word null) of all rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, text, 8 << 20, 65536):
             texts = [text_bytes(t) for t in pylist(b, text)]
@@ -177,11 +222,11 @@ def corpus_counts(train: DataFrame, text: str = "text") -> DataFrame:
             for t in texts:
                 words.update(t.split())
             words[END_TOKEN] += len(texts)
-            grams, n = np.unique(np.concatenate([trigrams(t) for t in texts]), return_counts=True)
+            grams, n = np.unique(np.concatenate([four_grams(t) for t in texts]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, *[None] * len(grams)], pa.binary()), pa.array([*[None] * len(words), *grams.tolist()], pa.int32()),
+                [pa.array([*words, *[None] * len(grams)], pa.binary()), pa.array([*[None] * len(words), *grams.tolist()], pa.int64()),
                  pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n.astype(np.int64)]))], names=["word", "gram", "n"])
-    return store(train.select(F.col(text)).mapInArrow(count, "word binary, gram int, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")), "corpus-counts")
+    return store(train.select(F.col(text)).mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
 def head_level(words: DataFrame, most: int) -> int:

@@ -13,55 +13,68 @@ from fathom.llm import lm_scoring as M
 
 
 class BruteTree:
-    """The recursion Pw = (Pe + product of Pw) / 2, decision by decision."""
+    """The recursion Pw = (Pe + product of Pw) / 2, decision by decision.
+    Contexts are (depth, bytes); a three-byte context without a branch of its
+    own is ("others", its last two bytes)."""
 
-    def __init__(self, texts):
-        self.n = Counter()
+    def __init__(self, texts, branches):
+        self.n, self.children, seen = Counter(), {}, Counter()
         for t in texts:
-            s = b"\xff\xff" + t + b"\xff"
-            for i in range(2, len(s)):
+            s = b"\xff\xff\xff" + t + b"\xff"
+            seen.update(s[i - 3:i] for i in range(3, len(s)))
+        level = next(k for k in range(40) if sum(n >= 1 << k for n in seen.values()) <= branches)
+        self.own = {c for c, n in seen.items() if n >= 1 << level}
+        for t in texts:
+            s = b"\xff\xff\xff" + t + b"\xff"
+            for i in range(3, len(s)):
                 node = 1
                 for bit in range(7, -1, -1):
                     b = s[i] >> bit & 1
-                    for context in (b"", s[i - 1:i], s[i - 2:i]):
-                        self.n[context, node, b] += 1
+                    path = self.path(s[i - 3:i])
+                    for c in path:
+                        self.n[c, node, b] += 1
+                    for c, longer in zip(path, path[1:]):
+                        self.children.setdefault((c, node), set()).add(longer)
                     node = 2 * node + b
 
+    def path(self, c):
+        return [b"", c[2:], c[1:], c if c in self.own else ("others", c[1:])]
+
     def pe(self, c, node):
         a, b = self.n[c, node, 0], self.n[c, node, 1]
         return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def pw(self, c, node):
-        if len(c) == 2:
+        if (c, node) not in self.children:
             return self.pe(c, node)
-        longer = {x[0] for x in self.n if len(x[0]) == len(c) + 1 and x[0].endswith(c) and x[1] == node}
-        return np.logaddexp(self.pe(c, node), sum(self.pw(x, node) for x in longer)) - math.log(2)
+        return np.logaddexp(self.pe(c, node), sum(self.pw(x, node) for x in self.children[c, node])) - math.log(2)
 
-    def p(self, context, node, b, depth=0):
-        c = context[2 - depth:]
+    def p(self, path, node, b):
+        c = path[0]
         kt = (self.n[c, node, b] + .5) / (self.n[c, node, 0] + self.n[c, node, 1] + 1)
-        if depth == 2:
+        if len(path) == 1:
             return kt
         stop = math.exp(self.pe(c, node) - math.log(2) - self.pw(c, node)) if self.n[c, node, 0] + self.n[c, node, 1] else .5
-        return stop * kt + (1 - stop) * self.p(context, node, b, depth + 1)
+        return stop * kt + (1 - stop) * self.p(path[1:], node, b)
 
     def score(self, t):
-        s, total = b"\xff\xff" + t + b"\xff", 0.0
-        for i in range(2, len(s)):
+        s, total = b"\xff\xff\xff" + t + b"\xff", 0.0
+        for i in range(3, len(s)):
             node = 1
             for bit in range(7, -1, -1):
                 b = s[i] >> bit & 1
-                total += math.log10(self.p(s[i - 2:i], node, b))
+                total += math.log10(self.p(self.path(s[i - 3:i]), node, b))
                 node = 2 * node + b
         return total
 
 
-def test_tree_like_the_recursion(spark):
-    texts = ["abab", "", None, "ab cab", "É"]
+@pytest.mark.parametrize("branches", [0, 6, 1000])
+def test_tree_like_the_recursion(spark, branches):
+    texts = ["abab", "", None, "ab cab", "É", "abab abab"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = M.fit_tree(M.corpus_counts(df).where("gram is not null").select("gram", "n"))
-    brute = BruteTree([(t or "").encode().lower() for t in texts])
-    for t in ("abab", "", "cab", "zz", "É"):
+    model = M.fit_tree(M.corpus_counts(df).where("gram is not null").select("gram", "n"), branches)
+    brute = BruteTree([(t or "").encode().lower() for t in texts], branches)
+    for t in ("abab", "", "cab", "zz", "É", "ab abz"):
         assert abs(model.score(t) - brute.score(t.encode().lower())) < 1e-4
 
 

@@ -12,10 +12,11 @@ The score is the cosine, clipped to 0..1. Ties go to the smaller language
 name. The whole text is read, whatever its length.
 
 Fitting reads a bounded sample: at most about ``sample_per_language``
-labelled texts a language, chosen by a hash of the id, so the model's size
-and time do not grow with the corpus; prediction covers every row. Rows with
-a null or empty language or without letters teach nothing. With no labelled
-rows at all every prediction is ``und``.
+different labelled texts a language, chosen by a hash of id and text, so the
+model's size and time do not grow with the corpus; prediction covers every
+row. The model is broadcast: 64 KB a language. Rows with a null or empty
+language or without letters teach nothing. With no labelled rows at all every
+prediction is ``und``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.llm.common import chunks, pylist, store
+from fathom.operators.joins import broadcast_if_small
 
 DIMS = 1 << 12
 UNKNOWN = "und"
@@ -120,9 +122,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_per_language: int =
     known = labelled.where("text is not null and lang <> ''")
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(
         F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.col("_n")).alias("_share"))
-    picked = store(known.select(F.col(id_col).alias("_id"), "text", "lang").join(F.broadcast(store(share, "language-shares")), F.col("lang") == F.col("_lang"))
-                   .withColumn("_dice", F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-                   .where(F.col("_dice") < F.col("_share")).select("lang", "text"), "language-sample")
+    dice = F.pmod(F.xxhash64(F.col("_id").cast("string"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = store(known.select(F.col(id_col).alias("_id"), "text", "lang").join(broadcast_if_small(share), F.col("lang") == F.col("_lang"))
+                   .where(dice < F.col("_share")).select("lang", "text").distinct(), "language-sample")
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMS, np.int64)

@@ -247,8 +247,12 @@ def preview_blank(spark, sf_dir):
     return preview.query_dataset(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", " ")
 
 
-@register("replay_full_count", "SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(least(count(*), 500) AS BIGINT) AS shown FROM lineitem")
+@register("replay_full_count", """
+SELECT 'total' AS what, CAST(count(*) AS BIGINT) AS n FROM lineitem
+UNION ALL SELECT 'shown', CAST(least(count(*), 500) AS BIGINT) FROM lineitem
+""")
 def replay_full_count(spark, sf_dir):
     from fathom.operators import runfiles
     total, head = runfiles.replay(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", "")
-    return total.crossJoin(head.agg(F.count(F.lit(1)).alias("shown")))
+    return (total.select(F.lit("total").alias("what"), F.col("total_rows").alias("n"))
+            .unionByName(head.agg(F.count(F.lit(1)).alias("n")).select(F.lit("shown").alias("what"), "n")))

@@ -5,11 +5,13 @@ its per-task partial results there)."""
 import pytest
 
 import __spark_entry__ as E
+from fathom.plans import registry
 
+registry.load_all()
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_plan_shape(spark, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()

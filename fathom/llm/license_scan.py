@@ -10,10 +10,11 @@ relative position, the rarest first, until too few words could still match.
 What stays must hold the template's mandatory key phrases, word for word,
 inside the aligned place.
 
-An exact template (all words mandatory) is found at every place: a full
-match holds its rarest word, whichever that is. Other templates tolerate
-``1 - min_coverage`` of changed words but no inserted or dropped ones before
-their anchors; each of their ``ANCHORS`` rarest words is tried.
+A template tolerates ``1 - min_coverage`` of changed words but no inserted or
+dropped ones (an exact template, all words mandatory, no changed ones either).
+Its anchors are one more than the words that may change, the rarest first: a
+match holds at least one of them, whichever words were changed, so every
+match is found at every place.
 
 Words are ASCII letters and digits and all other characters from U+0080, A-Z
 lower-cased. Null and empty texts have no words and no labels. Ties in IDF go
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import alnum_words, chunks, pylist
 
-ANCHORS = 3
-
 
 @dataclass(frozen=True)
 class Template:
@@ -53,6 +52,11 @@ class Template:
     def phrases(self) -> list[list[bytes]]:
         return [alnum_words(p) for p in self.key_phrases or (self.text,)]
 
+    @property
+    def may_change(self) -> int:
+        """How many words of a match may differ."""
+        return math.floor((1 - self.min_coverage) * len(self.words) + 1e-9) if self.key_phrases else 0
+
 
 # The base phrases and their labels.
 BASE_TEMPLATES = (
@@ -97,19 +101,21 @@ class Index:
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     words: list[list[bytes]] = field(default_factory=list)
     phrases: list[list[list[bytes]]] = field(default_factory=list)
+    may_change: list[int] = field(default_factory=list)
     order: list[list[int]] = field(default_factory=list)    # each template's positions, rarest word first
 
     def __post_init__(self) -> None:
         for i, t in enumerate(self.templates):
             self.words.append(t.words)
             self.phrases.append(t.phrases)
+            self.may_change.append(t.may_change)
             for at, w in enumerate(self.words[i]):
                 self.postings[w].append((i, at))
             self.order.append(sorted(range(len(self.words[i])), key=lambda at: (-self.idf.get(self.words[i][at], math.inf), self.words[i][at], at)))
         # the words that can anchor an alignment, with the (template, position) they anchor
         self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, order in enumerate(self.order):
-            for at in order[:1 if not self.templates[i].key_phrases else ANCHORS]:
+            for at in order[:self.may_change[i] + 1]:
                 self.anchors[self.words[i][at]].append((i, at))
 
     def scan(self, words: list[bytes]) -> list[Match]:
@@ -136,8 +142,7 @@ class Index:
 
     def _verify(self, i: int, start: int, words: list[bytes]) -> Match | None:
         t, own = self.templates[i], self.words[i]
-        exact = not t.key_phrases
-        missing, most = 0, 0 if exact else math.floor((1 - t.min_coverage) * len(own) + 1e-9)
+        missing, most = 0, self.may_change[i]
         for at in self.order[i]:
             p = start + at
             if not 0 <= p < len(words) or words[p] != own[at]:

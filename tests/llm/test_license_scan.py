@@ -1,5 +1,6 @@
 """License scan against plain searches for the phrases."""
 
+import random
 import re
 
 import pytest
@@ -52,5 +53,27 @@ def test_rarest_word_decides_only_the_order():
         assert [m.start for m in index.scan(text)] == [0, 6]
 
 
+@pytest.mark.parametrize("changed", ["obtaining associated documentation", "any to a copy", "files documentation software associated"])
+def test_any_changed_words_a_template_tolerates(changed):
+    mit = next(t for t in L.NOTICE_TEMPLATES if t.text.startswith("Permission is hereby granted"))
+    text = [b"xyz" if w in changed.encode().split() else w for w in mit.words]
+    for idf in ({}, {w: 9.0 for w in changed.encode().split()}, {w: float(i) for i, w in enumerate(mit.words)}):
+        for before in (0, 2):
+            found = L.Index((mit,), idf).scan([b"x"] * before + text + [b"y"])
+            assert [(m.start, round(m.coverage * 20)) for m in found] == [(before, 20 - text.count(b"xyz"))]
+
+
+def test_every_template_like_trying_every_place():
+    rng = random.Random(5)
+    words = [t.words for t in L.NOTICE_TEMPLATES]
+    for _ in range(300):
+        i = rng.randrange(len(words))
+        text = [b"x"] * rng.randrange(3) + [w if rng.random() > 0.2 else b"xyz" for w in words[i]] + words[rng.randrange(len(words))]
+        index = L.Index(L.NOTICE_TEMPLATES, {w: rng.random() for own in words for w in own})
+        every = [m for t in range(len(words)) for start in range(-len(words[t]), len(text)) if (m := index._verify(t, start, text))]
+        key = lambda m: (m.template.label, m.template.text, m.start)
+        assert sorted(map(key, every)) == [key(m) for m in index.scan(text)]
+
+
 def test_empty_table(none):
     assert L.scan_documents(none).collect() == []

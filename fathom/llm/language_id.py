@@ -4,9 +4,16 @@ A text's vector holds its hashed byte n-grams (one to three bytes of the
 lower-cased text, everything but letters read as one space), weighted
 (1 + log tf) * idf and scaled to length one. Each language has a few
 centroids, found by spherical k-means on labelled texts. A text gets the
-language of the centroid with the highest cosine; it is rejected when the
-cosine distance is over ``max_distance``, or when it is null or has no
-letter (then the prediction is ``und``, with score 0).
+language of the centroid with the highest cosine; it is rejected when that
+cosine is under the language's limit for texts of so many different n-grams
+or the distance over ``max_distance``, or when it is null or has no letter
+(then the prediction is ``und``, with score 0).
+
+The limits come from the labelled sample: its texts, whole and cut to 16, 32,
+64, ... letter bytes, are held against centroids of the other half of their
+language's texts. By the number of different n-grams, in powers of two, the
+limit is a low quantile of these cosines times ``MARGIN``. So short and
+repetitive texts, which have few n-grams, need less than long ones.
 
 The score is the cosine, clipped to 0..1. Ties go to the smaller language
 name. The whole text is read, whatever its length.
@@ -21,6 +28,7 @@ prediction is ``und``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +47,9 @@ UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 1_500
 CENTROIDS = 4
 MAX_DISTANCE = 0.9
+CUTS = tuple(1 << k for k in range(4, 13))      # letter bytes to which labelled texts are cut for the limits
+LEVELS = 13         # of 1, 2, 4, ... DIMS different n-grams
+QUANTILE, MARGIN = 0.01, 0.7
 PIECE = 1 << 20     # bytes of a text whose n-grams are counted at once
 _SPACES = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -47,9 +58,15 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def ngram_counts(text: str) -> np.ndarray:
-    """Hashed counts of the text's one- to three-byte n-grams."""
-    words = b" ".join(text.lower().encode().translate(_SPACES).split())
+def letter_bytes(text: str) -> bytes:
+    """The lower-cased text, everything but letters read as one space."""
+    return b" ".join(text.lower().encode().translate(_SPACES).split())
+
+
+def ngram_counts(text: str | bytes) -> np.ndarray:
+    """Hashed counts of the text's one- to three-byte n-grams; bytes are
+    letter bytes already."""
+    words = letter_bytes(text) if isinstance(text, str) else text
     b = np.frombuffer(b" " + words + b" ", np.uint8)
     out = np.zeros(DIMS, np.int64)
     for at in range(0, len(b), PIECE):
@@ -67,7 +84,7 @@ def ngram_counts(text: str) -> np.ndarray:
     return out
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+def vectors(texts: list[str] | list[bytes], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
     for i, t in enumerate(texts):
         n = ngram_counts(t)
@@ -93,12 +110,40 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def learned_limits(texts: list[bytes], idf: np.ndarray, centroids: int) -> list[float]:
+    """The least cosine of a text of each level (the log2 of its different
+    n-grams), from the labelled texts of one language. Every text is held
+    against centroids of the other half of the texts, so that none is measured
+    against itself. A text needs no more than a longer one; a level without
+    any longer ones has the limit of the level before it."""
+    found: list[list[float]] = [[] for _ in range(LEVELS)]
+    for own, others in ((texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
+        if not own or not others:
+            continue
+        centres = spherical_kmeans(vectors(others, idf), centroids)
+        cuts = [c for t in own for c in [*(t[:n].strip() for n in CUTS if n < len(t)), t]]
+        for at in range(0, len(cuts), 256):
+            v = vectors(cuts[at:at + 256], idf)
+            for k, c in zip(levels(v), (v @ centres.T).max(axis=1)):
+                found[k].append(float(c))
+    limits = [MARGIN * float(np.quantile(x, QUANTILE)) if x else math.inf for x in found]
+    out = np.minimum.accumulate(limits[::-1])[::-1]
+    last = max((x for x in out if x < math.inf), default=0.0)
+    return [float(min(x, last)) for x in out]
+
+
+def levels(v: np.ndarray) -> np.ndarray:
+    """The log2 of the different n-grams of each vector, rounded down."""
+    return np.log2(np.maximum(1, np.count_nonzero(v, axis=1))).astype(int)
+
+
 @dataclass
 class LanguageModel:
     idf: np.ndarray
     languages: list[str]        # sorted
     centroids: np.ndarray       # rows, grouped by language
     owner: np.ndarray           # language index of each row
+    limits: np.ndarray          # languages x levels: the least cosine
     max_distance: float = MAX_DISTANCE
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -107,11 +152,13 @@ class LanguageModel:
         ok = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for at in range(0, len(ok), 256):
             part = ok[at:at + 256]
-            cosine = vectors([texts[i] for i in part], self.idf) @ self.centroids.T
+            own = vectors([texts[i] for i in part], self.idf)
+            cosine = own @ self.centroids.T
             best = np.argmax(cosine, axis=1)        # the first of equal ones: languages are sorted
-            for i, j, c in zip(part, best, cosine[np.arange(len(part)), best]):
+            least = self.limits[self.owner[best], levels(own)]
+            for i, j, c, x in zip(part, best, cosine[np.arange(len(part)), best], least):
                 score = float(min(1.0, max(0.0, c)))
-                out[i] = (self.languages[self.owner[j]], score, 1.0 - score > self.max_distance)
+                out[i] = (self.languages[self.owner[j]], score, bool(1.0 - score > self.max_distance or score < x))
         return out
 
 
@@ -141,14 +188,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_per_language: int =
     held = spark.sparkContext.broadcast(idf)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in group["text"] if has_letter(t))
+        texts = [letter_bytes(t) for t in sorted(t for t in group["text"] if has_letter(t))]
         rows = spherical_kmeans(vectors(texts, held.value), centroids) if texts else np.zeros((0, DIMS))
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(rows), "centroid": [c.astype(float).tolist() for c in rows]})
-
-    found = sorted(((r["lang"], r["centroid"]) for r in picked.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>").collect()), key=lambda r: r[0])
-    languages = sorted({lang for lang, _ in found})
-    return LanguageModel(idf, languages, np.array([c for _, c in found], np.float32).reshape(-1, DIMS),
-                         np.array([languages.index(lang) for lang, _ in found], np.int64), max_distance)
+        limits = learned_limits(texts, held.value, centroids)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(rows), "centroid": [c.astype(float).tolist() for c in rows], "limits": [limits] * len(rows)})
+
+    found = sorted(((r["lang"], r["centroid"], r["limits"]) for r in picked.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, limits array<double>").collect()), key=lambda r: r[0])
+    limits = {lang: x for lang, _, x in found}
+    languages = sorted(limits)
+    return LanguageModel(idf, languages, np.array([c for _, c, _ in found], np.float32).reshape(-1, DIMS),
+                         np.array([languages.index(lang) for lang, _, _ in found], np.int64),
+                         np.array([limits[lang] for lang in languages]).reshape(-1, LEVELS), max_distance)
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"

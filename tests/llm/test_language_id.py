@@ -1,5 +1,8 @@
 """Language ID: features and prediction against direct sums, and accuracy."""
 
+import base64
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +65,26 @@ def test_far_texts_are_rejected(spark, table):
     model = I.fit(table("documents"))
     r = I.predict(spark.createDataFrame([(1, "漢字仮名交じり文" * 5), (2, "the and of to in is that")], "doc_id long, text string"), model).collect()
     assert [x["rejected"] for x in sorted(r, key=lambda x: x["doc_id"])] == [True, False]
+
+
+FINNISH = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja "
+           "heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin "
+           "oikeuksiin ja vapauksiin ilman minkäänlaista erotusta.")
+POLISH = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i "
+          "powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności.")
+
+
+def test_latin_junk_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang")
+    held = F.col("doc_id") % 3 == 1
+    model = I.fit(docs.where(~held))
+    rng = random.Random(3)
+    letters = lambda al, n: " ".join("".join(rng.choice(al) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    junk = [letters("abcdefghijklmnopqrstuvwxyz", n) for n in (12, 50, 200, 1500)]
+    junk += [letters("bcdfghjklmnpqrstvwxz", n) for n in (12, 50, 1500)]
+    junk += [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 300, 6000)]
+    junk += [FINNISH, POLISH]
+    assert [t for t, (_, _, rejected) in zip(junk, model.predict(junk)) if not rejected] == []
+    own = [r["text"] for r in docs.where(held).collect() if I.has_letter(r["text"])]
+    out = [len(t) for t, (_, _, rejected) in zip(own, model.predict(own)) if rejected]
+    assert len(own) > 300 and out == []

@@ -13,11 +13,14 @@ for stopping at s. KT estimates do not depend on the order of the decisions,
 so counting byte four-grams over the whole training set, in parallel, gives
 the same weights as reading it in sequence.
 
-The tree is bounded: at most ``THREE_BYTE_CONTEXTS`` contexts of three bytes,
-the most frequent ones, are branches of their own; the others of the same two
-bytes are one branch together. With at most 2^16 contexts of two bytes the
-model has a fixed bound, so it can be broadcast. Its code length per byte is
-``-score / log10(2) / bytes``.
+Every context of three bytes of the training set is a branch of its own. They
+are weighted in one group per last two bytes, and each context's 256 byte
+probabilities are a row of a stored table. Broadcast are the contexts of up to
+two bytes (at most 2^16 + 2^8 + 1), the most frequent of three bytes (at most
+``HEAD_CONTEXTS``) and one bit per possible context that tells whether the
+table has it. Grams of a document whose context is in the table but not in
+the broadcast are counted and joined with the table, like rare words. The code
+length per byte is ``-score / log10(2) / bytes``.
 
 A text is its UTF-8 bytes with A-Z lower-cased, closed by the byte 0xFF
 (never part of UTF-8) and preceded by three of them as first context. So null
@@ -53,8 +56,9 @@ HEAD_TOKENS = 1 << 18
 EDGE = b"\xff"
 END_TOKEN = b""     # no word is empty
 PIECE = 1 << 21     # bytes scored at once
-THREE_BYTE_CONTEXTS = 1 << 15
-OTHERS = -1         # the branch of all other third bytes
+HEAD_CONTEXTS = 1 << 15
+OTHERS = -1         # the branch of all other third bytes, in a cut tree
+ANY = -2            # bytes without a branch
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -119,97 +123,162 @@ class TreeModel:
     block: np.ndarray   # last two bytes -> block
     row: np.ndarray     # block x third byte -> row of logs
     logs: np.ndarray    # rows x 256
+    stored: np.ndarray | None = None    # a bit per three-byte context: its row is only in the table
 
     def score(self, text: str | None) -> float:
         """log10 probability of the whole text and its end."""
-        grams, total = four_grams(text_bytes(text)), 0.0
+        return self.score_held(text)[0]
+
+    def score_held(self, text: str | None) -> tuple[float, list[int], list[int]]:
+        """log10 probability of the grams whose context is held here, and the
+        other grams, whose contexts are only in the table, with their counts."""
+        grams, total, others = four_grams(text_bytes(text)), 0.0, Counter()
         for at in range(0, len(grams), PIECE):
             g = grams[at:at + PIECE]
+            if self.stored is not None:
+                context = g >> np.uint32(8)
+                out = (self.stored[context >> np.uint32(3)] >> (context & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
+                if out.any():
+                    far, n = np.unique(g[out], return_counts=True)
+                    others.update(dict(zip(far.tolist(), n.tolist())))
+                    g = g[~out]
             rows = self.row[self.block[(g >> np.uint32(8)) & np.uint32(0xFFFF)], g >> np.uint32(24)]
             total += float(self.logs[rows, g & np.uint32(255)].sum(dtype=np.float64))
-        return total
+        return total, list(others), list(others.values())
+
 
+def branches(grams: DataFrame, contexts: int | None = None) -> DataFrame:
+    """Stored (last, second, third, byte, n): the counts of ``grams`` (gram, n).
 
-def branches(grams: DataFrame, contexts: int) -> DataFrame:
-    """Stored (last, second, third, byte, n): the counts of ``grams`` (gram, n)
-    with the third context byte only where its context is among the
-    ``contexts`` most frequent, ``OTHERS`` elsewhere."""
-    by_context = store(grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")), "contexts")
-    kept = by_context.where(F.col("n") >= 1 << head_level(by_context, contexts)).select("context", F.lit(True).alias("_own"))  # at most ``contexts`` rows
-    g = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept), "context", "left")
-    third = F.when(F.col("_own"), F.shiftright("gram", 24)).otherwise(OTHERS)
+    With ``contexts`` the tree is cut: the third context byte stays only where
+    its context is among the ``contexts`` most frequent, ``OTHERS`` elsewhere."""
     part = lambda bits: F.shiftright("gram", bits).bitwiseAND(F.lit(255)).cast("int")
-    return store(g.groupBy(part(8).alias("last"), part(16).alias("second"), third.cast("int").alias("third"), part(0).alias("byte"))
+    g, third = grams, part(24)
+    if contexts is not None:
+        by_context = store(grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")), "contexts")
+        kept = by_context.where(F.col("n") >= 1 << head_level(by_context, contexts)).select("context", F.lit(True).alias("_own"))  # at most ``contexts`` rows
+        g = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept), "context", "left")
+        third = F.when(F.col("_own"), part(24)).otherwise(OTHERS)
+    return store(g.groupBy(part(8).alias("last"), part(16).alias("second"), third.alias("third"), part(0).alias("byte"))
                  .agg(F.sum("n").alias("n")), "branches")
 
 
-def _counts(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one last byte: the branches' (second, third) bytes and counts of the
-    next byte, where each second byte begins, and which one a branch has."""
-    key = (g["second"].to_numpy(np.int64) << 9) | (g["third"].to_numpy(np.int64) + 1)
-    names, at = np.unique(key, return_inverse=True)
+def _counts(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of one last and second byte: the third bytes and the next byte's counts."""
+    names, at = np.unique(g["third"].to_numpy(np.int64), return_inverse=True)
     c = np.zeros((len(names), 256))
     np.add.at(c, (at, g["byte"].to_numpy()), g["n"].to_numpy())
-    starts = np.flatnonzero(np.concatenate([[True], (names[1:] >> 9) != (names[:-1] >> 9)]))
-    return names, c, starts, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(names))))
+    return names, c
 
 
-def fit_tree(grams: DataFrame, contexts: int = THREE_BYTE_CONTEXTS) -> TreeModel:
-    """A model from (gram, n): a 32-bit key (three context bytes, one byte)
-    and its count.
+def fit_table(grams: DataFrame, contexts: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """From (gram, n), a 32-bit key (three context bytes, one byte) and its
+    count: the stored rows (last, second, third, n, logs) of all contexts, and
+    the logs of the context without bytes. A row whose third byte is ``ANY`` is
+    for third bytes without a row, one whose second byte is ``ANY`` for such
+    second bytes.
 
-    Contexts are weighted in one task per last context byte; only those 256
-    tasks' sums meet on the driver."""
+    Contexts are weighted in one group per last two context bytes, at most 256
+    branches each; only 256 sums, one per last byte, meet on the driver."""
     spark = grams.sparkSession
-    by_last = branches(grams, contexts).groupBy("last")
+    by_two = branches(grams, contexts).groupBy("last", "second")
 
     def weights(g: pd.DataFrame):
-        names, c, starts, owner = _counts(g)
-        three, two = decisions(c), decisions(np.add.reduceat(c, starts, axis=0))
-        longer = np.add.reduceat(log_kt(*three), starts, axis=0)
-        own = log_kt(*two)
-        return names, c, owner, three, two, own, longer, np.logaddexp(own, longer) - math.log(2)
-
-    def weigh(g: pd.DataFrame) -> pd.DataFrame:
-        _, c, _, _, _, _, _, weighted = weights(g)
-        one = c.sum(axis=0)
-        return pd.DataFrame({"counts": [one.tolist()], "weighted": [(np.logaddexp(log_kt(*decisions(one)), weighted.sum(axis=0)) - math.log(2)).tolist()]})
-
-    rows = by_last.applyInPandas(weigh, "counts array<double>, weighted array<double>").collect()  # at most 256
+        names, c = _counts(g)
+        three, two = decisions(c), decisions(c.sum(axis=0))
+        longer, own = log_kt(*three).sum(axis=0), log_kt(*two)
+        return names, c, three, two, own, longer, np.logaddexp(own, longer) - math.log(2)
+
+    def weigh_two(g: pd.DataFrame) -> pd.DataFrame:
+        _, c, _, _, _, _, weighted = weights(g)
+        return pd.DataFrame({"last": [int(g["last"].iloc[0])], "counts": [c.sum(axis=0).tolist()], "weighted": [weighted.tolist()]})
+
+    def weigh(g: pd.DataFrame) -> pd.DataFrame:     # at most 256 rows
+        c = np.sum(np.stack(g["counts"]), axis=0)
+        weighted = np.sum(np.stack(g["weighted"]), axis=0)
+        one = log_kt(*decisions(c))
+        return pd.DataFrame({"last": [int(g["last"].iloc[0])], "counts": [c.tolist()], "stop": [_stop_weight(one, weighted).tolist()],
+                             "weighted": [(np.logaddexp(one, weighted) - math.log(2)).tolist()]})
+
+    rows = (by_two.applyInPandas(weigh_two, "last int, counts array<double>, weighted array<double>").groupBy("last")
+            .applyInPandas(weigh, "last int, counts array<double>, stop array<double>, weighted array<double>").collect())  # at most 256
     left, right = decisions(np.sum([r["counts"] for r in rows], axis=0) if rows else np.zeros(256))
     stop = _stop_weight(log_kt(left, right), np.sum([r["weighted"] for r in rows], axis=0) if rows else np.zeros(255))
     base = _kt(left, right)
+    of_last = {r["last"]: (_kt(*decisions(np.array(r["counts"]))), np.array(r["stop"]), float(sum(r["counts"]))) for r in rows}
+    held = spark.sparkContext.broadcast(of_last)
+
+    def from_one(last: int, p: np.ndarray) -> np.ndarray:
+        one, stop1, _ = held.value[last]
+        return stop * base + (1 - stop) * (stop1 * one + (1 - stop1) * p)
 
     def predict(g: pd.DataFrame) -> pd.DataFrame:
-        names, c, owner, three, two, own, longer, weighted = weights(g)
-        one = decisions(c.sum(axis=0))
-        stop1 = _stop_weight(log_kt(*one), weighted.sum(axis=0))
-        stop2 = _stop_weight(own, longer)
-        from_one = lambda p: stop * base + (1 - stop) * (stop1 * _kt(*one) + (1 - stop1) * p)
-        p = from_one(stop2[owner] * _kt(*two)[owner] + (1 - stop2[owner]) * _kt(*three))
-        # third bytes without a branch and without others; then second bytes not seen
-        p = np.vstack([p, from_one(stop2 * _kt(*two) + (1 - stop2) * 0.5), from_one(np.full((1, 255), 0.5))])
-        second = [*(names >> 9).tolist(), *np.unique(names >> 9).tolist(), -1]
-        third = [*((names & 511) - 1).tolist(), *[-2] * len(stop2), -2]
-        return pd.DataFrame({"last": int(g["last"].iloc[0]), "second": second, "third": third, "logs": [x.tobytes() for x in byte_logs(p).astype(np.float32)]})
-
-    # at most 256 + 2 * 2^16 + contexts rows of 1 KB
-    found = by_last.applyInPandas(predict, "last int, second int, third int, logs binary").collect()
-    logs = [byte_logs((stop * base + (1 - stop) * 0.5)[None, :])[0].astype(np.float32)]
+        names, c, three, two, own, longer, _ = weights(g)
+        last, second, stop2 = int(g["last"].iloc[0]), int(g["second"].iloc[0]), _stop_weight(own, longer)
+        p = np.vstack([stop2 * _kt(*two) + (1 - stop2) * _kt(*three), stop2 * _kt(*two) + (1 - stop2) * 0.5])
+        n = c.sum(axis=1)
+        return pd.DataFrame({"last": last, "second": second, "third": [*names.tolist(), ANY], "n": [*n.astype(np.int64).tolist(), int(n.sum())],
+                             "logs": [*byte_logs(from_one(last, p)).astype(np.float32)]})
+
+    found = by_two.applyInPandas(predict, "last int, second int, third int, n long, logs array<float>")
+    alone = [(last, ANY, ANY, int(n), byte_logs((stop * base + (1 - stop) * (stop1 * one + (1 - stop1) * 0.5))[None, :])[0].astype(np.float32).tolist())
+             for last, (one, stop1, n) in of_last.items()]
+    table = store(found.unionByName(spark.createDataFrame(alone, found.schema)), "context-logs")
+    return table, byte_logs((stop * base + (1 - stop) * 0.5)[None, :])[0].astype(np.float32)
+
+
+def held_model(rows: DataFrame, none: np.ndarray, stored: np.ndarray | None = None) -> TreeModel:
+    """The model of these rows of a table of ``fit_table``."""
+    t = rows.select("last", "second", "third", "logs").toArrow()
+    names = [t.column(c).to_numpy() for c in ("last", "second", "third")]
+    values = t.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 256).astype(np.float32)
+    order = np.lexsort(names[::-1])     # defaults come before what replaces them
     block, row = np.zeros((256, 256), np.int32), [np.zeros(256, np.int32)]
-    for r in sorted(found, key=lambda r: (r["last"], r["second"], r["third"])):     # defaults come before what replaces them
-        if r["second"] < 0:
-            block[:, r["last"]] = len(row)
-            row.append(np.full(256, len(logs), np.int32))
-        elif r["third"] < OTHERS:
-            block[r["second"], r["last"]] = len(row)
-            row.append(np.full(256, len(logs), np.int32))
-        elif r["third"] == OTHERS:
-            row[-1][:] = len(logs)
+    for at, (last, second, third) in enumerate(zip(*(x[order].tolist() for x in names)), 1):
+        if second == ANY:
+            block[:, last] = len(row)
+            row.append(np.full(256, at, np.int32))
+        elif third == ANY:
+            block[second, last] = len(row)
+            row.append(np.full(256, at, np.int32))
+        elif third == OTHERS:
+            row[-1][:] = at
         else:
-            row[-1][r["third"]] = len(logs)
-        logs.append(np.frombuffer(r["logs"], np.float32))
-    return TreeModel(block.reshape(-1), np.array(row), np.array(logs))
+            row[-1][third] = at
+    return TreeModel(block.reshape(-1), np.array(row), np.vstack([none[None, :], values[order]]), stored)
+
+
+def fit_tree(grams: DataFrame, contexts: int | None = None) -> TreeModel:
+    """The model of all contexts, in one piece: for small tables."""
+    return held_model(*fit_table(grams, contexts))
+
+
+def split_tree(grams: DataFrame, head_contexts: int = HEAD_CONTEXTS) -> tuple[TreeModel, DataFrame | None]:
+    """The model of the contexts of up to two bytes and the ``head_contexts``
+    most frequent of three, and the (context, logs) of all others, if any."""
+    table, none = fit_table(grams)
+    three = table.where(F.col("third") >= 0)
+    level = head_level(three, head_contexts)
+    in_head = F.col("n") >= F.lit(1 << level)
+    tail = three.where(~in_head).select((F.col("third") * 65536 + F.col("second") * 256 + F.col("last")).cast("long").alias("context"), "logs")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 24, np.uint8)
+        for b in batches:
+            seen[b.column(0).to_numpy()] = 1
+        if seen.any():
+            packed = np.packbits(seen, bitorder="little").reshape(256, -1)
+            own = np.flatnonzero(packed.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(own.tolist(), pa.int32()), pa.array([packed[i].tobytes() for i in own], pa.binary())], names=["at", "bits"])
+
+    stored = None
+    for r in tail.select("context").mapInArrow(bits, "at int, bits binary").toLocalIterator():
+        if stored is None:
+            stored = np.zeros((256, 1 << 13), np.uint8)
+        stored[r["at"]] |= np.frombuffer(r["bits"], np.uint8)
+    # at most 2^8 + 2^16 + ``head_contexts`` rows of 1 KB
+    model = held_model(table.where((F.col("third") < 0) | in_head), none, None if stored is None else stored.reshape(-1))
+    return model, None if stored is None else tail
 
 
 def corpus_counts(train: DataFrame, text: str = "text") -> DataFrame:
@@ -240,7 +309,8 @@ def head_level(words: DataFrame, most: int) -> int:
     return level
 
 
-def score_documents(docs: DataFrame, held_out: Column, text: str = "text", head_tokens: int = HEAD_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, text: str = "text", head_tokens: int = HEAD_TOKENS,
+                    head_contexts: int = HEAD_CONTEXTS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score. Learns from the rows where ``held_out`` is not true."""
     spark = docs.sparkSession
@@ -251,26 +321,33 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", head_
     least = 1 << head_level(words, head_tokens)
     head = words.where(F.col("n") >= least).toArrow()      # at most ``head_tokens`` rows
     common = spark.sparkContext.broadcast(dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist())))
-    tree = spark.sparkContext.broadcast(fit_tree(counts.where("gram is not null").select("gram", "n")))
+    model, tail = split_tree(counts.where("gram is not null").select("gram", "n"), head_contexts)
+    tree = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, model = common.value.get, tree.value
         for b in chunks(batches, "_text", 8 << 20, 4096):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for t in pylist(b, "_text"):
                 w = [*text_bytes(t).split(), END_TOKEN]
                 c = [get(x, 0) for x in w]
                 n = np.array(c, np.float64)
                 rare = Counter(x for x, k in zip(w, c) if not k)
-                for col, x in zip(out, (len(w), int(np.count_nonzero(n)), float(np.log10(n + 1).sum()), model.score(t), list(rare), list(rare.values()))):
+                for col, x in zip(out, (len(w), int(np.count_nonzero(n)), float(np.log10(n + 1).sum()), *model.score_held(t), list(rare), list(rare.values()))):
                     col.append(x)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), *(pa.array(c, t) for c, t in zip(out, types))],
-                                             names=["doc_id", "held_out", "n_tokens", "_known", "_logs", "score", "_rare", "_times"])
-    scored = with_row_id(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, _known long, _logs double, score double, _rare array<binary>, _times array<long>"), "scored")
+                                             names=["doc_id", "held_out", "n_tokens", "_known", "_logs", "score", "_grams", "_gram_times", "_rare", "_times"])
+    scored = with_row_id(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, _known long, _logs double, score double, _grams array<long>, _gram_times array<long>, _rare array<binary>, _times array<long>"), "scored")
     rare = scored.select(ROW_ID, F.explode(F.arrays_zip("_rare", "_times")).alias("_r")).select(ROW_ID, F.col("_r._rare").alias("word"), F.col("_r._times").alias("_times"))
     extra = (rare.join(words.where(F.col("n") < least), "word").groupBy(ROW_ID)
              .agg(F.sum("_times").alias("_more"), F.sum(F.col("_times") * F.log10(F.col("n") + 1)).alias("_more_logs")))
+    if tail is not None:
+        grams = scored.select(ROW_ID, F.explode(F.arrays_zip("_grams", "_gram_times")).alias("_g")).select(
+            ROW_ID, F.shiftright("_g._grams", 8).alias("context"), F.col("_g._grams").bitwiseAND(F.lit(255)).cast("int").alias("byte"), F.col("_g._gram_times").alias("_times"))
+        far = (grams.join(tail, "context").select(ROW_ID, (F.col("_times") * F.element_at("logs", F.col("byte") + 1).cast("double")).alias("_far"))
+               .groupBy(ROW_ID).agg(F.sum("_far").alias("_far")))
+        scored = scored.join(far, ROW_ID, "left").withColumn("score", F.col("score") + F.coalesce("_far", F.lit(0.0)))
     smooth = math.log10(total["n"] + total["v"] + 1)
     return scored.join(extra, ROW_ID, "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),

@@ -115,3 +115,15 @@ def test_no_rows_and_none_to_learn_from(none, spark):
     assert M.score_documents(none, F.lit(False)).collect() == []
     r = M.score_documents(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), F.lit(True)).first()
     assert abs(r["score"] - 3 * math.log10(1 / 256)) < 1e-5 and r["n_known"] == 0 and r["base_score"] == 0
+
+
+@pytest.mark.parametrize("head", [0, 3, M.HEAD_CONTEXTS])
+def test_every_context_has_its_own_counts(spark, head):
+    texts = ["abab", "", None, "ab cab", "É", "abab abab", "xbab", "zz cab " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") >= 5
+    brute = BruteTree([(t or "").encode().lower() for t in texts[:5]], 1 << 24)
+    rows = M.score_documents(docs, held, head_contexts=head).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r["score"] - brute.score((texts[r["doc_id"]] or "").encode().lower())) < 1e-4

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import (decontamination, language_id, license_scan, line_dedup, lm_scoring, mtree, packing, sharding,
-                        simhash, url_filter)
+from fathom.llm import (decontamination, filter_audit, html_extract, language_id, license_scan, line_dedup, lm_scoring,
+                        mtree, packing, sharding, simhash, url_filter, variant_groups)
 from fathom.session import read_table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -176,3 +176,102 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontamination.contamination_report(docs, tests).drop("spans", "longest_match")
+
+
+_VARIANTS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)) AS step),
+runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]))) AS h
+  FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+skips AS (
+  SELECT word, n, word[:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT x.word, y.word AS other, y.n FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT s.word, v.word, v.n FROM skips s JOIN v ON v.word = s.a || s.b
+  UNION SELECT v.word, s.word, s.n FROM skips s JOIN v ON v.word = s.a || s.b),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+found AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root FROM found
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN found f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM found f JOIN chain c USING (word) JOIN found e ON e.word = c.root WHERE e.form IS NULL
+"""
+
+
+@query(_VARIANTS)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups.group_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS q, bool_or(toxic = 1) AS t FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+         coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS is_copy FROM d),
+failed AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * capitals > 10 * length(text),
+                        regexp_matches(text, '[#$%&*|]'), is_copy] AS f FROM counted),
+cells AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE q) AS good, count(*) FILTER (WHERE t) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters(l) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+  JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+every AS (
+  SELECT part, o, step, n, good, toxic, f[o[step]] AS here, len(list_filter(o[:step - 1], lambda x: f[x])) > 0 AS gone,
+         len(list_filter(f, lambda x: x)) AS failures FROM cells, steps),
+sums AS (
+  SELECT part, o, step, sum(n) FILTER (WHERE NOT here AND NOT gone) AS kept, sum(n) FILTER (WHERE here AND NOT gone) AS removed,
+         sum(n) FILTER (WHERE here AND gone) AS redundant, sum(n) FILTER (WHERE here AND failures = 1) AS unique_fails,
+         sum(good) FILTER (WHERE here AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE here AND NOT gone) AS toxic_lost
+  FROM every GROUP BY part, o, step),
+whole AS (SELECT *, sum(removed) OVER (PARTITION BY part, o[step]) AS shapley FROM sums)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(shapley, 0) AS BIGINT) AS shapley
+FROM whole
+"""
+
+
+@query(_AUDIT)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+# The pages of these tables have one article each; blocks are its h1 and p.
+_MAIN_TEXT = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)),
+    '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
+
+
+@query(_MAIN_TEXT)
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).drop("path")

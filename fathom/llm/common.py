@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +60,21 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(df: DataFrame, taken: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of the names in ``taken`` (space-separated)
+    renamed out of the way, and the function that gives them back."""
+    names = {c.lower() for c in [*df.columns, *taken.split()]}
+    moved = {}
+    for c in df.columns:
+        if c.lower() in taken.lower().split():
+            new = f"_aside_{c}"
+            while new.lower() in names:
+                new = f"_{new}"
+            names.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({new: c for c, new in moved.items()})
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored with a unique long ``_row_id``: rows that repeat in every
     column, null ids included, stay separate rows."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import alnum_words, chunks, pylist, store
+from fathom.llm.common import alnum_words, aside, chunks, pylist, store
 
 BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 6 << 20
@@ -312,4 +312,6 @@ def contamination_report(docs: DataFrame, tests: DataFrame, window: int = 10, bl
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the documents in which a test window occurs."""
-    return match_tests(docs, tests, window=window).where(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    moved, back = aside(docs, " ".join(T.StructType.fromDDL(STATE).names))
+    clean = match_tests(moved, tests, window=window).where(F.size("_spans") == 0)
+    return back(clean.select(*[F.col(f"`{c}`") for c in moved.columns]))

@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_per_language: int =
         centroids: int = CENTROIDS, max_distance: float = MAX_DISTANCE) -> LanguageModel:
     """A model from ``labelled`` (``id_col``, text, lang)."""
     spark = labelled.sparkSession
-    known = labelled.where("text is not null and lang <> ''")
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(
         F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.col("_n")).alias("_share"))
     dice = F.pmod(F.xxhash64(F.col("_id").cast("string"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -19,20 +19,28 @@ Queries are read in blocks of at most ``BLOCK_QUERIES``, each broadcast and
 searched in all shards; a query's k best of every shard are then merged. So
 memory does not grow with the queries or the vectors.
 
-Vectors that are null or empty, hold null or non-finite components, or
-components whose integer is 2^27 or more in absolute value (their scores may
-not fit a long) take no part. Vectors of different lengths are never
-compared. A query skips its own row only: rows that repeat its id are
-candidates. Ties go to the smaller id, then to the smaller row number; null
-ids come last. Fewer than k candidates give fewer rows.
+Vectors that are null or empty or hold null or non-finite components take no
+part. Vectors of different lengths are never compared. A query skips its own
+row only: rows that repeat its id are candidates. Ties go to the smaller id,
+then to the smaller row number; null ids come last. Fewer than k candidates
+give fewer rows, an empty table gives none. Only the two named columns are
+read.
+
+Trees compute in 64-bit integers, which is exact for vectors of a square up
+to ``LARGEST_SQUARE``. Wider vectors are kept beside the trees as arbitrary
+integers: every query is compared with all of them, and a wide query with all
+vectors, block by block. A score among a query's k best that does not fit a
+long is an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +52,11 @@ from fathom.llm.common import ROW_ID, new_path, pylist, store, with_row_id
 PAGE = 64           # entries of a page
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 8192
-LARGEST = 1 << 27
+LARGEST_SQUARE = 1 << 60
+LONG = 1 << 63
 SLACK = 1e-7        # of the space's size: above any rounding of a distance
 NO_ID = np.iinfo(np.int64).max
+FOUND_NAMES = ["query_id", "_query", "score", "_id", "_row", "_below"]
 
 
 @dataclass
@@ -136,23 +146,61 @@ class MTree:
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Stored (_row_id, id, dims, vector as 64-bit bytes, square) of the
-    vectors that take part."""
+    """Stored (_row_id, id, dims, vector, square, wide) of the vectors that
+    take part: a vector is 64-bit bytes, a wide one pickled integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for id_, v in zip(pylist(b, "id"), pylist(b, "v")):
                 if not v or any(x is None for x in v):
                     continue
-                x = np.floor(scale * np.array(v, np.float64))
-                if not np.isfinite(x).all() or np.abs(x).max() >= LARGEST:
+                f = np.array(v, np.float64)
+                if not np.isfinite(f).all():
                     continue
-                x = x.astype("<i8")
-                for col, y in zip(out, (id_, len(x), x.tobytes(), int((x * x).sum()))):
+                if wide := float(np.abs(f).max()) * scale * np.sqrt(len(f)) >= 1 << 29:     # else the square is below the bound
+                    x = [math.floor(Fraction(a) * scale) for a in v]
+                    wide = sum(a * a for a in x) > LARGEST_SQUARE
+                if wide:
+                    row = id_, len(x), pickle.dumps(x), 0, True
+                else:
+                    x = np.floor(scale * f).astype("<i8")
+                    row = id_, len(x), x.tobytes(), int((x * x).sum()), False
+                for col, y in zip(out, row):
                     col.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["id", "dims", "vector", "square"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()))],
+                                             names=["id", "dims", "vector", "square", "wide"])
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return with_row_id(rows.mapInArrow(run, "id long, dims int, vector binary, square long"), "vectors")
+    return with_row_id(rows.mapInArrow(run, "id long, dims int, vector binary, square long, wide boolean"), "vectors")
+
+
+def _integers(vector: bytes, wide: bool) -> list[int]:
+    return pickle.loads(vector) if wide else np.frombuffer(vector, "<i8").tolist()
+
+
+def _compare_all(held, k: int):
+    """The k best of each held query among the batches' vectors, by plain
+    integer arithmetic. A score above a long is an error at once; one below is
+    marked, as it matters only if it stays among the k best."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(id_, row, dims, _integers(v, wide)) for dims, got in held.value.items() for id_, row, v, wide in got]
+        best: list[list] = [[] for _ in queries]
+        for b in batches:
+            for id_, row, dims, v, wide in zip(*(pylist(b, c) for c in ("id", ROW_ID, "dims", "vector", "wide"))):
+                own = _integers(v, wide)
+                for i, (_, q_row, q_dims, q) in enumerate(queries):
+                    if q_dims == dims and q_row != row:
+                        score = sum(x * y for x, y in zip(q, own))
+                        item = (score, -(NO_ID if id_ is None else id_), -row)
+                        heapq.heappush(best[i], item) if len(best[i]) < k else heapq.heappushpop(best[i], item)
+        out = []
+        for (id_, row, _, _), found in zip(queries, best):
+            for score, minus_id, minus_row in found:
+                if score >= LONG:
+                    raise OverflowError(f"the score of query {id_} and {-minus_id} does not fit a long")
+                out.append((id_, row, max(score, -LONG), -minus_id, -minus_row, score < -LONG))
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_())], names=FOUND_NAMES)
+    return run
 
 
 def build_trees(vectors: DataFrame, largest: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -184,8 +232,9 @@ def top_k(table: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", v
     ``id_col``) with all other rows."""
     spark = table.sparkSession
     vectors = integer_vectors(table, id_col, vector_col, scale)
-    largest = int(vectors.agg(F.max("square")).first()[0] or 0)
-    trees = build_trees(vectors, largest)
+    seen = vectors.agg(F.max("square").alias("largest"), F.count_if("wide").alias("wide")).first()
+    largest = int(seen["largest"] or 0)
+    trees = build_trees(vectors.where("NOT wide"), largest)
 
     def block_search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,16 +242,17 @@ def top_k(table: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", v
                 for dims, blob in zip(pylist(b, "dims"), pylist(b, "tree")):
                     tree: MTree = pickle.loads(blob)
                     out: list[tuple] = []
-                    for id_, row, v in held.value.get(dims, ()):
+                    for id_, row, v, _ in held.value.get(dims, ()):
                         out += [(id_, row, *x) for x in tree.search(np.frombuffer(v, "<i8").astype(np.int64), row, k)]
                     cols = list(zip(*out)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "_query", "score", "_id", "_row"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([False] * len(out), pa.bool_())], names=FOUND_NAMES)
         return run
 
-    def blocks() -> Iterator[dict[int, list]]:
+    def blocks(wide: bool) -> Iterator[dict[int, list]]:
         held, n = {}, 0
-        for r in vectors.withColumnRenamed("id", id_col).where(queries).select(id_col, ROW_ID, "dims", "vector").toLocalIterator():
-            held.setdefault(r["dims"], []).append((r[0], r[1], bytes(r[3])))
+        own = vectors.where(F.col("wide") == wide).withColumnRenamed("id", id_col)
+        for r in own.where(queries).select(id_col, ROW_ID, "dims", "vector").toLocalIterator():
+            held.setdefault(r["dims"], []).append((r[0], r[1], bytes(r[3]), wide))
             n += 1
             if n == block_queries:
                 yield held
@@ -210,11 +260,17 @@ def top_k(table: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", v
         if n:
             yield held
 
-    schema, path = "query_id long, _query long, score long, _id long, _row long", new_path(spark, "found")
+    schema, path = "query_id long, _query long, score long, _id long, _row long, _below boolean", new_path(spark, "found")
     spark.createDataFrame([], schema).write.parquet(path)
-    for block in blocks():      # all blocks' results in one folder: the plan does not grow with them
-        trees.mapInArrow(block_search(spark.sparkContext.broadcast(block)), schema).write.mode("append").parquet(path)
+    for block in blocks(False):      # all blocks' results in one folder: the plan does not grow with them
+        held = spark.sparkContext.broadcast(block)
+        trees.mapInArrow(block_search(held), schema).write.mode("append").parquet(path)
+        if seen["wide"]:
+            vectors.where("wide").mapInArrow(_compare_all(held, k), schema).write.mode("append").parquet(path)
+    for block in blocks(True) if seen["wide"] else ():
+        vectors.mapInArrow(_compare_all(spark.sparkContext.broadcast(block), k), schema).write.mode("append").parquet(path)
     found = spark.read.schema(schema).parquet(path)
     best = Window.partitionBy("_query").orderBy(F.desc("score"), "_id", "_row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col), "score")
+        "query_id", "rank", F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col),
+        F.when(F.col("_below"), F.raise_error(F.lit("a score does not fit a long")).cast("long")).otherwise(F.col("score")).alias("score"))

@@ -90,13 +90,13 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = """
-WITH lines AS (
-  SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line
-  FROM documents WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+WITH page_texts AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line FROM page_texts),
+totals AS (SELECT source, count(*) AS total FROM page_texts GROUP BY source),
 bad AS (
   SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE line <> '' GROUP BY l.source, line HAVING count(*) >= 5 AND count(*) > CAST(any_value(total) AS DOUBLE) * CAST(0.1 AS DOUBLE)),
+  WHERE line <> '' GROUP BY l.source, line HAVING count(*) >= 5 AND count(*) > CAST(any_value(total) AS DOUBLE) * CAST(0.05 AS DOUBLE)),
 drops AS (SELECT source, list(line) AS gone FROM bad GROUP BY source),
 cut AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS every,

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import ROW_ID, pylist, space_words, store, with_row_id
+from fathom.llm.common import ROW_ID, aside, pylist, space_words, store, with_row_id
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))    # first bit, bits
 GENERATOR = 0b101011100011                  # of the cyclic Golay code
@@ -166,14 +166,15 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))).first())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket: int = BUCKET, row_id: str | None = None) -> DataFrame:
     """Per document: doc_id, ``_row_id``, fingerprint (16 hex digits),
     component_id and ``keep``, true for one document of each component (the
     smallest doc_id, of repeated ones the smallest row id).
 
-    If ``docs`` has ``_row_id`` it is kept; otherwise rows are numbered."""
-    numbered = docs if ROW_ID in docs.columns else docs.withColumn(ROW_ID, F.monotonically_increasing_id())
-    with_fp = store(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), ROW_ID, F.col("text").alias("_text")).mapInArrow(
+    ``row_id`` names a column of ``docs`` with a different long in every row
+    to take as ``_row_id``; without it rows are numbered."""
+    number = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    with_fp = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias(ROW_ID), F.col("text").alias("_text")).mapInArrow(
         _fingerprints(words), f"doc_id long, {ROW_ID} long, _fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_ID))
     fps = store(with_fp.groupBy("_fp").agg(first.alias("_first")), "fingerprint-groups")
@@ -188,6 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket:
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one document of each near-duplicate component."""
-    numbered = with_row_id(docs, "near-dedup-input")
-    kept = near_duplicates(numbered, words, max_bits).where("keep").select(ROW_ID)
-    return numbered.join(kept, ROW_ID, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    moved, back = aside(docs, ROW_ID)
+    numbered = with_row_id(moved, "near-dedup-input")
+    kept = near_duplicates(numbered, words, max_bits, row_id=ROW_ID).where("keep").select(ROW_ID)
+    return back(numbered.join(kept, ROW_ID, "left_semi").drop(ROW_ID)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,18 +21,25 @@ def odd_documents() -> list[tuple]:
     long = passage(1, 6000)
     rows = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, " \n\t ", None, None, 3), (4, "Öl ÉTÉ x\u00a0y 3.14", "de", "b", 9),
             (None, "all rights RESERVED, all rights reserved", "en", "a", 5), (6, long, "en", "a", len(long)), (7, long + " end", "en", "a", 1),
-            (8, "one", "fr", "b", 3), (8, "one", "fr", "b", 3), (8, "other words of the same id", "fr", "b", 3)]
+            (9, "many words " * 200_000, "en", "c", 1), (8, "one", "fr", "b", 3), (8, "one", "fr", "b", 3), (8, "other words of the same id", "fr", "b", 3)]
     rows += [(100 + i, passage(2, 80), "en", "a", 1) for i in range(40)]
     rows += [(200 + i, passage(2, 80).replace(" ", "  ", i) + f" {passage(300 + i, 1)}", "en", "a", 1) for i in range(10)]
     rows += [(300 + i, passage(1000 + i, 5 + i), ("en", "de")[i % 2], "ab"[i % 2], 1) for i in range(40)]
     return rows
 
 
+# Names of outputs and of the operators' own columns.
+CLASHES = """rank rejected lang_pred n_words spans items keep component_id fingerprint _row_id _row _bad _all _kept _salt _host _of _line
+    _lines _page _pages _total _id _text _part _items _spans _n_words _longest _fp _key _n _b _range _buckets _shift _inside _path _html _votes
+    _aside_score digest""".split()
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    """The odd documents with extra columns whose names clash with outputs."""
-    rows = [(*r, "x", 7) for r in odd_documents()]
-    return spark.createDataFrame(rows, DOCS + ", score string, rank int").repartition(3)
+    """The odd documents with extra columns whose names clash with outputs
+    and with the operators' own names."""
+    rows = [(*r, "x", *[7] * len(CLASHES)) for r in odd_documents()]
+    return spark.createDataFrame(rows, DOCS + ", score string" + "".join(f", {c} int" for c in CLASHES)).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -48,6 +48,24 @@ def test_pruning_skips_distances_and_keeps_results():
     assert tree.computed < 0.5 * 8 * 4000
 
 
+def test_wide_vectors_are_searched_exactly(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100, [200000.0, 1.0, 0.0, 0.0]), (101, [3e5, 0.0, 0.0, 0.0]), (110, [1e6, -2.0, 0.0, 1.0]), (None, [-4e5, 1.0, 1.0, 1.0])]
+    rows += [(200 + i, [90000.0 + i] * 1024) for i in range(12)] + [(240, [1.0] * 1024)]
+    assert run(spark, rows, 3, block_queries=4) == brute(rows, 3, lambda i: i % 10 == 0)
+
+
+def test_a_score_above_a_long_is_an_error(spark):
+    for rows in ([(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [0.0, 1.0])], [(i, [131000.0] * 1024) for i in range(4)]):
+        with pytest.raises(Exception, match="fit a long"):
+            run(spark, rows)
+    below = [(0, [3e38, 1.0]), (1, [-3e38, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])]
+    assert run(spark, below, 2) == brute(below, 2, lambda i: i % 10 == 0)
+    with pytest.raises(Exception, match="fit a long"):
+        run(spark, below, 3)
+
+
 def test_equal_vectors_and_empty_table(spark):
     rows = [(i, [1.0, 1.0]) for i in range(300)]
     assert run(spark, rows, 5) == brute(rows, 5, lambda i: i % 10 == 0)

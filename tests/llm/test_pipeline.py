@@ -13,7 +13,7 @@ from tests.llm.test_simhash import brute_fingerprint, brute_roots
 def brute(rows, model, tests):
     """rows: (doc_id, text, lang, source, n_chars) -> the packed pieces."""
     kept = [r for r, p in zip(rows, model.predict([r[1] for r in rows])) if not p[2]]
-    kept = [(r[0], x[1], *r[2:]) for r, x in zip(kept, brute_lines(kept, 0.1, 5))]
+    kept = [(r[0], x[1], *r[2:]) for r, x in zip(kept, brute_lines(kept, 0.05, 5))]
     fp = [brute_fingerprint(r[1]) for r in kept]
     roots, first = brute_roots(fp), {}
     for r, f in zip(kept, fp):
@@ -33,7 +33,7 @@ def test_like_brute_force(spark, table):
 
 
 def test_stages_take_odd_and_empty_documents(spark, odd, none):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, none, SF).collect() == []
         out = stage(spark, docs, SF)

@@ -1,7 +1,15 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage reads what its predecessor kept and wrote. Stages return the
-columns of ``documents``, the last one the packed pieces.
+columns of ``documents`` (further columns of any name too, unchanged), the
+last one the packed pieces.
+
+Nulls: a null text has no language and goes in the first stage; given to a
+later stage alone it stays, without lines, with fingerprint zero and without
+benchmark words, and packs as the end token. Null ids, langs and sources are
+values like any other. Empty tables stay empty. Of repeated rows and ties the
+near-dedup stage keeps the one with the smallest id, then the first stored.
+Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -10,22 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontamination, language_id, line_dedup, packing, queries, simhash
-from fathom.llm.common import new_path
+from fathom.llm.common import aside, new_path
 from fathom.session import prepare, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go."""
     prepare(spark)
-    model = language_id.fit(docs)
-    return language_id.predict(docs, model).where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    moved, back = aside(docs, "lang_pred score rejected")
+    known = language_id.predict(moved, language_id.fit(docs)).where(~F.col("rejected"))
+    return back(known.select(*[F.col(f"`{c}`") for c in moved.columns]))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that most pages of their source share."""
+    """All documents, without the lines that more than a twentieth of the
+    different texts of their source share."""
     prepare(spark)
-    out = line_dedup.drop_boilerplate(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    moved, back = aside(docs, "n_lines n_dropped")
+    out = line_dedup.drop_boilerplate(moved).withColumn("n_chars", F.length("text").cast("long"))
+    return back(out.select(*[F.col(f"`{c}`") for c in moved.columns]))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,78 +128,20 @@ def replay(spark, url: str, query: str | None, limit: int = 500):
     return preview.count_and_head(preview.run_sql(s, query), limit)
 
 
-FILE_ROWS = "path string, row_pos long, ordinal int, column string, value string, error string"
-ROWS_AT_ONCE = 4096
-
-
-def _parse(content: bytes, ext: str):
-    """A file's (column names, batches of columns as text)."""
-    import io
-
-    import pyarrow as pa
-    import pyarrow.csv as csv
-    import pyarrow.parquet as pq
-
-    if ext == ".parquet":
-        f = pq.ParquetFile(io.BytesIO(content))
-        return f.schema_arrow.names, f.iter_batches(ROWS_AT_ONCE)
-    parse = csv.ParseOptions(delimiter="\t" if ext == ".tsv" else ",")
-    names = csv.open_csv(io.BytesIO(content), parse_options=parse).schema.names
-    convert = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=True, null_values=[""])
-    return names, csv.read_csv(io.BytesIO(content), parse_options=parse, convert_options=convert).to_batches(ROWS_AT_ONCE)
-
-
-def read_files(spark, root: str, wanted: DataFrame) -> DataFrame:
-    """X9, X10 over files: the rows of every wanted file (path under ``root``,
-    ext) as a long table (path, row_pos 1..n, ordinal, column, value as text),
-    or one row with the error of a file that cannot be read (X22).
-
-    One scan for files of any schema; the parsing runs in the tasks, one file
-    at a time and ``ROWS_AT_ONCE`` rows of it, so a bad file fails alone. A
-    path may be a folder with one part file in it, as Spark writes it. Files
-    under ``root`` that nobody wants are listed and read past."""
-    import pyarrow as pa
-
-    from fathom.operators.joins import broadcast_if_small
-    from fathom.sources.listing import relative_path
-
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select(F.regexp_replace(relative_path(F.col("path"), root), "/part-[^/]*$", "").alias("path"), "content"))
-    chosen = files.join(broadcast_if_small(wanted.select("path", "ext").distinct()), "path").select("path", "ext", "content")
-    schema = pa.schema([("path", pa.string()), ("row_pos", pa.int64()), ("ordinal", pa.int32()), ("column", pa.string()), ("value", pa.string()), ("error", pa.string())])
-
-    def parse(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                path, ext, content = (b.column(i)[r].as_py() for i in range(3))
-                try:
-                    names, parts = _parse(content, ext)
-                    first = 1
-                    for part in parts:
-                        at = list(range(first, first + part.num_rows))
-                        first += part.num_rows
-                        for i, name in enumerate(names):
-                            text = part.column(i).cast(pa.string())
-                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([i] * len(at), pa.int32()),
-                                                              pa.array([name] * len(at), pa.string()), text, pa.nulls(len(at), pa.string())], schema=schema)
-                except (pa.ArrowException, OSError, UnicodeDecodeError) as e:
-                    yield pa.RecordBatch.from_pylist([{"path": path, "error": str(e).splitlines()[0][:200]}], schema=schema)
-    return chosen.mapInArrow(parse, FILE_ROWS)
-
-
 def resolve_loaded(candidates: DataFrame, outcome: DataFrame) -> DataFrame:
     """X2 second gate, X5, X22: what became of every candidate file.
 
     ``candidates`` come from ``load_plan(candidates=True)`` with their path;
-    ``outcome`` is (path, error), error null for a file that was read. Status:
+    ``outcome`` is (path, query, error), error null for a file that was read
+    and whose recorded query ran. Status:
     ``ok``; ``failed`` with the error (a path without an outcome: not found);
     ``skipped`` for a provenance entry whose file name an input or an earlier
     entry has already given. So a later entry of a name is used when the first
     could not be read. Runs that loaded no predictions have ``shown`` false."""
     from pyspark.sql import Window
-    c, o = candidates.alias("c"), outcome.select("path", F.lit(True).alias("_seen"), "error").alias("o")
+    c, o = candidates.alias("c"), outcome.select("path", "query", F.lit(True).alias("_seen"), "error").alias("o")
     error = F.when(F.col("_seen").isNull(), F.lit("not found")).otherwise(F.col("error"))
-    tried = c.join(o, F.col("c.path") == F.col("o.path"), "left").select("c.*", error.alias("error"))
+    tried = c.join(o, (F.col("c.path") == F.col("o.path")) & (F.col("c.query") == F.col("o.query")), "left").select("c.*", error.alias("error"))
     name = F.regexp_replace("label", "\\Q" + FILTERED_SUFFIX + "\\E$", "")
     gives = (F.col("stage") <= 1) & F.col("error").isNull()
     # a run's files are one metadata document's entries: a bounded window
@@ -212,25 +154,6 @@ def resolve_loaded(candidates: DataFrame, outcome: DataFrame) -> DataFrame:
     return out.withColumn("shown", shown).drop("_name", "_given")
 
 
-def load_files(spark, candidates: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """(long rows, report) of the candidate files under ``root``.
-
-    The report is ``resolve_loaded``'s. The rows are those of the ``ok`` files
-    of shown runs, (run_key, label, row_pos, ordinal, column, value); a file
-    from provenance has one more column, ``x_auto_converted`` = row_pos (X9).
-    Recorded queries are not applied here: ``replay`` runs one on its source."""
-    from fathom.session import cut_lineage
-    rows = cut_lineage(read_files(spark, root, candidates))
-    outcome = rows.groupBy("path").agg(F.max("error").alias("error"))
-    report = cut_lineage(resolve_loaded(candidates, outcome))
-    ok = report.where("status = 'ok' AND shown").select("run_key", "stage", "label", "path")
-    data = rows.where("error IS NULL")
-    long = data.join(ok, "path").select("run_key", "label", "row_pos", "ordinal", "column", "value")
-    added = (data.join(ok.where("stage = 1"), "path").groupBy("run_key", "label", "row_pos").agg((F.max("ordinal") + 1).alias("ordinal"))
-             .select("run_key", "label", "row_pos", "ordinal", F.lit("x_auto_converted").alias("column"), F.col("row_pos").cast("string").alias("value")))
-    return long.unionByName(added), report
-
-
 def load_report(plan: DataFrame, loaded: DataFrame) -> DataFrame:
     """Per planned file, ``ok`` or the error message; one failure never
     drops the other files. ``loaded`` holds (run_key, stage, pos, error)."""

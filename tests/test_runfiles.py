@@ -62,27 +62,12 @@ def test_replay_and_staging(spark, tmp_path):
     assert total.first()["total_rows"] == spark.read.parquet(src).count() and head.count() == 500
 
 
-def test_files_of_any_schema_bad_and_missing_ones(spark, tmp_path):
-    root = tmp_path / "store"
-    root.mkdir()
-    import pandas as pd
-    pd.DataFrame({"a": [1, None, 3], "b": ["x", None, ""]}).to_parquet(root / "good.parquet")
-    (root / "t.tsv").write_text("k\tv\n1\tx\n2\t\n")
-    (root / "bad.parquet").write_text("not a table")
-    (root / "ignored.csv").write_text("z\n1\n")
-    wanted = spark.createDataFrame([("good.parquet", ".parquet"), ("t.tsv", ".tsv"), ("bad.parquet", ".parquet"), ("none.parquet", ".parquet")], "path string, ext string")
-    rows = runfiles.read_files(spark, str(root), wanted).collect()
-    got = sorted((r["path"], r["row_pos"], r["column"], r["value"]) for r in rows if r["error"] is None)
-    assert got == [("good.parquet", 1, "a", "1"), ("good.parquet", 1, "b", "x"), ("good.parquet", 2, "a", None), ("good.parquet", 2, "b", None),
-                   ("good.parquet", 3, "a", "3"), ("good.parquet", 3, "b", ""), ("t.tsv", 1, "k", "1"), ("t.tsv", 1, "v", "x"), ("t.tsv", 2, "k", "2"), ("t.tsv", 2, "v", None)]
-    assert [r["path"] for r in rows if r["error"]] == ["bad.parquet"]
-
-
 def test_a_later_source_of_a_name_is_tried(spark):
     rows = [(1, 0, 0, "in.parquet", "a"), (1, 1, 0, "in.parquet", "b"), (1, 1, 1, "in.parquet (filtered)", "c"), (1, 1, 2, "in.parquet", "d"), (1, 2, 1, "predictions.csv", "p"),
             (2, 0, 0, "in.parquet", "a"), (2, 2, 1, "predictions.csv", "gone")]
-    plan = spark.createDataFrame(rows, "run_key long, stage int, pos int, label string, path string")
-    outcome = spark.createDataFrame([("b", "broken"), ("c", None), ("d", None), ("p", None)], "path string, error string")
+    plan = spark.createDataFrame([(*r, "q" if r[4] == "c" else "") for r in rows], "run_key long, stage int, pos int, label string, path string, query string")
+    outcome = spark.createDataFrame([("b", "", "broken"), ("c", "", "not asked for"), ("c", "q", None), ("d", "", None), ("p", "", None)],
+                                    "path string, query string, error string")
     got = {(r["run_key"], r["path"]): (r["status"], r["error"], r["shown"]) for r in runfiles.resolve_loaded(plan, outcome).collect()}
     assert got == {(1, "a"): ("failed", "not found", True), (1, "b"): ("failed", "broken", True), (1, "c"): ("ok", None, True), (1, "d"): ("skipped", None, True),
                    (1, "p"): ("ok", None, True), (2, "a"): ("failed", "not found", False), (2, "gone"): ("failed", "not found", False)}

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.text import gap_to_null, is_strict_number, to_number
+from fathom.operators.position import dense_position, join_null_safe
 from fathom.operators.preview import null_text
+from fathom.session import cut_lineage
 
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -137,3 +139,54 @@ def category_axis(x_rows: DataFrame, y_rows: DataFrame, x_col: str) -> DataFrame
     xs = x_rows.select("row_pos", text_of(x_rows, x_col).alias("x"))
     ys = y_rows.select("row_pos", F.lit(True).alias("_y"))
     return xs.join(ys, "row_pos", "left").select("row_pos", "x", F.coalesce("_y", F.lit(False)).alias("in_range"))
+
+
+def run_axis(labels: DataFrame, points: DataFrame, max_group_rows: int | None = None) -> DataFrame:
+    """X16 over all runs: (run_key, pos, place, n_places, category), the
+    positions of the run's labels and of all its series numbered 1..n in
+    order. ``labels``: (run_key, pos, label), one row per position;
+    ``points``: (run_key, series, pos, y). No run's axis is one task."""
+    pos = labels.select("run_key", "pos").unionByName(points.select("run_key", "pos")).distinct()
+    numbered = dense_position(pos, ["run_key"], ["pos"], out_col="place", total_col="n_places", max_group_rows=max_group_rows)
+    named = join_null_safe(numbered, labels.select("run_key", "pos", "label"), ["run_key", "pos"])
+    return named.select("run_key", "pos", "place", "n_places", F.coalesce("label", F.col("pos").cast("string")).alias("category"))
+
+
+def sparse_ranges(labels: DataFrame, points: DataFrame, max_group_rows: int | None = None) -> DataFrame:
+    """X17 over all runs and any number of series, with gaps as ranges: one
+    row per value (from_pos = to_pos) and one per run of axis positions at
+    which the series has no value (y null). Together a series' rows cover the
+    run's axis once, in n_places positions; ``expand_ranges`` gives the dense
+    form, whose size is axis times series.
+
+    A series' values are swept in axis order: each is joined with the one
+    before it by its number, and the places between the two are a gap. Joins
+    are on (run, position) or (run, series, number), which are unique, so a
+    run or series with a third of all rows spreads evenly."""
+    ax = cut_lineage(run_axis(labels, points, max_group_rows))
+    placed = join_null_safe(points, ax.select("run_key", "pos", "place", "n_places"), ["run_key", "pos"], "inner")
+    values = cut_lineage(dense_position(placed.where("y IS NOT NULL").select("run_key", "series", "place", "n_places", "y"), ["run_key", "series"], ["place"],
+                                        out_col="k", total_col="n_values", max_group_rows=max_group_rows))
+    keys = ["run_key", "series"]
+    before = values.select(*keys, (F.col("k") + 1).alias("k"), F.col("place").alias("prev"))
+    swept = join_null_safe(values, before, [*keys, "k"]).withColumn("prev", F.coalesce("prev", F.lit(0)))
+    gap = F.lit(None).cast("string").alias("y")
+    own = swept.select(*keys, F.col("place").alias("from_place"), F.col("place").alias("to_place"), "y")
+    between = swept.where("place > prev + 1").select(*keys, (F.col("prev") + 1).alias("from_place"), (F.col("place") - 1).alias("to_place"), gap)
+    after = values.where("k = n_values AND place < n_places").select(*keys, (F.col("place") + 1).alias("from_place"), F.col("n_places").alias("to_place"), gap)
+    # a series without any value is one gap
+    named = placed.groupBy(*keys).agg(F.max("n_places").alias("n_places"), F.count("y").alias("n"))
+    empty = named.where("n = 0").select(*keys, F.lit(1).cast("long").alias("from_place"), F.col("n_places").alias("to_place"), gap)
+    rows = own.unionByName(between).unionByName(after).unionByName(empty)
+    for end in ("from", "to"):
+        at = ax.select("run_key", F.col("place").alias(f"{end}_place"), F.col("pos").alias(f"{end}_pos"))
+        rows = join_null_safe(rows, at, ["run_key", f"{end}_place"], "inner")
+    return rows.select(*keys, "from_pos", "to_pos", (F.col("to_place") - F.col("from_place") + 1).alias("n_positions"), "y")
+
+
+def expand_ranges(ranges: DataFrame, ax: DataFrame) -> DataFrame:
+    """The dense form of ``sparse_ranges``: (run_key, series, pos, category, y)
+    for every position of the run's axis (``run_axis``)."""
+    start = join_null_safe(ranges, ax.select("run_key", F.col("pos").alias("from_pos"), "place"), ["run_key", "from_pos"], "inner")
+    each = start.select("run_key", "series", "y", F.explode(F.sequence("place", F.col("place") + F.col("n_positions") - 1)).alias("place"))
+    return join_null_safe(each, ax.select("run_key", "place", "pos", "category"), ["run_key", "place"], "inner").select("run_key", "series", "pos", "category", "y")

@@ -175,3 +175,40 @@ def series_labels_other_file(spark, sf_dir):
     rows = _stored_rows(spark, sf_dir)
     return series.position_labels(rows.where(F.col("file_id") == X_FILE), "x_auto_converted", "label",
                                   rows.where(F.col("file_id") == ZIP_FILE))
+
+
+# ---------------------------------------------------------------- X16, X17 over all runs
+# every user is a run, every event type but the clicks a series over days; the clicks give the labels
+_DAY = "CAST({day} AS BIGINT)"
+_SPARK_DAY, _DUCK_DAY = "datediff(CAST(ts AS DATE), DATE'1970-01-01')", "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
+
+_RUN_SERIES = f"""
+WITH e AS (SELECT user_id AS run_key, event_type AS series, event_id, {_DAY.format(day=_DUCK_DAY)} AS pos, {SERIES_Y_SQL} AS y_text FROM events),
+labels AS (SELECT run_key, pos, arg_max('click ' || CAST(event_id AS VARCHAR), event_id) AS label FROM e WHERE series = 'click' GROUP BY ALL),
+pts AS (SELECT run_key, series, pos, arg_max_null({_GAP.format('y_text')}, event_id) AS y FROM e WHERE series <> 'click' GROUP BY run_key, series, pos),
+ax AS (SELECT run_key, pos, row_number() OVER (PARTITION BY run_key ORDER BY pos) AS place, count(*) OVER (PARTITION BY run_key) AS n
+       FROM (SELECT run_key, pos FROM labels UNION SELECT run_key, pos FROM pts)),
+vals AS (SELECT p.run_key, series, y, place, n, coalesce(lag(place) OVER w, 0) AS prev, lead(place) OVER w AS following
+         FROM pts p JOIN ax USING (run_key, pos) WHERE y IS NOT NULL WINDOW w AS (PARTITION BY p.run_key, series ORDER BY place)),
+ranges AS (
+  SELECT run_key, series, place AS a, place AS b, y FROM vals
+  UNION ALL SELECT run_key, series, prev + 1, place - 1, NULL FROM vals WHERE place > prev + 1
+  UNION ALL SELECT run_key, series, place + 1, n, NULL FROM vals WHERE following IS NULL AND place < n
+  UNION ALL SELECT p.run_key, series, 1, any_value(n), NULL FROM pts p JOIN ax USING (run_key, pos) GROUP BY p.run_key, series HAVING count(y) = 0)
+"""
+
+
+@register("series_sparse_all", _RUN_SERIES + """
+SELECT r.run_key, r.series, f.pos AS from_pos, t.pos AS to_pos, CAST(b - a + 1 AS BIGINT) AS n_positions, r.y
+FROM ranges r JOIN ax f ON f.run_key = r.run_key AND f.place = a JOIN ax t ON t.run_key = r.run_key AND t.place = b
+""")
+def series_sparse_all(spark, sf_dir):
+    """Every series of every run on its run's axis, gaps as ranges."""
+    ev = read_table(spark, sf_dir, "events", spread=True)
+    rows = ev.select(F.col("user_id").alias("run_key"), F.col("event_type").alias("series"), F.col("event_id").alias("row_pos"),
+                     F.expr(_DAY.format(day=_SPARK_DAY)).alias("pos"), F.expr(SERIES_Y_SQL).alias("y_text"))
+    labels = (rows.where("series = 'click'").groupBy("run_key", "pos")
+              .agg(F.max_by(F.concat(F.lit("click "), F.col("row_pos").cast("string")), "row_pos").alias("label")))
+    last = F.max(F.struct("row_pos", gap_to_null(F.col("y_text")).alias("y")))
+    points = rows.where("series <> 'click'").groupBy("run_key", "series", "pos").agg(last.alias("l")).select("run_key", "series", "pos", F.col("l.y").alias("y"))
+    return series.sparse_ranges(labels, points)

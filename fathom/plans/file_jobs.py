@@ -15,7 +15,7 @@ from fathom.plans.manifest_jobs import _BASE, _CFG
 from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
 from fathom.session import checkpoint_dir, read_table
-from fathom.sources import bindings, feed, listing, sinks
+from fathom.sources import bindings, feed, feed_split, listing, sinks, snapshots
 
 
 def _folder(spark, name: str) -> str:
@@ -49,6 +49,36 @@ def feed_replies(spark, sf_dir):
             .unionByName(failed.select(F.lit("failed").alias("kind"), F.col("error").alias("name"), F.lit(0).cast("long").alias("pos"), "n")))
 
 
+# ---------------------------------------------------------------- S1: replies of any size, by many tasks
+# one reply file per nation with all its customers; every fifth nation's reply failed
+_NOTES = """c_mktsegment || ' "}, {[\\' || CAST(c_acctbal AS STRING)"""
+
+
+@register("feed_split", f"""
+SELECT c_nationkey, c_name AS name, {_NOTES} AS notes, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS pos
+FROM customer WHERE c_nationkey % 5 <> 0
+UNION ALL SELECT DISTINCT c_nationkey, 'failed', 'no "results": [ of ' || CAST(c_nationkey AS VARCHAR), CAST(0 AS BIGINT) FROM customer WHERE c_nationkey % 5 = 0
+""")
+def feed_split_replies(spark, sf_dir):
+    cust = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    ends = cust.groupBy("nation").agg(F.min("c_custkey").alias("first"), (F.max("c_custkey") + 1).alias("last"))
+    good, key = cust.where("nation % 5 <> 0"), F.col("nation").cast("string")
+    notes = F.expr(_NOTES.replace("\\", "\\\\"))
+    item = F.to_json(F.struct(F.col("c_name").alias("title"), notes.alias("notes"), F.array(F.struct(F.lit("k").alias("key"), notes.alias("value"))).alias("extras")))
+    items = good.join(ends, "nation").select("nation", F.col("c_custkey").alias("ord"), F.concat(F.when(F.col("c_custkey") > F.col("first"), ",").otherwise(""), item).alias("value"))
+    said = F.to_json(F.struct(F.lit(False).alias("success"), F.concat(F.lit('no "results": [ of '), key).alias("error")))
+    head = F.when(F.expr("nation % 5 = 0"), said).otherwise(F.lit('{"success": true, "help": "}",\n "result": {"count": 1, "results": ['))
+    heads = ends.select("nation", F.lit(-1).cast("long").alias("ord"), head.alias("value"))
+    tails = ends.where("nation % 5 <> 0").select("nation", F.col("last").alias("ord"), F.lit(']}, "tags": [{"results": [{"title": "no package"}]}]}').alias("value"))
+    root = _folder(spark, "large-replies")
+    (items.unionByName(heads).unionByName(tails).repartition("nation").sortWithinPartitions("nation", "ord")
+     .drop("ord").write.partitionBy("nation").text(root))
+    env, pkgs = feed_split.read_feed_split(spark, root)
+    nation = lambda src: F.regexp_extract(src, "nation=([0-9]+)/", 1).cast("long").alias("c_nationkey")
+    return (pkgs.select(nation(F.col("ord.src")), F.col("title").alias("name"), "notes", F.col("ord.pos").alias("pos"))
+            .unionByName(feed.feed_rejects(env).select(nation(F.col("src")), F.lit("failed").alias("name"), F.col("error").alias("notes"), F.lit(0).cast("long").alias("pos"))))
+
+
 # ---------------------------------------------------------------- S3: object listing
 @register("object_listing", """
 SELECT CAST(n_nationkey AS VARCHAR) AS folder, CAST(1 AS BIGINT) AS n_objects, TRUE AS has_size, TRUE AS has_mtime
@@ -140,6 +170,21 @@ def catalog_published(spark, sf_dir):
     return bad
 
 
+@register("catalog_snapshot", with_catalogue(f"""
+SELECT 'current' AS version, coalesce(title, '') AS path, {_FIRST_PARQUET.format(col='size')} AS size_bytes, x_modified AS last_modified
+FROM px WHERE grp = 'type-raw-data' AND {_OK_RAW}
+UNION ALL SELECT 'before', coalesce(title, ''), {_FIRST_PARQUET.format(col='size')}, x_modified
+FROM px WHERE grp = 'type-raw-data' AND {_OK_RAW} AND contains(coalesce(title, ''), '1')
+"""))
+def catalog_snapshot(spark, sf_dir):
+    """The rows of the current snapshot, and of the one before it."""
+    root, pk = _folder(spark, "snapshots"), _pkgs(spark, sf_dir)
+    first = snapshots.publish_snapshot(pk.where(F.contains(F.coalesce("title", F.lit("")), F.lit("1"))), root)
+    snapshots.publish_snapshot(pk, root)
+    rows = lambda name, version: snapshots.read_snapshot(spark, root, "raw_datasets", version).select(F.lit(name).alias("version"), "*")
+    return rows("current", None).unionByName(rows("before", first))
+
+
 # ---------------------------------------------------------------- M11: staged inputs
 @register("manifest_staged", """
 SELECT 'input.parquet' AS target, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events WHERE value > 100

@@ -49,10 +49,11 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import ROW_ID, new_path, pylist, store, with_row_id
 
-PAGE = 64           # entries of a page
+PAGE = 256          # entries of a page
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 8192
 LARGEST_SQUARE = 1 << 60
+FLOAT_SQUARE = 1 << 52      # up to here doubles hold every product and sum of an inner product exactly
 LONG = 1 << 63
 SLACK = 1e-7        # of the space's size: above any rounding of a distance
 NO_ID = np.iinfo(np.int64).max
@@ -74,8 +75,9 @@ class MTree:
     """An M-tree over integer vectors of one length."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, row_ids: np.ndarray, largest: int) -> None:
-        self.vectors, self.ids, self.row_ids, self.largest = vectors, ids, row_ids, largest
+        self.ids, self.row_ids, self.largest = ids, row_ids, largest
         self.extra = np.sqrt(np.maximum(0, largest - (vectors * vectors).sum(axis=1)).astype(np.float64))
+        self.vectors = vectors.astype(np.float64) if largest <= FLOAT_SQUARE else vectors
         self.pages: list[Page] = []
         self.computed = 0
         rows = np.arange(len(vectors))
@@ -112,10 +114,11 @@ class MTree:
         slack = SLACK * (np.sqrt(float(self.largest)) + np.sqrt(float(square)) + 1)
         scores, ids, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         bound = np.inf      # distance of the k-th best, with slack
+        own_type = query.astype(self.vectors.dtype)
 
         def distances(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             self.computed += len(at)
-            product = self.vectors[at] @ query
+            product = (self.vectors[at] @ own_type).astype(np.int64)
             return product, np.sqrt(np.maximum(0, square + self.largest - 2 * product).astype(np.float64))
 
         heap = [(0.0, self.root, float(distances(np.array([self.root_row]))[1][0]))]

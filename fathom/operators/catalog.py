@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fathom.functions.nested import extra, first_or_blank, lenient_json_list, with_extras
 from fathom.functions.rows import explode_kept, rows_where
 from fathom.functions.text import strip_ws
+from fathom.operators.joins import broadcast_if_small
 from fathom.schemas import PUBLISHED
 
 # Catalogue groups.
@@ -211,10 +212,12 @@ def lookup_runs(runs: DataFrame, ids: DataFrame, id_col: str = "run_id") -> Data
     """C13, batch form: case-insensitive id match, first run in feed order per id.
 
     ``ids`` may hold many ids; missing ids keep a row with ``found = false``.
-    The runs side is pre-aggregated to one row per upper-cased qid (partial
-    aggregation, so a hot qid never gathers in one task) before the join.
+    Only runs with a wanted id are kept, and reduced to one row per upper-cased
+    qid (partial aggregation, so a hot qid never gathers in one task) before
+    the join.
     """
-    first = (runs.groupBy(F.upper("qid").alias("_k"))
+    wanted = broadcast_if_small(ids.select(F.upper(F.col(id_col)).alias("_k")).distinct())
+    first = (runs.withColumn("_k", F.upper("qid")).join(wanted, "_k", "left_semi").groupBy("_k")
              .agg(F.min_by(F.struct(*[c for c in runs.columns if c != "ord"]), F.col("ord")).alias("run")))
     out = (ids.withColumn("_k", F.upper(F.col(id_col)))
            .join(first, "_k", "left")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.dates import fmt_dataset_date, fmt_model_date, fmt_run_date
-from fathom.operators import browse, catalog, runs
+from fathom.operators import browse, catalog, runs, search_index
 from fathom.plans.catalogue_jobs import _PARAMS_OK, AS_OF, DOIP, _pkgs, _valid_models
 from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
-from fathom.session import read_table
+from fathom.session import read_table, scratch_folder
+from fathom.sources import sorted_table
 
 MODEL_NEEDLE = "ROD"
 RUN_NEEDLE = "-1"
@@ -60,6 +64,41 @@ def browse_page_after(spark, sf_dir):
     return pages[0].unionByName(pages[1])
 
 
+# ---------------------------------------------------------------- B11 deep pages from a sorted copy
+DEEP_PAGES = (2, 30, 250)
+
+
+@register("browse_deep_pages", with_catalogue("\nUNION ALL ".join(f"""
+SELECT * FROM (SELECT {n} AS page, x_qid AS qid, x_run_timestamp AS run_timestamp, pkg_id AS feed_pos FROM px WHERE grp = 'type-model-run'
+  ORDER BY x_run_timestamp DESC, pkg_id LIMIT 10 OFFSET {10 * (n - 1)})""" for n in DEEP_PAGES)))
+def browse_deep_pages(spark, sf_dir):
+    r = catalog.model_runs(_pkgs(spark, sf_dir, resources=False)).select("qid", "run_timestamp", F.col("ord.pos").alias("feed_pos"))
+    root = scratch_folder(spark, "runs-by-time")
+    sorted_table.write_sorted(r, root, ["run_timestamp desc", "feed_pos"])
+    pages = [sorted_table.page_at(spark, root, n, 10).select(F.lit(n).alias("page"), "qid", "run_timestamp", "feed_pos") for n in DEEP_PAGES]
+    return reduce(DataFrame.unionByName, pages)
+
+
+# ---------------------------------------------------------------- B1-B5 from a trigram index
+# rare, frequent, absent, short, and one that a scan serves better
+INDEX_NEEDLES = ("hot pink", "Plate", "zzqx", "ro", "e")
+
+
+@register("browse_search_index", with_catalogue(f"""
+, needles(needle) AS (VALUES {", ".join(f"('{n}')" for n in INDEX_NEEDLES)})
+SELECT needle, x_qid AS qid, coalesce(title, '') AS name, pkg_id AS feed_pos FROM px JOIN needles
+  ON contains(lower(coalesce(title, '')), lower(needle)) OR contains(lower(coalesce(notes, '')), lower(needle)) OR contains(lower(x_qid), lower(needle))
+WHERE grp = 'type-raw-data'
+"""))
+def browse_search_index(spark, sf_dir):
+    cols = ["name", "description", "qid"]
+    ds = catalog.processed_datasets(_pkgs(spark, sf_dir, resources=False)).select(*cols, "last_modified", F.col("ord.pos").alias("feed_pos"))
+    root = scratch_folder(spark, "dataset-search")
+    search_index.build(ds, root, ["last_modified desc", "feed_pos"], cols)
+    found = [search_index.search(spark, root, n, cols).select(F.lit(n).alias("needle"), "qid", "name", "feed_pos") for n in INDEX_NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 # ---------------------------------------------------------------- B6 B7 B10
 _BADGE = "coalesce(nullif(x_additional_type, ''), 'Dataset')"
 

@@ -4,8 +4,6 @@ staging (M11), text rendering (P6) and text numbers (X12)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fathom.functions.text import to_number
@@ -14,14 +12,10 @@ from fathom.plans.catalogue_jobs import _FIRST_PARQUET, _PARAMS_OK, _pkgs
 from fathom.plans.manifest_jobs import _BASE, _CFG
 from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
-from fathom.session import checkpoint_dir, read_table
+from fathom.session import read_table, scratch_folder
 from fathom.sources import bindings, feed, feed_split, listing, sinks, snapshots
 
 
-def _folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- S1: reply files
 # one reply per 100 customers of a nation; every fifth nation's replies failed
 @register("feed_replies", """
@@ -40,7 +34,7 @@ def feed_replies(spark, sf_dir):
     bad = F.col("c_nationkey") % 5 == 0
     text = F.to_json(F.struct((~bad).alias("success"), F.when(bad, F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))).alias("error"),
                               F.struct(F.when(~bad, F.col("results")).alias("results")).alias("result")))
-    root = _folder(spark, "replies")
+    root = scratch_folder(spark, "replies")
     replies.select(text.alias("value")).write.text(root)
     env = feed.read_feed(spark, root, multi_line=False)
     ok = feed.packages(env).groupBy("title", F.col("notes").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +64,7 @@ def feed_split_replies(spark, sf_dir):
     head = F.when(F.expr("nation % 5 = 0"), said).otherwise(F.lit('{"success": true, "help": "}",\n "result": {"count": 1, "results": ['))
     heads = ends.select("nation", F.lit(-1).cast("long").alias("ord"), head.alias("value"))
     tails = ends.where("nation % 5 <> 0").select("nation", F.col("last").alias("ord"), F.lit(']}, "tags": [{"results": [{"title": "no package"}]}]}').alias("value"))
-    root = _folder(spark, "large-replies")
+    root = scratch_folder(spark, "large-replies")
     (items.unionByName(heads).unionByName(tails).repartition("nation").sortWithinPartitions("nation", "ord")
      .drop("ord").write.partitionBy("nation").text(root))
     env, pkgs = feed_split.read_feed_split(spark, root)
@@ -85,7 +79,7 @@ SELECT CAST(n_nationkey AS VARCHAR) AS folder, CAST(1 AS BIGINT) AS n_objects, T
 FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey)
 """)
 def object_listing(spark, sf_dir):
-    root = _folder(spark, "objects")
+    root = scratch_folder(spark, "objects")
     read_table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(root)
     found = listing.list_objects(spark, root).where(F.col("path").endswith(".parquet"))
     return (found.groupBy(F.regexp_extract("path", "^c_nationkey=([0-9]+)/", 1).alias("folder"))
@@ -118,14 +112,10 @@ _ASKED = ("q3", "Q12", "Qabc", "", "Q9999999999")
 SELECT 'Q' || CAST(doc_id AS VARCHAR) AS qid, 'doc ' || CAST(doc_id AS VARCHAR) || ' ' || lang AS name FROM documents WHERE doc_id IN (3, 12)
 """)
 def listing_point_lookup(spark, sf_dir):
-    root = _folder(spark, "sidecars")
+    root = scratch_folder(spark, "sidecars")
     sinks.write_sidecar_table(bindings.sidecars(spark, sf_dir).select("path", "profile"), root)
-    found = None
-    for asked in _ASKED:    # a point lookup is one request
-        one = sinks.lookup_sidecar(spark, root, asked).select(
-            F.regexp_extract("path", "([^/]+)[.]fdo[.]json$", 1).alias("qid"), F.col("profile.name").alias("name"))
-        found = one if found is None else found.unionByName(one)
-    return found
+    return sinks.lookup_sidecars(spark, root, list(_ASKED)).select(
+        F.regexp_extract("path", "([^/]+)[.]fdo[.]json$", 1).alias("qid"), F.col("profile.name").alias("name"))
 
 
 # ---------------------------------------------------------------- M6, S8: payload JSON
@@ -136,7 +126,7 @@ SELECT request_id, CAST(len(f) AS BIGINT) AS n_files, f[1][1] AS first_path, f[1
 FROM chk JOIN files USING (o_orderkey) WHERE len(reasons) = 0
 """)
 def manifest_payload_json(spark, sf_dir):
-    path = _folder(spark, "payloads")
+    path = scratch_folder(spark, "payloads")
     manifest.write_payloads(manifest.validate(bindings.requests(spark, sf_dir)), path)
     got = spark.read.schema("request_id string, payload string").json(path)
     p = F.from_json("payload", "parameters struct<input_data_files:array<array<string>>,model_image:string,model_tag:string,config_json:string,"
@@ -160,7 +150,7 @@ UNION ALL SELECT 'model_runs', FALSE, CAST(count(*) AS BIGINT) FROM px WHERE grp
 """))
 def catalog_published(spark, sf_dir):
     """Rows per published table, and rejected packages, of one publication."""
-    root, pk = _folder(spark, "published"), _pkgs(spark, sf_dir)
+    root, pk = scratch_folder(spark, "published"), _pkgs(spark, sf_dir)
     sinks.publish_catalogue(pk, root)
     parts = [spark.read.parquet(f"{root}/{kind}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(False).alias("rejected"), "n")
              for kind in sinks.catalogue_tables(pk)]
@@ -178,7 +168,7 @@ FROM px WHERE grp = 'type-raw-data' AND {_OK_RAW} AND contains(coalesce(title, '
 """))
 def catalog_snapshot(spark, sf_dir):
     """The rows of the current snapshot, and of the one before it."""
-    root, pk = _folder(spark, "snapshots"), _pkgs(spark, sf_dir)
+    root, pk = scratch_folder(spark, "snapshots"), _pkgs(spark, sf_dir)
     first = snapshots.publish_snapshot(pk.where(F.contains(F.coalesce("title", F.lit("")), F.lit("1"))), root)
     snapshots.publish_snapshot(pk, root)
     rows = lambda name, version: snapshots.read_snapshot(spark, root, "raw_datasets", version).select(F.lit(name).alias("version"), "*")
@@ -192,7 +182,7 @@ UNION ALL SELECT 'input2.csv', CAST(count(*) AS BIGINT), CAST(sum(c_custkey) AS
 UNION ALL SELECT 'again.tsv', CAST(count(*) AS BIGINT), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 2 = 0
 """)
 def manifest_staged(spark, sf_dir):
-    root, d = _folder(spark, "staged"), sf_dir.rstrip("/")
+    root, d = scratch_folder(spark, "staged"), sf_dir.rstrip("/")
     manifest.stage_inputs(spark, [(f"{d}/events.parquet", "input.parquet", "SELECT event_id AS id FROM df WHERE value > 100"),
                                   (f"{d}/customer.parquet", "input2.csv", "SELECT c_custkey AS id FROM df")], root)
     manifest.stage_inputs(spark, [(f"{root}/input2.csv", "again.tsv", "SELECT id FROM df WHERE id % 2 = 0")], root)

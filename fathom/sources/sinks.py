@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fathom.operators import catalog
+from fathom.sources import sorted_table
 
 
 def catalogue_tables(pkgs: DataFrame, base: str = catalog.DEFAULT_DOIP_BASE) -> dict[str, DataFrame]:
@@ -63,24 +63,20 @@ def write_feed_rejects(envelopes: DataFrame, root: str, batch_id: int) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root.rstrip('/')}/feed_rejects"))
 
 
-def write_sidecar_table(sidecars: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Sidecars stored by shard folders, so a point lookup by run id
-    prunes to one partition instead of scanning the store. Rows are brought
-    together by shard first (large shards are split again), so a task writes
-    few folders."""
-    from fathom.operators.listing import qid_from_path, shard_path
-    parts = F.split(shard_path(qid_from_path(F.col("path"))), "/")
-    (sidecars.withColumn("s1", parts[0]).withColumn("s2", parts[1]).hint("rebalance", "s1", "s2")
-     .write.mode(mode).partitionBy("s1", "s2").parquet(root))
+def write_sidecar_table(sidecars: DataFrame, root: str, rows_per_file: int = sorted_table.ROWS_PER_FILE) -> None:
+    """Sidecars sorted by their path, with a bloom filter on it, for point
+    lookups by run id (L11). Paths begin with the shard, so neighbours in the
+    store are neighbours in the files."""
+    sorted_table.write_sorted(sidecars, root, ["path"], ("path",), rows_per_file)
 
 
-def lookup_sidecar(spark, root: str, run_id: str) -> DataFrame:
-    """L11 point form: partition-pruned read of one run's sidecar. An id of
-    any form without a sidecar gives no row."""
+def lookup_sidecars(spark: SparkSession, root: str, run_ids: list[str]) -> DataFrame:
+    """L11 point form: the sidecars of the run ids of one request, in one read
+    of the files that can hold them. An id of any form without a sidecar gives
+    no row."""
     from fathom.operators.listing import sidecar_lookup_path
-    path_col = sidecar_lookup_path(F.lit(run_id))
-    parts = F.split(path_col, "/")
-    shards = ("s1", "s2")   # text such as "05", not the numbers that reading would infer
-    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in shards else f for f in spark.read.parquet(root).schema])
-    df = spark.read.schema(schema).parquet(root)
-    return df.where((F.col("s1") == parts[0]) & (F.col("s2") == parts[1]) & (F.col("path") == path_col))
+    if not run_ids:
+        return sorted_table.rows_with(spark, root, "path", [])
+    asked = spark.createDataFrame([(i,) for i in run_ids], "id string")
+    paths = [r["path"] for r in asked.select(sidecar_lookup_path(F.col("id")).alias("path")).collect()]
+    return sorted_table.rows_with(spark, root, "path", paths)

@@ -14,6 +14,7 @@ from fathom.plans.oracle_bindings import with_catalogue
 from fathom.plans.registry import register
 from fathom.session import read_table, scratch_folder
 from fathom.sources import bindings, feed, feed_split, listing, sinks, snapshots
+from fathom.streaming import upkeep
 
 
 # ---------------------------------------------------------------- S1: reply files
@@ -175,6 +176,27 @@ def catalog_snapshot(spark, sf_dir):
     return rows("current", None).unionByName(rows("before", first))
 
 
+# ---------------------------------------------------------------- S9, R3: upkeep by batches, the last version of a qid wins
+_SENT = ((0, "TRUE", ""), (1, "pkg_id % 5 = 0", " v1"), (2, "pkg_id % 7 = 0", " v2"))
+
+
+@register("catalog_upkeep", with_catalogue(", sent AS (\n" + "\nUNION ALL ".join(
+    f"SELECT {b} AS batch_id, pkg_id, x_qid AS qid, coalesce(title, '') || '{v}' AS name FROM px WHERE grp = 'type-raw-data' AND {cond}" for b, cond, v in _SENT) + """)
+SELECT qid, name, CAST(batch_id AS BIGINT) AS batch_id, pkg_id AS feed_pos FROM sent
+QUALIFY row_number() OVER (PARTITION BY qid, CASE WHEN qid = '' THEN pkg_id END ORDER BY batch_id DESC, pkg_id DESC) = 1
+"""))
+def catalog_upkeep(spark, sf_dir):
+    """All packages, some of them sent again under other names; the first two
+    batches have become a base."""
+    root, pk = scratch_folder(spark, "upkeep"), _pkgs(spark, sf_dir)
+    for b, cond, version in _SENT:
+        sent = pk.where(cond.replace("pkg_id", "ord.pos")).withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit(version)))
+        upkeep.merge_batch(sent, root, b, ("processed_datasets",))
+    upkeep.compact(spark, root, "processed_datasets")
+    upkeep.retire(spark, root, "processed_datasets", keep=1)
+    return upkeep.current(spark, root, "processed_datasets").select("qid", "name", "batch_id", F.col("ord.pos").alias("feed_pos"))
+
+
 # ---------------------------------------------------------------- M11: staged inputs
 @register("manifest_staged", """
 SELECT 'input.parquet' AS target, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events WHERE value > 100

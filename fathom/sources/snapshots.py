@@ -23,7 +23,7 @@ KEEP = 3
 DEAD_AFTER_SECONDS = 24 * 3600
 
 
-class _Folder:
+class Folder:
     """File operations below ``root`` through the session's file systems."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -45,14 +45,14 @@ class _Folder:
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Published snapshots, oldest first."""
-    return [n.split("__", 1)[1] for n in _Folder(spark, root).names("pointers") if "__" in n]
+    return [n.split("__", 1)[1] for n in Folder(spark, root).names("pointers") if "__" in n]
 
 
 def publish_snapshot(pkgs: DataFrame, root: str, base: str = catalog.DEFAULT_DOIP_BASE, keep: int = KEEP) -> str:
     """All published tables and the rejects of ``pkgs`` as the current
     snapshot under ``root``; returns its name."""
     spark = pkgs.sparkSession
-    folder, name = _Folder(spark, root), f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:12]}"
+    folder, name = Folder(spark, root), f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:12]}"
     sinks.publish_catalogue(pkgs, f"{folder.root}/snapshots/{name}", base, mode="errorifexists")
     before = folder.names("pointers")
     number = int(before[-1].split("__", 1)[0]) + 1 if before else 1
@@ -73,7 +73,7 @@ def retire(spark: SparkSession, root: str, keep: int = KEEP, dead_after: float =
     """Removes all but the ``keep`` newest snapshots (pointer first, so nobody
     is sent to a folder that is going), and unpublished folders that were
     begun more than ``dead_after`` seconds ago. Returns what was removed."""
-    folder = _Folder(spark, root)
+    folder = Folder(spark, root)
     pointers = folder.names("pointers")
     old = pointers[:-max(1, keep)]
     for p in old:

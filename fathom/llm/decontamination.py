@@ -4,7 +4,10 @@ Training documents are cut into shards of consecutive documents. Each shard
 gets a suffix array over its words (prefix doubling on packed word ids), and
 every suffix of the test items is binary-searched in it. The search gives
 the suffix's longest verbatim match in the shard and, for windows, the range
-of all places where it occurs.
+of all places where it occurs. It also merges the sorted test suffixes into the
+array: a training suffix shares most words with one of its two neighbours
+among them, so every document gets its own longest match and its place,
+whatever other documents hold. Of equally long matches the first place counts.
 
 Words not in the test items cannot be part of a match: they end a suffix, and
 suffixes start only at test words. So the array orders exactly the suffixes a
@@ -56,6 +59,7 @@ class TestBlock:
     windows: np.ndarray     # the window's length at that suffix; 0 if none starts there
     items: list[list]       # of each suffix with a window: the item ids
     longest: int
+    order: np.ndarray       # the suffixes (as indices of starts) in order of their words
 
     @property
     def bits(self) -> int:
@@ -84,8 +88,11 @@ def build_block(items: list[tuple], window: int) -> TestBlock:
             sizes.append(len(ids) - i)
             windows.append(w)
             owners.append([item_id])
-    return TestBlock(vocabulary, np.array(tokens, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64),
-                     np.array(windows, np.int64), owners, longest)
+    block = TestBlock(vocabulary, np.array(tokens, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64),
+                      np.array(windows, np.int64), owners, longest, np.zeros(0, np.int64))
+    key, per = _packed(block.tokens, block.bits)
+    block.order = np.searchsorted(block.starts, suffix_array(block.tokens, key, per, longest + 1))
+    return block
 
 
 def read_blocks(tests: DataFrame, window: int, block_words: int) -> Iterator[TestBlock]:
@@ -198,13 +205,35 @@ class Shard:
             hi[open_] = np.where(below, hi[open_], mid)
         return lo
 
-    def longest_matches(self) -> tuple[np.ndarray, np.ndarray]:
+    def search(self) -> np.ndarray:
+        """How many suffixes of the array sort before every test suffix."""
+        return self._bound(np.arange(len(self.block.starts)), self.block.sizes, after=False)
+
+    def longest_of_documents(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every document: words of its longest match with any test suffix
+        (0: none), and the first word of the first such match (-1: none)."""
+        n_docs = len(self.base) - 1
+        longest, where = np.zeros(n_docs, np.int64), np.full(n_docs, -1, np.int64)
+        if not len(self.order) or not len(at):
+            return longest, where
+        after = np.searchsorted(at[self.block.order], np.arange(len(self.order)), side="right")
+        best = np.zeros(len(self.order), np.int64)
+        for near in (after - 1, after):
+            ok = np.flatnonzero((near >= 0) & (near < len(at)))
+            s = self.block.order[near[ok]]
+            best[ok] = np.maximum(best[ok], self._common(self.block.starts[s], self.order[ok], self.block.sizes[s]))
+        doc = self.document_of(self.order)
+        first = np.lexsort((self.order, -best, doc))
+        first = first[np.concatenate([[True], doc[first][1:] != doc[first][:-1]])]
+        longest[doc[first]], where[doc[first]] = best[first], self.order[first] - self.base[doc[first]]
+        return longest, where
+
+    def longest_matches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every test suffix: words of its longest match and a place of it
         (-1: none)."""
-        if not len(self.order) or not len(self.block.starts):
-            return np.zeros(len(self.block.starts), np.int64), np.full(len(self.block.starts), -1, np.int64)
         every = np.arange(len(self.block.starts))
-        at = self._bound(every, self.block.sizes, after=False)
+        if not len(self.order) or not len(every):
+            return np.zeros(len(every), np.int64), np.full(len(every), -1, np.int64)
         best, place = np.zeros(len(every), np.int64), np.full(len(every), -1, np.int64)
         for near in (at - 1, at):
             ok = np.flatnonzero((near >= 0) & (near < len(self.order)))
@@ -228,7 +257,7 @@ class Shard:
 
 
 SPANS = "array<struct<start:int,end:int>>"
-STATE = f"_n_words long, _spans {SPANS}, _items array<string>, _longest int"
+STATE = f"_n_words long, _spans {SPANS}, _items array<string>, _longest int, _longest_at int"
 
 
 def _search(held, first: bool, text: str):
@@ -243,7 +272,8 @@ def _search(held, first: bool, text: str):
                 n_words.append(len(w))
                 docs.append(np.fromiter((get(x, BREAK) for x in w), np.int64, len(w)))
             shard = Shard(docs, block)
-            longest, place = shard.longest_matches()
+            at = shard.search()
+            longest, _ = shard.longest_matches(at)
             spans: dict[int, list] = defaultdict(list)
             items: dict[int, set] = defaultdict(set)
             for s, places in shard.window_places(longest):
@@ -251,12 +281,9 @@ def _search(held, first: bool, text: str):
                 for d, p in zip(owner.tolist(), (places - shard.base[owner]).tolist()):
                     spans[d].append((p, p + int(block.windows[s])))
                     items[d].update(block.items[s])
-            most: dict[int, int] = {}
-            ok = np.flatnonzero(place >= 0)
-            for d, n in zip(shard.document_of(place[ok]).tolist(), longest[ok].tolist()):
-                most[d] = max(most.get(d, 0), n)
-            before = [[], [], [0] * b.num_rows] if first else [pylist(b, c) for c in ("_spans", "_items", "_longest")]
-            out = {"_n_words": n_words, "_spans": [], "_items": [], "_longest": []}
+            most, most_at = shard.longest_of_documents(at)
+            before = [[], [], [0] * b.num_rows, [None] * b.num_rows] if first else [pylist(b, c) for c in ("_spans", "_items", "_longest", "_longest_at")]
+            out = {"_n_words": n_words, "_spans": [], "_items": [], "_longest": [], "_longest_at": []}
             for i in range(b.num_rows):
                 own = spans.get(i, [])
                 names = {"" if x is None else str(x) for x in items.get(i, ())}
@@ -265,9 +292,11 @@ def _search(held, first: bool, text: str):
                     names |= set(before[1][i])
                 out["_spans"].append([{"start": x, "end": y} for x, y in merge_spans(own)])
                 out["_items"].append(sorted(names))
-                out["_longest"].append(max(most.get(i, 0), before[2][i]))
+                best = max(int(most[i]), before[2][i])
+                out["_longest"].append(best)
+                out["_longest_at"].append(min((p for n, p in ((most[i], most_at[i]), (before[2][i], before[3][i])) if best and n == best), default=None))
             kept = [f for f in b.schema if f.name not in out]
-            types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.int32()]
+            types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *(pa.array(v, t) for v, t in zip(out.values(), types))],
                                              names=[*(f.name for f in kept), *out])
     return run
@@ -287,9 +316,9 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def match_tests(docs: DataFrame, tests: DataFrame, text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` (all columns) with ``_n_words``, ``_spans`` (hit words as
     half-open ranges, merged), ``_items`` (ids as strings of items with an
-    occurring window; "" stands for a null id) and ``_longest``: the words of
-    the longest verbatim match of which the search kept a place in the
-    document, however short."""
+    occurring window; "" stands for a null id), ``_longest``: the words of the
+    document's longest verbatim match with an item, however short, and
+    ``_longest_at``: the word it starts at (null without one)."""
     spark = docs.sparkSession
     state, plain = docs, T.StructType(list(docs.schema))
     added = T.StructType.fromDDL(STATE)
@@ -301,13 +330,14 @@ def match_tests(docs: DataFrame, tests: DataFrame, text: str = "text", window: i
 
 def contamination_report(docs: DataFrame, tests: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and
-    contaminated, and the hit spans and longest match."""
+    contaminated, and the hit spans, the longest match's words and its first
+    word (longest_match, longest_at)."""
     m = match_tests(docs.select("doc_id", "text"), tests, window=window, block_words=block_words)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     named = F.filter("_items", lambda x: x != "")
     return m.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
                     F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
-                    F.col("_spans").alias("spans"), F.col("_longest").alias("longest_match"))
+                    F.col("_spans").alias("spans"), F.col("_longest").alias("longest_match"), F.col("_longest_at").alias("longest_at"))
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10) -> DataFrame:

@@ -175,7 +175,7 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 @query(_LEAKS)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    return decontamination.contamination_report(docs, tests).drop("spans", "longest_match")
+    return decontamination.contamination_report(docs, tests).drop("spans", "longest_match", "longest_at")
 
 
 _VARIANTS = r"""

@@ -16,7 +16,9 @@ of counts, joined back to its documents with Spark's skew handling. The
 quotas work on a table of moves wanted by (from, to, gain level), at most
 shards x shards x 64 rows on the driver: what leaves a shard makes room in
 it, the highest gains go first. Where only some of a level's moves fit, a hash of the row id chooses them. Each round is stored, so a lost
-executor repeats one round.
+executor repeats one round. Rounds go on until no move is wanted or
+``PATIENCE`` rounds have not lowered the number of cut links; the placement
+with the fewest is kept.
 
 Null and empty texts are equal texts of one byte each. Repeated rows are
 documents of their own. Ties go to the present shard, then to the lower
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import ROW_ID, dense_positions, store, text_or_empty, with_row_id
 
-MAX_ROUNDS = 12
+PATIENCE = 3    # rounds without fewer cut links before propagation ends
 CLOSED = 200    # a shard with less than this part of its quota left is full
 
 
@@ -73,7 +75,21 @@ def allowed_flows(asked: dict[tuple[int, int, int], int], held: list[int], quota
     return flow
 
 
-def propagate(members: DataFrame, shards: int, quotas: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def cut_links(per_group: DataFrame, shards: int) -> int:
+    """Links between documents of one group in different shards, from the
+    group's documents per shard (_c0, _c1, ...)."""
+    sizes = [F.col(f"_c{s}").cast("decimal(38,0)") for s in range(shards)]
+    every = sum(sizes[1:], sizes[0])
+    cut = (every * every - sum((c * c for c in sizes[1:]), sizes[0] * sizes[0])) / 2
+    return int(per_group.agg(F.sum(cut.cast("decimal(38,0)"))).first()[0] or 0)
+
+
+def group_shards(state: DataFrame, shards: int) -> DataFrame:
+    """Documents per (_group, shard): _c0, _c1, ..."""
+    return state.groupBy("_group").agg(*[F.count(F.when(F.col("_shard") == s, 1)).alias(f"_c{s}") for s in range(shards)])
+
+
+def propagate(members: DataFrame, shards: int, quotas: list[int], patience: int = PATIENCE) -> DataFrame:
     """(_row_id, _shard) of every row in ``members`` (_row_id, _group).
 
     Rows may be members of several groups; their neighbours are the members
@@ -81,15 +97,25 @@ def propagate(members: DataFrame, shards: int, quotas: list[int], max_rounds: in
     neighbours, or as many and a lower number, so no two documents swap for
     ever. In each round the shard with most askers, if it could not take half
     of them, is closed for as long as it is full: the others then look for
-    their next best. Stops when none asks, or after ``max_rounds``."""
+    their next best. Ends when none asks, no link is cut, or ``patience``
+    rounds have brought no fewer cut links; the best placement is returned.
+    Fewer than ``patience`` rounds lie between two records, and the cut is a
+    whole number, so it ends."""
     spark = members.sparkSession
     state = store(members.withColumn("_shard", F.pmod(F.xxhash64(ROW_ID), F.lit(shards)).cast("int")), "shards")
     # hashes choose who moves, so counts are met up to their spread
     soft = [max(0, q - math.isqrt(9 * q)) for q in quotas]
     closed = [False] * shards
-    for round_ in range(max_rounds):
-        counts = [F.count(F.when(F.col("_shard") == s, 1)).alias(f"_c{s}") for s in range(shards)]
-        per_group = store(state.groupBy("_group").agg(*counts), "group-shards")
+    least, best, idle, round_ = None, state, 0, 0
+    while True:
+        per_group = store(group_shards(state, shards), "group-shards")
+        cut = cut_links(per_group, shards)
+        if least is None or cut < least:
+            least, best, idle = cut, state, 0
+        else:
+            idle += 1
+        if not cut or idle >= patience:
+            break
         located = {r["_shard"]: r["n"] for r in state.select(ROW_ID, "_shard").distinct().groupBy("_shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         held = [located.get(s, 0) for s in range(shards)]
         open_ = [not c or q - h > q // CLOSED for c, q, h in zip(closed, soft, held)]
@@ -101,9 +127,9 @@ def propagate(members: DataFrame, shards: int, quotas: list[int], max_rounds: in
                            (F.col("_most") - F.element_at("_score", F.col("_shard") + 1)).alias("_gain")).where("_gain > 0")
         wish = store(wish.select(ROW_ID, F.col("_shard").alias("_from"), "_to", F.floor(F.log2("_gain")).cast("int").alias("_level")), "moves")
         asked = {(r["_from"], r["_to"], r["_level"]): r["n"] for r in wish.groupBy("_from", "_to", "_level").agg(F.count(F.lit(1)).alias("n")).collect()}
-        flow = allowed_flows(asked, held, soft)
         if not asked:
             break
+        flow = allowed_flows(asked, held, soft)
         came = {s: (sum(n for k, n in asked.items() if k[1] == s), sum(n for k, n in flow.items() if k[1] == s)) for s in range(shards)}
         closed = [c and not o for c, o in zip(closed, open_)]
         if full := [s for s, (wanted, got) in came.items() if wanted > 2 * got]:
@@ -112,10 +138,11 @@ def propagate(members: DataFrame, shards: int, quotas: list[int], max_rounds: in
         dice = F.pmod(F.xxhash64(ROW_ID, F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         moved = wish.join(rows, ["_from", "_to", "_level"]).where(dice < F.col("_share")).select(ROW_ID, "_to")
         state = store(state.join(moved, ROW_ID, "left").select(ROW_ID, "_group", F.coalesce("_to", "_shard").alias("_shard")), "shards")
-    return state.select(ROW_ID, "_shard").distinct()
+        round_ += 1
+    return best.select(ROW_ID, "_shard").distinct()
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ("rows"), shard, slot
     (0, 1, 2, ... in each shard) and grown_shard (null under this law)."""
     spark = docs.sparkSession
@@ -125,7 +152,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, max_rounds: int = MAX_ROUN
     quotas = shard_quotas(base.count(), shards)
     sizes = store(base.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_group"), "linked-groups")
     members = store(base.join(sizes, "_group").select(ROW_ID, "_group"), "members")
-    state = store(propagate(members, shards, quotas, max_rounds), "propagated")
+    state = store(propagate(members, shards, quotas), "propagated")
 
     # the law: rows over a quota, and all rows without links, fill what is left
     count = lambda df: {r["_shard"]: r["n"] for r in df.groupBy("_shard").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -30,7 +30,7 @@ def odd_documents() -> list[tuple]:
 
 # Names of outputs and of the operators' own columns.
 CLASHES = """rank rejected lang_pred n_words spans items keep component_id fingerprint _row_id _row _bad _all _kept _salt _host _of _line
-    _lines _page _pages _total _id _text _part _items _spans _n_words _longest _fp _key _n _b _range _buckets _shift _inside _path _html _votes
+    _lines _page _pages _total _id _text _part _items _spans _n_words _longest _longest_at _fp _key _n _b _range _buckets _shift _inside _path _html _votes
     _aside_score digest""".split()
 
 

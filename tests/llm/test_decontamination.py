@@ -59,6 +59,28 @@ def test_tables(table):
     assert any(r[5] for r in compare(table("documents"), table("benchmark")))
 
 
+def longest(text, items):
+    """Words and first place of the longest run of words that an item holds."""
+    w, best, at = words(text), 0, None
+    every = [f" {' '.join(words(t))} " for _, t in items]
+    for i in range(len(w)):
+        while i + best < len(w) and any(f" {' '.join(w[i:i + best + 1])} " in e for e in every):
+            best, at = best + 1, i
+    return best, at
+
+
+@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 30])
+def test_every_document_has_its_longest_match(spark, block_words):
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, make(25)) for i in range(6)] + [(9, None), (10, "")]
+    rows = [(i, make(rng.randrange(40))) for i in range(60)] + [(70 + i, "zz " * i + items[0][1][:2 * i + 9] + " zz") for i in range(8)]
+    rows += [(90, items[1][1]), (91, items[1][1]), (92, None), (93, ""), (94, "zz zz"), (95, items[2][1] + " zz " + items[2][1])]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["longest_match"], r["longest_at"]) for r in D.contamination_report(docs, tests, block_words=block_words).collect()}
+    assert got == {i: longest(t, items) for i, t in rows}
+
+
 def test_empty_tables(none, odd, spark):
     tests = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert D.contamination_report(none, tests).collect() == []
@@ -82,7 +104,7 @@ def test_suffix_array_and_longest_matches():
             return shard.tokens[p:end].tolist()[:block.longest]
         order = [suffix(p) for p in shard.order]
         assert order == sorted(order) and len(order) == (shard.tokens >= D.FIRST).sum()
-        best, place = shard.longest_matches()
+        best, place = shard.longest_matches(shard.search())
         for s, (start, n) in enumerate(zip(block.starts, block.sizes)):
             own = block.tokens[start:start + n].tolist()
             want = max((next((k for k in range(min(len(x), n)) if x[k] != own[k]), min(len(x), n)) for x in order), default=0)

@@ -64,3 +64,31 @@ def test_several_groups_a_document(spark):
     members = spark.createDataFrame([(i, f"a{i // 10}") for i in range(40)] + [(i, f"b{i // 20}") for i in range(40)], "_row_id long, _group string")
     got = {r["_row_id"]: r["_shard"] for r in H.propagate(members, 2, [20, 20]).collect()}
     assert len(got) == 40 and max(Counter(got.values()).values()) <= 24
+
+
+def cut(rows, key="text_crc32"):
+    """Links cut, by trying every pair."""
+    return sum(a[key] == b[key] and a["shard"] != b["shard"] for i, a in enumerate(rows) for b in rows[:i])
+
+
+def test_cut_against_other_placements(spark):
+    # 200 groups of 1 to 12 equal texts, and one larger than two shards
+    rows = [(i, t) for i, t in enumerate(["hot"] * 500 + [f"g{g}" for g in range(200) for _ in range(1 + g % 12)])]
+    got = [r.asDict() for r in H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    n, own = len(rows), cut(got)
+    dealt = cut([{**r, "shard": r["doc_id"] % 8} for r in got])
+    hashed = cut([{**r, "shard": zlib.crc32(str(r["doc_id"]).encode()) % 8} for r in got])
+
+    def filled(room):
+        """The hot text fills shards up to ``room``, nothing else is cut."""
+        parts = [room] * (500 // room) + [500 % room]
+        return (500 ** 2 - sum(p * p for p in parts)) // 2
+    # propagation is no exact method: the best is below, blind placements well above
+    assert filled(-(-n // 8)) <= own < 0.9 * min(dealt, hashed)
+
+
+def test_cut_links_like_every_pair(spark):
+    state = [(i, f"g{i % 7}", (i * i) % 3) for i in range(60)]
+    per_group = H.group_shards(spark.createDataFrame(state, "_row_id long, _group string, _shard int"), 3)
+    assert H.cut_links(per_group, 3) == cut([{"g": g, "shard": s} for _, g, s in state], "g")
+    assert H.cut_links(per_group.where("false"), 3) == 0

@@ -2,24 +2,28 @@
 
 Templates are word lists of licence notices. The index holds, for every
 template word, its postings (template, position), and the word's inverse
-document frequency over the whole corpus. For each file the licence words
-with the highest IDF are looked up first: they are a template's anchors. Each
-anchor place gives an alignment (template, start); the alignments are
-intersected with the postings of the template's other words at the same
-relative position, the rarest first, until too few words could still match.
-What stays must hold the template's mandatory key phrases, word for word,
-inside the aligned place.
-
-A template tolerates ``1 - min_coverage`` of changed words but no inserted or
-dropped ones (an exact template, all words mandatory, no changed ones either).
-Its anchors are one more than the words that may change, the rarest first: a
-match holds at least one of them, whichever words were changed, so every
-match is found at every place.
+document frequency over the whole corpus. For each file the licence words are
+looked up from the highest IDF on. A template's anchors are its rarest words,
+one more than may be missing, so a match holds at least one of them. The
+places of an anchor word in the file, less its position in the template, are
+the starts to try; then the postings of the template's other words are
+intersected with them by relative position, the rarest first, and a start goes
+as soon as too many words are missing. What stays must hold the template's
+mandatory key phrases, word for word, inside the aligned place.
+
+A template tolerates ``1 - min_coverage`` of missing words. Words inserted or
+dropped move the words after them: a word counts up to ``SHIFT`` places away
+from its own. Starts within ``SHIFT`` of each other are one match, the one with
+most words, then most of them in their own places, then the smallest start. An
+exact template (no key phrases) has all its words in their places, and each of
+its places is a match.
 
 Words are ASCII letters and digits and all other characters from U+0080, A-Z
 lower-cased. Null and empty texts have no words and no labels. Ties in IDF go
-to the smaller word, so results do not depend on order. Repeated rows are
-scanned each; every text is read whole.
+to the smaller word; the IDF decides the order of the work only, never the
+result. Repeated rows are scanned each; every text is read whole, however
+long. An empty table gives no rows. Columns beside doc_id and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +40,9 @@ from pyspark.sql import functions as F
 from fathom.llm.common import alnum_words, chunks, pylist
 
 
+SHIFT = 2       # how far inserted or dropped words may move a word
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -54,7 +61,7 @@ class Template:
 
     @property
     def may_change(self) -> int:
-        """How many words of a match may differ."""
+        """How many words of a match may be missing."""
         return math.floor((1 - self.min_coverage) * len(self.words) + 1e-9) if self.key_phrases else 0
 
 
@@ -98,63 +105,83 @@ class Index:
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float]
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    words: list[list[bytes]] = field(default_factory=list)
-    phrases: list[list[list[bytes]]] = field(default_factory=list)
-    may_change: list[int] = field(default_factory=list)
-    order: list[list[int]] = field(default_factory=list)    # each template's positions, rarest word first
 
     def __post_init__(self) -> None:
+        self.phrases = [t.phrases for t in self.templates]
+        self.may_change = [t.may_change for t in self.templates]
+        self.shift = [SHIFT if t.key_phrases else 0 for t in self.templates]
+        self.size = [len(t.words) for t in self.templates]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, t in enumerate(self.templates):
-            self.words.append(t.words)
-            self.phrases.append(t.phrases)
-            self.may_change.append(t.may_change)
-            for at, w in enumerate(self.words[i]):
+            for at, w in enumerate(t.words):
                 self.postings[w].append((i, at))
-            self.order.append(sorted(range(len(self.words[i])), key=lambda at: (-self.idf.get(self.words[i][at], math.inf), self.words[i][at], at)))
-        # the words that can anchor an alignment, with the (template, position) they anchor
-        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, order in enumerate(self.order):
-            for at in order[:self.may_change[i] + 1]:
-                self.anchors[self.words[i][at]].append((i, at))
+        # words by falling IDF; every template's postings in that order
+        self.rarest = sorted(self.postings, key=lambda w: (-self.idf.get(w, math.inf), w))
+        self.by_rarity: list[list[tuple[bytes, int]]] = [[] for _ in self.templates]
+        for w in self.rarest:
+            for i, at in self.postings[w]:
+                self.by_rarity[i].append((w, at))
 
     def scan(self, words: list[bytes]) -> list[Match]:
         """Matches in a file's words, by template and place."""
-        anchors = self.anchors
-        found = [(w, p) for p, w in enumerate(words) if w in anchors]
-        if not found:
-            return []
-        rarest_first = sorted({w for w, _ in found}, key=lambda w: (-self.idf.get(w, math.inf), w))
-        places = defaultdict(list)
-        for w, p in found:
-            places[w].append(p)
-        tried: set[tuple[int, int]] = set()
+        places: dict[bytes, list[int]] = {}
+        for p, w in enumerate(words):
+            if w in self.postings:
+                places.setdefault(w, []).append(p)
         out = []
-        for w in rarest_first:
-            for i, at in anchors[w]:
-                for p in places[w]:
-                    start = p - at
-                    if (i, start) not in tried:
-                        tried.add((i, start))
-                        if m := self._verify(i, start, words):
-                            out.append(m)
+        for i, t in enumerate(self.templates):
+            for start, missing in self._kept(i, self._intersect(i, places)):
+                if self._has_phrases(i, start, words):
+                    out.append(Match(t, start, 1 - missing / self.size[i]))
         return sorted(out, key=lambda m: (m.template.label, m.template.text, m.start))
 
-    def _verify(self, i: int, start: int, words: list[bytes]) -> Match | None:
-        t, own = self.templates[i], self.words[i]
-        missing, most = 0, self.may_change[i]
-        for at in self.order[i]:
-            p = start + at
-            if not 0 <= p < len(words) or words[p] != own[at]:
-                missing += 1
-                if missing > most:
-                    return None
-        lo, hi = max(0, start), min(len(words), start + len(own))
-        for phrase in self.phrases[i]:
-            n = len(phrase)
-            if not any(words[p:p + n] == phrase for p in range(lo, hi - n + 1)):
-                return None
-        return Match(t, start, 1 - missing / len(own))
+    def _intersect(self, i: int, places: dict[bytes, list[int]]) -> dict[int, tuple[int, int]]:
+        """Starts where at most ``may_change`` of the template's words are
+        missing: (missing words, words out of place)."""
+        most, shift = self.may_change[i], self.shift[i]
+        alive: dict[int, list[int]] = {}
+        absent = 0      # words that the file does not hold at all
+        for k, (w, at) in enumerate(self.by_rarity[i]):
+            here = places.get(w)
+            if here is None:
+                absent += 1
+                if absent > most:
+                    return {}
+            if k <= most:       # an anchor: a start met here first has missed the anchors before
+                for p in here or ():
+                    for start in range(p - at - shift, p - at + shift + 1):
+                        if start not in alive:
+                            alive[start] = [k, 0]
+            elif not alive:
+                return {}
+            near = [] if here is None else {p - at + d for p in here for d in range(-shift, shift + 1)}
+            exact = {p - at for p in here} if here else ()
+            gone = []
+            for start, n in alive.items():
+                if start not in near:
+                    n[0] += 1
+                    if n[0] > most:
+                        gone.append(start)
+                elif start not in exact:
+                    n[1] += 1
+            for start in gone:
+                del alive[start]
+        return {start: (n[0], n[1]) for start, n in alive.items()}
+
+    def _kept(self, i: int, found: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+        """(start, missing) of the matches: the best of the starts that lie
+        within ``shift`` of each other."""
+        taken: set[int] = set()
+        out = []
+        for start in sorted(found, key=lambda s: (found[s], s)):
+            if start not in taken:
+                out.append((start, found[start][0]))
+                taken.update(range(start - self.shift[i], start + self.shift[i] + 1))
+        return out
+
+    def _has_phrases(self, i: int, start: int, words: list[bytes]) -> bool:
+        lo, hi = max(0, start - self.shift[i]), min(len(words), start + self.size[i] + self.shift[i])
+        return all(any(words[p:p + len(phrase)] == phrase for p in range(lo, hi - len(phrase) + 1)) for phrase in self.phrases[i])
 
 
 def corpus_idf(docs: DataFrame, templates: tuple[Template, ...], text: str = "text") -> dict[bytes, float]:

@@ -63,16 +63,64 @@ def test_any_changed_words_a_template_tolerates(changed):
             assert [(m.start, round(m.coverage * 20)) for m in found] == [(before, 20 - text.count(b"xyz"))]
 
 
+def tried_everywhere(template, words):
+    """The rule, without an index: (start, coverage) of a template's matches."""
+    own, found = template.words, {}
+    shift = L.SHIFT if template.key_phrases else 0
+    spare = int((1 - template.min_coverage) * len(own) + 1e-9) if template.key_phrases else 0
+    at = lambda p: words[p] if 0 <= p < len(words) else None
+    for start in range(-len(own) - shift, len(words) + shift):
+        near = [any(at(start + k + d) == w for d in range(-shift, shift + 1)) for k, w in enumerate(own)]
+        missing = near.count(False)
+        moved = sum(x and at(start + k) != own[k] for k, x in enumerate(near))
+        if missing <= spare and any(near):
+            found[start] = (missing, moved, start)
+    kept = []
+    for start in sorted(found, key=found.get):
+        if all(abs(start - other) > shift for other in kept):
+            kept.append(start)
+    joined = lambda a, b: b" " + b" ".join(words[max(0, a):max(0, b)]) + b" "
+    has = lambda s: all(b" " + b" ".join(L.alnum_words(p)) + b" " in joined(s - shift, s + len(own) + shift) for p in template.key_phrases or (template.text,))
+    return sorted((s, round(1 - found[s][0] / len(own), 9)) for s in kept if has(s))
+
+
 def test_every_template_like_trying_every_place():
     rng = random.Random(5)
-    words = [t.words for t in L.NOTICE_TEMPLATES]
+    templates = L.NOTICE_TEMPLATES + L.BASE_TEMPLATES
+    words = [t.words for t in templates]
+    n = 0
     for _ in range(300):
-        i = rng.randrange(len(words))
-        text = [b"x"] * rng.randrange(3) + [w if rng.random() > 0.2 else b"xyz" for w in words[i]] + words[rng.randrange(len(words))]
-        index = L.Index(L.NOTICE_TEMPLATES, {w: rng.random() for own in words for w in own})
-        every = [m for t in range(len(words)) for start in range(-len(words[t]), len(text)) if (m := index._verify(t, start, text))]
-        key = lambda m: (m.template.label, m.template.text, m.start)
-        assert sorted(map(key, every)) == [key(m) for m in index.scan(text)]
+        text = [b"x"] * rng.randrange(3)
+        for own in rng.choices(words, k=2):
+            for w in own:
+                x = rng.random()    # kept, changed, dropped, or one inserted before it
+                text += [w] if x > 0.12 else [b"xyz"] if x > 0.08 else [] if x > 0.04 else [b"xyz", w]
+        index = L.Index(templates, {w: rng.random() for own in words for w in own if rng.random() > 0.1})
+        want = sorted((t.label, t.text, *m) for t in templates for m in tried_everywhere(t, text))
+        assert sorted((m.template.label, m.template.text, m.start, round(m.coverage, 9)) for m in index.scan(text)) == want
+        n += len(want)
+    assert n > 300
+
+
+def test_whole_table_like_trying_every_place(odd, table):
+    templates = L.BASE_TEMPLATES + L.NOTICE_TEMPLATES
+    for docs in (odd.where("length(text) < 5000"), table("documents").where("length(text) < 3000")):
+        want = []
+        for r in docs.collect():
+            w = L.alnum_words(r["text"])
+            found = [(t.label, c) for t in templates if set(t.words) & set(w) for _, c in tried_everywhere(t, w)]
+            want.append((r["doc_id"] or -1, ",".join(sorted({x for x, _ in found})), max((c for _, c in found), default=0.0)))
+        got = [(r["doc_id"] or -1, r["labels"], round(r["score"], 9)) for r in L.scan_documents(docs).collect()]
+        assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Permission is hereby granted, free of charge, to any and every person obtaining a copy of this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or modification, are permitted", "bsd"),
+])
+def test_inserted_and_dropped_words(spark, text, label):
+    r = L.scan_documents(spark.createDataFrame([(1, "x y " + text + " z")], "doc_id long, text string")).first()
+    assert r["labels"] == label and len(r["matches"]) == 1 and r["score"] > 0.9
 
 
 def test_empty_table(none):

@@ -260,7 +260,7 @@ SPANS = "array<struct<start:int,end:int>>"
 STATE = f"_n_words long, _spans {SPANS}, _items array<string>, _longest int, _longest_at int"
 
 
-def _search(held, first: bool, text: str):
+def _search(held, first: bool, text: str, longest_too: bool):
     """Adds a block's matches to each document's state."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: TestBlock = held.value
@@ -281,7 +281,7 @@ def _search(held, first: bool, text: str):
                 for d, p in zip(owner.tolist(), (places - shard.base[owner]).tolist()):
                     spans[d].append((p, p + int(block.windows[s])))
                     items[d].update(block.items[s])
-            most, most_at = shard.longest_of_documents(at)
+            most, most_at = shard.longest_of_documents(at) if longest_too else ([0] * b.num_rows, [None] * b.num_rows)
             before = [[], [], [0] * b.num_rows, [None] * b.num_rows] if first else [pylist(b, c) for c in ("_spans", "_items", "_longest", "_longest_at")]
             out = {"_n_words": n_words, "_spans": [], "_items": [], "_longest": [], "_longest_at": []}
             for i in range(b.num_rows):
@@ -313,18 +313,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def match_tests(docs: DataFrame, tests: DataFrame, text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match_tests(docs: DataFrame, tests: DataFrame, text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS,
+                longest: bool = True) -> DataFrame:
     """``docs`` (all columns) with ``_n_words``, ``_spans`` (hit words as
     half-open ranges, merged), ``_items`` (ids as strings of items with an
     occurring window; "" stands for a null id), ``_longest``: the words of the
     document's longest verbatim match with an item, however short, and
-    ``_longest_at``: the word it starts at (null without one)."""
+    ``_longest_at``: the word it starts at (null without one). Without
+    ``longest`` these two are left 0 and null."""
     spark = docs.sparkSession
     state, plain = docs, T.StructType(list(docs.schema))
     added = T.StructType.fromDDL(STATE)
     for i, block in enumerate(read_blocks(tests, window, block_words)):
         state = (store(state, "decontamination-block") if i else state).mapInArrow(
-            _search(spark.sparkContext.broadcast(block), i == 0, text), T.StructType([*plain, *added]))
+            _search(spark.sparkContext.broadcast(block), i == 0, text, longest), T.StructType([*plain, *added]))
     return state
 
 
@@ -343,5 +345,5 @@ def contamination_report(docs: DataFrame, tests: DataFrame, window: int = 10, bl
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the documents in which a test window occurs."""
     moved, back = aside(docs, " ".join(T.StructType.fromDDL(STATE).names))
-    clean = match_tests(moved, tests, window=window).where(F.size("_spans") == 0)
+    clean = match_tests(moved, tests, window=window, longest=False).where(F.size("_spans") == 0)
     return back(clean.select(*[F.col(f"`{c}`") for c in moved.columns]))

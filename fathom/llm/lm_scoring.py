@@ -1,30 +1,37 @@
 """LM scoring by context-tree weighting over binary-decomposed bytes.
 
 A byte is eight binary decisions, the nodes of a tree with 255 inner nodes.
-Every node keeps, for every context of up to three bytes before it, how often
-it went left and right. At each depth the Krichevsky-Trofimov estimate of a
-context is mixed with its longer contexts,
+Every node keeps, for every context of up to ``depth`` bytes before it, how
+often it went left and right. At each depth the Krichevsky-Trofimov estimate of
+a context is mixed with its longer contexts,
 
     Pw(s) = 1/2 Pe(s) + 1/2 * product of Pw over the contexts one byte longer,
 
-and a decision's probability mixes the KT estimates of all depths, 0 to 3,
-with the weights that the training counts give: beta(s) = 1/2 Pe(s) / Pw(s)
-for stopping at s. KT estimates do not depend on the order of the decisions,
-so counting byte four-grams over the whole training set, in parallel, gives
-the same weights as reading it in sequence.
-
-Every context of three bytes of the training set is a branch of its own. They
-are weighted in one group per last two bytes, and each context's 256 byte
-probabilities are a row of a stored table. Broadcast are the contexts of up to
-two bytes (at most 2^16 + 2^8 + 1), the most frequent of three bytes (at most
-``HEAD_CONTEXTS``) and one bit per possible context that tells whether the
-table has it. Grams of a document whose context is in the table but not in
-the broadcast are counted and joined with the table, like rare words. The code
-length per byte is ``-score / log10(2) / bytes``.
+and a decision's probability mixes the KT estimates of all depths, 0 to
+``depth``, with the weights that the training counts give: beta(s) =
+1/2 Pe(s) / Pw(s) for stopping at s. KT estimates do not depend on the order of
+the decisions, so counting byte grams (a context and its next byte) over the
+whole training set, in parallel, gives the same weights as reading it in
+sequence.
+
+Only nodes that a text visits are held. The grams of all documents are counted,
+those that the training set lacks with a count of zero, which changes no weight;
+so every gram to be scored has its own row. Rows meet by the last three context
+bytes: each bucket weights its contexts from the longest down, only the sums of
+contexts of two bytes (at most 2^16 * 255 nodes, at any corpus size) meet on the
+driver, and the mixture goes back from the empty context to the longest. The
+result is a stored table of grams and their log probabilities. Broadcast are
+the most frequent grams (at most ``HEAD_GRAMS``, 16 bytes each) and the nodes
+of two-byte contexts; the other grams of each document are counted and joined
+with the table. No gram left to the join can be hot: it has less than
+2 / ``HEAD_GRAMS`` of all places, or there would be no room for it to miss.
+
+The code length per byte is ``bits_per_byte``: -log2 of the text's probability
+over its bytes (null where it has none).
 
 A text is its UTF-8 bytes with A-Z lower-cased, closed by the byte 0xFF
-(never part of UTF-8) and preceded by three of them as first context. So null
-and empty texts have the probability of an immediate end.
+(never part of UTF-8) and preceded by ``depth`` of them as first context. So
+null and empty texts have the probability of an immediate end.
 
 Beside it stands the base model: token counts (runs without ASCII white
 space, then one end token) with add-one smoothing. The most frequent tokens,
@@ -32,9 +39,13 @@ at most ``HEAD_TOKENS``, are broadcast; the rest of each document's tokens are
 joined with their counts, so no vocabulary size is too large and no hot token
 is shuffled.
 
-Rows that repeat are learned from and scored each. A null id counts as not
+Rows that repeat are learned from and scored each. Equal counts are on the same
+side of both heads, which changes no score. Sums over rows are taken in
+decimals, so scores do not depend on partitions. A null id counts as not
 held out. With no training rows every byte has probability 1/256 and every
-token an add-one probability of 1. Every text is read whole.
+token an add-one probability of 1; no rows give no rows. Every text is read
+whole, a very long one in pieces. Only ``doc_id`` and the text are read, so
+other columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -42,33 +53,44 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import ROW_ID, chunks, pylist, store, with_row_id
 
+DEPTH = 5
 HEAD_TOKENS = 1 << 18
+HEAD_GRAMS = 1 << 20
 EDGE = b"\xff"
 END_TOKEN = b""     # no word is empty
-PIECE = 1 << 21     # bytes scored at once
-HEAD_CONTEXTS = 1 << 15
-OTHERS = -1         # the branch of all other third bytes, in a cut tree
-ANY = -2            # bytes without a branch
+CHUNK = 1 << 20     # bytes of whole texts taken at once
+PIECE = 1 << 21     # bytes of one longer text taken at once
+SLICE = 1 << 16     # grams weighted at once
 
 
 def text_bytes(text: str | None) -> bytes:
     return text.encode().lower() if text else b""
 
 
-def four_grams(own: bytes) -> np.ndarray:
-    """Per byte of the text and its end: three bytes of context and itself."""
-    a = np.frombuffer(EDGE * 3 + own + EDGE, np.uint8).astype(np.uint32)
-    return (a[:-3] << np.uint32(24)) | (a[1:-2] << np.uint32(16)) | (a[2:-1] << np.uint32(8)) | a[3:]
+def text_grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of its text, gram) of every byte and end. A gram is a number: the
+    byte before in the highest place, the one before that in the next, and so
+    on, the byte itself in the lowest."""
+    data = np.frombuffer(b"".join(EDGE * depth + t + EDGE for t in texts), np.uint8)
+    sizes = np.array([depth + len(t) + 1 for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    for at in range(depth, len(data), PIECE):
+        own = data[at - depth:at + PIECE].astype(np.int64)
+        g = own[depth:].copy()
+        for back in range(1, depth + 1):
+            g |= own[depth - back:len(own) - back] << (8 * (depth + 1 - back))
+        place = np.arange(at, at + len(g))
+        of = np.searchsorted(ends, place, side="right")
+        keep = place - (ends - sizes)[of] >= depth
+        yield of[keep], g[keep]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -87,26 +109,6 @@ def log_kt(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where((left + right) > 0, g(left) + g(right) - log_gamma(left + right + 1.0), 0.0)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right) counts of the 255 nodes from counts of the 256 bytes."""
-    levels, x = [], np.asarray(counts, np.float64)
-    while x.shape[-1] > 1:
-        levels.append((x[..., 0::2], x[..., 1::2]))
-        x = x[..., 0::2] + x[..., 1::2]
-    return tuple(np.concatenate([lv[i] for lv in reversed(levels)], axis=-1) for i in (0, 1))
-
-
-def byte_logs(right: np.ndarray) -> np.ndarray:
-    """log10 probability of the 256 bytes from the 255 nodes' probabilities
-    of going right."""
-    out, at = np.zeros((*right.shape[:-1], 1)), 0
-    for level in range(8):
-        p = right[..., at:at + (1 << level)]
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=-1).reshape(*right.shape[:-1], -1)
-        at += 1 << level
-    return out
-
-
 def _stop_weight(own: np.ndarray, longer: np.ndarray) -> np.ndarray:
     """1/2 Pe / (1/2 Pe + 1/2 product of the longer contexts' Pw)."""
     return 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
@@ -116,192 +118,144 @@ def _kt(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (right + 0.5) / (left + right + 1)
 
 
-@dataclass
-class TreeModel:
-    """log10 byte probabilities by context."""
-
-    block: np.ndarray   # last two bytes -> block
-    row: np.ndarray     # block x third byte -> row of logs
-    logs: np.ndarray    # rows x 256
-    stored: np.ndarray | None = None    # a bit per three-byte context: its row is only in the table
-
-    def score(self, text: str | None) -> float:
-        """log10 probability of the whole text and its end."""
-        return self.score_held(text)[0]
-
-    def score_held(self, text: str | None) -> tuple[float, list[int], list[int]]:
-        """log10 probability of the grams whose context is held here, and the
-        other grams, whose contexts are only in the table, with their counts."""
-        grams, total, others = four_grams(text_bytes(text)), 0.0, Counter()
-        for at in range(0, len(grams), PIECE):
-            g = grams[at:at + PIECE]
-            if self.stored is not None:
-                context = g >> np.uint32(8)
-                out = (self.stored[context >> np.uint32(3)] >> (context & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
-                if out.any():
-                    far, n = np.unique(g[out], return_counts=True)
-                    others.update(dict(zip(far.tolist(), n.tolist())))
-                    g = g[~out]
-            rows = self.row[self.block[(g >> np.uint32(8)) & np.uint32(0xFFFF)], g >> np.uint32(24)]
-            total += float(self.logs[rows, g & np.uint32(255)].sum(dtype=np.float64))
-        return total, list(others), list(others.values())
-
-
-def branches(grams: DataFrame, contexts: int | None = None) -> DataFrame:
-    """Stored (last, second, third, byte, n): the counts of ``grams`` (gram, n).
-
-    With ``contexts`` the tree is cut: the third context byte stays only where
-    its context is among the ``contexts`` most frequent, ``OTHERS`` elsewhere."""
-    part = lambda bits: F.shiftright("gram", bits).bitwiseAND(F.lit(255)).cast("int")
-    g, third = grams, part(24)
-    if contexts is not None:
-        by_context = store(grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")), "contexts")
-        kept = by_context.where(F.col("n") >= 1 << head_level(by_context, contexts)).select("context", F.lit(True).alias("_own"))  # at most ``contexts`` rows
-        g = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept), "context", "left")
-        third = F.when(F.col("_own"), part(24)).otherwise(OTHERS)
-    return store(g.groupBy(part(8).alias("last"), part(16).alias("second"), third.alias("third"), part(0).alias("byte"))
-                 .agg(F.sum("n").alias("n")), "branches")
-
-
-def _counts(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of one last and second byte: the third bytes and the next byte's counts."""
-    names, at = np.unique(g["third"].to_numpy(np.int64), return_inverse=True)
-    c = np.zeros((len(names), 256))
-    np.add.at(c, (at, g["byte"].to_numpy()), g["n"].to_numpy())
-    return names, c
-
-
-def fit_table(grams: DataFrame, contexts: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """From (gram, n), a 32-bit key (three context bytes, one byte) and its
-    count: the stored rows (last, second, third, n, logs) of all contexts, and
-    the logs of the context without bytes. A row whose third byte is ``ANY`` is
-    for third bytes without a row, one whose second byte is ``ANY`` for such
-    second bytes.
-
-    Contexts are weighted in one group per last two context bytes, at most 256
-    branches each; only 256 sums, one per last byte, meet on the driver."""
+def one_shorter(key: np.ndarray) -> np.ndarray:
+    """Keys of nodes without the context byte farthest back."""
+    return (key >> 16 << 8) | (key & 255)
+
+
+class Nodes:
+    """The visited nodes of all contexts of one length, by key (context bytes,
+    last first, then the node): decisions to the left and right, ln Pe, the sum
+    of ln Pw of the contexts one byte longer (None at the full depth), and for
+    each node of those its place here."""
+
+    def __init__(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, longer: np.ndarray | None):
+        self.key, self.left, self.right = key, left, right
+        own = log_kt(left, right)
+        self.weighted = own if longer is None else np.logaddexp(own, longer) - math.log(2)
+        self.stop = np.ones(len(key)) if longer is None else _stop_weight(own, longer)
+        self.longer, self.of_longer = longer, None
+
+    @classmethod
+    def of_grams(cls, grams: np.ndarray, n: np.ndarray) -> tuple[Nodes, np.ndarray, np.ndarray]:
+        """The nodes of full depth, and per level and gram its node and turn."""
+        byte, level = grams & 255, np.arange(8)[:, None]
+        turn = (byte >> (7 - level)) & 1
+        key, at = np.unique((grams >> 8 << 8) | (1 << level) | (byte >> (8 - level)), return_inverse=True)
+        at = at.reshape(8, -1)
+        left, right = (np.bincount(at.ravel(), (n * (turn == side)).ravel(), len(key)) for side in (0, 1))
+        return cls(key, left, right, None), at, turn
+
+    def shorter(self) -> Nodes:
+        """The nodes of the contexts one byte shorter."""
+        key, at = np.unique(one_shorter(self.key), return_inverse=True)
+        out = Nodes(key, *(np.bincount(at, x, len(key)) for x in (self.left, self.right, self.weighted)))
+        out.of_longer = at
+        return out
+
+    def mixed(self, before: np.ndarray | float, rest: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of right as mixed down to here, and the weight left for
+        longer contexts, from both of the shorter contexts."""
+        kt = (self.right + 0.5) / (self.left + self.right + 1)
+        return before + rest * self.stop * kt, rest * (1 - self.stop)
+
+
+def slices(grams: np.ndarray, depth: int) -> Iterator[slice]:
+    """Cuts of sorted grams, about ``SLICE`` each, never within a context of
+    three bytes (at five bytes of context that has at most 2^24 grams)."""
+    starts = np.flatnonzero(np.diff(grams >> (8 * (depth - 2)), prepend=-1))
+    at = 0
+    while at < len(grams):
+        later = starts[np.searchsorted(starts, at + SLICE):]
+        to = int(later[0]) if len(later) else len(grams)
+        yield slice(at, to)
+        at = to
+
+
+def _weigh(grams: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Nodes], np.ndarray, np.ndarray]:
+    """Nodes from full depth down to three bytes of context."""
+    longest, at, turn = Nodes.of_grams(grams, n)
+    levels = [longest]
+    while len(levels) < depth - 2:
+        levels.append(levels[-1].shorter())
+    return levels, at, turn
+
+
+def fit_grams(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Stored (gram, m, log): log10 probability of the last byte of every gram
+    after its context. ``grams`` holds every gram to be scored once, with its
+    count ``n`` in the training set, 0 included, and ``m`` in all documents."""
     spark = grams.sparkSession
-    by_two = branches(grams, contexts).groupBy("last", "second")
-
-    def weights(g: pd.DataFrame):
-        names, c = _counts(g)
-        three, two = decisions(c), decisions(c.sum(axis=0))
-        longer, own = log_kt(*three).sum(axis=0), log_kt(*two)
-        return names, c, three, two, own, longer, np.logaddexp(own, longer) - math.log(2)
-
-    def weigh_two(g: pd.DataFrame) -> pd.DataFrame:
-        _, c, _, _, _, _, weighted = weights(g)
-        return pd.DataFrame({"last": [int(g["last"].iloc[0])], "counts": [c.sum(axis=0).tolist()], "weighted": [weighted.tolist()]})
-
-    def weigh(g: pd.DataFrame) -> pd.DataFrame:     # at most 256 rows
-        c = np.sum(np.stack(g["counts"]), axis=0)
-        weighted = np.sum(np.stack(g["weighted"]), axis=0)
-        one = log_kt(*decisions(c))
-        return pd.DataFrame({"last": [int(g["last"].iloc[0])], "counts": [c.tolist()], "stop": [_stop_weight(one, weighted).tolist()],
-                             "weighted": [(np.logaddexp(one, weighted) - math.log(2)).tolist()]})
-
-    rows = (by_two.applyInPandas(weigh_two, "last int, counts array<double>, weighted array<double>").groupBy("last")
-            .applyInPandas(weigh, "last int, counts array<double>, stop array<double>, weighted array<double>").collect())  # at most 256
-    left, right = decisions(np.sum([r["counts"] for r in rows], axis=0) if rows else np.zeros(256))
-    stop = _stop_weight(log_kt(left, right), np.sum([r["weighted"] for r in rows], axis=0) if rows else np.zeros(255))
-    base = _kt(left, right)
-    of_last = {r["last"]: (_kt(*decisions(np.array(r["counts"]))), np.array(r["stop"]), float(sum(r["counts"]))) for r in rows}
-    held = spark.sparkContext.broadcast(of_last)
-
-    def from_one(last: int, p: np.ndarray) -> np.ndarray:
-        one, stop1, _ = held.value[last]
-        return stop * base + (1 - stop) * (stop1 * one + (1 - stop1) * p)
-
-    def predict(g: pd.DataFrame) -> pd.DataFrame:
-        names, c, three, two, own, longer, _ = weights(g)
-        last, second, stop2 = int(g["last"].iloc[0]), int(g["second"].iloc[0]), _stop_weight(own, longer)
-        p = np.vstack([stop2 * _kt(*two) + (1 - stop2) * _kt(*three), stop2 * _kt(*two) + (1 - stop2) * 0.5])
-        n = c.sum(axis=1)
-        return pd.DataFrame({"last": last, "second": second, "third": [*names.tolist(), ANY], "n": [*n.astype(np.int64).tolist(), int(n.sum())],
-                             "logs": [*byte_logs(from_one(last, p)).astype(np.float32)]})
-
-    found = by_two.applyInPandas(predict, "last int, second int, third int, n long, logs array<float>")
-    alone = [(last, ANY, ANY, int(n), byte_logs((stop * base + (1 - stop) * (stop1 * one + (1 - stop1) * 0.5))[None, :])[0].astype(np.float32).tolist())
-             for last, (one, stop1, n) in of_last.items()]
-    table = store(found.unionByName(spark.createDataFrame(alone, found.schema)), "context-logs")
-    return table, byte_logs((stop * base + (1 - stop) * 0.5)[None, :])[0].astype(np.float32)
-
-
-def held_model(rows: DataFrame, none: np.ndarray, stored: np.ndarray | None = None) -> TreeModel:
-    """The model of these rows of a table of ``fit_table``."""
-    t = rows.select("last", "second", "third", "logs").toArrow()
-    names = [t.column(c).to_numpy() for c in ("last", "second", "third")]
-    values = t.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 256).astype(np.float32)
-    order = np.lexsort(names[::-1])     # defaults come before what replaces them
-    block, row = np.zeros((256, 256), np.int32), [np.zeros(256, np.int32)]
-    for at, (last, second, third) in enumerate(zip(*(x[order].tolist() for x in names)), 1):
-        if second == ANY:
-            block[:, last] = len(row)
-            row.append(np.full(256, at, np.int32))
-        elif third == ANY:
-            block[second, last] = len(row)
-            row.append(np.full(256, at, np.int32))
-        elif third == OTHERS:
-            row[-1][:] = at
-        else:
-            row[-1][third] = at
-    return TreeModel(block.reshape(-1), np.array(row), np.vstack([none[None, :], values[order]]), stored)
-
-
-def fit_tree(grams: DataFrame, contexts: int | None = None) -> TreeModel:
-    """The model of all contexts, in one piece: for small tables."""
-    return held_model(*fit_table(grams, contexts))
-
-
-def split_tree(grams: DataFrame, head_contexts: int = HEAD_CONTEXTS) -> tuple[TreeModel, DataFrame | None]:
-    """The model of the contexts of up to two bytes and the ``head_contexts``
-    most frequent of three, and the (context, logs) of all others, if any."""
-    table, none = fit_table(grams)
-    three = table.where(F.col("third") >= 0)
-    level = head_level(three, head_contexts)
-    in_head = F.col("n") >= F.lit(1 << level)
-    tail = three.where(~in_head).select((F.col("third") * 65536 + F.col("second") * 256 + F.col("last")).cast("long").alias("context"), "logs")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 24, np.uint8)
-        for b in batches:
-            seen[b.column(0).to_numpy()] = 1
-        if seen.any():
-            packed = np.packbits(seen, bitorder="little").reshape(256, -1)
-            own = np.flatnonzero(packed.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(own.tolist(), pa.int32()), pa.array([packed[i].tobytes() for i in own], pa.binary())], names=["at", "bits"])
-
-    stored = None
-    for r in tail.select("context").mapInArrow(bits, "at int, bits binary").toLocalIterator():
-        if stored is None:
-            stored = np.zeros((256, 1 << 13), np.uint8)
-        stored[r["at"]] |= np.frombuffer(r["bits"], np.uint8)
-    # at most 2^8 + 2^16 + ``head_contexts`` rows of 1 KB
-    model = held_model(table.where((F.col("third") < 0) | in_head), none, None if stored is None else stored.reshape(-1))
-    return model, None if stored is None else tail
-
-
-def corpus_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """Stored (word, gram, n): token counts (gram null; the empty word is the
-    end token) and byte four-gram counts (word null) of all rows."""
+    buckets = -(-grams.count() // SLICE) or 1
+    cut = grams.groupBy(F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - 2))), F.lit(buckets)).alias("bucket"))
+
+    def parts(t: pa.Table):
+        t = t.sort_by("gram")
+        key, n, m = (t.column(c).to_numpy() for c in ("gram", "n", "m"))
+        for s in slices(key, depth):
+            yield key[s], m[s], *_weigh(key[s], n[s].astype(np.float64), depth)
+
+    def sums(t: pa.Table) -> pa.Table:
+        tops = [levels[-1].shorter() for _, _, levels, _, _ in parts(t)]    # a weighted node of three bytes has one parent
+        return pa.table({"key": np.concatenate([x.key for x in tops]), "lefts": np.concatenate([x.left for x in tops]).astype(np.int64),
+                         "rights": np.concatenate([x.right for x in tops]).astype(np.int64), "longer": np.concatenate([x.longer for x in tops])})
+
+    # at most 2^16 * 255 rows
+    top = (cut.applyInArrow(sums, "key long, lefts long, rights long, longer double").groupBy("key")
+           .agg(F.sum("lefts").alias("lefts"), F.sum("rights").alias("rights"), F.sum(F.col("longer").cast("decimal(28,9)")).cast("double").alias("longer"))
+           .toArrow().sort_by("key"))
+    two = Nodes(top.column("key").to_numpy(), *(top.column(c).to_numpy().astype(np.float64) for c in ("lefts", "rights", "longer")))
+    one = two.shorter()
+    none = one.shorter()
+    mix = none.mixed(0.0, 1.0)
+    for shorter, nodes in ((none, one), (one, two)):
+        mix = nodes.mixed(*(x[shorter.of_longer] for x in mix))
+    held = spark.sparkContext.broadcast((two.key, *mix))
+
+    def predict(t: pa.Table) -> pa.Table:
+        out = []
+        for key, m, levels, at, turn in parts(t):
+            known, *mix = held.value
+            parent = np.searchsorted(known, one_shorter(levels[-1].key))
+            for nodes in reversed(levels):
+                mix = nodes.mixed(*(x[parent] for x in mix))
+                parent = nodes.of_longer
+            p = mix[0][at]
+            out.append((key, m, np.log10(np.where(turn == 1, p, 1 - p)).sum(axis=0)))
+        return pa.table(dict(zip(("gram", "m", "log"), map(np.concatenate, zip(*out)))))
+
+    return store(cut.applyInArrow(predict, "gram long, m long, log double"), "gram-logs")
+
+
+def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Stored (word, gram, n, m) of rows (_text, held_out): token counts of the
+    training set (gram null; the empty word is the end token), and gram counts
+    (word null) ``n`` of the training set and ``m`` of all rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text, 8 << 20, 65536):
-            texts = [text_bytes(t) for t in pylist(b, text)]
+        for b in chunks(batches, "_text", 8 * CHUNK, 65536):
+            texts = [text_bytes(t) for t in pylist(b, "_text")]
+            learn = ~np.array(pylist(b, "held_out"), bool)
             words: Counter = Counter()
-            for t in texts:
-                words.update(t.split())
-            words[END_TOKEN] += len(texts)
-            grams, n = np.unique(np.concatenate([four_grams(t) for t in texts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, *[None] * len(grams)], pa.binary()), pa.array([*[None] * len(words), *grams.tolist()], pa.int64()),
-                 pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n.astype(np.int64)]))], names=["word", "gram", "n"])
-    return store(train.select(F.col(text)).mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")), "corpus-counts")
-
-
-def head_level(words: DataFrame, most: int) -> int:
-    """The least power of two such that at most ``most`` words have that
-    count or more."""
-    levels = {r["k"]: r["n"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            for t, own in zip(texts, learn):
+                if own:
+                    words.update(t.split())
+            if learn.any():
+                words[END_TOKEN] += int(learn.sum())
+            n = np.fromiter(words.values(), np.int64, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([*words], pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(n), pa.array(n)], names=["word", "gram", "n", "m"])
+            for of, grams in text_grams(texts, depth):
+                for own in (True, False):
+                    g, m = np.unique(grams[learn[of] == own], return_counts=True)
+                    m = m.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g), pa.array(m * own), pa.array(m)], names=["word", "gram", "n", "m"])
+    return store(rows.select("_text", "held_out").mapInArrow(count, "word binary, gram long, n long, m long")
+                 .groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "corpus-counts")
+
+
+def head_level(words: DataFrame, most: int, by: str = "n") -> int:
+    """The least power of two such that at most ``most`` rows have that count
+    in ``by`` or more."""
+    levels = {r["k"]: r["n"] for r in words.groupBy(F.floor(F.log2(by)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     held, level = 0, max(levels, default=0) + 1
     while level > 0 and held + levels.get(level - 1, 0) <= most:
         level -= 1
@@ -309,46 +263,74 @@ def head_level(words: DataFrame, most: int) -> int:
     return level
 
 
-def score_documents(docs: DataFrame, held_out: Column, text: str = "text", head_tokens: int = HEAD_TOKENS,
-                    head_contexts: int = HEAD_CONTEXTS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, text: str = "text", depth: int = DEPTH, head_tokens: int = HEAD_TOKENS,
+                    head_grams: int = HEAD_GRAMS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score and score. Learns from the rows where ``held_out`` is not true."""
+    base_score, score and bits_per_byte. Learns from the rows where
+    ``held_out`` is not true, contexts of up to ``depth`` (3 to 6) bytes."""
+    if not 3 <= depth <= 6:
+        raise ValueError("depth is 3 to 6: a gram and its node share 64 bits")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = corpus_counts(rows.where(~F.col("held_out")), "_text")
+    counts = corpus_counts(rows, depth)
     words = counts.where("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     least = 1 << head_level(words, head_tokens)
     head = words.where(F.col("n") >= least).toArrow()      # at most ``head_tokens`` rows
     common = spark.sparkContext.broadcast(dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist())))
-    model, tail = split_tree(counts.where("gram is not null").select("gram", "n"), head_contexts)
-    tree = spark.sparkContext.broadcast(model)
+    logs = fit_grams(counts.where("gram is not null").select("gram", "n", "m"), depth)
+    often = 1 << head_level(logs, head_grams, "m")
+    top = logs.where(F.col("m") >= often).select("gram", "log").toArrow().sort_by("gram")     # at most ``head_grams`` rows
+    tree = spark.sparkContext.broadcast((top.column("gram").to_numpy(), top.column("log").to_numpy()))
+
+    def tree_scores(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Per text the log probability of its grams in the broadcast, and its
+        other grams with their counts."""
+        known, log = tree.value
+        score, far = np.zeros(len(texts)), []
+        for of, g in text_grams(texts, depth):
+            own, at = np.unique(g, return_inverse=True)
+            place = np.searchsorted(known, own)
+            found = np.zeros(len(own), bool)
+            inside = place < len(known)
+            found[inside] = known[place[inside]] == own[inside]
+            value = np.zeros(len(own))
+            value[found] = log[place[found]]
+            score += np.bincount(of, value[at], len(texts))
+            if not found.all():
+                out = ~found[at]
+                far.append(np.stack([of[out], g[out]]))
+        pairs, n = np.unique(np.concatenate(far, axis=1) if far else np.zeros((2, 0), np.int64), axis=1, return_counts=True)
+        offsets = pa.array(np.searchsorted(pairs[0], np.arange(len(texts) + 1)).astype(np.int32))
+        return score, pa.ListArray.from_arrays(offsets, pa.array(pairs[1])), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, model = common.value.get, tree.value
-        for b in chunks(batches, "_text", 8 << 20, 4096):
-            out: list[list] = [[] for _ in range(8)]
-            for t in pylist(b, "_text"):
-                w = [*text_bytes(t).split(), END_TOKEN]
+        get = common.value.get
+        for b in chunks(batches, "_text", CHUNK, 4096):
+            texts = [text_bytes(t) for t in pylist(b, "_text")]
+            out: list[list] = [[] for _ in range(6)]
+            for t in texts:
+                w = [*t.split(), END_TOKEN]
                 c = [get(x, 0) for x in w]
                 n = np.array(c, np.float64)
                 rare = Counter(x for x, k in zip(w, c) if not k)
-                for col, x in zip(out, (len(w), int(np.count_nonzero(n)), float(np.log10(n + 1).sum()), *model.score_held(t), list(rare), list(rare.values()))):
+                for col, x in zip(out, (len(t), len(w), int(np.count_nonzero(n)), float(np.log10(n + 1).sum()), list(rare), list(rare.values()))):
                     col.append(x)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), *(pa.array(c, t) for c, t in zip(out, types))],
-                                             names=["doc_id", "held_out", "n_tokens", "_known", "_logs", "score", "_grams", "_gram_times", "_rare", "_times"])
-    scored = with_row_id(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, _known long, _logs double, score double, _grams array<long>, _gram_times array<long>, _rare array<binary>, _times array<long>"), "scored")
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            own, grams, times = tree_scores(texts)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), *(pa.array(c, t) for c, t in zip(out, types)), pa.array(own), grams, times],
+                                             names=["doc_id", "held_out", "_bytes", "n_tokens", "_known", "_logs", "_rare", "_times", "score", "_grams", "_gram_times"])
+    scored = with_row_id(rows.mapInArrow(score, "doc_id long, held_out boolean, _bytes long, n_tokens long, _known long, _logs double, _rare array<binary>, _times array<long>, score double, _grams array<long>, _gram_times array<long>"), "scored")
+    exact = lambda x: F.sum(x.cast("decimal(28,12)")).cast("double")  # noqa: E731  (the same in any order)
     rare = scored.select(ROW_ID, F.explode(F.arrays_zip("_rare", "_times")).alias("_r")).select(ROW_ID, F.col("_r._rare").alias("word"), F.col("_r._times").alias("_times"))
     extra = (rare.join(words.where(F.col("n") < least), "word").groupBy(ROW_ID)
-             .agg(F.sum("_times").alias("_more"), F.sum(F.col("_times") * F.log10(F.col("n") + 1)).alias("_more_logs")))
-    if tail is not None:
-        grams = scored.select(ROW_ID, F.explode(F.arrays_zip("_grams", "_gram_times")).alias("_g")).select(
-            ROW_ID, F.shiftright("_g._grams", 8).alias("context"), F.col("_g._grams").bitwiseAND(F.lit(255)).cast("int").alias("byte"), F.col("_g._gram_times").alias("_times"))
-        far = (grams.join(tail, "context").select(ROW_ID, (F.col("_times") * F.element_at("logs", F.col("byte") + 1).cast("double")).alias("_far"))
-               .groupBy(ROW_ID).agg(F.sum("_far").alias("_far")))
+             .agg(F.sum("_times").alias("_more"), exact(F.col("_times") * F.log10(F.col("n") + 1)).alias("_more_logs")))
+    if often > 1:   # else every gram was broadcast
+        grams = scored.select(ROW_ID, F.explode(F.arrays_zip("_grams", "_gram_times")).alias("_g")).select(ROW_ID, F.col("_g._grams").alias("gram"), F.col("_g._gram_times").alias("_times"))
+        far = grams.join(logs.where(F.col("m") < often), "gram").groupBy(ROW_ID).agg(exact(F.col("_times") * F.col("log")).alias("_far"))
         scored = scored.join(far, ROW_ID, "left").withColumn("score", F.col("score") + F.coalesce("_far", F.lit(0.0)))
     smooth = math.log10(total["n"] + total["v"] + 1)
     return scored.join(extra, ROW_ID, "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-        (F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), "score")
+        (F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), "score",
+        F.when(F.col("_bytes") > 0, -F.col("score") / math.log10(2) / F.col("_bytes")).alias("bits_per_byte"))

@@ -13,32 +13,26 @@ from fathom.llm import lm_scoring as M
 
 
 class BruteTree:
-    """The recursion Pw = (Pe + product of Pw) / 2, decision by decision.
-    Contexts are (depth, bytes); a three-byte context without a branch of its
-    own is ("others", its last two bytes)."""
+    """The recursion Pw = (Pe + product of Pw) / 2, decision by decision."""
 
-    def __init__(self, texts, branches):
-        self.n, self.children, seen = Counter(), {}, Counter()
+    def __init__(self, texts, depth):
+        self.n, self.children, self.depth = Counter(), {}, depth
         for t in texts:
-            s = b"\xff\xff\xff" + t + b"\xff"
-            seen.update(s[i - 3:i] for i in range(3, len(s)))
-        level = next(k for k in range(40) if sum(n >= 1 << k for n in seen.values()) <= branches)
-        self.own = {c for c, n in seen.items() if n >= 1 << level}
-        for t in texts:
-            s = b"\xff\xff\xff" + t + b"\xff"
-            for i in range(3, len(s)):
-                node = 1
-                for bit in range(7, -1, -1):
-                    b = s[i] >> bit & 1
-                    path = self.path(s[i - 3:i])
-                    for c in path:
-                        self.n[c, node, b] += 1
-                    for c, longer in zip(path, path[1:]):
-                        self.children.setdefault((c, node), set()).add(longer)
-                    node = 2 * node + b
-
-    def path(self, c):
-        return [b"", c[2:], c[1:], c if c in self.own else ("others", c[1:])]
+            for path, node, b in self.turns(t):
+                for c in path:
+                    self.n[c, node, b] += 1
+                for c, longer in zip(path, path[1:]):
+                    self.children.setdefault((c, node), set()).add(longer)
+
+    def turns(self, t):
+        """(contexts from the empty one on, node, turn) of every decision."""
+        s = b"\xff" * self.depth + t + b"\xff"
+        for i in range(self.depth, len(s)):
+            path, node = [s[i - k:i] for k in range(self.depth + 1)], 1
+            for bit in range(7, -1, -1):
+                b = s[i] >> bit & 1
+                yield path, node, b
+                node = 2 * node + b
 
     def pe(self, c, node):
         a, b = self.n[c, node, 0], self.n[c, node, 1]
@@ -58,30 +52,62 @@ class BruteTree:
         return stop * kt + (1 - stop) * self.p(path[1:], node, b)
 
     def score(self, t):
-        s, total = b"\xff\xff\xff" + t + b"\xff", 0.0
-        for i in range(3, len(s)):
-            node = 1
-            for bit in range(7, -1, -1):
-                b = s[i] >> bit & 1
-                total += math.log10(self.p(self.path(s[i - 3:i]), node, b))
-                node = 2 * node + b
-        return total
+        return sum(math.log10(self.p(path, node, b)) for path, node, b in self.turns(t))
+
+
+TEXTS = ["abab", "", None, "ab cab", "É", "abab abab", "xbab", "zz cab " * 3, "abab", "q" * 40]
 
 
-@pytest.mark.parametrize("branches", [0, 6, 1000])
-def test_tree_like_the_recursion(spark, branches):
-    texts = ["abab", "", None, "ab cab", "É", "abab abab"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = M.fit_tree(M.corpus_counts(df).where("gram is not null").select("gram", "n"), branches)
-    brute = BruteTree([(t or "").encode().lower() for t in texts], branches)
-    for t in ("abab", "", "cab", "zz", "É", "ab abz"):
-        assert abs(model.score(t) - brute.score(t.encode().lower())) < 1e-4
+@pytest.mark.parametrize(("depth", "head"), [(3, 1 << 20), (5, 1 << 20), (5, 0), (6, 12)])
+def test_scores_like_the_recursion(spark, monkeypatch, depth, head):
+    """With all grams broadcast, none, and some, in many buckets."""
+    monkeypatch.setattr(M, "SLICE", 4 if head < 1 << 20 else 1 << 16)    # read on the driver
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    brute = BruteTree([(t or "").encode().lower() for t in TEXTS[:5]], depth)
+    rows = M.score_documents(docs, F.col("doc_id") >= 5, depth=depth, head_grams=head).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        t = (TEXTS[r["doc_id"]] or "").encode().lower()
+        assert abs(r["score"] - brute.score(t)) < 1e-6
+        assert r["bits_per_byte"] is None if not t else abs(r["bits_per_byte"] + r["score"] / math.log10(2) / len(t)) < 1e-9
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 21])
+def test_grams_of_pieces(monkeypatch, piece):
+    monkeypatch.setattr(M, "PIECE", piece)
+    texts = [b"abc", b"", b"a longer text"]
+    got = [(int(i), int(g)) for of, grams in M.text_grams(texts, 5) for i, g in zip(of, grams)]
+    padded = [b"\xff" * 5 + t + b"\xff" for t in texts]
+    assert got == [(i, int.from_bytes(s[at - 5:at][::-1] + s[at:at + 1])) for i, s in enumerate(padded) for at in range(5, len(s))]
+
+
+def test_slices_keep_contexts_of_three_bytes(monkeypatch):
+    monkeypatch.setattr(M, "SLICE", 3)
+    grams = np.array([c << 24 | i for c, n in ((1, 2), (2, 5), (3, 1), (4, 9)) for i in range(n)])
+    cuts = list(M.slices(grams, 5))
+    assert [c.stop for c in cuts[:-1]] == [c.start for c in cuts[1:]] and cuts[0].start == 0 and cuts[-1].stop == len(grams)
+    tops = [set((grams[c] >> 24).tolist()) for c in cuts]
+    assert len(cuts) > 1 and sum(map(len, tops)) == 4
 
 
 def test_bytes_sum_to_one(spark):
-    df = spark.createDataFrame([("some text here",), ("more text there",)], "text string")
-    model = M.fit_tree(M.corpus_counts(df).where("gram is not null").select("gram", "n"))
-    assert np.allclose((10.0 ** model.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+    """All 256 next bytes of a context, scored without being learned."""
+    counts = [(int.from_bytes(b"the q"[::-1]) << 8 | b, 3 * (b in b"ux"), 3 * (b in b"ux") + 1) for b in range(256)]
+    counts += [(int.from_bytes(b"ooo q"[::-1]) << 8 | ord("a"), 9, 9), (int.from_bytes(b"the z"[::-1]) << 8 | ord("b"), 2, 2)]
+    logs = M.fit_grams(spark.createDataFrame(counts, "gram long, n long, m long")).collect()
+    own = [r["log"] for r in logs if r["gram"] >> 8 == int.from_bytes(b"the q"[::-1])]
+    assert len(own) == 256 and abs(sum(10.0 ** x for x in own) - 1) < 1e-9
+
+
+def test_depth_out_of_range(none):
+    with pytest.raises(ValueError, match="depth"):
+        M.score_documents(none, F.lit(False), depth=7)
+
+
+def test_same_scores_with_other_partitions(table):
+    docs = table("documents").select("doc_id", "text")
+    runs = [sorted(map(tuple, M.score_documents(docs.repartition(n), F.col("doc_id") % 5 == 0, head_tokens=50, head_grams=2000).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
 
 
 def brute_base(rows):
@@ -108,22 +134,10 @@ def test_scores_are_better_than_uniform(table):
     rows = {r["doc_id"]: len(r["text"].encode()) + 1 for r in docs.collect()}
     got = M.score_documents(docs, F.col("doc_id") % 5 == 0).collect()
     own = [r for r in got if r["held_out"]]
-    assert sum(-r["score"] for r in own) / math.log10(2) < 5 * sum(rows[r["doc_id"]] for r in own)     # bits a byte
+    assert sum(-r["score"] for r in own) / math.log10(2) < 4 * sum(rows[r["doc_id"]] for r in own)     # bits a byte
 
 
 def test_no_rows_and_none_to_learn_from(none, spark):
     assert M.score_documents(none, F.lit(False)).collect() == []
     r = M.score_documents(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), F.lit(True)).first()
     assert abs(r["score"] - 3 * math.log10(1 / 256)) < 1e-5 and r["n_known"] == 0 and r["base_score"] == 0
-
-
-@pytest.mark.parametrize("head", [0, 3, M.HEAD_CONTEXTS])
-def test_every_context_has_its_own_counts(spark, head):
-    texts = ["abab", "", None, "ab cab", "É", "abab abab", "xbab", "zz cab " * 3]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = F.col("doc_id") >= 5
-    brute = BruteTree([(t or "").encode().lower() for t in texts[:5]], 1 << 24)
-    rows = M.score_documents(docs, held, head_contexts=head).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert abs(r["score"] - brute.score((texts[r["doc_id"]] or "").encode().lower())) < 1e-4

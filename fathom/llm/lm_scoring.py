@@ -80,17 +80,20 @@ def text_grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.
     byte before in the highest place, the one before that in the next, and so
     on, the byte itself in the lowest."""
     data = np.frombuffer(b"".join(EDGE * depth + t + EDGE for t in texts), np.uint8)
-    sizes = np.array([depth + len(t) + 1 for t in texts], np.int64)
-    ends = np.cumsum(sizes)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(sizes + depth) - sizes - depth
+    scored = np.ones(len(data), bool)
+    scored[(starts[:, None] + np.arange(depth)).ravel()] = False
+    of = np.repeat(np.arange(len(texts)), sizes)
+    done = 0
     for at in range(depth, len(data), PIECE):
-        own = data[at - depth:at + PIECE].astype(np.int64)
-        g = own[depth:].copy()
-        for back in range(1, depth + 1):
-            g |= own[depth - back:len(own) - back] << (8 * (depth + 1 - back))
-        place = np.arange(at, at + len(g))
-        of = np.searchsorted(ends, place, side="right")
-        keep = place - (ends - sizes)[of] >= depth
-        yield of[keep], g[keep]
+        own = data[at - depth:at + PIECE]
+        places = np.zeros((len(own) - depth, 8), np.uint8)
+        for back in range(depth + 1):
+            places[:, depth + 1 - back if back else 0] = own[depth - back:len(own) - back]
+        grams = places.view("<i8").ravel()[scored[at:at + PIECE]]
+        yield of[done:done + len(grams)], grams
+        done += len(grams)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -243,9 +246,9 @@ def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                 words[END_TOKEN] += int(learn.sum())
             n = np.fromiter(words.values(), np.int64, len(words))
             yield pa.RecordBatch.from_arrays([pa.array([*words], pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(n), pa.array(n)], names=["word", "gram", "n", "m"])
-            for of, grams in text_grams(texts, depth):
-                for own in (True, False):
-                    g, m = np.unique(grams[learn[of] == own], return_counts=True)
+            for own in (True, False):
+                for _, grams in text_grams([t for t, x in zip(texts, learn) if x == own], depth):
+                    g, m = np.unique(grams, return_counts=True)
                     m = m.astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g), pa.array(m * own), pa.array(m)], names=["word", "gram", "n", "m"])
     return store(rows.select("_text", "held_out").mapInArrow(count, "word binary, gram long, n long, m long")
@@ -299,10 +302,14 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", depth
             score += np.bincount(of, value[at], len(texts))
             if not found.all():
                 out = ~found[at]
-                far.append(np.stack([of[out], g[out]]))
-        pairs, n = np.unique(np.concatenate(far, axis=1) if far else np.zeros((2, 0), np.int64), axis=1, return_counts=True)
-        offsets = pa.array(np.searchsorted(pairs[0], np.arange(len(texts) + 1)).astype(np.int32))
-        return score, pa.ListArray.from_arrays(offsets, pa.array(pairs[1])), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))
+                far.append((of[out], g[out]))
+        whose, others = (np.concatenate([x[i] for x in far]) if far else np.zeros(0, np.int64) for i in (0, 1))
+        order = np.lexsort((others, whose))
+        whose, others = whose[order], others[order]
+        first = np.flatnonzero(np.append(True, (np.diff(whose) != 0) | (np.diff(others) != 0))[:len(others)])
+        n = np.diff(np.append(first, len(others)))
+        offsets = pa.array(np.searchsorted(whose[first], np.arange(len(texts) + 1)).astype(np.int32))
+        return score, pa.ListArray.from_arrays(offsets, pa.array(others[first])), pa.ListArray.from_arrays(offsets, pa.array(n))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = common.value.get

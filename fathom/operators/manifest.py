@@ -22,6 +22,8 @@ BAD_JSON = "Invalid JSON"
 DUP_NAMES = "All target filenames must be unique"
 CONFIGURED = "Configured"
 NOT_CONFIGURED = "Not configured yet"
+# What a payload is made of.
+PAYLOAD_COLUMNS = ("request_id", "inputs", "target_names", "model_image", "effective_tag", "config", "effective_sql")
 # Line breaks as str.splitlines() knows them.
 _BREAK = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _SQL_LINE = f"(?:^|{_BREAK}){WS_CLASS}*(?:[^-{WS_CLASS[1:]}|-(?:[^-]|\\z))"
@@ -33,7 +35,8 @@ def has_sql(sql: Column) -> Column:
     One regex search over the whole text: at the start of the text or after
     a line break, skip whitespace (blank lines included) and find a
     character other than ``-``, or a ``-`` not followed by another."""
-    return F.coalesce(sql, F.lit("")).rlike(_SQL_LINE)
+    text = F.coalesce(sql, F.lit(""))
+    return (text != "") & text.rlike(_SQL_LINE)
 
 
 def effective_sql(sql: Column) -> Column:
@@ -70,16 +73,29 @@ def _py_text(v: Column) -> Column:
 
 def config_summary(config: Column) -> Column:
     """M5: first two ``key: value`` pairs of a JSON object, ``Configured`` for
-    an empty one, ``Not configured yet`` when it is not a JSON object."""
+    an empty one, ``Not configured yet`` when it is not a JSON object.
+
+    The text is read once per row, into the one element of an array; written
+    into the lambda below, the parse would run again for every use of a value."""
     cfg = strip_ws(F.coalesce(config, F.lit("")))
-    as_map = F.from_json(cfg, "map<string,variant>")
-    is_obj = cfg.startswith("{") & F.try_parse_json(cfg).isNotNull() & as_map.isNotNull()
-    keys = F.slice(F.json_object_keys(cfg), 1, 2)
-    pairs = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit(": "),
-                                                              F.coalesce(_py_text(as_map[k]), F.lit("None")))), ", ")
-    return (F.when(~is_obj, F.lit(NOT_CONFIGURED))
-            .when(F.size(keys) == 0, F.lit(CONFIGURED))
-            .otherwise(pairs))
+    read = F.struct(cfg.startswith("{").alias("braced"), F.try_parse_json(cfg).isNotNull().alias("ok"),
+                    F.from_json(cfg, "map<string,variant>").alias("values"),
+                    F.slice(F.json_object_keys(cfg), 1, 2).alias("keys"))
+
+    def shown(r: Column) -> Column:
+        pairs = F.array_join(F.transform(r["keys"], lambda k: F.concat(k, F.lit(": "), F.coalesce(
+            _py_text(r["values"][k]), F.lit("None")))), ", ")
+        return (F.when(~(r["braced"] & r["ok"] & r["values"].isNotNull()), F.lit(NOT_CONFIGURED))
+                .when(F.size(r["keys"]) == 0, F.lit(CONFIGURED))
+                .otherwise(pairs))
+    return F.get(F.transform(F.array(read), shown), 0)
+
+
+def _texts_where(*cases: tuple[Column, str]) -> Column:
+    """The texts whose condition holds, in order. Plain array functions, no
+    lambda, so the conditions are compiled with the rest of the row's work."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(cond, F.array(F.lit(text))).otherwise(none) for cond, text in cases])
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -97,12 +113,12 @@ def validate(requests: DataFrame) -> DataFrame:
         F.size(F.filter("effective_sql", lambda s: s != "")).cast("long").alias("n_transforms"),
         F.coalesce(F.col("model_tag"), F.lit(DEFAULT_TAG)).alias("effective_tag"),
         config_summary(F.col("config")).alias("config_summary"),
-        F.array_compact(F.array(
-            F.when(F.size("inputs") == 0, F.lit(NO_DATASET)),
-            F.when(F.col("model_image").isNull(), F.lit(NO_MODEL)),
-            F.when(F.try_parse_json(cfg).isNull(), F.lit(BAD_JSON)),
-            F.when(F.size(F.array_distinct("target_names")) != F.size("target_names"), F.lit(DUP_NAMES)),
-        )).alias("reasons"),
+        _texts_where(
+            (F.size("inputs") == 0, NO_DATASET),
+            (F.col("model_image").isNull(), NO_MODEL),
+            (F.try_parse_json(cfg).isNull(), BAD_JSON),
+            (F.size(F.array_distinct("target_names")) != F.size("target_names"), DUP_NAMES),
+        ).alias("reasons"),
     )
 
 
@@ -110,8 +126,7 @@ def payload_json(checked: DataFrame) -> Column:
     """M6: the run payload as JSON text: files as [source, target] pairs in
     selection order, image, tag, the config text, and the SQL list aligned
     with the files."""
-    files = F.transform(F.arrays_zip(F.col("inputs"), F.col("target_names")),
-                        lambda z: F.array(z["inputs"]["data_path"], z["target_names"]))
+    files = F.zip_with("inputs", "target_names", lambda e, name: F.array(e["data_path"], name))
     return F.to_json(F.struct(F.struct(
         files.alias("input_data_files"),
         F.col("model_image").alias("model_image"),
@@ -122,9 +137,12 @@ def payload_json(checked: DataFrame) -> Column:
 
 
 def write_payloads(checked: DataFrame, path: str) -> None:
-    """Valid payloads as JSON lines (one per request)."""
+    """Valid payloads as JSON lines (one per request).
+
+    Only the columns of the payload are packed for the selection, so the
+    others (``config_summary``) are never computed here."""
     from fathom.functions.rows import rows_where
-    ok = rows_where(checked, F.size("reasons") == 0)
+    ok = rows_where(checked.select(*PAYLOAD_COLUMNS, "reasons"), F.size("reasons") == 0)
     (ok.select("request_id", payload_json(ok).alias("payload"))
      .write.mode("overwrite").json(path))
 

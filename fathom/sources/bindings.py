@@ -294,12 +294,15 @@ REQUEST_INPUT_SQL = {
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run requests: (request_id, model_image, model_tag, config, inputs[])."""
     orders = read_table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey")
-    li = read_table(spark, sf_dir, "lineitem", spread=True).select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    li = read_table(spark, sf_dir, "lineitem")
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(RESOURCE_ORDER)]
     item = F.struct(*[F.expr(sql).alias(n) for n, sql in REQUEST_INPUT_SQL.items()])
-    per = (li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, item.alias("i")))).alias("_l"))
-           .select(F.col("l_orderkey").alias("o_orderkey"), F.transform("_l", lambda e: e["i"]).alias("inputs")))
+    # Dealt by key before the lists are made: the items are then built by the
+    # scan's compiled projection, not row by row inside collect_list, and each
+    # list is collected once, where all its rows are.
+    items = li.select(F.col("l_orderkey").alias("o_orderkey"), F.struct(*keys, item.alias("i")).alias("_e")).repartition("o_orderkey")
+    per = (items.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("_e")).alias("_l"))
+           .select("o_orderkey", F.col("_l.i").alias("inputs")))
     req = orders.select("o_orderkey", *[F.expr(sql).alias(n) for n, sql in REQUEST_SQL.items()])
     out = req.join(per.hint("merge"), "o_orderkey", "left")
     return out.withColumn("inputs", F.coalesce("inputs", F.array().cast(per.schema["inputs"].dataType)))
